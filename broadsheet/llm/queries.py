@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from broadsheet.llm import pieces
+from broadsheet.llm import pieces, repeats
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,11 @@ def tokenizer_path(spark: SparkSession, name: str = "piece_bpe_32k.model") -> st
     return str(public_tokenizers.path(name))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_docs(spark, sf_dir), digest=True)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(_docs(spark, sf_dir), tokenizer_path(spark))
 

@@ -34,7 +34,7 @@ def _grown(name: str, base: U64, n: int) -> np.ndarray:
         done = 1
         while done < size:
             step = min(done, size - done)
-            have[done : done + step] = have[:step] * (have[done - 1] * base)
+            have[done : done + step] = have[:step] * have[done - 1 : done] * base
             done += step
         if size <= 1 << 24:
             _powers[name] = have
