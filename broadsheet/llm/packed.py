@@ -45,7 +45,8 @@ ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("owners"
 def pack(bucket: np.ndarray, owner: np.ndarray, place: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None, width: int = 5) -> pa.RecordBatch:
     """One row per bucket. Entries of one owner should come together and in order of place."""
     order = np.argsort(bucket, kind="stable")
-    bucket, owner, place = bucket[order], owner[order], place[order]
+    bucket, owner = bucket[order], owner[order]
+    place = place[order] if len(place) else None
     h1 = h1[order] if h1 is not None else None
     h2 = h2[order] if h2 is not None else None
     starts = runs(bucket)
@@ -57,7 +58,7 @@ def pack(bucket: np.ndarray, owner: np.ndarray, place: np.ndarray, h1: np.ndarra
         rows[0].append(int(bucket[a]))
         rows[1].append(planes(own[first].astype(np.int64), 8))
         rows[2].append(planes(np.diff(np.append(first, b - a)).astype(np.uint32), 4))
-        rows[3].append(planes(place[a:b].astype(np.uint32), 4))
+        rows[3].append(planes(place[a:b].astype(np.uint32), 4) if place is not None else b"")
         rows[4].append(planes(h1[a:b], width) if h1 is not None else b"")
         rows[5].append(planes(h2[a:b], 8) if h2 is not None else b"")
     return pa.RecordBatch.from_arrays([pa.array(r, t.type) for r, t in zip(rows, ARROW)], schema=ARROW)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import pieces, repeats
+from broadsheet.llm import jaccard, pieces, repeats
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def tokenizer_path(spark: SparkSession, name: str = "piece_bpe_32k.model") -> st
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(_docs(spark, sf_dir), digest=True)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
