@@ -17,6 +17,9 @@ _BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation other than the underscore: for tokens rather than words.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "_"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = U64(0xD1342543DE82EF95)
@@ -54,7 +57,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a batch of texts: byte spans, owner, and a 64-bit hash of each."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True, second: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True, second: bool = False, separators: np.ndarray = _SPACE):
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         raw = texts.buffers()[2] if n else None
@@ -67,7 +70,7 @@ class Words:
                 data = np.concatenate([data[a : a + m] for a, m in zip(offsets[:-1], lengths)] or [data[:0]])
             offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.data, self.offsets = data, offsets
-        solid = ~_SPACE[data]
+        solid = ~separators[data]
         first, last = solid.copy(), solid.copy()
         if len(data):
             first[1:] &= ~solid[:-1]
