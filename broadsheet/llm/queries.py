@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, jaccard, pieces, repeats
+from broadsheet.llm import decontaminate, jaccard, language, pieces, repeats
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    out = language.held_out("doc_id", 4, 2)
+    model = language.fit(docs.where(~out))
+    return language.identify(docs, model).select(F.col("id").alias("doc_id"), language.held_out("id", 4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(_docs(spark, sf_dir), digest=True)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
