@@ -184,14 +184,35 @@ def _joined(source: DataFrame, items: DataFrame, lengths: list[int]) -> DataFram
     return out.select("id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
-    """(id, contaminated, n_items, items) of every row of ``docs``."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, ship_seeds: int) -> tuple[DataFrame, Index | None]:
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("body")).where("id is not null and body is not null")
     # An item of n characters has at most n / 2 + 1 tokens, and each starts one seed per mask.
     (bound,) = items.agg(F.sum(F.length("body") / 2 + 1)).first()
-    if (bound or 0) * (len(MASKS) + 1) <= ship_seeds:
-        index = build_index([(r.id, r.body) for r in items.collect()])
+    if (bound or 0) * (len(MASKS) + 1) > ship_seeds:
+        return items, None
+    return items, build_index([(r.id, r.body) for r in items.collect()])
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
+    """(id, contaminated, n_items, items) of every row of ``docs``."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+    items, index = _prepared(benchmark, item_col, item_text_col, ship_seeds)
+    if index is not None:
         return source.mapInArrow(lambda it: _scan(it, index), _OUT)
-    lengths = list(range(MIN_TOKENS, SPAN))
-    return _joined(source, items, lengths)
+    return _joined(source, items, list(range(MIN_TOKENS, SPAN)))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that no item contaminates."""
+    items, index = _prepared(benchmark, item_col, item_text_col, ship_seeds)
+    if index is None:
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+        gone = _joined(source, items, list(range(MIN_TOKENS, SPAN))).where("contaminated").select("id").distinct()
+        return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, at):
+            yield batch.filter(pa.array([not f for f in index.search(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

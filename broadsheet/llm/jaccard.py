@@ -269,3 +269,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     joined = signed.join(reps, ["c1", "c2", "n"], "left")
     out = joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each group of linked documents only the one with the least id."""
+    linked = link(docs, id_col, text_col, width).where("component_id <> id").select("id").distinct()
+    gone = Scratch(docs.sparkSession, "jaccard-gone").keep(linked, "gone")
+    gone = maybe_broadcast(gone, gone.count())
+    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")

@@ -21,6 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLE_CHUNKS = 400_000
 CHUNK_CHARS = 256
@@ -87,12 +88,9 @@ class Encoder:
         i = self.sp.piece_to_id(MARK)
         return (i,), str(i), " "
 
-    def encode(self, text: str | None) -> list[int]:
-        return [i for e in self._entries(text or "") for i in e[0]]
-
-    def decode(self, text: str | None) -> str:
-        """decode(encode(text)), joined from the words' decodings."""
-        return "".join(e[2] for e in self._entries(text or ""))[1:]
+    def encode_and_decode(self, text: str | None) -> tuple[list[int], str]:
+        entries = self._entries(text or "")
+        return [i for e in entries for i in e[0]], "".join(e[2] for e in entries)[1:]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, decimal ids joined by commas, decoded text."""
@@ -100,22 +98,28 @@ class Encoder:
         return sum(map(len, (e[0] for e in entries))), ",".join(e[1] for e in entries), "".join(e[2] for e in entries)[1:]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string) of every text."""
+def encode(docs: DataFrame, model: str, text_col: str = "text", part_rows: int = 256) -> DataFrame:
+    """The columns of ``docs`` other than the text, then n_tokens, ids array<int> and decoded (from the ids)."""
+    rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([encoder.encode(t) for t in texts], pa.list_(pa.int32())), pa.array([encoder.decode(t) for t in texts], pa.string())],
-                    names=[id_col, "ids", "decoded"],
-                )
-
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, ids array<int>, decoded string")
+            for at in range(0, batch.num_rows, part_rows):
+                part = batch.slice(at, part_rows)
+                ids, ends, decoded = [], [0], []
+                for text in part.column(len(rest)):
+                    one, back = encoder.encode_and_decode(text.as_py())
+                    ids += one
+                    ends.append(len(ids))
+                    decoded.append(back)
+                counts = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], counts, lists, pa.array(decoded, pa.string())], names=[*rest, "n_tokens", "ids", "decoded"])
+
+    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    schema = T.StructType(source.schema.fields[:-1]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return source.mapInArrow(run, schema)
 
 
 def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.llm import packed
 from broadsheet.llm.packed import slot_column
@@ -221,16 +222,16 @@ def _cut(docs: pa.Table, removed: pa.Table, window: int, digest: bool) -> pa.Tab
         else:
             texts.append(body.decode() if places is not None else raw)
     return pa.table(
-        [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, _SPANS), pa.array(texts, pa.string())],
-        names=["id", "n_words", "n_removed", "spans", "kept"],
+        [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, _SPANS), pa.array(texts, pa.string()), docs.column("rest")],
+        names=["id", "n_words", "n_removed", "spans", "kept", "rest"],
     )
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """(id long, n_words, n_removed, spans, kept) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id long, n_words, n_removed, spans, kept, rest) of every row; ``rest`` is a struct of the columns in ``carry``.
 
     ``spans`` are the maximal repeats as word positions [start, end). ``kept`` is the text without them: unchanged where
     nothing was removed, else the kept words joined by one space. With ``digest`` it is the SHA-256 (lowercase hex) of
@@ -244,11 +245,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = source.mapInArrow(lambda it: _anchors(it, n, block), packed.SCHEMA)
     hits = scratch.keep(entries.groupBy("bucket").applyInArrow(lambda t: _meet(t, n, block), packed.SCHEMA), "hits")
     release(spark)
-    placed = source.select(slot_column("id", n).alias("bucket"), "id", "body")
-    windows = placed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(lambda a, b: _candidates(a, b, n, window, block), packed.SCHEMA)
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
+    placed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("body"), rest.alias("rest"))
+    placed = placed.select(slot_column("id", n).alias("bucket"), "id", "body", "rest")
+    schema = T._parse_datatype_string("id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string").add("rest", placed.schema["rest"].dataType)
+    texts = source.select(slot_column("id", n).alias("bucket"), "id", "body")
+    windows = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(lambda a, b: _candidates(a, b, n, window, block), packed.SCHEMA)
     removed = scratch.keep(windows.groupBy("bucket").applyInArrow(lambda t: _decide(t, n), packed.SCHEMA), "removed")
     scratch.drop("hits")
     release(spark)
-    schema = "id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
     out = placed.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(lambda a, b: _cut(a, b, window, digest), schema)
     return out.withColumn("id", F.nullif("id", F.lit(NO_ID)))

@@ -64,14 +64,14 @@ def buckets(spark: SparkSession, per_partition: int = 3) -> int:
     return per_partition * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches of (id, text, …) so that each piece holds about ``most`` bytes of its second column, or one row."""
+def chunks(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each piece holds about ``most`` bytes of the text in column ``at``, or one row."""
     import numpy as np
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(1)
+        column = batch.column(at)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1].astype(np.int64)
         start = 0
         while start < batch.num_rows:
