@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, jaccard, language, outliers, pieces, repeats
+from broadsheet.llm import decontaminate, jaccard, language, outliers, pieces, repeats, rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ensemble = rules.fit(docs, labels.where(~language.held_out("doc_id", 5, 0)))
+    scored = rules.score(docs, ensemble)
+    return scored.select(F.col("id").alias("doc_id"), language.held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
