@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, html_text, jaccard, language, outliers, pieces, repeats, rules
+from broadsheet.llm import decontaminate, html_text, jaccard, language, licenses, outliers, pieces, quotations, repeats, rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -64,6 +68,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(_docs(spark, sf_dir), tokenizer_path(spark))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
