@@ -60,18 +60,18 @@ def pack(bucket: np.ndarray, owner: np.ndarray, place: np.ndarray, h1: np.ndarra
         rows[2].append(planes(np.diff(np.append(first, b - a)).astype(np.uint32), 4))
         rows[3].append(planes(place[a:b].astype(np.uint32), 4) if place is not None else b"")
         rows[4].append(planes(h1[a:b], width) if h1 is not None else b"")
-        rows[5].append(planes(h2[a:b], 8) if h2 is not None else b"")
+        rows[5].append(planes(h2[a:b], width) if h2 is not None else b"")
     return pa.RecordBatch.from_arrays([pa.array(r, t.type) for r, t in zip(rows, ARROW)], schema=ARROW)
 
 
-def unpack(table: pa.Table, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(table: pa.Table, width: int = 5, width2: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """owner, place, h1, h2 of all rows together."""
     owners, places, one, two = [], [], [], []
     for o, l, p, a, b in zip(*(table.column(n) for n in ("owners", "lengths", "places", "h1", "h2"))):
         owners.append(np.repeat(unplanes(o.as_py(), 8, np.int64), unplanes(l.as_py(), 4, np.uint32)))
         places.append(unplanes(p.as_py(), 4, np.uint32))
         one.append(unplanes(a.as_py(), width) if len(a.as_py()) else np.zeros(0, np.uint64))
-        two.append(unplanes(b.as_py(), 8) if len(b.as_py()) else np.zeros(0, np.uint64))
+        two.append(unplanes(b.as_py(), width2) if len(b.as_py()) else np.zeros(0, np.uint64))
     join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
     return join(owners, np.int64), join(places, np.uint32), join(one, np.uint64), join(two, np.uint64)
 

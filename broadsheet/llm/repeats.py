@@ -4,7 +4,7 @@
    document. Block and probe meet by hash in a packed exchange. A run of 50 words that two documents share holds a whole
    block of either of them, so each shared run has a hit (hashes are cut to 40 bits here: a false hit costs time only).
 2. Hits go back to their documents and are extended: every 50-word window around a hit is a candidate. Candidates of
-   different documents meet again under 128-bit hashes, and a window is repeated if its smallest holder is another
+   different documents meet again under two 48-bit hashes, and a window is repeated if its smallest holder is another
    document. Adjacent repeated windows join into maximal repeats, and the words that they cover go.
 
 Pre-aggregation: what one task (or bucket of documents) holds twice is settled there, and only one holder of each hash
@@ -33,6 +33,8 @@ from broadsheet.llm.shared import Scratch, buckets, chunks, release
 from broadsheet.llm.words import Words, mix
 
 WINDOW = 50
+#: Bytes of each of the two hashes that name a window.
+HASH_BYTES = 6
 #: Stands for a null id.
 NO_ID = 2**63 - 1
 _SPLIT = np.uint64(0xA24BAED4963EE407)
@@ -121,7 +123,7 @@ def _places(table: pa.Table) -> dict[int, np.ndarray]:
     return {int(owner[a]): place[a:b] for a, b in zip(starts, np.append(starts[1:], len(owner)))}
 
 
-def _candidates(docs: pa.Table, hits: pa.Table, n_buckets: int, window: int, block: int) -> pa.Table:
+def _candidates(docs: pa.Table, hits: pa.Table, n_buckets: int, n_windows: int, window: int, block: int) -> pa.Table:
     """Windows around hits: those that the bucket settles as repeated, and one holder of each hash for the exchange."""
     if not docs.num_rows or not hits.num_rows:
         return ARROW_EMPTY
@@ -152,9 +154,9 @@ def _candidates(docs: pa.Table, hits: pa.Table, n_buckets: int, window: int, blo
     h1, h2, owner, place = (np.concatenate(x) for x in zip(*held))
     repeated, first = _settle(h1, h2, owner)
     if repeated.any():
-        out.append(packed.pack(-1 - packed.slot(owner[repeated], n_buckets), owner[repeated], place[repeated]))
+        out.append(packed.pack(-1 - packed.slot(owner[repeated], n_windows), owner[repeated], place[repeated]))
     if first.any():
-        out.append(packed.pack(_bucket(h1[first], n_buckets), owner[first], place[first], h1[first], h2[first], 8))
+        out.append(packed.pack(_bucket(h1[first], n_windows), owner[first], place[first], h1[first], h2[first], HASH_BYTES))
     return pa.Table.from_batches(out, packed.ARROW)
 
 
@@ -177,7 +179,7 @@ def _settle(h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> tuple[np.ndarr
 
 def _decide(table: pa.Table, n_buckets: int) -> pa.Table:
     key = table.column("bucket")[0].as_py()
-    owner, place, h1, h2 = packed.unpack(table, 8)
+    owner, place, h1, h2 = packed.unpack(table, HASH_BYTES, HASH_BYTES)
     if key >= 0:
         repeated, _ = _settle(h1, h2, owner)
         owner, place = owner[repeated], place[repeated]
@@ -241,17 +243,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be an even number of at least 4 words")
     spark, block = docs.sparkSession, window // 2
     scratch, n = Scratch(spark, "repeats"), buckets(spark)
+    # Each bucket of documents sends a row to each bucket of windows, so the latter are fewer.
+    n_windows = buckets(spark, 1)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("body"))
     entries = source.mapInArrow(lambda it: _anchors(it, n, block), packed.SCHEMA)
     hits = scratch.keep(entries.groupBy("bucket").applyInArrow(lambda t: _meet(t, n, block), packed.SCHEMA), "hits")
+    del entries
     release(spark)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
     placed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("body"), rest.alias("rest"))
     placed = placed.select(slot_column("id", n).alias("bucket"), "id", "body", "rest")
     schema = T._parse_datatype_string("id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string").add("rest", placed.schema["rest"].dataType)
     texts = source.select(slot_column("id", n).alias("bucket"), "id", "body")
-    windows = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(lambda a, b: _candidates(a, b, n, window, block), packed.SCHEMA)
+    windows = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(lambda a, b: _candidates(a, b, n, n_windows, window, block), packed.SCHEMA)
     removed = scratch.keep(windows.groupBy("bucket").applyInArrow(lambda t: _decide(t, n), packed.SCHEMA), "removed")
+    del windows
     scratch.drop("hits")
     release(spark)
     out = placed.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(lambda a, b: _cut(a, b, window, digest), schema)
