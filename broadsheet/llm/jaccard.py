@@ -9,10 +9,11 @@ between different sets are found; a group of similar documents is never expanded
    too few cannot have a partner. In usual corpora few classes are left, and only their sets travel.
 3. Groups by the least hash under three salts, in blocks of at most ``BLOCK`` sets: a signature tree per block, a dual
    traversal, an exact check, and a union-find that leaves pairs already connected. This links most of what is similar.
-4. Completion. Every prefix hash (first |x| - a + 1) whose holders lie in more than one component is joined again, by a
-   signature tree per pair of blocks of its holders. A pair is taken only at the first prefix hash that it shares, only
-   across components, and only if bound and sizes allow it; its sets are then compared exactly. Since every linked pair
-   shares a prefix hash, none is lost.
+4. Completion. A linked pair shares a hash among the first |x| - a + 1 of either set, in an order that puts hashes with
+   many holders last. A hash whose holders lie in more than one component sends them all to its host, the largest of
+   these components. The sets that meet at a host (in pairs of blocks, if many) are joined by a signature tree again,
+   with an exact check, leaving pairs already connected. Since both ends of every link across components meet at a
+   host, none is lost; a set travels once per host, not once per hash.
 
 Cases: a document without words or text has an empty set and links with nothing. Fewer words than a shingle make one
 shingle of the whole sequence. Ties at exactly the threshold link (integer arithmetic). Rows that repeat an id are united
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import packed
-from broadsheet.llm.components import components
+from broadsheet.operators.components import components
 from broadsheet.llm.shared import Scratch, buckets, chunks, maybe_broadcast, release
 from broadsheet.llm.signature_tree import Tree, Union, bitmap, overlap
 from broadsheet.llm.words import Words, mix
@@ -41,6 +42,10 @@ NUM, DEN = 3, 4
 BLOCK = 512
 SALTS = 3
 _SPLIT = np.uint64(0x8CB92BA72F3D8DD7)
+#: Hashes with at least 2 ** FIRST_LEVEL holders get a rank by the number of holders, as long as at most MOST_RANKED do
+#: (the least frequent of them go without, which changes the order but no result).
+FIRST_LEVEL = 5
+MOST_RANKED = 200_000
 
 
 def _least(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -131,13 +136,18 @@ def _tree(sets: list[np.ndarray], sizes: np.ndarray) -> Tree:
 
 
 def _block_links(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links that connect what is connected inside one block: (a, b), b the least id."""
+    """Links that connect what is connected inside one block and was not by its labels: (a, b), b the least id."""
     ids = table.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
+    label = table.column("label").to_numpy()[order]
     raw = table.column("hashes").to_pylist()
     sets = [np.frombuffer(raw[i], np.uint64) for i in order]
     union = Union(len(ids))
+    known: dict[int, int] = {}
+    for i, name in enumerate(label.tolist()):
+        union.join(i, known.setdefault(name, i))
+    roots = [union.find(i) for i in range(len(ids))]
     for left, right in _tree(sets, np.array([len(s) for s in sets])).pairs(num, den):
         for i, j in zip(left.tolist(), right.tolist()):
             if union.find(i) != union.find(j):
@@ -145,70 +155,91 @@ def _block_links(table: pa.Table, num: int, den: int) -> pa.Table:
                 if den * common >= num * (len(sets[i]) + len(sets[j]) - common):
                     union.join(i, j)
     root = np.array([union.find(i) for i in range(len(ids))], np.int64)
-    off = root != np.arange(len(ids))
+    # What was connected before needs no link again: one link for each of the components that have been joined.
+    off = (root != np.arange(len(ids))) & (np.array(roots) == np.arange(len(ids)))
     return pa.table([pa.array(ids[off]), pa.array(ids[root[off]])], names=["a", "b"])
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _holders(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Number of holders of each hash, combined in the task (``places`` holds the counts)."""
+    held, size = [], 0
     for batch in batches:
-        ids, tokens, places = [], [], []
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = np.frombuffer(raw.as_buffer(), np.uint64)
-            first = s[: len(s) - _least(len(s)) + 1]
-            ids.append(np.full(len(first), i, np.int64))
-            tokens.append(first.view(np.int64))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(tokens))], names=["id", "token"])
+        for raw in batch.column(0):
+            held.append(np.frombuffer(raw.as_buffer(), np.uint64))
+            size += len(held[-1])
+            if size >= packed.FLUSH:
+                yield _counted(held, n_buckets)
+                held, size = [], 0
+    if held:
+        yield _counted(held, n_buckets)
 
 
-def _open_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per open prefix hash of a document, with the open ones before it and the document's bitmap."""
-    for batch in batches:
-        rows: list[list] = [[], [], [], [], [], []]
-        for i, label, raw, open_ in zip(*(c.to_pylist() for c in batch.columns)):
-            s = np.frombuffer(raw, np.uint64)
-            tokens = np.sort(np.array(open_, np.int64).view(np.uint64))
-            bits = bitmap(s).tobytes()
-            for k, t in enumerate(tokens):
-                rows[0].append(int(t.view(np.int64)))
-                rows[1].append(i)
-                rows[2].append(label)
-                rows[3].append(len(s))
-                rows[4].append(bits)
-                rows[5].append(tokens[:k].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["token", "id", "label", "n", "bits", "before"])
-
-
-def _open_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of one open hash (one pair of blocks): across components, within the bounds, at their first common hash."""
-    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
-    block = table.column("block").to_numpy()
-    bits = np.stack([np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()])
-    before = [np.frombuffer(b, np.uint64) for b in table.column("before").to_pylist()]
-    a_out, b_out = [], []
-    for left, right in Tree(bits, n, label.view(np.uint64)).pairs(num, den):
-        fit = label[left] != label[right]
-        if one != two:
-            fit &= block[left] != block[right]
-        for i, j in zip(left[fit].tolist(), right[fit].tolist()):
-            if ids[i] != ids[j] and (not len(before[i]) or not len(before[j]) or not overlap(before[i], before[j])):
-                a_out.append(min(ids[i], ids[j]))
-                b_out.append(max(ids[i], ids[j]))
-    return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _counted(held: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    h, counts = np.unique(np.concatenate(held), return_counts=True)
+    return packed.pack((mix(h ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), np.zeros(len(h), np.int64), counts, h, width=8)
+
+
+def _ranked(table: pa.Table) -> pa.Table:
+    _, counts, h, _ = packed.unpack(table, 8)
+    order = np.argsort(h, kind="stable")
+    h, counts = h[order], counts[order]
+    starts = packed.runs(h)
+    total = np.add.reduceat(counts, starts)
+    level = np.log2(total).astype(np.int32)
+    many = level >= FIRST_LEVEL
+    return pa.table([pa.array(h[starts][many].view(np.int64)), pa.array(level[many])], names=["token", "level"])
+
+
+class Order:
+    """Global order of hashes: by level, then by value. Hashes that are not listed have level 0."""
+
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.levels = np.append(tokens[order], np.uint64(2**64 - 1)), np.append(levels[order], 0)
+
+    def first(self, s: np.ndarray, n: int) -> np.ndarray:
+        at = np.searchsorted(self.tokens[:-1], s)
+        level = np.where(self.tokens[at] == s, self.levels[at], 0)
+        return s[np.argsort(level, kind="stable")[:n]]
+
+
+def _prefix_entries(batches: Iterator[pa.RecordBatch], n_buckets: int, order: Order) -> Iterator[pa.RecordBatch]:
+    """Prefix hashes of each document with its component and the component's size (packed into one number)."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        owner, tokens, name = (np.concatenate(x) for x in zip(*held))
+        return packed.pack((mix(tokens ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), owner, name[:, 1], tokens, name[:, 0].view(np.uint64), 8)
+
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = overlap(x, y)
-            keep.append(den * common >= num * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for i, label, count, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            first = order.first(s, len(s) - _least(len(s)) + 1)
+            held.append((np.full(len(first), i, np.int64), first, np.tile(np.array([label, min(count, 2**32 - 1)], np.int64), (len(first), 1))))
+            size += len(first)
+            if size >= packed.FLUSH:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _visits(table: pa.Table) -> pa.Table:
+    """(id, host) of the holders of hashes that more than one component holds."""
+    owner, count, token, label = packed.unpack(table, 8, 8)
+    label, count = label.view(np.int64), count.astype(np.int64)
+    # Of each hash's components the largest comes first, the least label among equals.
+    order = np.lexsort((label, -count, token))
+    owner, token, label = owner[order], token[order], label[order]
+    starts = packed.runs(token)
+    sizes = np.diff(np.append(starts, len(token)))
+    open_ = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
+    host = np.repeat(label[starts], sizes)
+    pairs = np.unique(np.stack([owner[open_], host[open_]], 1), axis=0) if open_.any() else np.zeros((0, 2), np.int64)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "host"])
 
 
-def _blocks(rows: DataFrame, key: list[str], salt: int, most: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: list[str], most: int) -> DataFrame:
     """Adds ``parts``: into how many blocks of about ``most`` rows a key with at least two rows falls."""
     counts = rows.groupBy(*key).count().where("count > 1").select(*key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
     return rows.join(counts, key)
@@ -237,33 +268,40 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     )
 
     keyed = sets.select("id", F.posexplode("keys").alias("salt", "key"))
-    grouped = _blocks(keyed, ["salt", "key"], 0, BLOCK).withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
-    links = grouped.join(sets.select("id", "hashes"), "id").groupBy("salt", "key", "block").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
+    grouped = _blocks(keyed, ["salt", "key"], BLOCK).withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
+    links = grouped.join(sets.select("id", F.col("id").alias("label"), "hashes"), "id").groupBy("salt", "key", "block").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
     first = scratch.keep(links.distinct(), "links")
+    del links, grouped
     release(spark)
     labels = components(first, scratch, "first")
-    named = scratch.keep(sets.select("id", "n", "hashes").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
+    named = sets.select("id", "hashes").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = named.join(labels.groupBy("label").count(), "label", "left").select("id", "label", F.coalesce("count", F.lit(1)).alias("count"), "hashes")
+    named = scratch.keep(named, "named")
     scratch.drop("sets")
 
-    tokens = named.select("id", "hashes").mapInArrow(_prefix_rows, "id long, token long")
-    tokens = tokens.join(named.select("id", "label"), "id")
-    open_tokens = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_of = tokens.join(open_tokens, "token").groupBy("id").agg(F.collect_set("token").alias("open"))
-    open_of = scratch.keep(open_of, "open")
-    holders = named.join(open_of, "id").select("id", "label", "hashes", "open")
-    entries = scratch.keep(holders.mapInArrow(_open_entries, "token long, id long, label long, n long, bits binary, before binary"), "entries")
-    split = _blocks(entries, ["token"], 7, 2 * BLOCK).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
-    # A row goes to the pair of blocks (its own, k) for each k: the number of blocks, not of holders.
-    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "label", "n", "bits", "before"
-    )
-    pairs = scratch.keep(dealt.groupBy("token", "one", "two").applyInArrow(lambda t: _open_pairs(t, num, den), "a long, b long"), "pairs")
+    counted = named.select("hashes").mapInArrow(lambda it: _holders(it, n_buckets), packed.SCHEMA)
+    ranks = scratch.keep(counted.groupBy("bucket").applyInArrow(_ranked, "token long, level int"), "ranks")
+    least_level, total = 64, 0
+    for r in sorted(ranks.groupBy("level").count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > MOST_RANKED:
+            break
+        least_level = r.level
+    got = ranks.where(F.col("level") >= least_level).toArrow()
+    order = Order(got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy())
+    entries = named.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order), packed.SCHEMA)
+    visits = scratch.keep(entries.groupBy("bucket").applyInArrow(_visits, "id long, host long").distinct(), "visits")
+    del counted, entries
+    release(spark)
+    split = _blocks(visits, ["host"], BLOCK).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+    # A visitor goes to the pair of blocks (its own, k) for each k: the number of blocks, not of visitors.
+    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id")
+    more = dealt.join(named.select("id", "label", "hashes"), "id").groupBy("host", "one", "two").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
+    more = scratch.keep(more, "more")
+    del dealt, split
     release(spark)
-    left = named.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = named.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    more = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, num, den), "a long, b long")
     final = components(first.union(more), scratch, "final")
-    scratch.drop("entries", "open", "pairs", "links")
+    scratch.drop("named", "visits", "links", "more", "ranks")
 
     reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("label", "rep").alias("component_id"))
     joined = signed.join(reps, ["c1", "c2", "n"], "left")
