@@ -76,5 +76,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ORACLES = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("{0}", f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, shingle FROM (
+            SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE r.id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.replace("{0}", "coalesce(text, '')")} AS ws FROM documents),
+        p AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS p FROM w)),
+        m AS (SELECT k, min(doc_id) AS low FROM p GROUP BY 1),
+        g AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS i FROM p JOIN m USING (k) WHERE low < doc_id),
+        x AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM x ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express; the others are tested against plain versions."""
+    return dict(_ORACLES)

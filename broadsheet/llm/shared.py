@@ -1,51 +1,20 @@
-"""Scratch tables in the shared checkpoint folder, guarded broadcasts, and reading of text batches."""
+"""Bucket counts, release of shuffle files, and reading of text batches; scratch tables come from the library."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-#: Bytes of text that one vectorised step handles at a time; a longer text is handled whole, on its own.
-CHUNK_BYTES = 4 << 20
-#: Rows up to which an id table (8 to 40 bytes a row) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one of our own only where the setting is absent (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="broadsheet-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
+from broadsheet.scratch import Scratch, maybe_broadcast
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{checkpoint_dir(spark)}/broadsheet/{name}-{uuid.uuid4().hex}"
+__all__ = ["CHUNK_BYTES", "Scratch", "buckets", "chunks", "maybe_broadcast", "release"]
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Bytes of text that one vectorised step handles at a time; a longer text is handled whole, on its own.
+CHUNK_BYTES = 4 << 20
 
 
 def release(spark: SparkSession) -> None:
@@ -54,11 +23,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a side of known size; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def buckets(spark: SparkSession, per_partition: int = 3) -> int:
     """Number of hash buckets of a packed exchange; follows the number of shuffle partitions, so it grows with the data."""
     return per_partition * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -66,8 +30,6 @@ def buckets(spark: SparkSession, per_partition: int = 3) -> int:
 
 def chunks(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about ``most`` bytes of the text in column ``at``, or one row."""
-    import numpy as np
-
     for batch in batches:
         if not batch.num_rows:
             continue
