@@ -6,14 +6,16 @@ per agency, in an Arrow map: which anchors count, where, under which title eleme
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +34,10 @@ class Rule:
     """One agency's way of finding headlines on its front page.
 
     ``attributes`` are (name, pattern) tests on the link (or on the container named by ``tag`` whose first link counts);
-    a None pattern asks for presence. ``scope`` is (tag, attribute, pattern) of an element around the links, ``titles``
-    the tags of an element inside that holds the title, ``exclude`` patterns on href.
+    a None pattern asks for presence. ``scope`` is (tag, attribute, pattern) of an element around the links; an empty
+    attribute asks for the tag alone. ``titles`` are the tags of an element inside that holds the title: the whole link
+    text stands in for a missing one unless ``title_required``. ``exclude`` and ``exclude_titles`` are patterns on the
+    href and the title. A link without a title is left out if ``need_title``.
     """
 
     agency: str
@@ -41,7 +45,9 @@ class Rule:
     attributes: tuple[tuple[str, str | None], ...] = ()
     scope: tuple[str, str, str] | None = None
     titles: tuple[str, ...] = ()
+    title_required: bool = False
     exclude: tuple[str, ...] = ()
+    exclude_titles: tuple[str, ...] = ()
     need_title: bool = True
 
 
@@ -51,7 +57,7 @@ class _Finder(HTMLParser):
         self.rule, self.open, self.found = rule, [], []
 
     def _fits(self, tag: str, attrs: dict[str, str]) -> bool:
-        if tag != self.rule.tag:
+        if tag not in self.rule.tag.split(","):
             return False
         return all(n in attrs and (p is None or re.search(p, attrs[n] or "")) for n, p in self.rule.attributes)
 
@@ -59,7 +65,7 @@ class _Finder(HTMLParser):
         attrs = {n: v or "" for n, v in attributes}
         scope = self.rule.scope
         inside = any(x["scope"] for x in self.open) or scope is None
-        node = {"tag": tag, "scope": bool(scope and tag == scope[0] and re.search(scope[2], attrs.get(scope[1], ""))), "link": None}
+        node = {"tag": tag, "scope": bool(scope and tag == scope[0] and (not scope[1] or re.search(scope[2], attrs.get(scope[1], "")))), "link": None}
         if inside and self._fits(tag, attrs):
             node["link"] = {"href": attrs.get("href") if tag == "a" else None, "all": [], "title": None}
             self.found.append(node["link"])
@@ -90,9 +96,10 @@ class _Finder(HTMLParser):
 
     def result(self) -> Iterator[tuple[str, str]]:
         for link in self.found:
-            title = " ".join("".join(link["title"] if link["title"] is not None else ([] if self.rule.titles else link["all"])).split())
+            parts = link["title"] if link["title"] is not None else [] if self.rule.title_required else link["all"]
+            title = " ".join("".join(parts).split())
             href = link["href"]
-            if href and (title or not self.rule.need_title) and not any(re.search(p, href) for p in self.rule.exclude):
+            if href and (title or not self.rule.need_title) and not any(re.search(p, href) for p in self.rule.exclude) and not any(re.search(p, title) for p in self.rule.exclude_titles):
                 yield href, title
 
 
@@ -137,6 +144,32 @@ class _Strings(HTMLParser):
         self._add(data)
 
 
+RULES = Path(__file__).with_name("front_page_rules.tsv")
+
+
+def load_rules(path: str | Path = RULES, registered_only: bool = True) -> list[Rule]:
+    """The rule table: one row per agency, patterns parted by `` ;; ``."""
+    out = []
+    with open(path, encoding="utf-8", newline="") as f:
+        for r in csv.DictReader(f, delimiter="\t", quoting=csv.QUOTE_NONE):
+            if registered_only and r["registered"] != "yes":
+                continue
+            listed = lambda c, r=r: tuple(x for x in (r[c] or "").split(" ;; ") if x)
+            attributes = tuple((n, p or None) for n, _, p in (x.partition("=") for x in listed("attributes")))
+            tag, _, test = (r["scope"] or "").partition(" ")
+            name, _, pattern = test.partition("=")
+            titles = tuple(x for x in (r["titles"] or "").split(",") if x)
+            out.append(Rule(r["agency"], r["tag"], attributes, (tag, name, pattern) if tag else None, titles, r["title_required"] == "yes", listed("exclude_href"), listed("exclude_title")))
+    return out
+
+
+def agencies(spark: SparkSession, path: str | Path = RULES) -> DataFrame:
+    """The agencies of the rule table: name, address, bias, credibility, country and how their page is fetched."""
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = [(r["agency"], r["url"], int(r["bias"]), int(r["credibility"]), r["country"], r["fetch"], r["registered"] == "yes") for r in csv.DictReader(f, delimiter="\t", quoting=csv.QUOTE_NONE)]
+    return spark.createDataFrame(rows, "agency string, url string, bias int, credibility int, country string, fetch string, registered boolean")
+
+
 @F.pandas_udf(T.StringType())
 def extract_text(pages: pd.Series) -> pd.Series:
     """Text of a fragment: its string nodes, stripped and joined by one space, empty ones included. Null stays null."""

@@ -15,11 +15,21 @@ PAGE = '<main><div class="page"><a href="/story/1"><h2> First  one </h2></a><a h
 
 
 def test_rules_choose_links(spark):
-    rule = html.Rule("A", attributes=(("href", "/story/|/video/"),), scope=("div", "class", "page"), titles=("h1", "h2"), exclude=("/video/",))
+    rule = html.Rule("A", attributes=(("href", "/story/|/video/"),), scope=("div", "class", "page"), titles=("h1", "h2"), title_required=True, exclude=("/video/",))
     df = spark.createDataFrame([("A", PAGE), ("B", PAGE), ("A", None)], "agency string, html string")
     assert [(r.agency, r.position, r.href, r.title) for r in html.extract_links(df, [rule]).collect()] == [("A", 0, "/story/1", "First one")]
 
 
+def test_rule_table(spark):
+    rules = html.load_rules()
+    assert len(rules) == 124 and len(html.load_rules(registered_only=False)) == 131 == html.agencies(spark).count()
+    one = {r.agency: r for r in rules}
+    page = '<main class="Page-oneColumn"><a href="/article/x">A title</a><a href="/hub/x">Hub</a></main><a href="/article/y">Out</a>'
+    df = spark.createDataFrame([("AP", page), ("ABC News", '<a href="/story?id=1"><i>x</i><h2>T w</h2></a><a href="/story?id=2">Plain</a><a href="/v?id=3">V</a>')], "agency string, html string")
+    got = [(r.agency, r.href, r.title) for r in html.extract_links(df, [one["AP"], one["ABC News"]]).collect()]
+    assert got == [("AP", "/article/x", "A title"), ("ABC News", "/story?id=1", "T w"), ("ABC News", "/story?id=2", "Plain")]
+
+
 def test_text_of_fragments(spark):
     cases = {"<a><b>One</b> <i>two</i></a>": "One  two", "<p>x{\"a\":1}y</p>": "xy", "plain": "plain", "": "", None: None}
     df = spark.createDataFrame([(k,) for k in cases], "h string")
