@@ -41,6 +41,8 @@ NUM, DEN = 3, 4
 #: Sets in a block of a group; groups of any size fall into as many blocks as they need.
 BLOCK = 512
 SALTS = 3
+#: Bytes of a hash in the sets that are compared: two sets of 1000 differ from their full hashes once in 10**8 pairs.
+HASH_BYTES = 6
 _SPLIT = np.uint64(0x8CB92BA72F3D8DD7)
 #: Hashes with at least 2 ** FIRST_LEVEL holders get a rank by the number of holders, as long as at most MOST_RANKED do
 #: (the least frequent of them go without, which changes the order but no result).
@@ -60,6 +62,15 @@ def set_class(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def _ship(s: np.ndarray) -> bytes:
+    """A set as it travels: the leading 48 bits of each hash, in byte planes."""
+    return packed.planes(s >> np.uint64(16), HASH_BYTES)
+
+
+def _unship(raw: bytes | pa.Buffer) -> np.ndarray:
+    return packed.unplanes(raw, HASH_BYTES)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         sets = Words(batch.column(1), lower=True).shingle_sets(width)
@@ -126,7 +137,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, salts: int) -> Iterator
         sets = Words(batch.column(1), lower=True).shingle_sets(width)
         keys = [[int(mix(s ^ np.uint64(977 * (r + 1))).min().view(np.int64)) for r in range(salts)] for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ship(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
             names=["id", "n", "hashes", "keys"],
         )
 
@@ -142,7 +153,7 @@ def _block_links(table: pa.Table, num: int, den: int) -> pa.Table:
     ids = ids[order]
     label = table.column("label").to_numpy()[order]
     raw = table.column("hashes").to_pylist()
-    sets = [np.frombuffer(raw[i], np.uint64) for i in order]
+    sets = [_unship(raw[i]) for i in order]
     union = Union(len(ids))
     known: dict[int, int] = {}
     for i, name in enumerate(label.tolist()):
@@ -165,7 +176,7 @@ def _holders(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.R
     held, size = [], 0
     for batch in batches:
         for raw in batch.column(0):
-            held.append(np.frombuffer(raw.as_buffer(), np.uint64))
+            held.append(_unship(raw.as_buffer()))
             size += len(held[-1])
             if size >= packed.FLUSH:
                 yield _counted(held, n_buckets)
@@ -176,11 +187,11 @@ def _holders(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.R
 
 def _counted(held: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
     h, counts = np.unique(np.concatenate(held), return_counts=True)
-    return packed.pack((mix(h ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), np.zeros(len(h), np.int64), counts, h, width=8)
+    return packed.pack((mix(h ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), np.zeros(len(h), np.int64), counts, h, width=HASH_BYTES)
 
 
 def _ranked(table: pa.Table) -> pa.Table:
-    _, counts, h, _ = packed.unpack(table, 8)
+    _, counts, h, _ = packed.unpack(table, HASH_BYTES)
     order = np.argsort(h, kind="stable")
     h, counts = h[order], counts[order]
     starts = packed.runs(h)
@@ -209,11 +220,11 @@ def _prefix_entries(batches: Iterator[pa.RecordBatch], n_buckets: int, order: Or
 
     def flush() -> pa.RecordBatch:
         owner, tokens, name = (np.concatenate(x) for x in zip(*held))
-        return packed.pack((mix(tokens ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), owner, name[:, 1], tokens, name[:, 0].view(np.uint64), 8)
+        return packed.pack((mix(tokens ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), owner, name[:, 1], tokens, name[:, 0].copy().view(np.uint64), 8)
 
     for batch in batches:
         for i, label, count, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            s = _unship(raw.as_buffer())
             first = order.first(s, len(s) - _least(len(s)) + 1)
             held.append((np.full(len(first), i, np.int64), first, np.tile(np.array([label, min(count, 2**32 - 1)], np.int64), (len(first), 1))))
             size += len(first)
