@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from broadsheet.scratch import Scratch, maybe_broadcast
@@ -33,8 +34,8 @@ def chunks(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = CHUNK_BYT
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(at)
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1].astype(np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1

@@ -59,6 +59,8 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True, second: bool = False, separators: np.ndarray = _SPACE):
         n = len(texts)
+        if texts.type != pa.string():
+            texts = texts.cast(pa.string())
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         raw = texts.buffers()[2] if n else None
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
