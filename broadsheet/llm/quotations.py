@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.shared import Scratch
+from broadsheet.llm.shared import Scratch, maybe_broadcast
 
 #: Passages and lines shorter than this many characters identify nothing.
 LEAST_CHARS = 12
@@ -143,6 +143,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         offset += r["count"]
     ahead = F.broadcast(spark.createDataFrame(offsets, "part int, ahead long"))
     ranked = numbered.join(ahead, "part").withColumn("rank", F.col("nth") + F.col("ahead"))
-    starts = ranked.groupBy(F.col("conv_id").alias("c")).agg(F.min("rank").alias("start"))
-    out = ranked.join(starts, F.col("conv_id").eqNullSafe(F.col("c")))
+    # Written first, so that the rows of a hot conversation can be split in the join.
+    starts = scratch.keep(ranked.groupBy(F.col("conv_id").alias("c")).agg(F.min("rank").alias("start")), "starts")
+    out = ranked.join(maybe_broadcast(starts, starts.count()), F.col("conv_id").eqNullSafe(F.col("c")))
     return out.select("conv_id", "turn", "role", "text", "n_quotes", "reply_to", "thread", (F.col("rank") - F.col("start") + 1).alias("position"))
