@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entries a task gathers before it writes them out.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def planes(values: np.ndarray, width: int) -> bytes:

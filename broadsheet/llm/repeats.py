@@ -79,6 +79,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], n_buckets: int, block: int) -> I
             yield packed.pack(-1 - packed.slot(owner[local], n_buckets), owner[local], place[local])
         held.append((h[travels], owner[travels], place[travels]))
         size += int(travels.sum())
+        del words, h, at, doc, place, owner, order, sh, so, starts, sizes, shared, local, key, best, candidate, travels
         if size >= packed.FLUSH:
             yield _flush(held, n_buckets)
             held, size = [], 0

@@ -15,7 +15,7 @@ from broadsheet.scratch import Scratch, maybe_broadcast
 __all__ = ["CHUNK_BYTES", "Scratch", "buckets", "chunks", "maybe_broadcast", "release"]
 
 #: Bytes of text that one vectorised step handles at a time; a longer text is handled whole, on its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def release(spark: SparkSession) -> None:

@@ -92,8 +92,10 @@ class Words:
 
     def _hash(self, values: np.ndarray, data: np.ndarray) -> np.ndarray:
         m = len(data)
-        total = np.zeros(m + 1, U64)
-        np.cumsum(values[data] * _grown("up", _BASE, m), out=total[1:])
+        total = np.empty(m + 1, U64)
+        total[0] = 0
+        np.multiply(values[data], _grown("up", _BASE, m), out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
         h = (total[self.ends] - total[self.starts]) * _grown("down", _BASE_INVERSE, max(m, 1))[self.starts]
         h += (self.ends - self.starts).astype(U64) * _ODD
         return mix(h)
