@@ -250,10 +250,15 @@ def _visits(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "host"])
 
 
-def _blocks(rows: DataFrame, key: list[str], most: int) -> DataFrame:
-    """Adds ``parts``: into how many blocks of about ``most`` rows a key with at least two rows falls."""
+def _blocks(rows: DataFrame, key: list[str], most: int, scratch: Scratch, name: str) -> DataFrame:
+    """Adds ``parts``: into how many blocks of about ``most`` rows a key with at least two rows falls.
+
+    The counts are written first: as a table of their own they are broadcast if few, and otherwise leave the join free to
+    split the rows of a hot key, which it could not above an aggregate.
+    """
     counts = rows.groupBy(*key).count().where("count > 1").select(*key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    return rows.join(counts, key)
+    counts = scratch.keep(counts, name)
+    return rows.join(maybe_broadcast(counts, counts.count()), key)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -279,7 +284,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     )
 
     keyed = sets.select("id", F.posexplode("keys").alias("salt", "key"))
-    grouped = _blocks(keyed, ["salt", "key"], BLOCK).withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
+    grouped = _blocks(keyed, ["salt", "key"], BLOCK, scratch, "key-blocks").withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
     links = grouped.join(sets.select("id", F.col("id").alias("label"), "hashes"), "id").groupBy("salt", "key", "block").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
     first = scratch.keep(links.distinct(), "links")
     del links, grouped
@@ -304,7 +309,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     visits = scratch.keep(entries.groupBy("bucket").applyInArrow(_visits, "id long, host long").distinct(), "visits")
     del counted, entries
     release(spark)
-    split = _blocks(visits, ["host"], BLOCK).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+    split = _blocks(visits, ["host"], BLOCK, scratch, "host-blocks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
     # A visitor goes to the pair of blocks (its own, k) for each k: the number of blocks, not of visitors.
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id")
     more = dealt.join(named.select("id", "label", "hashes"), "id").groupBy("host", "one", "two").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
@@ -312,7 +317,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     del dealt, split
     release(spark)
     final = components(first.union(more), scratch, "final")
-    scratch.drop("named", "visits", "links", "more", "ranks")
+    scratch.drop("named", "visits", "links", "more", "ranks", "key-blocks", "host-blocks")
 
     reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("label", "rep").alias("component_id"))
     joined = signed.join(reps, ["c1", "c2", "n"], "left")
