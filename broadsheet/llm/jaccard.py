@@ -320,6 +320,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     scratch.drop("named", "visits", "links", "more", "ranks", "key-blocks", "host-blocks")
 
     reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("label", "rep").alias("component_id"))
+    # Written first: a join right above the aggregate could not split the rows of a class with very many copies.
+    reps = scratch.keep(reps, "reps")
     joined = signed.join(reps, ["c1", "c2", "n"], "left")
     out = joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out
