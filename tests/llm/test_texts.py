@@ -106,6 +106,22 @@ def test_language_probabilities_sum_to_one():
     assert 0.95 < total <= 1.0001  # what is left is the share of unseen symbols
 
 
+def test_stored_language_model_keeps_every_gram(spark, monkeypatch):
+    """Against the estimates made in memory from all counts; 90 languages left room for 987 grams each under the old cap."""
+    rng = random.Random(4)
+    monkeypatch.setattr(language, "PART_ROWS", 60_000)
+    monkeypatch.setattr(language, "STEP_CELLS", 30_000)
+    letters = "abcdefghijklmnopqrstuvwxyzéß漢字가나"
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(250)), f"l{i % 90:02d}") for i in range(90)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = [np.unique(language.grams(pa.array([t for _, t, own in rows if own == lang]))[0], return_counts=True) for lang in model.langs]
+    assert min(len(g) for g, _ in counts) > 987
+    plain = language.Model(model.langs, counts)
+    asked = pa.array([t[:200] for _, t, _ in rows[:40]] + ["unseen words", "", "漢字가나 漢", None])
+    for got, want in zip(model.cross_entropies(asked), plain.cross_entropies(asked)):
+        assert np.allclose(got, want, atol=1e-4)
+
+
 # Quality
 
 
