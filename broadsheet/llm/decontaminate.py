@@ -6,7 +6,10 @@ ignored places. Hashes of every document position and every benchmark position a
 if some ``window`` aligned tokens (the whole item if it is shorter) agree in at least 80 per cent of places.
 
 Tokens are runs of characters other than white space and ASCII punctuation (the underscore is kept), in lower case.
-Items shorter than the span of the masks are sought as whole sequences; items below ``MIN_TOKENS`` tokens are ignored.
+Items of one to four tokens have no place to differ and are sought as whole sequences.
+
+The masks depend on the length of the item. Enumeration (in the tests) shows that each set hits every pattern of
+substitutions that the rule accepts, so no passage that satisfies the rule is lost.
 
 The seeds of the benchmark are shipped to the tasks while their number is at most ``SHIP_SEEDS`` (counted, not assumed):
 the scan then needs no shuffle. A larger benchmark is joined through a shuffle of (hash, document, position), and its
@@ -30,13 +33,20 @@ from pyspark.sql import functions as F
 from broadsheet.llm.shared import chunks
 from broadsheet.llm.words import PUNCTUATION, U64, Words, _PLACE, mix
 
-#: 1: the token counts, 0: it is ignored.
-MASKS = ("111011011", "110101111", "101110111", "111101101")
-SPAN = 9
+#: (least and most tokens of an item, masks; 1: the token counts, 0: it is ignored).
+CLASSES = (
+    (1, 1, ("1",)),
+    (2, 2, ("11",)),
+    (3, 3, ("111",)),
+    (4, 4, ("1111",)),
+    (5, 9, ("1111", "11011", "11101", "10111")),
+    (10, 14, ("111011", "11010011", "11111")),
+    (15, 1 << 62, ("1111011", "11010001011", "1100011011", "1111101")),
+)
+MASKS = tuple(dict.fromkeys(m for _, _, masks in CLASSES for m in masks))
 WINDOW = 16
 #: Of a window, at least this many hundredths agree.
 AGREE = 80
-MIN_TOKENS = 5
 SHIP_SEEDS = 2_000_000
 _FILTER_BITS = 22
 
@@ -45,59 +55,49 @@ def _tokens(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(texts.cast(pa.string())), separators=PUNCTUATION)
 
 
-def _seeds(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: hashes, owners and places of all its positions."""
-    counts = np.maximum(words.counts - SPAN + 1, 0)
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    owner = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(bounds[-1]) - bounds[owner]
-    at = words.bounds[owner] + place
-    for m, mask in enumerate(MASKS):
+def _seeds(words: Words, masks: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the masks, given by number: hashes, owners and places of all its positions."""
+    for m in masks:
+        counts = np.maximum(words.counts - len(MASKS[m]) + 1, 0)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        owner = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(bounds[-1]) - bounds[owner]
+        at = words.bounds[owner] + place
         h = np.full(len(at), U64(m + 1))
-        for k, c in enumerate(mask):
+        for k, c in enumerate(MASKS[m]):
             if c == "1":
                 h += words.hash[at + k] * _PLACE[k]
         yield mix(h), owner, place
 
 
-def _whole(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``length`` tokens, below the span."""
-    counts = np.maximum(words.counts - length + 1, 0)
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    owner = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(bounds[-1]) - bounds[owner]
-    at = words.bounds[owner] + place
-    h = np.full(len(at), U64(1000 + length))
-    for k in range(length):
-        h += words.hash[at + k] * _PLACE[k]
-    return mix(h), owner, place
-
-
-def _all_seeds(words: Words, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    yield from _seeds(words)
-    for n in lengths:
-        yield _whole(words, n)
+def _item_seeds(words: Words, masks: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The seeds of items: of each mask those of the items whose length calls for it."""
+    for m, (h, owner, place) in zip(masks, _seeds(words, masks)):
+        n = words.counts[owner]
+        fit = np.zeros(len(n), bool)
+        for low, high, own in CLASSES:
+            if MASKS[m] in own:
+                fit |= (n >= low) & (n <= high)
+        yield h[fit], owner[fit], place[fit]
 
 
 def agrees(doc: np.ndarray, item: np.ndarray, diagonal: int, window: int = WINDOW) -> bool:
     """Whether document and item agree along a diagonal."""
     start, end = max(0, diagonal), min(len(doc), diagonal + len(item))
     need = min(window, len(item))
-    if end - start < need:
+    if not need or end - start < need:
         return False
     same = doc[start:end] == item[start - diagonal : end - diagonal]
     total = np.concatenate([[0], np.cumsum(same)])
-    if len(item) < SPAN:
-        return bool((total[need:] - total[:-need] == need).any())
     return bool((100 * (total[need:] - total[:-need]) >= AGREE * need).any())
 
 
 class Index:
     """Sorted seed hashes of the benchmark, with a bit table that turns most positions away."""
 
-    def __init__(self, item_ids: list[int], tokens: list[np.ndarray], hashes: np.ndarray, items: np.ndarray, places: np.ndarray, lengths: list[int]):
+    def __init__(self, item_ids: list[int], tokens: list[np.ndarray], hashes: np.ndarray, items: np.ndarray, places: np.ndarray, masks: list[int]):
         order = np.argsort(hashes, kind="stable")
-        self.ids, self.tokens, self.lengths = item_ids, tokens, lengths
+        self.ids, self.tokens, self.masks = item_ids, tokens, masks
         self.hashes, self.items, self.places = hashes[order], items[order], places[order]
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
         self.bits[self.hashes & U64((1 << _FILTER_BITS) - 1)] = True
@@ -107,7 +107,7 @@ class Index:
         words = _tokens(texts)
         found: list[set] = [set() for _ in range(len(texts))]
         seen: set[tuple[int, int, int]] = set()
-        for h, owner, place in _all_seeds(words, self.lengths):
+        for h, owner, place in _seeds(words, self.masks):
             at = np.flatnonzero(self.bits[h & U64((1 << _FILTER_BITS) - 1)])
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
@@ -127,14 +127,11 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
     words = _tokens(pa.array([t for _, t in rows], pa.string()))
     tokens = [words.hash[words.bounds[i] : words.bounds[i + 1]] for i in range(len(rows))]
     hashes, items, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for h, owner, place in _seeds(words):
+    # Only masks that some item calls for are looked up.
+    masks = [m for m in range(len(MASKS)) if any(MASKS[m] in own and ((words.counts >= low) & (words.counts <= high)).any() for low, high, own in CLASSES)]
+    for h, owner, place in _item_seeds(words, masks):
         hashes.append(h), items.append(owner), places.append(place)
-    lengths = sorted({int(n) for n in words.counts if MIN_TOKENS <= n < SPAN})
-    for n in lengths:
-        h, owner, place = _whole(words, n)
-        fit = words.counts[owner] == n
-        hashes.append(h[fit]), items.append(owner[fit]), places.append(place[fit])
-    return Index([i for i, _ in rows], tokens, np.concatenate(hashes), np.concatenate(items), np.concatenate(places), lengths)
+    return Index([i for i, _ in rows], tokens, np.concatenate(hashes), np.concatenate(items), np.concatenate(places), masks)
 
 
 _OUT = "id long, contaminated boolean, n_items long, items array<long>"
@@ -149,14 +146,11 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
         )
 
 
-def _rows_of_seeds(batches: Iterator[pa.RecordBatch], lengths: list[int], items: bool) -> Iterator[pa.RecordBatch]:
+def _rows_of_seeds(batches: Iterator[pa.RecordBatch], items: bool) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         words = _tokens(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for n, (h, owner, place) in zip([0] * len(MASKS) + lengths, _all_seeds(words, lengths)):
-            if items and n:
-                fit = words.counts[owner] == n
-                h, owner, place = h[fit], owner[fit], place[fit]
+        for h, owner, place in (_item_seeds if items else _seeds)(words, list(range(len(MASKS)))):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[owner]), pa.array(place.astype(np.int64))], names=["seed", "id", "place"])
 
 
@@ -170,11 +164,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "item"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _joined(source: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+def _joined(source: DataFrame, items: DataFrame) -> DataFrame:
     """The way for a benchmark too large to ship."""
     schema = "seed long, id long, place long"
-    doc_seeds = source.where("id is not null").mapInArrow(lambda it: _rows_of_seeds(it, lengths, False), schema)
-    item_seeds = items.mapInArrow(lambda it: _rows_of_seeds(it, lengths, True), schema).select("seed", F.col("id").alias("item"), F.col("place").alias("at"))
+    doc_seeds = source.where("id is not null").mapInArrow(lambda it: _rows_of_seeds(it, False), schema)
+    item_seeds = items.mapInArrow(lambda it: _rows_of_seeds(it, True), schema).select("seed", F.col("id").alias("item"), F.col("place").alias("at"))
     hits = doc_seeds.join(item_seeds, "seed").select("id", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
     hits = hits.groupBy("id", "item").agg(F.collect_list("diagonal").alias("diagonals"))
     texts = hits.join(source, "id").join(items.select(F.col("id").alias("item"), F.col("body").alias("item_body")), "item")
@@ -186,9 +180,9 @@ def _joined(source: DataFrame, items: DataFrame, lengths: list[int]) -> DataFram
 
 def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, ship_seeds: int) -> tuple[DataFrame, Index | None]:
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("body")).where("id is not null and body is not null")
-    # An item of n characters has at most n / 2 + 1 tokens, and each starts one seed per mask.
+    # An item of n characters has at most n / 2 + 1 tokens, and each starts one seed per mask of its class (four at most).
     (bound,) = items.agg(F.sum(F.length("body") / 2 + 1)).first()
-    if (bound or 0) * (len(MASKS) + 1) > ship_seeds:
+    if (bound or 0) * max(len(m) for _, _, m in CLASSES) > ship_seeds:
         return items, None
     return items, build_index([(r.id, r.body) for r in items.collect()])
 
@@ -199,7 +193,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items, index = _prepared(benchmark, item_col, item_text_col, ship_seeds)
     if index is not None:
         return source.mapInArrow(lambda it: _scan(it, index), _OUT)
-    return _joined(source, items, list(range(MIN_TOKENS, SPAN)))
+    return _joined(source, items)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
@@ -207,7 +201,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items, index = _prepared(benchmark, item_col, item_text_col, ship_seeds)
     if index is None:
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-        gone = _joined(source, items, list(range(MIN_TOKENS, SPAN))).where("contaminated").select("id").distinct()
+        gone = _joined(source, items).where("contaminated").select("id").distinct()
         return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
     at = docs.columns.index(text_col)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -167,6 +168,31 @@ def test_decontamination_tolerates_substitutions(spark):
         assert sorted(r.doc_id for r in decontaminate.keep_clean(d, b, ship_seeds=ship).collect()) == [3, 4, 5, 6, 8]
 
 
+def test_seeds_hit_every_accepted_pattern():
+    for n in range(1, decontaminate.WINDOW + 1):
+        masks = next(m for low, high, m in decontaminate.CLASSES if low <= n <= high)
+        places = [{s + k for k, c in enumerate(m) if c == "1"} for m in masks for s in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n - -(-decontaminate.AGREE * n // 100)):
+            assert any(not p & set(gone) for p in places), (n, gone)
+
+
+def test_decontamination_by_length_of_item(spark):
+    """Every accepted pattern in one passage each: short items with one substitution, long ones with three, and tiny ones."""
+    docs, items, want = [], [], {}
+    for n in (1, 3, 5, 8, 9, 10, 15, 16):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in itertools.combinations(range(n), n - -(-decontaminate.AGREE * n // 100)):
+            want[len(docs)] = [n]
+            docs.append((len(docs), "before " + " ".join("other" if k in gone else w for k, w in enumerate(item)) + " after"))
+        worse = tuple(range(0, n, 2))[: 1 + n - -(-decontaminate.AGREE * n // 100)]
+        want[len(docs)] = []
+        docs.append((len(docs), "before " + " ".join("other" if k in worse else w for k, w in enumerate(item)) + " after"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for ship in (decontaminate.SHIP_SEEDS, 0):
+        assert {r.id: r["items"] for r in decontaminate.find(d, b, ship_seeds=ship).collect()} == want
+
+
 def test_decontamination_finds_every_planted_item(spark, sf):
     def flat(t):
         return " " + " ".join(re.findall(r"\w+", t.lower())) + " "
