@@ -221,3 +221,14 @@ def test_licenses(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op2_license_scan(spark, sf).collect():
         assert r.licenses == sorted(n for line, n in lines.items() if line in texts[r.doc_id]), r.doc_id
+
+
+def test_all_rights_reserved_and_whole_bodies(spark, sf):
+    t = licenses.TEMPLATES
+    head = t["BSD-3-Clause"].split(" THIS SOFTWARE")[0]
+    docs = [(1, "text\nAll rights reserved.\nmore"), (2, "Copyright (c) 2021 Example Corp. All rights reserved."), (3, t["BSD-2-Clause"]), (4, t["BSD-3-Clause"]), (5, t["ISC"]), (6, head), (7, "all rights are reserved")]
+    got = {r.id: r.licenses for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ["All rights reserved"], 2: ["All rights reserved"], 3: ["BSD-2-Clause"], 4: ["BSD-3-Clause"], 5: ["ISC"], 6: [], 7: []}
+    planted = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if "All rights reserved." in (r.text or "")}
+    found = {r.doc_id for r in queries.op2_license_scan(spark, sf).collect() if "All rights reserved" in r.licenses}
+    assert planted and found == planted
