@@ -8,7 +8,8 @@ is rejected if its Mahalanobis distance under the final estimate is beyond the c
 A share over few words varies by chance, so a vector is drawn towards the group's median by n / (n + PRIOR_WORDS), and
 each statistic has a least standard deviation (FLOORS): a rare but harmless feature does not make an outlier in a group
 that has none of it. A group with fewer than MIN_GROUP documents uses the estimate of its language, and that of all
-documents if the language has too few.
+documents if the language has too few. These two are made from all passing documents of the language or of the table, also
+from those that are judged by an estimate of their own.
 
 All estimates are sums and mergeable quantiles, combined before the shuffle: no group's rows meet in one task.
 
@@ -95,7 +96,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     n_groups = names.count()
     names = maybe_broadcast(names, n_groups)
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    grouped = passed.join(names, same).drop("g_lang", "g_source")
+    # A document counts towards each estimate in use that covers it: of its language and source, its language, the table.
+    used = maybe_broadcast(names.select("g").distinct(), n_groups)
+    levels = names.select("g_lang", "g_source", F.explode(F.array(F.to_json(F.array("g_lang", "g_source")), F.to_json(F.array("g_lang")), F.lit("[]"))).alias("g"))
+    levels = scratch.keep(levels.join(used, "g", "left_semi").select("g_lang", "g_source", "g"), "levels")
+    grouped = passed.join(maybe_broadcast(levels, 3 * n_groups), same).drop("g_lang", "g_source")
     medians = grouped.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"c{i}") for i, x in enumerate(_X)])
     medians = scratch.keep(medians, "medians")
     drawn = {x: F.expr(f"c{i} + ({x} - c{i}) * (n_words / (n_words + {PRIOR_WORDS}.0D))") for i, x in enumerate(_X)}

@@ -176,6 +176,19 @@ def test_outliers_are_rejected(spark, monkeypatch):
     assert outliers.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_outliers_of_small_sources_are_rejected(spark, monkeypatch):
+    """A source of one document is judged by all documents of its language, and a small language by the table."""
+    monkeypatch.setattr(outliers, "MIN_GROUP", 50)
+    rng = random.Random(8)
+    words = [f"mot{i}" for i in range(400)]
+    good = lambda: " ".join(rng.choice(words) for _ in range(80)) + "."
+    bad = lambda: " ".join(rng.choice(words) + "###" for _ in range(80))
+    rows = [(i, good(), "fr", "hot") for i in range(120)]
+    rows += [(1000, bad(), "fr", "one"), (1001, good(), "fr", "other"), (1002, bad(), "it", "one"), (1003, good(), "de", None)]
+    got = {r.id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(120)) and [got[1000 + i] for i in range(4)] == [False, True, False, True]
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
