@@ -4,7 +4,9 @@ Leading ``>`` marks give each line its quote level (nested marks, with or withou
 each other are a passage, cut at blank lines. Own (level 0) and quoted passages and lines are normalised (lower case,
 white space to one space, marks removed) and hashed. A quoted passage is joined, within its conversation, to the first
 message that holds it as its own text; a message answers the earlier message from which it quotes most characters at its
-lowest matched level (ties: the later one). Messages that quote nothing known start a thread.
+lowest matched level (ties: the later one). Quotes below ``LEAST_CHARS`` characters are weak evidence: they count only
+where no longer quote of the message is matched, and a message that consists of the quote goes before one that holds it
+among others. Messages that quote nothing known start a thread.
 
 The result has one row per message without quotes and without the lines that introduce them, and the order in which the
 conversation reads: threads by the turn of their first message, and in a thread by turn, so that an answer always follows
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.shared import Scratch, maybe_broadcast
 
-#: Passages and lines shorter than this many characters identify nothing.
+#: Passages and lines shorter than this many characters are weak evidence.
 LEAST_CHARS = 12
 MOST_ROUNDS = 60
 _MARKS = re.compile(r"^\s*((?:>\s?)+)")
@@ -56,7 +58,7 @@ def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
 
     def close(level: int, part: list[str]) -> None:
         for t in dict.fromkeys([_normal(" ".join(part)), *map(_normal, part)]):
-            if len(t) >= LEAST_CHARS:
+            if t:
                 if level:
                     quoted.append((level, t))
                 else:
@@ -82,14 +84,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             got = [parse(t.as_py()) for t in part.column(3)]
-            keys = [[{"level": 0, "key": _key(t), "size": len(t)} for t in own] + [{"level": n, "key": _key(t), "size": len(t)} for n, t in quoted] for _, own, quoted in got]
+            keys = [[{"level": 0, "key": _key(t), "size": len(t), "whole": t == whole} for t in own] + [{"level": n, "key": _key(t), "size": len(t), "whole": False} for n, t in quoted] for whole, own, quoted in ((_normal(g[0]), g[1], g[2]) for g in got)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([len(g[2]) for g in got], pa.int64()), pa.array(keys, _KEYS)],
                 names=["conv_id", "turn", "role", "text", "n_quotes", "keys"],
             )
 
 
-_KEYS = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.int64()), ("size", pa.int64())]))
+_KEYS = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.int64()), ("size", pa.int64()), ("whole", pa.bool_())]))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +107,16 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     spark = messages.sparkSession
     scratch = Scratch(spark, "quotations")
     source = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    parsed = scratch.keep(source.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, n_quotes long, keys array<struct<level:int,key:long,size:long>>"), "parsed")
+    parsed = scratch.keep(source.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, n_quotes long, keys array<struct<level:int,key:long,size:long,whole:boolean>>"), "parsed")
     keys = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("keys").alias("k")).select("conv_id", "turn", "k.*")
     quotes = keys.where("level > 0").select("conv_id", "turn", "level", "key", "size")
     # Only keys that someone quotes are looked for among the own passages; the first holder is the original.
     wanted = quotes.select("conv_id", "key").distinct()
-    first = keys.where("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("original")).join(wanted, ["conv_id", "key"], "left_semi")
-    matched = quotes.join(first, ["conv_id", "key"]).where("original < turn")
-    votes = matched.groupBy("conv_id", "turn", "original").agg(F.min("level").alias("level"), F.sum("size").alias("size"))
-    parents = votes.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct(-F.col("level"), "size", "original")).alias("reply_to"))
+    first = keys.where("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("holder"), F.min(F.when(F.col("whole"), F.col("turn"))).alias("message")).join(wanted, ["conv_id", "key"], "left_semi")
+    strong, whole = F.col("size") >= LEAST_CHARS, (F.col("size") < LEAST_CHARS) & F.coalesce(F.col("message") < F.col("turn"), F.lit(False))
+    matched = quotes.join(first, ["conv_id", "key"]).withColumns({"strong": strong, "whole": whole, "original": F.when(whole, F.col("message")).otherwise(F.col("holder"))}).where("original < turn")
+    votes = matched.groupBy("conv_id", "turn", "original", "strong").agg(F.max("whole").alias("whole"), F.min("level").alias("level"), F.sum("size").alias("size"))
+    parents = votes.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct("strong", "whole", -F.col("level"), "size", "original")).alias("reply_to"))
     parents = scratch.keep(parents, "parents")
 
     # Thread heads: each round doubles the distance that a pointer spans.

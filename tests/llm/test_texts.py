@@ -307,6 +307,18 @@ def test_threads(spark):
     assert quotations.link(df.limit(0)).count() == 0
 
 
+def test_short_quotes_are_weak_evidence(spark):
+    rows = [
+        (1, 0, "u", "A long opening line\n\nsounds good"),
+        (1, 1, "a", "Sounds good"),
+        (1, 2, "u", "> sounds good\nthanks"),
+        (1, 3, "a", "> sounds good\n\n> A long opening line\nboth"),
+        (1, 4, "u", "> never said\nown"),
+    ]
+    got = {r.turn: (r.reply_to, r.thread) for r in quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (None, 1), 2: (1, 1), 3: (0, 0), 4: (None, 4)}
+
+
 def test_all_conversations_keep_their_order(spark, sf):
     got = queries.op10_chat_formatting(spark, sf).collect()
     by = collections.defaultdict(list)
