@@ -16,9 +16,15 @@ between different sets are found; a group of similar documents is never expanded
    host, none is lost; a set travels once per host, not once per hash.
 
 Cases: a document without words or text has an empty set and links with nothing. Fewer words than a shingle make one
-shingle of the whole sequence. Ties at exactly the threshold link (integer arithmetic). Rows that repeat an id are united
-(their least row decides the size shown); a null id is kept, unlinked, and reported with a null component. An empty table
-gives an empty result. Only the id and the text are read.
+shingle of the whole sequence. Ties at exactly the threshold link (integer arithmetic). Rows that repeat an id are one
+document with several sets: each row shows the size of its own set, a link of any of them is a link of the document, and
+all of them carry its component. A null id is kept, unlinked, and reported with a null component; ids that are not whole
+numbers are an error. An empty table gives an empty result. Only the id and the text are read.
+
+Exactness: sets are compared on 48 of the 64 bits of their hashes and named by 128 bits, so results are exact but for hash
+collisions (two sets of 1000 differ from their full hashes once in 10**8 pairs). ``MOST_RANKED`` bounds the list that
+decides the order of hashes; beyond it the order is poorer, which costs time and changes no result. Only components are
+returned: pairs that are connected already are not compared, so a document's number of links is not known.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import packed
 from broadsheet.operators.components import components
-from broadsheet.llm.shared import Scratch, buckets, chunks, maybe_broadcast, release
+from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, maybe_broadcast, release, text_bytes
 from broadsheet.llm.signature_tree import Tree, Union, bitmap, overlap
 from broadsheet.llm.words import Words, mix
 
@@ -135,6 +141,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, salts: int) -> Iterator
     """Sets of the classes that are left, with a group key for each salt."""
     for batch in chunks(batches):
         sets = Words(batch.column(1), lower=True).shingle_sets(width)
+        # An empty set comes here only as a further row of an id that has another one.
+        filled = pa.array([len(s) > 0 for s in sets], pa.bool_())
+        batch, sets = batch.filter(filled), [s for s in sets if len(s)]
         keys = [[int(mix(s ^ np.uint64(977 * (r + 1))).min().view(np.int64)) for r in range(salts)] for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ship(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -265,8 +274,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links, itself included."""
     num, den = NUM, DEN
     spark = docs.sparkSession
-    scratch, n_buckets = Scratch(spark, "jaccard"), buckets(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+    scratch, n_buckets = Scratch(spark, "jaccard"), buckets(spark, text_bytes(docs, text_col))
+    source = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     signed = scratch.keep(source.mapInArrow(lambda it: _signatures(it, width), "id long, n long, c1 long, c2 long"), "signed")
     filled = signed.where("n > 0 and id is not null")
     classes = filled.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
@@ -316,15 +325,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     more = scratch.keep(more, "more")
     del dealt, split
     release(spark)
-    final = components(first.union(more), scratch, "final")
+    # A document that stands for several classes, because rows repeat its id, joins them.
+    twice = scratch.keep(signed.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "twice")
+    n_twice = twice.count()
+    own = filled.join(maybe_broadcast(twice, n_twice), "id", "left_semi").join(classes, ["c1", "c2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    final = components(first.union(more).union(own) if n_twice else first.union(more), scratch, "final")
     scratch.drop("named", "visits", "links", "more", "ranks", "key-blocks", "host-blocks")
 
     reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("label", "rep").alias("component_id"))
     # Written first: a join right above the aggregate could not split the rows of a class with very many copies.
     reps = scratch.keep(reps, "reps")
     joined = signed.join(reps, ["c1", "c2", "n"], "left")
-    out = joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return out
+    if n_twice:
+        named = scratch.keep(final.join(maybe_broadcast(twice, n_twice), "id", "left_semi").select("id", F.col("label").alias("own")), "named-twice")
+        joined = joined.join(maybe_broadcast(named, n_twice), "id", "left").withColumn("component_id", F.coalesce("own", "component_id"))
+    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:

@@ -13,7 +13,10 @@ document. No step makes pairs of documents.
 
 Cases: null or empty text has no words and keeps none. Fewer words than a window: nothing is removed. Ids should differ:
 rows that repeat an id count as one document (an equal id is not smaller), and what is repeated in one of them is cut
-from each. A null id counts as the largest id. An empty table gives an empty result. Only the id and the text are read, so extra columns may have any name.
+from each. A null id counts as the largest id; ids that are not whole numbers are an error. An empty table gives an empty
+result. Only the id and the text are read, so extra columns may have any name.
+
+A bucket of documents or hashes is held by one task; the number of buckets follows from the counted bytes of text.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from broadsheet.llm import packed
 from broadsheet.llm.packed import slot_column
-from broadsheet.llm.shared import Scratch, buckets, chunks, release
+from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, release, text_bytes
 from broadsheet.llm.words import Words, mix
 
 WINDOW = 50
@@ -243,16 +246,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of at least 4 words")
     spark, block = docs.sparkSession, window // 2
-    scratch, n = Scratch(spark, "repeats"), buckets(spark)
+    scratch, total = Scratch(spark, "repeats"), text_bytes(docs, text_col)
     # Each bucket of documents sends a row to each bucket of windows, so the latter are fewer.
-    n_windows = buckets(spark, 1)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("body"))
+    n, n_windows = buckets(spark, total), buckets(spark, total, 1)
+    own_id = F.coalesce(long_id(docs, id_col), F.lit(NO_ID)).alias("id")
+    source = docs.select(own_id, F.col(text_col).cast("string").alias("body"))
     entries = source.mapInArrow(lambda it: _anchors(it, n, block), packed.SCHEMA)
     hits = scratch.keep(entries.groupBy("bucket").applyInArrow(lambda t: _meet(t, n, block), packed.SCHEMA), "hits")
     del entries
     release(spark)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
-    placed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("body"), rest.alias("rest"))
+    placed = docs.select(own_id, F.col(text_col).cast("string").alias("body"), rest.alias("rest"))
     placed = placed.select(slot_column("id", n).alias("bucket"), "id", "body", "rest")
     schema = T._parse_datatype_string("id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string").add("rest", placed.schema["rest"].dataType)
     texts = source.select(slot_column("id", n).alias("bucket"), "id", "body")

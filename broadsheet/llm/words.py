@@ -39,7 +39,7 @@ def _grown(name: str, base: U64, n: int) -> np.ndarray:
             step = min(done, size - done)
             have[done : done + step] = have[:step] * have[done - 1 : done] * base
             done += step
-        if size <= 1 << 24:
+        if size <= 1 << 22:
             _powers[name] = have
     return have[:n]
 
