@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.shared import Scratch, maybe_broadcast
+from broadsheet.llm.shared import Scratch, chunks, long_id, maybe_broadcast
 
 #: Passages and lines shorter than this many characters are weak evidence.
 LEAST_CHARS = 12
@@ -80,15 +80,13 @@ def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            got = [parse(t.as_py()) for t in part.column(3)]
-            keys = [[{"level": 0, "key": _key(t), "size": len(t), "whole": t == whole} for t in own] + [{"level": n, "key": _key(t), "size": len(t), "whole": False} for n, t in quoted] for whole, own, quoted in ((_normal(g[0]), g[1], g[2]) for g in got)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([len(g[2]) for g in got], pa.int64()), pa.array(keys, _KEYS)],
-                names=["conv_id", "turn", "role", "text", "n_quotes", "keys"],
-            )
+    for part in chunks(batches, 3):
+        got = [parse(t.as_py()) for t in part.column(3)]
+        keys = [[{"level": 0, "key": _key(t), "size": len(t), "whole": t == whole} for t in own] + [{"level": n, "key": _key(t), "size": len(t), "whole": False} for n, t in quoted] for whole, own, quoted in ((_normal(g[0]), g[1], g[2]) for g in got)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), part.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([len(g[2]) for g in got], pa.int64()), pa.array(keys, _KEYS)],
+            names=["conv_id", "turn", "role", "text", "n_quotes", "keys"],
+        )
 
 
 _KEYS = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.int64()), ("size", pa.int64()), ("whole", pa.bool_())]))
@@ -106,15 +104,17 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """(conv_id, turn, role, text, n_quotes, reply_to, thread, position) of every message; position counts from 1."""
     spark = messages.sparkSession
     scratch = Scratch(spark, "quotations")
-    source = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    source = messages.select(long_id(messages, conv_col).alias("conv_id"), long_id(messages, turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     parsed = scratch.keep(source.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, n_quotes long, keys array<struct<level:int,key:long,size:long,whole:boolean>>"), "parsed")
     keys = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("keys").alias("k")).select("conv_id", "turn", "k.*")
     quotes = keys.where("level > 0").select("conv_id", "turn", "level", "key", "size")
     # Only keys that someone quotes are looked for among the own passages; the first holder is the original.
     wanted = quotes.select("conv_id", "key").distinct()
     first = keys.where("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("holder"), F.min(F.when(F.col("whole"), F.col("turn"))).alias("message")).join(wanted, ["conv_id", "key"], "left_semi")
+    # Written first: above an aggregate with the same keys, the join could not split the rows of a hot passage.
+    first = scratch.keep(first, "first")
     strong, whole = F.col("size") >= LEAST_CHARS, (F.col("size") < LEAST_CHARS) & F.coalesce(F.col("message") < F.col("turn"), F.lit(False))
-    matched = quotes.join(first, ["conv_id", "key"]).withColumns({"strong": strong, "whole": whole, "original": F.when(whole, F.col("message")).otherwise(F.col("holder"))}).where("original < turn")
+    matched = quotes.join(maybe_broadcast(first, first.count()), ["conv_id", "key"]).withColumns({"strong": strong, "whole": whole, "original": F.when(whole, F.col("message")).otherwise(F.col("holder"))}).where("original < turn")
     votes = matched.groupBy("conv_id", "turn", "original", "strong").agg(F.max("whole").alias("whole"), F.min("level").alias("level"), F.sum("size").alias("size"))
     parents = votes.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct("strong", "whole", -F.col("level"), "size", "original")).alias("reply_to"))
     parents = scratch.keep(parents, "parents")
