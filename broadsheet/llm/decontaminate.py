@@ -11,17 +11,21 @@ Items of one to four tokens have no place to differ and are sought as whole sequ
 The masks depend on the length of the item. Enumeration (in the tests) shows that each set hits every pattern of
 substitutions that the rule accepts, so no passage that satisfies the rule is lost.
 
-The seeds of the benchmark are shipped to the tasks while their number is at most ``SHIP_SEEDS`` (counted, not assumed):
-the scan then needs no shuffle. A larger benchmark is joined through a shuffle of (hash, document, position), and its
-hits are verified after a join with the texts.
-
-Cases: null or empty text is not contaminated. Repeated rows and repeated items each get their own answer. Several items
-or ties are all listed, ascending. Null item ids or texts are ignored. Empty tables: nothing is contaminated. Only the
-ids and texts are read.
+The index of a benchmark of at most ``SHIP_SEEDS`` seeds (counted, not assumed) is shipped to the tasks. A larger one is
+dealt into as many indexes as it needs; executors write them into the shared folder, which has to be mounted as files, and
+every task maps them into memory one after the other. Either way the scan is one map without a shuffle, and the same code
+answers, so results do not depend on the size of the benchmark.
+
+Cases: null or empty text is not contaminated. Repeated rows, rows that repeat an id, null document ids and repeated items
+each get their own answer. Several items or ties are all listed, ascending and once each. Null item ids or texts are
+ignored; ids that are not whole numbers are an error. Empty tables: nothing is contaminated. Only the ids and texts are
+read, so extra columns may have any name. Memory is bounded by the longest text.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.shared import chunks
+from broadsheet.llm.shared import Scratch, chunks, long_id, mounted
 from broadsheet.llm.words import PUNCTUATION, U64, Words, _PLACE, mix
 
 #: (least and most tokens of an item, masks; 1: the token counts, 0: it is ignored).
@@ -47,6 +51,7 @@ MASKS = tuple(dict.fromkeys(m for _, _, masks in CLASSES for m in masks))
 WINDOW = 16
 #: Of a window, at least this many hundredths agree.
 AGREE = 80
+#: Seeds of one index, about 60 MB with the tokens.
 SHIP_SEEDS = 2_000_000
 _FILTER_BITS = 22
 
@@ -93,120 +98,125 @@ def agrees(doc: np.ndarray, item: np.ndarray, diagonal: int, window: int = WINDO
 
 
 class Index:
-    """Sorted seed hashes of the benchmark, with a bit table that turns most positions away."""
+    """Sorted seed hashes of items, with a bit table that turns most positions away."""
 
-    def __init__(self, item_ids: list[int], tokens: list[np.ndarray], hashes: np.ndarray, items: np.ndarray, places: np.ndarray, masks: list[int]):
-        order = np.argsort(hashes, kind="stable")
-        self.ids, self.tokens, self.masks = item_ids, tokens, masks
-        self.hashes, self.items, self.places = hashes[order], items[order], places[order]
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[self.hashes & U64((1 << _FILTER_BITS) - 1)] = True
+    ARRAYS = ("ids", "tokens", "bounds", "hashes", "items", "places", "masks", "bits")
 
-    def search(self, texts: pa.Array) -> list[list[int]]:
-        """Items that contaminate each text, as sorted ids."""
-        words = _tokens(texts)
-        found: list[set] = [set() for _ in range(len(texts))]
+    def __init__(self, ids: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, items: np.ndarray, places: np.ndarray, masks: np.ndarray, bits: np.ndarray):
+        self.ids, self.tokens, self.bounds, self.masks, self.bits = ids, tokens, bounds, masks, bits
+        self.hashes, self.items, self.places = hashes, items, places
+
+    def save(self, path: str) -> None:
+        for name in self.ARRAYS:
+            np.save(f"{path}-{name}.npy", getattr(self, name))
+
+    @classmethod
+    def load(cls, path: str) -> Index:
+        return cls(*[np.load(f"{path}-{name}.npy", mmap_mode="r") for name in cls.ARRAYS])
+
+    def search(self, words: Words) -> list[set[int]]:
+        """Ids of the items that contaminate each text."""
+        found: list[set] = [set() for _ in range(len(words.counts))]
         seen: set[tuple[int, int, int]] = set()
-        for h, owner, place in _seeds(words, self.masks):
+        for h, owner, place in _seeds(words, self.masks.tolist()):
             at = np.flatnonzero(self.bits[h & U64((1 << _FILTER_BITS) - 1)])
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
                 d = int(owner[p])
-                for k in range(a, b):
-                    item = int(self.items[k])
-                    key = (d, item, int(place[p]) - int(self.places[k]))
-                    if key in seen or self.ids[item] in found[d]:
+                for item, start in zip(self.items[a:b].tolist(), self.places[a:b].tolist()):
+                    key = (d, item, int(place[p]) - start)
+                    name = int(self.ids[item])
+                    if name in found[d] or key in seen:
                         continue
                     seen.add(key)
-                    if agrees(words.hash[words.bounds[d] : words.bounds[d + 1]], self.tokens[item], key[2]):
-                        found[d].add(self.ids[item])
-        return [sorted(f) for f in found]
+                    if agrees(words.hash[words.bounds[d] : words.bounds[d + 1]], self.tokens[self.bounds[item] : self.bounds[item + 1]], key[2]):
+                        found[d].add(name)
+        return found
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index:
-    words = _tokens(pa.array([t for _, t in rows], pa.string()))
-    tokens = [words.hash[words.bounds[i] : words.bounds[i + 1]] for i in range(len(rows))]
+def build_index(ids: list[int], texts: list[str]) -> Index:
+    words = _tokens(pa.array(texts, pa.string()))
     hashes, items, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # Only masks that some item calls for are looked up.
     masks = [m for m in range(len(MASKS)) if any(MASKS[m] in own and ((words.counts >= low) & (words.counts <= high)).any() for low, high, own in CLASSES)]
     for h, owner, place in _item_seeds(words, masks):
         hashes.append(h), items.append(owner), places.append(place)
-    return Index([i for i, _ in rows], tokens, np.concatenate(hashes), np.concatenate(items), np.concatenate(places), masks)
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    bits = np.zeros(1 << _FILTER_BITS, bool)
+    bits[h & U64((1 << _FILTER_BITS) - 1)] = True
+    return Index(np.array(ids, np.int64), words.hash, words.bounds, h[order], np.concatenate(items)[order], np.concatenate(places)[order], np.array(masks, np.int64), bits)
+
+
+class Shelf:
+    """The indexes of a benchmark: one that travels with the tasks, or paths of those in the shared folder."""
+
+    def __init__(self, index: Index | None, paths: list[str]):
+        self.index, self.paths = index, paths
+
+    def search(self, texts: pa.Array) -> list[list[int]]:
+        """Items that contaminate each text, ascending."""
+        words = _tokens(texts)
+        found: list[set] = [set() for _ in range(len(texts))]
+        for index in [self.index] if self.index is not None else map(Index.load, self.paths):
+            for mine, more in zip(found, index.search(words)):
+                mine |= more
+        return [sorted(f) for f in found]
 
 
 _OUT = "id long, contaminated boolean, n_items long, items array<long>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shelf: Shelf) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        found = index.search(batch.column(1))
+        found = shelf.search(batch.column(1))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([bool(f) for f in found]), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
             names=["id", "contaminated", "n_items", "items"],
         )
 
 
-def _rows_of_seeds(batches: Iterator[pa.RecordBatch], items: bool) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        words = _tokens(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for h, owner, place in (_item_seeds if items else _seeds)(words, list(range(len(MASKS)))):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[owner]), pa.array(place.astype(np.int64))], names=["seed", "id", "place"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, item = _tokens(batch.column(2)), _tokens(batch.column(3))
-        keep = []
-        for k, diagonals in enumerate(batch.column(4).to_pylist()):
-            d, t = doc.hash[doc.bounds[k] : doc.bounds[k + 1]], item.hash[item.bounds[k] : item.bounds[k + 1]]
-            keep.append(any(agrees(d, t, g) for g in diagonals))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "item"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _joined(source: DataFrame, items: DataFrame) -> DataFrame:
-    """The way for a benchmark too large to ship."""
-    schema = "seed long, id long, place long"
-    doc_seeds = source.where("id is not null").mapInArrow(lambda it: _rows_of_seeds(it, False), schema)
-    item_seeds = items.mapInArrow(lambda it: _rows_of_seeds(it, True), schema).select("seed", F.col("id").alias("item"), F.col("place").alias("at"))
-    hits = doc_seeds.join(item_seeds, "seed").select("id", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    hits = hits.groupBy("id", "item").agg(F.collect_list("diagonal").alias("diagonals"))
-    texts = hits.join(source, "id").join(items.select(F.col("id").alias("item"), F.col("body").alias("item_body")), "item")
-    found = texts.select("id", "item", "body", "item_body", "diagonals").mapInArrow(_verify, "id long, item long").distinct()
-    found = found.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = source.select("id").join(found, "id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
-    return out.select("id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
-
-
-def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, ship_seeds: int) -> tuple[DataFrame, Index | None]:
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("body")).where("id is not null and body is not null")
+def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes one index over the items of a task; its path."""
+    held = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("body", pa.string())]))
+    if held.num_rows:
+        os.makedirs(folder, exist_ok=True)
+        # A name for each attempt: a second one does not touch files that are being read.
+        path = f"{folder}/{uuid.uuid4().hex}"
+        build_index(held.column("id").to_pylist(), held.column("body").to_pylist()).save(path)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+
+def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, ship_seeds: int) -> Shelf:
+    items = benchmark.select(long_id(benchmark, item_col).alias("id"), F.col(item_text_col).cast("string").alias("body")).where("id is not null and body is not null")
     # An item of n characters has at most n / 2 + 1 tokens, and each starts one seed per mask of its class (four at most).
-    (bound,) = items.agg(F.sum(F.length("body") / 2 + 1)).first()
-    if (bound or 0) * max(len(m) for _, _, m in CLASSES) > ship_seeds:
-        return items, None
-    return items, build_index([(r.id, r.body) for r in items.collect()])
+    (tokens,) = items.agg(F.sum(F.length("body") / 2 + 1)).first()
+    bound = int(tokens or 0) * max(len(m) for _, _, m in CLASSES)
+    if bound <= ship_seeds:
+        rows = items.collect()
+        return Shelf(build_index([r.id for r in rows], [r.body for r in rows]), [])
+    scratch = Scratch(benchmark.sparkSession, "decontaminate")
+    folder = mounted(f"{scratch.root}/index")
+    parts = bound // max(ship_seeds, 1) + 1 if ship_seeds else 3
+    # Dealt by the hash of id and text, so that items which share an id do not meet in one index.
+    written = items.repartition(parts, F.xxhash64("id", "body")).mapInArrow(lambda it: _store(it, folder), "path string").collect()
+    return Shelf(None, sorted(r.path for r in written))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
     """(id, contaminated, n_items, items) of every row of ``docs``."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    items, index = _prepared(benchmark, item_col, item_text_col, ship_seeds)
-    if index is not None:
-        return source.mapInArrow(lambda it: _scan(it, index), _OUT)
-    return _joined(source, items)
+    source = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    shelf = _prepared(benchmark, item_col, item_text_col, ship_seeds)
+    return source.mapInArrow(lambda it: _scan(it, shelf), _OUT)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates."""
-    items, index = _prepared(benchmark, item_col, item_text_col, ship_seeds)
-    if index is None:
-        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-        gone = _joined(source, items).where("contaminated").select("id").distinct()
-        return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    shelf = _prepared(benchmark, item_col, item_text_col, ship_seeds)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, at):
-            yield batch.filter(pa.array([not f for f in index.search(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([not f for f in shelf.search(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

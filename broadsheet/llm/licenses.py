@@ -1,21 +1,27 @@
 """License scans by patience alignment against license texts and notices.
 
-Trigrams of the templates find places of a document where a template may lie; hits on neighbouring diagonals make one
-candidate window. Template and window are aligned: tokens that occur once in either are anchors, the longest increasing
-subsequence of their positions is kept, and the gaps between anchors are aligned in the same way. Coverage is the share of
-the template's tokens that are aligned. A window whose coverage reaches ``LEAST_COVERAGE`` is a finding; of findings that
-overlap, the one with the most aligned tokens stays (ties: the higher coverage, then the earlier name).
-
-Templates are parameters (name -> text); the table below holds short notices and the bodies of common licenses.
+Trigrams of the templates find places of a document where a template may lie; hits on neighbouring diagonals make a
+candidate window of bounded length. Template and window are aligned: tokens that occur once in either are anchors, the
+longest increasing subsequence of their positions is kept, and the gaps between anchors are aligned in the same way.
+Coverage is the share of the template's tokens that are aligned. A window whose coverage reaches ``LEAST_COVERAGE`` is a
+finding unless a deciding word speaks against it: words that tell one license from another (names, version numbers, ND, SA,
+NC, Lesser, Affero and the like) must be aligned where the template has them, and none may stand in the aligned stretch,
+or right beside its ends, that the template lacks. Of findings that overlap, the one with the most aligned tokens stays
+(ties: the higher coverage, then the earlier name).
+
+Templates are parameters (name -> text); the table below holds short notices and the bodies of common licenses. Of the
+long licenses (GPL, LGPL, AGPL, MPL, Apache) it holds the notices that files carry, not the whole texts.
 
 Cases: null and empty texts have no findings. Short templates (below three tokens) are not sought. Repeated rows get equal
 answers; a license that occurs twice is listed twice among the findings and once among the names. Only the id and text
-are read. The whole text is scanned, in one pass without a shuffle; memory is bounded by the longest text.
+are read, so ids of any type and extra columns of any name do no harm. The whole text is scanned, in one pass without a
+shuffle; memory is bounded by the longest text, and a window by its template's length, whatever a text repeats.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,13 +38,19 @@ LEAST_COVERAGE = 0.8
 _GRAM = 3
 _FILTER_BITS = 20
 
+#: Words that tell a license from its neighbours, besides numbers.
+DECIDING = "mit bsd apache gnu mozilla cc creative lesser library affero nd nc sa noderivatives noderivs noncommercial sharealike".split()
+
 #: Public license texts and usual notices.
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "MIT notice, licensed": "Licensed under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0 notice": "Licensed under the GNU General Public License, version 3.",
+    "GPL-2.0 notice": "Licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0 notice": "Licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1 notice": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0 notice": "Licensed under the GNU Affero General Public License, version 3.",
     "LGPL notice": "Licensed under the GNU Lesser General Public License.",
     "AGPL notice": "Licensed under the GNU Affero General Public License.",
     "BSD notice": "Licensed under the BSD License.",
@@ -46,9 +58,15 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 long notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0 long notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0 long notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0 long notice": "Licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 long notice": "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 long notice": "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 long notice": "Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 long notice": "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0 long notice": "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "All rights reserved": "All rights reserved.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
@@ -108,6 +126,11 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _plain(text: str) -> list[str]:
+    """The tokens of a text as strings, parted as :func:`_tokens` parts them."""
+    return re.findall(r"[^\x00-\x2f:-@\[-^`{-~\x7f]+|[0-9A-Za-z_]+", text)
+
+
 class Scanner:
     """Trigrams of the templates in a hash table, with a bit table before it."""
 
@@ -115,6 +138,11 @@ class Scanner:
         self.names = list(templates)
         words = _tokens(pa.array([templates[n] for n in self.names], pa.string()))
         self.tokens = [words.hash[words.bounds[i] : words.bounds[i + 1]].tolist() for i in range(len(self.names))]
+        named = _tokens(pa.array([" ".join(DECIDING)], pa.string())).hash.tolist()
+        self.deciding = set(named)
+        digits = [[any(c.isdigit() for c in t) for t in _plain(templates[n])] for n in self.names]
+        #: Positions of each template that must be aligned.
+        self.must = [{p for p, t in enumerate(tokens) if d[p] or t in self.deciding} for tokens, d in zip(self.tokens, digits)]
         self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         h, bounds, _ = words.windows(_GRAM)
         for t in range(len(self.names)):
@@ -123,6 +151,20 @@ class Scanner:
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
         self.bits[np.array(list(self.grams), U64) & U64((1 << _FILTER_BITS) - 1)] = True
 
+    def _fits(self, t: int, window: list[int]) -> tuple[int, int, int] | None:
+        """Aligned tokens, and first and end position in the window, if the window holds template ``t``."""
+        template = self.tokens[t]
+        pairs = patience(template, window)
+        if not pairs or len(pairs) < LEAST_COVERAGE * len(template):
+            return None
+        if not self.must[t] <= {i for i, _ in pairs}:
+            return None
+        first, end = pairs[0][1], pairs[-1][1] + 1
+        aligned = {j for _, j in pairs}
+        if any(w in self.deciding and j not in aligned for j, w in enumerate(window[max(0, first - 1) : end + 1], max(0, first - 1))):
+            return None
+        return len(pairs), first, end
+
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
         """(name, coverage, first token, end token) of each text's findings, in order of place."""
         words = _tokens(texts)
@@ -141,14 +183,16 @@ class Scanner:
             diagonals.sort()
             start = 0
             for k in range(1, len(diagonals) + 1):
-                if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > slack:
+                end = k == len(diagonals) or diagonals[k] - diagonals[k - 1] > slack
+                if end or diagonals[k] - diagonals[start] > 4 * slack:
                     if tokens is None:
                         tokens = words.hash[words.bounds[d] : words.bounds[d + 1]]
                     low, high = max(0, diagonals[start] - slack), min(len(tokens), diagonals[k - 1] + len(template) + slack)
-                    pairs = patience(template, tokens[low:high].tolist())
-                    if pairs and len(pairs) / len(template) >= LEAST_COVERAGE:
-                        found[d].append((len(pairs), len(pairs) / len(template), self.names[t], low + pairs[0][1], low + pairs[-1][1] + 1))
-                    start = k
+                    got = self._fits(t, tokens[low:high].tolist())
+                    if got is not None:
+                        found[d].append((got[0], got[0] / len(template), self.names[t], low + got[1], low + got[2]))
+                    # A long chain is cut into windows that overlap by two slacks.
+                    start = k if end else bisect.bisect_left(diagonals, diagonals[k] - 2 * slack, start + 1, k)
         out = []
         for d in range(len(texts)):
             kept: list = []

@@ -8,7 +8,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from broadsheet.llm import decontaminate, jaccard, licenses, queries, repeats
 from broadsheet.llm.signature_tree import Tree, bitmap
@@ -217,7 +219,8 @@ def test_licenses(spark, sf):
     docs = [(1, "code\nReleased under the MIT License.\nReleased under the MIT License."), (2, "intro " + mit.replace("Software", "Program").lower() + " end"), (3, "The license of the author"), (4, None), (5, ""), (6, mit[: len(mit) // 2])]
     got = {r.id: (r.n_findings, r.licenses) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: (2, ["MIT notice"]), 2: (1, ["MIT"]), 3: (0, []), 4: (0, []), 5: (0, []), 6: (0, [])}
-    lines = {"Released under the MIT License.": "MIT notice", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
+    # The notice lines that the tables hold.
+    lines = {"All rights reserved.": "All rights reserved", "Released under the MIT License.": "MIT notice", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op2_license_scan(spark, sf).collect():
         assert r.licenses == sorted(n for line, n in lines.items() if line in texts[r.doc_id]), r.doc_id
@@ -232,3 +235,110 @@ def test_all_rights_reserved_and_whole_bodies(spark, sf):
     planted = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if "All rights reserved." in (r.text or "")}
     found = {r.doc_id for r in queries.op2_license_scan(spark, sf).collect() if "All rights reserved" in r.licenses}
     assert planted and found == planted
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0 notice"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0 notice"]),
+        ("Licensed under CC BY 3.0.", []),
+        ("GNU General Public License, version 1", []),
+        ("Licensed under the GNU General Public License, version 1.", []),
+        ("Licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0 notice"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0 notice"]),
+        ("Licensed under the Sleepycat License.", []),
+        ("Released under the BSD License.", ["BSD notice"]),
+    ],
+)
+def test_deciding_words(text, want):
+    got = licenses.Scanner(licenses.TEMPLATES).scan(pa.array([text]))
+    assert [x[0] for x in got[0]] == want
+
+
+def test_licenses_match_alignment_over_all_windows():
+    """Brute force: every template aligned with every window of its length and half as much again."""
+    rng = random.Random(12)
+    names = ["MIT", "ISC", "Unlicense", "BSD-2-Clause", "GPL-3.0-or-later", "CC-BY-NC-4.0 long notice"]
+    scanner = licenses.Scanner({n: licenses.TEMPLATES[n] for n in names})
+    words = "a of the to and system river notice permission copy license software".split()
+    texts = []
+    for n in names * 3:
+        body = licenses.TEMPLATES[n].split()
+        share = rng.choice([0.03, 0.1, 0.3])
+        made = [rng.choice(words) if rng.random() < share else w for w in body if rng.random() > share / 4]
+        around = [rng.choice(words) for _ in range(60)]
+        texts.append(" ".join(around + made + around))
+    texts += [" ".join(rng.choice(words) for _ in range(300)), "permission is hereby granted " * 400]
+    tokens = [w.tolist() for w in np.split(licenses._tokens(pa.array(texts)).hash, licenses._tokens(pa.array(texts)).bounds[1:-1])]
+    for text, own, found in zip(texts, tokens, scanner.scan(pa.array(texts))):
+        want = set()
+        for t, template in enumerate(scanner.tokens):
+            reach = len(template) + len(template) // 2
+            if any(scanner._fits(t, own[a : a + reach]) for a in range(0, max(1, len(own) - len(template)), max(1, len(template) // 20))):
+                want.add(scanner.names[t])
+        # Of overlapping findings one stays, so what is found is part of what fits, and nothing is missed altogether.
+        got = {x[0] for x in found}
+        assert got <= want and bool(got) == bool(want), text[:80]
+
+
+def test_scans_of_odd_rows(spark):
+    """Null ids, clashing names, repeated rows and a very long text."""
+    long = "word " * 200_000 + "Released under the MIT License. " + "word " * 1000
+    df = spark.createDataFrame([(None, "Released under the MIT License.", 1, "x"), ("b", long, 2, "y"), ("b", None, 3, None), ("b", long, 2, "y")], "doc_id string, text string, coverage int, licenses string")
+    got = [(r.id, r.n_findings, r.licenses) for r in licenses.scan(df).collect()]
+    assert got == [(None, 1, ["MIT notice"]), ("b", 1, ["MIT notice"]), ("b", 0, []), ("b", 1, ["MIT notice"])]
+
+
+def test_decontamination_of_odd_rows_is_the_same_with_any_benchmark(spark):
+    """Null and repeated ids, clashing names and a very long text, with a shipped index and with stored ones."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(None, "so " + item, "p", 1), (7, item, "q", 2), (7, "nothing here", None, 3), (8, "filler " * 100_000 + item, "r", 4), (9, None, "s", 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string, seed int")
+    b = spark.createDataFrame([(1, item), (1, "another item of some length to look for"), (2, item), (None, item)], "item_id long, text string")
+    for ship in (decontaminate.SHIP_SEEDS, 10, 0):
+        got = [(r.id, r.contaminated, r.n_items, r["items"]) for r in decontaminate.find(d, b, ship_seeds=ship).collect()]
+        assert got == [(None, True, 2, [1, 2]), (7, True, 2, [1, 2]), (7, False, 0, []), (8, True, 2, [1, 2]), (9, False, 0, [])]
+        assert [r.seed for r in decontaminate.keep_clean(d, b, ship_seeds=ship).collect()] == [3, 5]
+    with pytest.raises(TypeError):
+        decontaminate.find(d.withColumn("doc_id", F.lit("x")), b)
+
+
+def plain_documents(rows):
+    """Components of documents that may have several sets: rows that repeat an id are one vertex."""
+    of = plain_components([(k, t) for k, (_, t) in enumerate(rows)])
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        a, b = find(i), find(rows[of[k][1]][0])
+        up[max(a, b)] = min(a, b)
+    return sorted((i, of[k][0], find(i)) for k, (i, _) in enumerate(rows))
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b, c = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    rows = [(5, a), (5, b), (2, b), (3, a), (9, c), (9, ""), (9, c), (4, ""), (4, None), (1, "z z"), (8, c + " more"), (8, "z z")]
+    rng = random.Random(3)
+    many = [(rng.randrange(70), t) for _, t in random_docs(11, 90)]
+    for part in (rows, many):
+        df = spark.createDataFrame([(*r, "x", 0) for r in part] + [(None, a, "x", 0)], "doc_id long, text string, id string, label int")
+        got = [(r.id, r.n_shingles, r.component_id) for r in jaccard.link(df).collect()]
+        assert sorted(x for x in got if x[0] is not None) == plain_documents(part)
+        assert [x[2] for x in got if x[0] is None] == [None]
+    with pytest.raises(TypeError):
+        jaccard.link(df.withColumn("doc_id", F.lit("5")))
+
+
+def test_very_long_text_is_handled_whole(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "start " + long), (4, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component_id for r in jaccard.link(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    got = {r.id: (r.n_words, r.n_removed) for r in repeats.remove_repeats(df, digest=True).collect()}
+    assert got == {1: (150_000, 0), 2: (150_001, 150_000), 3: (150_001, 150_000), 4: (2, 0)}
