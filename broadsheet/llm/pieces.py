@@ -2,14 +2,16 @@
 
 No piece of the supported models crosses from a visible character into a whitespace marker, so a text falls into marked
 words (a run of markers and what follows it) that are segmented independently of each other. Each task keeps a table of
-the distinct marked words it has met: a word is segmented once, and the ids of a text are joined back by position.
+the distinct marked words it has met: a word is segmented once, and the ids of a text are joined back by position. The
+words of a chunk that the table lacks go to the library in one call.
 
 The table is one per task rather than one per corpus: a corpus-wide table would ship every word occurrence, or every
-text, through a shuffle, while this plan is a single map over the scan. It holds at most ``TABLE_CHUNKS`` words of at most
-``CHUNK_CHARS`` characters; when full it starts anew, which changes no result, and longer words bypass it.
+text, through a shuffle, while this plan is a single map over the scan. It is bounded in bytes: when it is beyond
+``TABLE_BYTES`` it starts anew before the next chunk, which changes no result. Texts come in chunks of ``CHUNK`` bytes;
+ids lie in flat integer arrays, and a decoding is kept only for words that do not decode to themselves.
 
 Cases: a null or empty text gives no ids and an empty decoding. A text without spaces is one word. Repeated rows are
-encoded alike. Columns of the input other than the id and the text are not read, so clashing names do no harm.
+encoded alike. Input columns named n_tokens, ids or decoded give way to those of the result; other columns stay.
 """
 
 from __future__ import annotations
@@ -18,13 +20,18 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TABLE_CHUNKS = 400_000
-CHUNK_CHARS = 256
+from broadsheet.llm.shared import chunks
+
+TABLE_BYTES = 32 << 20
+#: Bytes of an entry besides the characters of the word and its ids.
+ENTRY_BYTES = 180
+CHUNK = 1 << 20
 MARK = "▁"
 
 
@@ -48,74 +55,89 @@ def _check(path: str) -> bool:
 class Encoder:
     """Encodes whole texts through a table of distinct marked words."""
 
-    def __init__(self, path: str, table_chunks: int = TABLE_CHUNKS, chunk_chars: int = CHUNK_CHARS):
-        self.sp, self.whole = _model(path), not _check(path)
-        self.most, self.long = table_chunks, chunk_chars
-        #: Marked word -> (ids, decimal ids joined by commas, decoded text with its leading space).
-        self.table: dict[str, tuple[tuple[int, ...], str, str]] = {}
-
-    def _segment(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
-        ids = self.sp.encode(chunk)
-        return tuple(ids), ",".join(map(str, ids)), " " + self.sp.decode(ids)
-
-    def _entries(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """One entry per marked word of the text, in order. The model itself puts a marker before the text."""
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
+        self.sp, self.whole, self.most = _model(path), not _check(path), table_bytes
+        self.digits = [str(i) for i in range(self.sp.get_piece_size())]
+        self._empty()
+
+    def _empty(self) -> None:
+        #: Marked word -> number; the ids of word k are flat[starts[k] : starts[k + 1]].
+        self.numbers: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        #: Decodings other than the word itself, by number.
+        self.odd: dict[int, str] = {}
+        self.bytes = 0
+
+    def _words(self, text: str) -> list[str]:
+        """The marked words of a text. The model itself puts a marker before the text.
+
+        A run of k markers opens a word: the model adds the last of them, so a word is sent with k - 1 leading spaces.
+        The empty word is a single marker at the end of a text.
+        """
         if not text:
             return []
         if self.whole:
-            return [self._segment(text)]
-        # A run of k markers opens a word: the model adds the last of them, so a word is sent with k - 1 leading spaces.
+            return [text]
         parts = text.replace(MARK, " ").split(" ")
-        table, out, lead = self.table, [], 0
+        if "" not in parts:
+            return parts
+        out, lead, last = [], 0, len(parts) - 1
         for at, part in enumerate(parts):
-            if not part and at < len(parts) - 1:
+            if not part and at < last:
                 lead += 1
-                continue
-            chunk = " " * lead + part if lead else part
-            lead = 0
-            got = table.get(chunk)
-            if got is None:
-                got = self._segment(chunk) if chunk else self._marker_only()
-                if len(chunk) <= self.long:
-                    if len(table) >= self.most:
-                        table.clear()
-                    table[chunk] = got
-            out.append(got)
+            else:
+                out.append(" " * lead + part if lead else part)
+                lead = 0
         return out
 
-    def _marker_only(self) -> tuple[tuple[int, ...], str, str]:
-        """A single trailing marker, which encode("") would drop."""
-        i = self.sp.piece_to_id(MARK)
-        return (i,), str(i), " "
-
-    def encode_and_decode(self, text: str | None) -> tuple[list[int], str]:
-        entries = self._entries(text or "")
-        return [i for e in entries for i in e[0]], "".join(e[2] for e in entries)[1:]
-
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, decimal ids joined by commas, decoded text."""
-        entries = self._entries(text or "")
-        return sum(map(len, (e[0] for e in entries))), ",".join(e[1] for e in entries), "".join(e[2] for e in entries)[1:]
-
-
-def encode(docs: DataFrame, model: str, text_col: str = "text", part_rows: int = 256) -> DataFrame:
+    def _add(self, words: list[str]) -> None:
+        """Segments words that the table lacks. The library drops the single marker of the empty word."""
+        ids = self.sp.encode(words, num_threads=1)
+        ids = [x if w else [self.sp.piece_to_id(MARK)] for w, x in zip(words, ids)]
+        back = self.sp.decode(ids, num_threads=1)
+        first = len(self.numbers)
+        self.numbers.update(zip(words, range(first, first + len(words))))
+        self.odd.update((first + k, b) for k, (w, b) in enumerate(zip(words, back)) if w != b)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.bytes += ENTRY_BYTES * len(words) + sum(map(len, words)) + 4 * int(counts.sum())
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of all texts, their bounds (text k has ids[bounds[k] : bounds[k + 1]]), and the decoded texts."""
+        if self.bytes > self.most:
+            self._empty()
+        split = [self._words(t or "") for t in texts]
+        words = [w for part in split for w in part]
+        known = list(map(self.numbers.get, words))
+        if None in known:
+            self._add(list(dict.fromkeys(w for w, n in zip(words, known) if n is None)))
+            known = list(map(self.numbers.get, words))
+        number = np.array(known, np.int64)
+        counts = self.starts[number + 1] - self.starts[number]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[number] - ends[:-1], counts)]
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+        if self.odd:
+            odd = self.odd
+            for a, part in zip(edges.tolist(), split):
+                for k in range(len(part)):
+                    back = odd.get(known[a + k])
+                    if back is not None:
+                        part[k] = back
+        return ids, ends[edges], [" ".join(part) for part in split]
+
+
+def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` other than the text, then n_tokens, ids array<int> and decoded (from the ids)."""
     rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, part_rows):
-                part = batch.slice(at, part_rows)
-                ids, ends, decoded = [], [0], []
-                for text in part.column(len(rest)):
-                    one, back = encoder.encode_and_decode(text.as_py())
-                    ids += one
-                    ends.append(len(ids))
-                    decoded.append(back)
-                counts = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], counts, lists, pa.array(decoded, pa.string())], names=[*rest, "n_tokens", "ids", "decoded"])
+        for batch in chunks(batches, len(rest), CHUNK):
+            ids, bounds, decoded = encoder.encode(batch.column(len(rest)).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.diff(bounds)), lists, pa.array(decoded, pa.string())], names=[*rest, "n_tokens", "ids", "decoded"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
     schema = T.StructType(source.schema.fields[:-1]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
@@ -127,14 +149,15 @@ def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for text in batch.column(1):
-                n, joined, back = encoder.digest(text.as_py())
-                counts.append(n)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for batch in chunks(batches, 1, CHUNK):
+            ids, bounds, decoded = encoder.encode(batch.column(1).to_pylist())
+            digit = encoder.digits.__getitem__
+            joined = [",".join(map(digit, ids[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(bounds)), pa.array(list(map(sha, joined)), pa.string()), pa.array(list(map(sha, decoded)), pa.string())],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

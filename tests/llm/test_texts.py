@@ -11,6 +11,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from broadsheet.llm import html_text, language, outliers, pieces, queries, quotations, rules, text_stats
 
@@ -31,10 +32,14 @@ def test_pieces_equal_the_library(spark):
     alphabet = " ▁\n\tab<s>é☃\U0001f600.  ▁"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     texts += ["", " ", "  ", "a ", "▁", "<s>", "</s>", "<0x0A>", "a\x00b", "ﬁ  x　", "word " * 3000, "x" * 5000]
-    small = pieces.Encoder(path, table_chunks=50, chunk_chars=3)
-    for t in texts:
-        ids, back = small.encode_and_decode(t)
-        assert ids == sp.encode(t) and back == sp.decode(ids)
+    # A table that starts anew all the time, and one that holds every word; texts one by one and together.
+    for encoder, step in ((pieces.Encoder(path, table_bytes=2000), 7), (pieces.Encoder(path), 1), (pieces.Encoder(path), len(texts))):
+        for at in range(0, len(texts), step):
+            part = texts[at : at + step]
+            ids, bounds, back = encoder.encode(part)
+            for k, t in enumerate(part):
+                want = sp.encode(t)
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == want and back[k] == sp.decode(want)
 
 
 def test_pieces_of_all_documents(spark, sf):
@@ -106,6 +111,78 @@ def test_language_probabilities_sum_to_one():
     assert 0.95 < total <= 1.0001  # what is left is the share of unseen symbols
 
 
+def plain_kneser_ney(texts):
+    """Cross-entropy in nats per symbol by a recursion over dictionaries of strings, straight from the definition."""
+
+    def clean(t):
+        return "   " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+
+    seen = {4: collections.Counter()}
+    for t in texts:
+        s = clean(t)
+        seen[4].update(s[k : k + 4] for k in range(len(s) - 3))
+    for n in (3, 2, 1):
+        seen[n] = collections.Counter(g[1:] for g in seen[n + 1])
+    discount = {}
+    for n, c in seen.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones and twos else 0.75
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / 65536
+        row = {k: v for k, v in seen[n].items() if k[:-1] == g[:-1]}
+        if not row:
+            return p(g[1:])
+        total = sum(row.values())
+        return max(row.get(g, 0) - discount[n], 0) / total + discount[n] * len(row) / total * p(g[1:])
+
+    def entropy(t):
+        s = clean(t)
+        return -sum(np.log(p(s[k : k + 4])) for k in range(len(s) - 3)) / (len(s) - 3)
+
+    return entropy
+
+
+def test_cross_entropies_equal_a_plain_recursion(spark):
+    texts = {"aa": ["abab abba, cab!", "Baab aab bca", "zebra a b"], "bb": ["wxyx xyw", "yw yxw wwx 12 xyxy", "ab"]}
+    langs = sorted(texts)
+    counts = [np.unique(language.grams(pa.array(texts[x]))[0], return_counts=True) for x in langs]
+    asked = ["abba cab", "xyx wab", "unseen q", "a", "B! 7 c"]
+    want = np.array([[plain_kneser_ney(texts[x])(t) for x in langs] for t in asked])
+    assert np.allclose(language.Model(langs, counts).cross_entropies(pa.array(asked))[0], want, atol=1e-5)
+    rows = [(i * 10 + k, t, x) for i, x in enumerate(langs) for k, t in enumerate(texts[x])]
+    stored = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.allclose(stored.cross_entropies(pa.array(asked))[0], want, atol=1e-5)
+
+
+def test_rejection_is_calibrated(spark, sf):
+    """Sentences of languages that were not learned go, texts of the tables and very short ones of their words stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    other = [
+        "Il presidente della repubblica ha detto che il governo non può continuare così per molto tempo senza una nuova legge.",
+        "De regering heeft vandaag besloten dat de nieuwe wet niet voor het einde van het jaar wordt ingevoerd.",
+        "Tänään eduskunta päätti että uusi laki ei tule voimaan ennen vuoden loppua koska hallitus ei ole valmis.",
+        "Prezydent powiedział wczoraj że rząd nie może dalej działać bez nowej ustawy.",
+    ]
+    assert all(model.predict(pa.array(other))[3]) and model.predict(pa.array([t * 20 for t in other]))[3].all()
+    assert not model.predict(pa.array(["Sh is.", "the", "Thnt eringing onheed, with erenenst."]))[3].any()
+    gone = language.identify(docs, model).where("rejected").join(docs, F.col("id") == F.col("doc_id")).collect()
+    assert all(not any(c.isalpha() for c in r.text or "") for r in gone)
+
+
+def test_languages_of_odd_rows(spark):
+    """Ties between equal models, repeated rows, clashing names and a very long text."""
+    rows = [(i, "uno dos tres cuatro", lang) for i, lang in enumerate(["xx", "yy"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"id": F.lit("c"), "score": F.lit(1), "body": F.lit(None).cast("string")})
+    model = language.fit(df.where("doc_id < 2"))
+    asked = spark.createDataFrame([(1, "uno dos", 0), (1, "uno dos", 0), (None, "tres " * 200_000, 1)], "doc_id long, text string, rejected int")
+    got = language.identify(asked, model).collect()
+    assert [(r.id, r.lang_pred) for r in got] == [(1, "xx"), (1, "xx"), (None, "xx")]
+
+
 def test_stored_language_model_keeps_every_gram(spark, monkeypatch):
     """Against the estimates made in memory from all counts; 90 languages left room for 987 grams each under the old cap."""
     rng = random.Random(4)
@@ -189,6 +266,89 @@ def test_outliers_of_small_sources_are_rejected(spark, monkeypatch):
     assert all(got[i] for i in range(120)) and [got[1000 + i] for i in range(4)] == [False, True, False, True]
 
 
+def test_distributions_and_cuts():
+    """Textbook quantiles, and cuts that approach the chi-square one from above as groups grow."""
+    assert abs(outliers.chi2_cdf(14.0671, 7) - 0.95) < 1e-5 and abs(outliers.f_cdf(2.5140, 7, 20) - 0.95) < 1e-4
+    cuts = [outliers.cut(n) for n in (100, 200, 1000, 10**5, 10**8)]
+    assert cuts == sorted(cuts, reverse=True) and abs(cuts[-1] - 29.88) < 0.05
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200_000, 7))
+    d = (x**2).sum(1)
+    assert np.allclose(np.cov(x[d <= np.quantile(d, outliers.H)].T) * outliers.consistency(outliers.H), np.eye(7), atol=0.03)
+
+
+def plain_mcd(x, rng, starts=300):
+    """Least log determinant over concentration steps from random subsets."""
+    h, best = int(np.ceil(outliers.H * len(x))), np.inf
+    for _ in range(starts):
+        part = x[rng.choice(len(x), 8, replace=False)]
+        for _ in range(60):
+            mean, c = part.mean(0), outliers._regular(np.cov(part.T, bias=True))
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(c), x - mean)
+            new = x[np.argsort(d, kind="stable")[:h]]
+            if new.shape == part.shape and (new == part).all():
+                break
+            part = new
+        best = min(best, np.linalg.slogdet(c)[1])
+    return best
+
+
+def test_estimates_reach_the_least_determinant(spark):
+    rng = np.random.default_rng(5)
+    groups = {}
+    for name, share in (("clean", 0.0), ("some", 0.1), ("many", 0.2)):
+        shape = rng.normal(size=(7, 7)) * 0.3
+        x = rng.normal(size=(160, 7)) @ shape
+        bad = int(share * len(x))
+        x[:bad] = rng.normal(size=(bad, 7)) * 0.2 + rng.normal(size=7) * 3
+        groups[name] = x
+    rows = [(name, *map(float, r), *map(float, np.median(x, 0))) for name, x in groups.items() for r in x]
+    points = spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} double" for i in range(7)) + ", " + ", ".join(f"c{i} double" for i in range(7)))
+    got = {r.g: r.logdet for r in outliers.estimate(points, 3, outliers.Scratch(spark, "test")).collect()}
+    for name, x in groups.items():
+        assert got[name] <= plain_mcd(x, rng) + 0.05, name
+
+
+def test_quality_of_odd_rows(spark):
+    """Clashing names, repeated rows, null ids and a very long text."""
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, long, "en", "s", 7, 0.5), (1, long, "en", "s", 8, 0.5), (None, None, None, None, 9, None), (2, "short", "en", "s", 1, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_symbols int, m_id double").withColumns({"g": F.lit("x"), "f_symbols": F.lit(1), "x0": F.lit(0), "id": F.lit(3), "body": F.lit("b")})
+    got = [(r.id, r.n_words, r.base_failed, r.kept) for r in outliers.judge(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 120_000, False, True), (1, 120_000, False, True), (None, 0, True, False), (2, 1, True, False)], key=repr)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    scored = rules.score(df, rules.fit(df, labels)).collect()
+    assert sorted(str(r.id) for r in scored) == ["1", "1", "2", "None"] and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_lasso_meets_its_optimality_conditions():
+    """At the optimum the gradient is opposite to the penalty where a weight is not 0, and within it where it is."""
+    rng = np.random.default_rng(4)
+    z = (rng.random((400, 25)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1] + z[:, 2] - 0.3)))).astype(float)
+    for penalty in (0.002, 0.01, 0.05, 1.0):
+        w = rules._lasso(z, y, penalty, np.zeros(26), 20_000)
+        g = np.concatenate([np.ones((400, 1)), z], 1).T @ (1 / (1 + np.exp(-(w[0] + z @ w[1:]))) - y) / 400
+        assert abs(g[0]) < 1e-4
+        on = w[1:] != 0
+        assert np.allclose(g[1:][on], -penalty * np.sign(w[1:][on]), atol=1e-4) and (np.abs(g[1:][~on]) <= penalty + 1e-4).all()
+        assert on.any() == (penalty < 1)
+
+
+def test_rules_are_the_paths_of_the_trees():
+    """Every rule is a conjunction along a path: it holds for the rows that a walk down the tree brings there."""
+    rng = np.random.default_rng(6)
+    x = rng.random((300, len(rules._NAMES)))
+    y = ((x[:, 0] > 0.5) & (x[:, 3] < 0.4)).astype(float)
+    ensemble = rules.train(x, y)
+    used = {name for r, _ in ensemble.rules for name, _, _ in r.terms}
+    assert {rules._NAMES[0], rules._NAMES[3]} <= used and all(1 <= len(r.terms) <= rules.DEPTH for r, _ in ensemble.rules)
+    assert ((ensemble.score(x) > 0.5) == (y > 0.5)).mean() > 0.97
+    for r, _ in ensemble.rules:
+        want = [all((row[rules._NAMES.index(n)] > c) == above for n, above, c in r.terms) for row in x]
+        assert r.holds(x).tolist() == want
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -319,6 +479,68 @@ def test_short_quotes_are_weak_evidence(spark):
     assert got == {0: (None, 0), 1: (None, 1), 2: (1, 1), 3: (0, 0), 4: (None, 4)}
 
 
+def plain_links(rows):
+    """Parents by comparing every quoted passage with every message of the conversation, from the rule as it is stated."""
+    out = {}
+    for conv, turn, _, text in rows:
+        _, _, quoted = quotations.parse(text)
+        votes: dict = {}
+        for level, passage in quoted:
+            holders = sorted({t for c, t, _, x in rows if c == conv and t < turn and passage in quotations.parse(x)[1]})
+            first = sorted({t for c, t, _, x in rows if c == conv and passage in quotations.parse(x)[1]})
+            whole = sorted({t for c, t, _, x in rows if c == conv and t < turn and passage in quotations.parse(x)[1] and quotations._normal(quotations.parse(x)[0]) == passage})
+            strong = len(passage) >= quotations.LEAST_CHARS
+            if not strong and whole:
+                votes.setdefault((strong, whole[0]), []).append((True, level, len(passage)))
+            elif holders and first[0] == holders[0]:
+                votes.setdefault((strong, holders[0]), []).append((False, level, len(passage)))
+        if votes:
+            best = max(votes.items(), key=lambda v: (v[0][0], any(w for w, _, _ in v[1]), -min(n for _, n, _ in v[1]), sum(s for _, _, s in v[1]), v[0][1]))
+            out[conv, turn] = best[0][1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_of_generated_threads_match_brute_force(spark, seed):
+    """Messages that quote earlier ones whole or in part, nested, with short quotes, repeats and changed spacing."""
+    rng = random.Random(seed)
+    words = "plan budget river train meeting lunch notes report yes ok fine later tomorrow never always maybe".split()
+    rows = []
+    for conv in range(6):
+        texts: list[str] = []
+        for turn in range(14):
+            own = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 3)))
+            if texts and rng.random() < 0.75:
+                quoted = rng.choice(texts)
+                lines = quoted.split("\n")
+                if rng.random() < 0.5:
+                    lines = lines[rng.randrange(len(lines)) :]
+                mark = rng.choice([">", "> ", " > "])
+                own = rng.choice(["", "On Monday A wrote:\n"]) + "\n".join(mark + x.replace(" ", rng.choice([" ", "  "])) for x in lines) + "\n\n" + own
+            texts.append(own)
+            rows.append((conv, turn, "user", own))
+    got = quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.reply_to for r in got if r.reply_to is not None} == plain_links(rows)
+    for r in got:
+        assert ">" not in r.text and r.thread <= r.turn
+    for conv in range(6):
+        own = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, 15))
+        place = {r.turn: r.position for r in own}
+        assert all(place[r.reply_to] < r.position for r in own if r.reply_to is not None)
+
+
+def test_conversations_of_odd_rows(spark):
+    """Null ids, turns and texts, repeated rows, clashing names and a very long message."""
+    long = "word " * 300_000
+    rows = [(1, 1, "user", long, 5), (1, 2, "user", "> " + long + "\nanswer", 6), (1, 2, "user", None, 7), (None, 1, "user", "> " + long, 8), (1, None, None, "x", 9), (2, 1, "a", "same", 1), (2, 1, "a", "same", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int").withColumns({"thread": F.lit("t"), "key": F.lit(1), "head": F.lit(2), "level": F.lit(0)})
+    got = quotations.link(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn, r.text) : r.reply_to for r in got}[1, 2, "answer"] == 1
+    assert sorted(r.position for r in got if r.conv_id == 2) == [1, 2] and [r.reply_to for r in got if r.conv_id is None] == [None]
+
+
 def test_all_conversations_keep_their_order(spark, sf):
     got = queries.op10_chat_formatting(spark, sf).collect()
     by = collections.defaultdict(list)
