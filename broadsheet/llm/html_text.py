@@ -1,24 +1,35 @@
 """Main text of web pages: structure first, then a suffix array over each host's undecided text.
 
-A page falls into blocks. Its markup decides most of them: text of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments goes; headings, paragraphs, list items, quotes, tables and preformatted text inside
-the article (or main) element stay. What is left is undecided: text outside such an element on pages that have none, and
-loose text of other containers inside one. For it, the undecided token streams of a host's pages are concatenated and
-sorted into a suffix array; runs of at least ``LEAST_TOKENS`` tokens that occur on distinct pages are boilerplate and go,
-unique runs stay (a run that only reaches a few tokens into the next block leaves that block alone). Pages with equal streams count as one page, so a page that is served under two addresses keeps its
-text, and text that the markup calls the article is never removed for being syndicated.
+A page falls into blocks. Markup drops only what it names by element, exact role or exact class or id: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments; an element that is named so by class or id
+only does not take an ``article`` or ``main`` inside it along. If the page has an ``article`` or a main element, text
+outside it goes too. What is left is judged by what the other pages of the host hold:
 
-A host's pages are dealt over shards of about ``SHARD_PAGES`` pages or ``SHARD_CHARS`` characters; boilerplate repeats in
-every shard of a host. No task holds a whole host.
+* UNSURE blocks: all text of pages without such an element, and loose text of other containers inside one. Their tokens in
+  runs of at least ``LEAST_TOKENS`` that a page with another stream holds too are boilerplate and go; unique runs stay (a
+  run that only reaches a few tokens into the next block leaves that block alone).
+* SHORT blocks: paragraphs, headings, list items and the like inside the article, of at most ``SHORT_TOKENS`` tokens. Such a
+  block goes only as a whole, when runs cover it that pages of ``LEAST_FAMILIES`` families hold. Pages with the same longest
+  block are one family, so that an article which a host serves many times keeps its text.
+* Longer text blocks of the article stay.
+
+Pages with equal streams count as one page, so a page that is served under two addresses keeps its text.
+
+The undecided token streams of a host are concatenated and sorted into a suffix array. A host with more than
+``SHARD_CHARS`` characters of them is dealt into shards with an array each; the shards then exchange the hashes of their
+windows of ``LEAST_TOKENS`` tokens (of each at most a few holders), so a run that pages of different shards share counts
+like one inside a shard, and the number of shards changes no result. No task holds a whole host.
 
 Cases: null html gives an empty text. Character references are decoded; white space inside a block becomes one space;
 blocks are joined by one space. Unclosed and misnested tags close with what surrounds them; an unclosed raw element runs
-to the end. A null or unusable url makes a host of its own for the page. Repeated rows are equal pages. Extra columns are
-not read. An empty table gives an empty result.
+to the end. A null or unusable url makes a host of its own for the page. Repeated rows, also of one page id, are equal
+pages and each get a row. Extra columns are not read, so they may have any name. An empty table gives an empty result.
+Memory is bounded by the longest page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -28,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.shared import Scratch, maybe_broadcast
+from broadsheet.llm.packed import runs
+from broadsheet.llm.shared import Scratch, chunks, maybe_broadcast
+from broadsheet.llm.words import U64, Words, mix
 
 LEAST_TOKENS = 5
-SHARD_PAGES = 400
+SHORT_TOKENS = 40
+LEAST_FAMILIES = 3
 SHARD_CHARS = 4_000_000
-KEEP, UNSURE = 0, 1
+KEEP, UNSURE, SHORT = 0, 1, 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -43,38 +57,46 @@ _DROPPED = frozenset("nav footer aside form button select option dialog menu hea
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split())
-#: Parts of class and id names, and roles, of what is not article text.
-_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall"
-    r"|nav(?:bar|igation)?|menu|breadcrumbs?|pagination|pager|toc|sidebar|side|rail|widget|masthead|header|footer|foot|colophon|copyright|legal|disclaimer"
-    r"|share|sharing|social|follow|related|recommend(?:ed|ations)?|trending|popular|more-?stories|tags?|comments?|commentlist|disqus|respond|replies|reply|search|skip|hidden|sr-only|complementary|contentinfo|navigation|banner)(?:$|[\s_-])",
-    re.I,
+#: Class and id names, as whole words, and roles of what is not article text.
+_NAMES = frozenset(
+    "nav navbar navigation site-nav main-nav menu main-menu site-menu breadcrumb breadcrumbs pagination pager share share-buttons "
+    "footer site-footer page-footer sidebar side-bar "
+    "notice site-notice cookie-notice cookie-banner cookie-consent consent-banner cookies consent gdpr "
+    "ad ads advert adverts advertisement advertising sponsored "
+    "comment comments comment-list commentlist comments-area reader-comments disqus_thread respond".split()
 )
+_HEADERS = frozenset("header site-header page-header masthead".split())
+_ROLES = frozenset("navigation menu menubar banner contentinfo complementary search form dialog alertdialog".split())
+_MAINS = frozenset("main main-content article article-body articlebody article-content story-body post-content entry-content".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_MAIN = re.compile(r"\b(?:main|articleBody|article-body|post-content|entry-content)\b")
+#: Elements that keep an article inside them from being main text.
+_FIRM = frozenset("nav footer aside dialog menu".split())
 
 
-def _dropped(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no article text; ``inside``: it lies in the article."""
-    if name in _DROPPED or (name == "header" and not inside):
-        return True
-    if not attributes or name in ("html", "body", "article", "main") or name in _VOID:
-        return bool(name in ("article",) and re.search(r"comment|related|promo|teaser", attributes or "", re.I))
+def _named(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the attributes of an element mark it as no article text, and as the main element."""
+    dropped = main = False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), a or b or c
-        if key in ("class", "id", "role") and _HINTS.search(value.replace("__", " ").replace("--", " ")):
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+        key, words = key.lower(), (a or b or c).lower().split()
+        if key in ("class", "id"):
+            dropped |= any(w in _NAMES or (w in _HEADERS and not inside) for w in words)
+            main |= any(w in _MAINS for w in words)
+        elif key == "role":
+            dropped |= any(w in _ROLES for w in words)
+            main |= "main" in words
+        elif key == "itemprop":
+            main |= "articlebody" in words
+        elif key == "hidden" or (key == "aria-hidden" and words == ["true"]) or (key == "style" and _HIDDEN.search(a or b or c)):
+            dropped = True
+    return dropped, main and not dropped
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(KEEP or UNSURE, text) of the page's blocks in order, dropped ones left out."""
+    """(KEEP, UNSURE or SHORT, text) of the page's blocks in order, dropped ones left out."""
     if not page:
         return []
     out: list[tuple[bool, bool, str]] = []  # inside the article, in a text element, text
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, inside, textual
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, dropped, inside, textual, in an element of _FIRM
     dropped = inside = textual = False
     piece: list[str] = []
     any_main = False
@@ -112,7 +134,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     if any(s[1] for s in stack[k:]) and not dropped:
                         flush()
                     del stack[k:]
-                    _, dropped, inside, textual = stack[-1] if stack else ("", False, False, False)
+                    _, dropped, inside, textual, _ = stack[-1] if stack else ("", False, False, False, False)
                     break
             continue
         attributes = m.group(3)
@@ -135,24 +157,34 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 if stack[k][0] == "p":
                     if not stack[k][1] or name in ("article", "main", "p"):
                         del stack[k:]
-                        _, dropped, inside, textual = stack[-1] if stack else ("", False, False, False)
+                        _, dropped, inside, textual, _ = stack[-1] if stack else ("", False, False, False, False)
                     break
                 if stack[k][0] not in _INLINE:
                     break
-        gone = dropped or _dropped(name, attributes, inside)
+        firm = name in _FIRM or (bool(stack) and stack[-1][4])
+        marked, main = _named(attributes, inside) if attributes else (False, False)
+        if name in ("html", "body"):
+            marked, main = False, False
+        elif name in ("article", "main"):
+            main = not marked and not firm
+        gone = marked or name in _DROPPED or (name == "header" and not inside) or (dropped and not (main and name in ("article", "main")))
+        main &= not gone
         if gone and not dropped:
             flush()
-        main = not gone and (name in ("article", "main") or bool(attributes and _MAIN.search(attributes)))
         any_main |= main
         dropped, inside, textual = gone, inside or main, name in _TEXTUAL or (textual and name in _INLINE) or (textual and name in ("div", "span"))
-        stack.append((name, dropped, inside, textual))
+        stack.append((name, dropped, inside, textual, firm))
     if not dropped:
         flush()
     if any_main:
-        return [(KEEP if t else UNSURE, text) for i, t, text in out if i]
+        return [(_article_kind(text) if t else UNSURE, text) for i, t, text in out if i]
     return [(UNSURE, text) for _, _, text in out]
 
 
+def _article_kind(text: str) -> int:
+    return SHORT if LEAST_TOKENS <= text.count(" ") + 1 <= SHORT_TOKENS else KEEP
+
+
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix order by prefix doubling, and the ranks at each power of two."""
     n = len(tokens)
@@ -194,32 +226,84 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def boilerplate(streams: list[list[str]], least: int = LEAST_TOKENS) -> list[np.ndarray]:
-    """For each page's token stream, which tokens lie in a run that a page with another stream holds too."""
-    classes: dict[tuple[str, ...], int] = {}
-    of = [classes.setdefault(tuple(s), len(classes)) for s in streams]
-    words: dict[str, int] = {}
-    ids, page = [], []
-    for c, s in enumerate(classes):
-        ids += [words.setdefault(t, len(words)) for t in s]
-        ids.append(-1 - c)  # a separator of its own: no run crosses pages
-        page += [c] * (len(s) + 1)
-    tokens, page = np.array(ids, np.int64), np.array(page, np.int64)
-    covered = np.zeros(len(tokens) + 1, np.int64)
-    if len(classes) > 1:
-        order, ranks = suffix_array(tokens)
-        prefix = common_prefixes(order, ranks)
-        starts = np.flatnonzero(prefix < least)
-        sizes = np.diff(np.append(starts, len(order)))
-        held = page[order]
-        many = np.repeat(np.minimum.reduceat(held, starts) != np.maximum.reduceat(held, starts), sizes) & np.repeat(sizes > 1, sizes)
-        at = order[many]
-        np.add.at(covered, at, 1)
-        np.add.at(covered, np.minimum(at + least, len(tokens)), -1)
-    flags = np.cumsum(covered)[:-1] > 0
-    bounds = np.concatenate([[0], np.cumsum([len(s) + 1 for s in classes])])
-    parts = [flags[a : b - 1] for a, b in zip(bounds[:-1], bounds[1:])]
-    return [parts[c] for c in of]
+def _groups(values: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """For each group (from starts), whether it has at least ``most`` distinct values."""
+    sizes = np.diff(np.append(starts, len(values)))
+    order = np.lexsort((values, np.repeat(np.arange(len(starts)), sizes)))
+    v = values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    new[starts] = True
+    return np.add.reduceat(new.astype(np.int64), starts) >= most if len(v) else np.zeros(0, bool)
+
+
+class Streams:
+    """The undecided tokens of some pages of a host, one after the other; a negative token parts what is not adjacent."""
+
+    def __init__(self, pages: list[list[tuple[int, str]]], families: list[int]):
+        ids, page, at, self.bounds = [], [], [], []
+        numbers: dict[str, int] = {}
+        for p, blocks_ in enumerate(pages):
+            last = None
+            for k, (kind, text) in enumerate(blocks_):
+                if last is None or SHORT in (last, kind):
+                    ids.append(-1 - len(ids))
+                    page.append(p)
+                words = text.split(" ")
+                self.bounds.append((p, k, kind, len(ids), len(ids) + len(words)))
+                ids += [numbers.setdefault(w, len(numbers)) for w in words]
+                page += [p] * len(words)
+                last = kind
+        self.tokens, self.page = np.array(ids, np.int64), np.array(page, np.int64)
+        classes: dict[tuple, int] = {}
+        self.class_of = np.array([classes.setdefault(tuple(b), len(classes)) for b in pages], np.int64)
+        #: Names that are the same in every shard.
+        names = [hashlib.blake2b(repr(b).encode("utf-8", "surrogatepass"), digest_size=8).digest() for b in pages]
+        self.class_name = np.array([int.from_bytes(n, "little", signed=True) for n in names], np.int64)
+        self.family = np.array(families, np.int64)
+        words = Words(pa.array(list(numbers), pa.string()), separators=np.zeros(256, bool))
+        self.hash = np.zeros(len(numbers), U64)
+        self.hash[np.flatnonzero(words.counts)] = words.hash
+
+    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of every window of ``least`` tokens that lies in one stretch."""
+        n = len(self.tokens) - least + 1
+        if n <= 0:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        part = np.concatenate([[0], np.cumsum(self.tokens < 0)])
+        at = np.flatnonzero(part[least:] == part[:-least])
+        out = np.full(len(at), U64(least))
+        for k in range(least):
+            out = mix(out + self.hash[self.tokens[at + k]] * U64(2 * k + 1))
+        return out, at
+
+    def _cover(self, starts: np.ndarray, least: int) -> np.ndarray:
+        covered = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, np.minimum(starts + least, len(self.tokens)), -1)
+        return np.cumsum(covered)[:-1] > 0
+
+    def shared(self, least: int, other: dict[int, bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens lie in a run that another stream holds too, and in one that several families hold.
+
+        ``other``: hashes of windows known to be shared with other shards, and whether by several families.
+        """
+        twice, often = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.tokens) and len(self.class_of) > 1:
+            order, ranks = suffix_array(self.tokens)
+            prefix = common_prefixes(order, ranks)
+            starts = np.flatnonzero(prefix < least)
+            sizes = np.diff(np.append(starts, len(order)))
+            held = self.page[order]
+            several = (sizes > 1) & _groups(self.class_of[held], starts, 2)
+            twice = order[np.repeat(several, sizes)]
+            often = order[np.repeat(several & _groups(self.family[held], starts, LEAST_FAMILIES), sizes)]
+        if other:
+            h, at = self.windows(least)
+            flags = [other.get(x) for x in h.view(np.int64).tolist()]
+            twice = np.append(twice, at[[f is not None for f in flags]])
+            often = np.append(often, at[[bool(f) for f in flags]])
+        return self._cover(twice, least), self._cover(often, least)
 
 
 def whole_runs(flags: np.ndarray, least: int) -> np.ndarray:
@@ -238,45 +322,66 @@ _HOST = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            hosts, kinds, texts, sizes = [], [], [], []
-            for url, page in zip(part.column(1), part.column(2)):
-                m = _HOST.match(url.as_py() or "")
-                hosts.append(m.group(1).lower() if m else None)
-                got = blocks(page.as_py())
-                kinds.append([k for k, _ in got])
-                texts.append([t for _, t in got])
-                sizes.append(sum(len(t) for _, t in got))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64())],
-                names=["id", "url", "host", "kinds", "texts", "size"],
-            )
-
-
-def _join(table: pa.Table, least: int) -> pa.Table:
+    for part in chunks(batches, 2):
+        hosts, families, kinds, texts, sizes = [], [], [], [], []
+        for url, page in zip(part.column(1), part.column(2)):
+            m = _HOST.match(url.as_py() or "")
+            hosts.append(m.group(1).lower() if m else None)
+            got = blocks(page.as_py())
+            kinds.append([k for k, _ in got])
+            texts.append([t for _, t in got])
+            sizes.append(sum(len(t) for k, t in got if k != KEEP))
+            longest = max((t for _, t in got), key=lambda t: (len(t), t), default="")
+            families.append(int.from_bytes(hashlib.blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(families, pa.int64()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64())],
+            names=["id", "url", "host", "family", "kinds", "texts", "size"],
+        )
+
+
+def _streams(table: pa.Table) -> Streams:
     kinds, texts = table.column("kinds").to_pylist(), table.column("texts").to_pylist()
-    streams = [[w for k, t in zip(ks, ts) if k == UNSURE for w in t.split(" ")] for ks, ts in zip(kinds, texts)]
-    covered = boilerplate(streams, least) if any(streams) else None
-    out = []
-    for p, (ks, ts) in enumerate(zip(kinds, texts)):
-        if covered is None or not streams[p]:
-            out.append(" ".join(ts))
-            continue
-        kept, at = [], 0
-        for k, t in zip(ks, ts):
-            if k == UNSURE:
-                words = t.split(" ")
-                gone = whole_runs(covered[p][at : at + len(words)], least)
-                left = [w for w, g in zip(words, gone) if not g]
-                at += len(words)
-                if left:
-                    kept.append(" ".join(left))
+    return Streams([list(zip(k, t)) for k, t in zip(kinds, texts)], table.column("family").to_pylist())
+
+
+def _offers(table: pa.Table, least: int) -> pa.Table:
+    """Windows of a shard, each with at most two of the streams and LEAST_FAMILIES of the families that hold it."""
+    s = _streams(table)
+    h, at = s.windows(least)
+    page = s.page[at]
+    offered = []
+    for values, most in ((s.class_name[page], 2), (s.family[page], LEAST_FAMILIES)):
+        pairs = np.unique(np.stack([h.view(np.int64), values], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+        first = np.repeat(runs(pairs[:, 0]), np.diff(np.append(runs(pairs[:, 0]), len(pairs))))
+        offered.append(pairs[np.arange(len(pairs)) - first < most])
+    rows, n = np.concatenate(offered), [len(o) for o in offered]
+    host, shard = table.column("host")[0].as_py(), table.column("shard")[0].as_py()
+    kind = np.repeat(np.array([0, 1], np.int32), n)
+    return pa.table([pa.array([host] * len(rows), pa.string()), pa.array(np.full(len(rows), shard)), pa.array(rows[:, 0]), pa.array(kind), pa.array(rows[:, 1])], names=["host", "shard", "window", "kind", "holder"])
+
+
+def _decide(table: pa.Table, known: pa.Table, least: int) -> pa.Table:
+    """(row, at, kept) of the pages of which something goes: the blocks concerned and what is left of them."""
+    out: dict[int, list[tuple[int, str]]] = {}
+    if table.num_rows:
+        s = _streams(table)
+        other = dict(zip(known.column("window").to_pylist(), known.column("often").to_pylist()))
+        twice, often = s.shared(least, other)
+        texts = table.column("texts")
+        for p, k, kind, a, b in s.bounds:
+            if kind == SHORT:
+                gone = np.full(b - a, often[a:b].all())
             else:
-                kept.append(t)
-        out.append(" ".join(kept))
-    return pa.table([table.column("id"), table.column("url"), pa.array(out, pa.string())], names=["id", "url", "text"])
+                gone = whole_runs(twice[a:b], least)
+            if gone.any():
+                words = texts[p][k].as_py().split(" ")
+                out.setdefault(p, []).append((k, " ".join(w for w, g in zip(words, gone) if not g)))
+    rows = table.column("row").to_pylist()
+    number = table.column("numbers")
+    return pa.table(
+        [pa.array([rows[p] for p in out], pa.int64()), pa.array([[number[p][k].as_py() for k, _ in x] for p, x in out.items()], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in out.values()], pa.list_(pa.string()))],
+        names=["row", "at", "kept"],
+    )
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_TOKENS) -> DataFrame:
@@ -284,15 +389,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    kind = dict(source.dtypes)["id"]
-    parsed = scratch.keep(source.mapInArrow(_parse, f"id {kind}, url string, host string, kinds array<int>, texts array<string>, size long"), "parsed")
-    # Pages without undecided text need no neighbours.
-    settled = ~F.exists("kinds", lambda k: k == UNSURE)
-    done = parsed.where(settled).select("id", "url", F.array_join("texts", " ").alias("text"))
-    open_ = parsed.where(~settled)
-    shards = open_.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum("size") / SHARD_CHARS)).cast("int").alias("shards")).where("host is not null")
+    schema = f"id {dict(source.dtypes)['id']}, url string, host string, family long, kinds array<int>, texts array<string>, size long"
+    # Rows are numbered as they are written, so a number stays with its row whatever is computed again.
+    parsed = scratch.keep(source.mapInArrow(_parse, schema).withColumn("row", F.monotonically_increasing_id()), "parsed")
+
+    undecided = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("texts").alias("text"), F.sequence(F.lit(0), F.size("kinds") - 1).alias("number")), lambda b: b.kind != KEEP)
+    open_ = parsed.where("size > 0").withColumn("b", undecided).select("row", "host", "family", "size", F.col("b.kind").alias("kinds"), F.col("b.text").alias("texts"), F.col("b.number").alias("numbers"))
+    shards = open_.where("host is not null").groupBy("host").agg(F.ceil(F.sum("size") / SHARD_CHARS).cast("long").alias("shards"))
     shards = scratch.keep(shards, "shards")
-    dealt = open_.join(maybe_broadcast(shards, shards.count()), "host", "left")
-    dealt = dealt.withColumn("shard", F.when(F.col("host").isNull(), F.xxhash64("id", "url", "texts")).otherwise(F.pmod(F.xxhash64("id", "url"), F.col("shards"))))
-    joined = dealt.select("host", "shard", "id", "url", "kinds", "texts").groupBy("host", "shard").applyInArrow(lambda t: _join(t, least), f"id {kind}, url string, text string")
-    return done.unionByName(joined)
+    # A page without a host has no neighbours.
+    dealt = open_.join(maybe_broadcast(shards, shards.count()), "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
+    columns = ["host", "shard", "row", "family", "kinds", "texts", "numbers"]
+    offers = dealt.where("shards > 1").select(*columns).groupBy("host", "shard").applyInArrow(lambda t: _offers(t, least), "host string, shard long, window long, kind int, holder long")
+    offers = scratch.keep(offers, "offers")
+    counts = offers.groupBy("host", "window", "kind", "holder").agg(F.lit(1).alias("one")).groupBy("host", "window").agg(F.count_if(F.col("kind") == 0).alias("streams"), F.count_if(F.col("kind") == 1).alias("families"))
+    # A table of its own, so that the rows of a window which every shard holds can be split in the join.
+    shared = scratch.keep(counts.where("streams >= 2").select("host", "window", (F.col("families") >= LEAST_FAMILIES).alias("often")), "shared")
+    known = offers.select("host", "shard", "window").distinct().join(shared, ["host", "window"]).select("host", "shard", "window", "often")
+    decided = dealt.select(*columns).groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(lambda a, b: _decide(a, b, least), "row long, at array<int>, kept array<string>")
+    decided = scratch.keep(decided, "decided")
+    left = F.transform("texts", lambda t, i: F.coalesce(F.try_element_at(F.map_from_arrays("at", "kept"), i), t))
+    # Rows are wide: counted in units of a hundred characters.
+    size = decided.agg(F.count("*") + F.sum(F.length(F.array_join("kept", ""))) / 100).first()[0]
+    out = parsed.join(maybe_broadcast(decided, size or 0), "row", "left")
+    return out.select("id", "url", F.array_join(F.filter(left, lambda t: t != ""), " ").alias("text"))

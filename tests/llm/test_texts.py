@@ -417,17 +417,129 @@ def test_host_boilerplate_goes_and_equal_pages_stay(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><a href="/main">Home</a><h1>Title</h1><p>story', "Home Title story"),
+        ('<div class="site no-sidebar"><article><p>text</article></div>', "text"),
+        ('<div id="page" class="hfeed site has-header"><main><p>text</main></div>', "text"),
+        ('<div class="side-by-side"><p>text</div>', "text"),
+        ('<div class="follow-up"><p>text</div>', "text"),
+        ('<article class="commentary"><p>text</article>', "text"),
+        ('<article><div class="entry-header"><h1>Headline</h1></div><p>text</article>', "Headline text"),
+        ('<div class="main-logo">Logo</div><div class="content"><p>Story</div>', "Logo Story"),
+        ('<div class="notice sidebar"><article><p>text</article></div>', "text"),
+        ('<form id="aspnet"><div class="header">top</div><article><p>text</article></form>', "text"),
+        ('<article><p>text</p><article class="comment"><p>reader</article><aside><article><p>teaser</article></aside></article>', "text"),
+        ('<div role="navigation">n</div><div role="main"><p>text</p><div class="ad">buy</div></div><div role="contentinfo">f</div>', "text"),
+        ('<article><p hidden>no</p><p style="display: none">no</p><p>yes</article>', "yes"),
+    ],
+)
+def test_markup_drops_only_what_it_names(page, want):
+    assert " ".join(t for _, t in html_text.blocks(page)) == want
+
+
+def plain_text(rows, least):
+    """The whole rule with sets of token windows and no suffix array, over all pages of a host at once."""
+    pages = [(r[0], (html_text._HOST.match(r[1] or "") or [None, None])[1], html_text.blocks(r[2])) for r in rows]
+    out = {}
+    for p, (i, host, own) in enumerate(pages):
+        open_ = [(k, b) for k, b in enumerate(own) if b[0] != html_text.KEEP]
+        if host is None or not open_:
+            out[i] = " ".join(t for _, t in own)
+            continue
+
+        def stretches(blocks_):
+            """Lists of (block, token) that lie side by side."""
+            got, last = [], None
+            for k, (kind, text) in enumerate(blocks_):
+                if kind == html_text.KEEP:
+                    continue
+                if last is None or html_text.SHORT in (last, kind):
+                    got.append([])
+                got[-1] += [(k, w) for w in text.split(" ")]
+                last = kind
+            return got
+
+        def windows(blocks_):
+            return {tuple(w for _, w in s[a : a + least]) for s in stretches(blocks_) for a in range(len(s) - least + 1)}
+
+        longest = lambda blocks_: max((t for _, t in blocks_), key=lambda t: (len(t), t))
+        stream = lambda blocks_: [b for b in blocks_ if b[0] != html_text.KEEP]
+        mine = [(windows(x), stream(x), longest(x)) for _, h, x in pages if h == host and stream(x)]
+        twice, often = collections.Counter(), collections.Counter()
+        gone: dict = {}
+        for s in stretches(own):
+            for a in range(len(s) - least + 1):
+                w = tuple(x for _, x in s[a : a + least])
+                holders = [(st, fam) for ws, st, fam in mine if w in ws]
+                for j in range(a, a + least):
+                    key = (id(s), j)
+                    twice[key] |= any(st != stream(own) for st, _ in holders)
+                    often[key] |= len({fam for _, fam in holders}) >= html_text.LEAST_FAMILIES
+            for j, (k, _) in enumerate(s):
+                gone.setdefault(k, []).append((twice[id(s), j], often[id(s), j]))
+        parts = []
+        for k, (kind, text) in enumerate(own):
+            flags = gone.get(k)
+            if kind == html_text.KEEP:
+                parts.append(text)
+            elif kind == html_text.SHORT:
+                parts += [] if all(o for _, o in flags) else [text]
+            else:
+                cut = html_text.whole_runs(np.array([bool(t) for t, _ in flags]), least)
+                parts.append(" ".join(w for w, g in zip(text.split(" "), cut) if not g))
+        out[i] = " ".join(x for x in parts if x)
+    return out
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 1500])
+def test_hosts_match_brute_force_however_they_are_dealt(spark, monkeypatch, shard):
+    """Undecided pages, articles with short blocks, boilerplate on two or many pages, copies under two addresses."""
+    monkeypatch.setattr(html_text, "SHARD_CHARS", shard)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    text = lambda n: " ".join(word() for _ in range(n))
+    common = [text(rng.randint(2, 9)) for _ in range(8)]
+    rows = []
+    for i in range(90):
+        host = rng.choice(["big.example", "big.example", "big.example", "small.example", None])
+        parts = [text(rng.randint(3, 60)) for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.randint(0, 4)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(common))
+        body = "".join(f"<{t}>{x}</{t}>" for x in parts for t in [rng.choice(["p", "div", "li"])])
+        page = f"<div>{rng.choice(common)}</div><article>{body}</article>" if i % 2 else f"<body>{body}"
+        if rows and i % 7 == 0:
+            page = rng.choice(rows)[2]
+        rows.append((i, host and f"https://{host}/{i}", page))
+    got = {r.id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = plain_text(rows, html_text.LEAST_TOKENS)
+    assert got == want
+    assert sum(want[i] != " ".join(t for _, t in html_text.blocks(rows[i][2])) for i in want) > 20
+
+
+def test_pages_of_odd_rows(spark):
+    """Clashing names, repeated page ids and a very long page."""
+    long = "<article>" + "".join(f"<p>{' '.join(f'w{k}x{j}' for j in range(50))}</p>" for k in range(3000)) + "</article>"
+    rows = [(1, "https://h/1", long, "a"), (1, "https://h/1", "<p>one two", "b"), (None, None, None, "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumns({"host": F.lit("x"), "row": F.lit(1), "kinds": F.lit(2), "id": F.lit(3)})
+    got = [(r.id, len(r.text)) for r in html_text.extract(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, len(re.sub("</p><p>", " ", long)) - len("<article><p></p></article>")), (1, 7), (None, 0)], key=repr)
+
+
 def test_suffix_array_matches_plain_search():
     rng = random.Random(6)
     streams = [[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(12)]
-    got = html_text.boilerplate(streams, 4)
-    for p, s in enumerate(streams):
-        want = [False] * len(s)
+    pages = [[(html_text.UNSURE, " ".join(s))] if s else [] for s in streams]
+    made = html_text.Streams(pages, list(range(len(pages))))
+    covered, _ = made.shared(4)
+    for p, k, _, a, b in made.bounds:
+        s, want = streams[p], [False] * len(streams[p])
         for i in range(len(s) - 3):
             run = s[i : i + 4]
             if any(o != s and any(o[k : k + 4] == run for k in range(len(o) - 3)) for o in streams):
                 want[i : i + 4] = [True] * 4
-        assert list(got[p]) == want
+        assert list(covered[a:b]) == want
     tokens = np.array([rng.randrange(3) for _ in range(60)])
     order, ranks = html_text.suffix_array(tokens)
     suffixes = sorted(range(60), key=lambda i: tokens[i:].tolist())
