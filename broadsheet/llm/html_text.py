@@ -3,21 +3,17 @@
 A page falls into blocks. Markup drops only what it names by element, exact role or exact class or id: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments; an element that is named so by class or id
 only does not take an ``article`` or ``main`` inside it along. If the page has an ``article`` or a main element, text
-outside it goes too. What is left is judged by what the other pages of the host hold:
+outside it goes too. Paragraphs, headings, list items, quotes, tables and the like inside it stay. What is left is
+undecided: all text of pages without such an element, and loose text of other containers inside one. It is judged by what
+the other pages of the host hold: tokens in runs of at least ``LEAST_TOKENS`` that a page with another stream holds too are
+boilerplate and go; unique runs stay (a run that only reaches a few tokens into the next block leaves that block alone).
 
-* UNSURE blocks: all text of pages without such an element, and loose text of other containers inside one. Their tokens in
-  runs of at least ``LEAST_TOKENS`` that a page with another stream holds too are boilerplate and go; unique runs stay (a
-  run that only reaches a few tokens into the next block leaves that block alone).
-* SHORT blocks: paragraphs, headings, list items and the like inside the article, of at most ``SHORT_TOKENS`` tokens. Such a
-  block goes only as a whole, when runs cover it that pages of ``LEAST_FAMILIES`` families hold. Pages with the same longest
-  block are one family, so that an article which a host serves many times keeps its text.
-* Longer text blocks of the article stay.
-
-Pages with equal streams count as one page, so a page that is served under two addresses keeps its text.
+Pages with equal streams count as one page, so a page that is served under two addresses keeps its text. Text that the
+markup calls the article is never judged so: sites repeat passages in many articles, and those are article text.
 
 The undecided token streams of a host are concatenated and sorted into a suffix array. A host with more than
 ``SHARD_CHARS`` characters of them is dealt into shards with an array each; the shards then exchange the hashes of their
-windows of ``LEAST_TOKENS`` tokens (of each at most a few holders), so a run that pages of different shards share counts
+windows of ``LEAST_TOKENS`` tokens (of each at most two holders), so a run that pages of different shards share counts
 like one inside a shard, and the number of shards changes no result. No task holds a whole host.
 
 Cases: null html gives an empty text. Character references are decoded; white space inside a block becomes one space;
@@ -44,10 +40,8 @@ from broadsheet.llm.shared import Scratch, chunks, maybe_broadcast
 from broadsheet.llm.words import U64, Words, mix
 
 LEAST_TOKENS = 5
-SHORT_TOKENS = 40
-LEAST_FAMILIES = 3
 SHARD_CHARS = 4_000_000
-KEEP, UNSURE, SHORT = 0, 1, 2
+KEEP, UNSURE = 0, 1
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -92,7 +86,7 @@ def _named(attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(KEEP, UNSURE or SHORT, text) of the page's blocks in order, dropped ones left out."""
+    """(KEEP or UNSURE, text) of the page's blocks in order, dropped ones left out."""
     if not page:
         return []
     out: list[tuple[bool, bool, str]] = []  # inside the article, in a text element, text
@@ -177,14 +171,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     if not dropped:
         flush()
     if any_main:
-        return [(_article_kind(text) if t else UNSURE, text) for i, t, text in out if i]
+        return [(KEEP if t else UNSURE, text) for i, t, text in out if i]
     return [(UNSURE, text) for _, _, text in out]
 
 
-def _article_kind(text: str) -> int:
-    return SHORT if LEAST_TOKENS <= text.count(" ") + 1 <= SHORT_TOKENS else KEEP
-
-
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix order by prefix doubling, and the ranks at each power of two."""
     n = len(tokens)
@@ -226,84 +216,60 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _groups(values: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """For each group (from starts), whether it has at least ``most`` distinct values."""
-    sizes = np.diff(np.append(starts, len(values)))
-    order = np.lexsort((values, np.repeat(np.arange(len(starts)), sizes)))
-    v = values[order]
-    new = np.ones(len(v), bool)
-    new[1:] = v[1:] != v[:-1]
-    new[starts] = True
-    return np.add.reduceat(new.astype(np.int64), starts) >= most if len(v) else np.zeros(0, bool)
-
-
 class Streams:
-    """The undecided tokens of some pages of a host, one after the other; a negative token parts what is not adjacent."""
+    """The undecided tokens of some pages of a host, one page after the other with a separator of its own before each."""
 
-    def __init__(self, pages: list[list[tuple[int, str]]], families: list[int]):
-        ids, page, at, self.bounds = [], [], [], []
+    def __init__(self, pages: list[list[str]]):
+        ids, page, self.bounds = [], [], []
         numbers: dict[str, int] = {}
-        for p, blocks_ in enumerate(pages):
-            last = None
-            for k, (kind, text) in enumerate(blocks_):
-                if last is None or SHORT in (last, kind):
-                    ids.append(-1 - len(ids))
-                    page.append(p)
+        for p, texts in enumerate(pages):
+            ids.append(-1 - p)
+            page.append(p)
+            for k, text in enumerate(texts):
                 words = text.split(" ")
-                self.bounds.append((p, k, kind, len(ids), len(ids) + len(words)))
+                self.bounds.append((p, k, len(ids), len(ids) + len(words)))
                 ids += [numbers.setdefault(w, len(numbers)) for w in words]
                 page += [p] * len(words)
-                last = kind
         self.tokens, self.page = np.array(ids, np.int64), np.array(page, np.int64)
-        classes: dict[tuple, int] = {}
-        self.class_of = np.array([classes.setdefault(tuple(b), len(classes)) for b in pages], np.int64)
-        #: Names that are the same in every shard.
-        names = [hashlib.blake2b(repr(b).encode("utf-8", "surrogatepass"), digest_size=8).digest() for b in pages]
-        self.class_name = np.array([int.from_bytes(n, "little", signed=True) for n in names], np.int64)
-        self.family = np.array(families, np.int64)
+        #: Names of the pages' streams, the same in every shard.
+        names = [hashlib.blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in pages]
+        self.name = np.array([int.from_bytes(n, "little", signed=True) for n in names], np.int64)
         words = Words(pa.array(list(numbers), pa.string()), separators=np.zeros(256, bool))
-        self.hash = np.zeros(len(numbers), U64)
-        self.hash[np.flatnonzero(words.counts)] = words.hash
+        self.hash = words.hash
 
     def windows(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and place of every window of ``least`` tokens that lies in one stretch."""
-        n = len(self.tokens) - least + 1
-        if n <= 0:
+        """Hash and place of every window of ``least`` tokens of one page."""
+        if len(self.tokens) < least:
             return np.zeros(0, U64), np.zeros(0, np.int64)
-        part = np.concatenate([[0], np.cumsum(self.tokens < 0)])
-        at = np.flatnonzero(part[least:] == part[:-least])
+        parts = np.concatenate([[0], np.cumsum(self.tokens < 0)])
+        at = np.flatnonzero(parts[least:] == parts[:-least])
         out = np.full(len(at), U64(least))
         for k in range(least):
             out = mix(out + self.hash[self.tokens[at + k]] * U64(2 * k + 1))
         return out, at
 
-    def _cover(self, starts: np.ndarray, least: int) -> np.ndarray:
-        covered = np.zeros(len(self.tokens) + 1, np.int64)
-        np.add.at(covered, starts, 1)
-        np.add.at(covered, np.minimum(starts + least, len(self.tokens)), -1)
-        return np.cumsum(covered)[:-1] > 0
-
-    def shared(self, least: int, other: dict[int, bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens lie in a run that another stream holds too, and in one that several families hold.
+    def shared(self, least: int, known: np.ndarray) -> np.ndarray:
+        """Which tokens lie in a run that a page with another stream holds too.
 
-        ``other``: hashes of windows known to be shared with other shards, and whether by several families.
+        ``known``: sorted hashes of windows that are shared with a page of another shard.
         """
-        twice, often = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(self.tokens) and len(self.class_of) > 1:
+        found = [np.zeros(0, np.int64)]
+        if len(np.unique(self.name)) > 1:
             order, ranks = suffix_array(self.tokens)
-            prefix = common_prefixes(order, ranks)
-            starts = np.flatnonzero(prefix < least)
+            starts = np.flatnonzero(common_prefixes(order, ranks) < least)
             sizes = np.diff(np.append(starts, len(order)))
-            held = self.page[order]
-            several = (sizes > 1) & _groups(self.class_of[held], starts, 2)
-            twice = order[np.repeat(several, sizes)]
-            often = order[np.repeat(several & _groups(self.family[held], starts, LEAST_FAMILIES), sizes)]
-        if other:
+            held = self.name[self.page[order]]
+            several = np.minimum.reduceat(held, starts) != np.maximum.reduceat(held, starts)
+            found.append(order[np.repeat(several, sizes)])
+        if len(known):
             h, at = self.windows(least)
-            flags = [other.get(x) for x in h.view(np.int64).tolist()]
-            twice = np.append(twice, at[[f is not None for f in flags]])
-            often = np.append(often, at[[bool(f) for f in flags]])
-        return self._cover(twice, least), self._cover(often, least)
+            h = h.view(np.int64)
+            found.append(at[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h])
+        starts = np.concatenate(found)
+        covered = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, np.minimum(starts + least, len(self.tokens)), -1)
+        return np.cumsum(covered)[:-1] > 0
 
 
 def whole_runs(flags: np.ndarray, least: int) -> np.ndarray:
@@ -323,63 +289,46 @@ _HOST = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, 2):
-        hosts, families, kinds, texts, sizes = [], [], [], [], []
+        hosts, kinds, texts, sizes = [], [], [], []
         for url, page in zip(part.column(1), part.column(2)):
             m = _HOST.match(url.as_py() or "")
             hosts.append(m.group(1).lower() if m else None)
             got = blocks(page.as_py())
             kinds.append([k for k, _ in got])
             texts.append([t for _, t in got])
-            sizes.append(sum(len(t) for k, t in got if k != KEEP))
-            longest = max((t for _, t in got), key=lambda t: (len(t), t), default="")
-            families.append(int.from_bytes(hashlib.blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            sizes.append(sum(len(t) for k, t in got if k == UNSURE))
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(families, pa.int64()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64())],
-            names=["id", "url", "host", "family", "kinds", "texts", "size"],
+            [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64())],
+            names=["id", "url", "host", "kinds", "texts", "size"],
         )
 
 
-def _streams(table: pa.Table) -> Streams:
-    kinds, texts = table.column("kinds").to_pylist(), table.column("texts").to_pylist()
-    return Streams([list(zip(k, t)) for k, t in zip(kinds, texts)], table.column("family").to_pylist())
-
-
 def _offers(table: pa.Table, least: int) -> pa.Table:
-    """Windows of a shard, each with at most two of the streams and LEAST_FAMILIES of the families that hold it."""
-    s = _streams(table)
+    """The distinct windows of a shard, each with two of the streams that hold it (twice the same if there is one)."""
+    s = Streams(table.column("texts").to_pylist())
     h, at = s.windows(least)
-    page = s.page[at]
-    offered = []
-    for values, most in ((s.class_name[page], 2), (s.family[page], LEAST_FAMILIES)):
-        pairs = np.unique(np.stack([h.view(np.int64), values], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
-        first = np.repeat(runs(pairs[:, 0]), np.diff(np.append(runs(pairs[:, 0]), len(pairs))))
-        offered.append(pairs[np.arange(len(pairs)) - first < most])
-    rows, n = np.concatenate(offered), [len(o) for o in offered]
-    host, shard = table.column("host")[0].as_py(), table.column("shard")[0].as_py()
-    kind = np.repeat(np.array([0, 1], np.int32), n)
-    return pa.table([pa.array([host] * len(rows), pa.string()), pa.array(np.full(len(rows), shard)), pa.array(rows[:, 0]), pa.array(kind), pa.array(rows[:, 1])], names=["host", "shard", "window", "kind", "holder"])
+    order = np.argsort(h, kind="stable")
+    h, held = h[order].view(np.int64), s.name[s.page[at[order]]]
+    starts = runs(h)
+    low, high = (np.minimum.reduceat(held, starts), np.maximum.reduceat(held, starts)) if len(h) else (held, held)
+    n = len(starts)
+    return pa.table([pa.array([table.column("host")[0].as_py()] * n, pa.string()), pa.array(np.full(n, table.column("shard")[0].as_py())), pa.array(h[starts]), pa.array(low), pa.array(high)], names=["host", "shard", "window", "low", "high"])
 
 
 def _decide(table: pa.Table, known: pa.Table, least: int) -> pa.Table:
     """(row, at, kept) of the pages of which something goes: the blocks concerned and what is left of them."""
     out: dict[int, list[tuple[int, str]]] = {}
     if table.num_rows:
-        s = _streams(table)
-        other = dict(zip(known.column("window").to_pylist(), known.column("often").to_pylist()))
-        twice, often = s.shared(least, other)
-        texts = table.column("texts")
-        for p, k, kind, a, b in s.bounds:
-            if kind == SHORT:
-                gone = np.full(b - a, often[a:b].all())
-            else:
-                gone = whole_runs(twice[a:b], least)
+        texts = table.column("texts").to_pylist()
+        s = Streams(texts)
+        covered = s.shared(least, np.sort(known.column("window").to_numpy()))
+        for p, k, a, b in s.bounds:
+            gone = whole_runs(covered[a:b], least)
             if gone.any():
-                words = texts[p][k].as_py().split(" ")
-                out.setdefault(p, []).append((k, " ".join(w for w, g in zip(words, gone) if not g)))
-    rows = table.column("row").to_pylist()
-    number = table.column("numbers")
+                out.setdefault(p, []).append((k, " ".join(w for w, g in zip(texts[p][k].split(" "), gone) if not g)))
+    rows, numbers = table.column("row").to_pylist(), table.column("numbers")
     return pa.table(
-        [pa.array([rows[p] for p in out], pa.int64()), pa.array([[number[p][k].as_py() for k, _ in x] for p, x in out.items()], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in out.values()], pa.list_(pa.string()))],
+        [pa.array([rows[p] for p in out], pa.int64()), pa.array([[numbers[p][k].as_py() for k, _ in x] for p, x in out.items()], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in out.values()], pa.list_(pa.string()))],
         names=["row", "at", "kept"],
     )
 
@@ -389,23 +338,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    schema = f"id {dict(source.dtypes)['id']}, url string, host string, family long, kinds array<int>, texts array<string>, size long"
+    schema = f"id {dict(source.dtypes)['id']}, url string, host string, kinds array<int>, texts array<string>, size long"
     # Rows are numbered as they are written, so a number stays with its row whatever is computed again.
     parsed = scratch.keep(source.mapInArrow(_parse, schema).withColumn("row", F.monotonically_increasing_id()), "parsed")
 
-    undecided = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("texts").alias("text"), F.sequence(F.lit(0), F.size("kinds") - 1).alias("number")), lambda b: b.kind != KEEP)
-    open_ = parsed.where("size > 0").withColumn("b", undecided).select("row", "host", "family", "size", F.col("b.kind").alias("kinds"), F.col("b.text").alias("texts"), F.col("b.number").alias("numbers"))
+    undecided = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("texts").alias("text"), F.sequence(F.lit(0), F.size("kinds") - 1).alias("number")), lambda b: b.kind == UNSURE)
+    open_ = parsed.where("size > 0").withColumn("b", undecided).select("row", "host", "size", F.col("b.text").alias("texts"), F.col("b.number").alias("numbers"))
     shards = open_.where("host is not null").groupBy("host").agg(F.ceil(F.sum("size") / SHARD_CHARS).cast("long").alias("shards"))
     shards = scratch.keep(shards, "shards")
     # A page without a host has no neighbours.
     dealt = open_.join(maybe_broadcast(shards, shards.count()), "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
-    columns = ["host", "shard", "row", "family", "kinds", "texts", "numbers"]
-    offers = dealt.where("shards > 1").select(*columns).groupBy("host", "shard").applyInArrow(lambda t: _offers(t, least), "host string, shard long, window long, kind int, holder long")
+    columns = ["host", "shard", "row", "texts", "numbers"]
+    offers = dealt.where("shards > 1").select(*columns).groupBy("host", "shard").applyInArrow(lambda t: _offers(t, least), "host string, shard long, window long, low long, high long")
     offers = scratch.keep(offers, "offers")
-    counts = offers.groupBy("host", "window", "kind", "holder").agg(F.lit(1).alias("one")).groupBy("host", "window").agg(F.count_if(F.col("kind") == 0).alias("streams"), F.count_if(F.col("kind") == 1).alias("families"))
+    held = offers.groupBy("host", "window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # A table of its own, so that the rows of a window which every shard holds can be split in the join.
-    shared = scratch.keep(counts.where("streams >= 2").select("host", "window", (F.col("families") >= LEAST_FAMILIES).alias("often")), "shared")
-    known = offers.select("host", "shard", "window").distinct().join(shared, ["host", "window"]).select("host", "shard", "window", "often")
+    shared = scratch.keep(held.where("low <> high").select("host", "window"), "shared")
+    known = offers.select("host", "shard", "window").join(shared, ["host", "window"], "left_semi").select("host", "shard", "window")
     decided = dealt.select(*columns).groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(lambda a, b: _decide(a, b, least), "row long, at array<int>, kept array<string>")
     decided = scratch.keep(decided, "decided")
     left = F.transform("texts", lambda t, i: F.coalesce(F.try_element_at(F.map_from_arrays("at", "kept"), i), t))

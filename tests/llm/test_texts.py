@@ -441,53 +441,25 @@ def test_markup_drops_only_what_it_names(page, want):
 
 def plain_text(rows, least):
     """The whole rule with sets of token windows and no suffix array, over all pages of a host at once."""
-    pages = [(r[0], (html_text._HOST.match(r[1] or "") or [None, None])[1], html_text.blocks(r[2])) for r in rows]
+    pages = []
+    for i, url, page in rows:
+        own = html_text.blocks(page)
+        words = [(k, w) for k, (kind, text) in enumerate(own) if kind == html_text.UNSURE for w in text.split(" ")]
+        windows = {tuple(w for _, w in words[a : a + least]) for a in range(len(words) - least + 1)}
+        pages.append((i, url and url.split("/")[2], own, words, windows, [t for kind, t in own if kind == html_text.UNSURE]))
     out = {}
-    for p, (i, host, own) in enumerate(pages):
-        open_ = [(k, b) for k, b in enumerate(own) if b[0] != html_text.KEEP]
-        if host is None or not open_:
-            out[i] = " ".join(t for _, t in own)
-            continue
-
-        def stretches(blocks_):
-            """Lists of (block, token) that lie side by side."""
-            got, last = [], None
-            for k, (kind, text) in enumerate(blocks_):
-                if kind == html_text.KEEP:
-                    continue
-                if last is None or html_text.SHORT in (last, kind):
-                    got.append([])
-                got[-1] += [(k, w) for w in text.split(" ")]
-                last = kind
-            return got
-
-        def windows(blocks_):
-            return {tuple(w for _, w in s[a : a + least]) for s in stretches(blocks_) for a in range(len(s) - least + 1)}
-
-        longest = lambda blocks_: max((t for _, t in blocks_), key=lambda t: (len(t), t))
-        stream = lambda blocks_: [b for b in blocks_ if b[0] != html_text.KEEP]
-        mine = [(windows(x), stream(x), longest(x)) for _, h, x in pages if h == host and stream(x)]
-        twice, often = collections.Counter(), collections.Counter()
-        gone: dict = {}
-        for s in stretches(own):
-            for a in range(len(s) - least + 1):
-                w = tuple(x for _, x in s[a : a + least])
-                holders = [(st, fam) for ws, st, fam in mine if w in ws]
-                for j in range(a, a + least):
-                    key = (id(s), j)
-                    twice[key] |= any(st != stream(own) for st, _ in holders)
-                    often[key] |= len({fam for _, fam in holders}) >= html_text.LEAST_FAMILIES
-            for j, (k, _) in enumerate(s):
-                gone.setdefault(k, []).append((twice[id(s), j], often[id(s), j]))
+    for i, host, own, words, _, stream in pages:
+        gone = [False] * len(words)
+        for a in range(len(words) - least + 1):
+            w = tuple(x for _, x in words[a : a + least])
+            if host and any(h == host and st != stream and w in ws for _, h, _, _, ws, st in pages):
+                gone[a : a + least] = [True] * least
         parts = []
         for k, (kind, text) in enumerate(own):
-            flags = gone.get(k)
             if kind == html_text.KEEP:
                 parts.append(text)
-            elif kind == html_text.SHORT:
-                parts += [] if all(o for _, o in flags) else [text]
             else:
-                cut = html_text.whole_runs(np.array([bool(t) for t, _ in flags]), least)
+                cut = html_text.whole_runs(np.array([g for (b, _), g in zip(words, gone) if b == k]), least)
                 parts.append(" ".join(w for w, g in zip(text.split(" "), cut) if not g))
         out[i] = " ".join(x for x in parts if x)
     return out
@@ -530,10 +502,9 @@ def test_pages_of_odd_rows(spark):
 def test_suffix_array_matches_plain_search():
     rng = random.Random(6)
     streams = [[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(12)]
-    pages = [[(html_text.UNSURE, " ".join(s))] if s else [] for s in streams]
-    made = html_text.Streams(pages, list(range(len(pages))))
-    covered, _ = made.shared(4)
-    for p, k, _, a, b in made.bounds:
+    made = html_text.Streams([[" ".join(s)] if s else [] for s in streams])
+    covered = made.shared(4, np.zeros(0, np.int64))
+    for p, k, a, b in made.bounds:
         s, want = streams[p], [False] * len(streams[p])
         for i in range(len(s) - 3):
             run = s[i : i + 4]
