@@ -38,6 +38,16 @@ def aisle(bias: Column) -> Column:
     return F.when(bias < 0, "left").when(bias > 0, "right").when(bias == 0, "center")
 
 
+def smiley(value: Column, bias: float) -> Column:
+    """A face for scores beyond the neutral zone, else nothing."""
+    return F.when(value > bias, "😊").when(value < -bias, "😭").otherwise("")
+
+
+def colour(value: Column, bias: float, span: float) -> Column:
+    """The colour of a score as CSS; light grey for a missing one."""
+    return F.when(value.isNull(), "#f9fafb").otherwise(F.concat(F.lit("hsl("), F.format_number(hue(value, bias, span), 2), F.lit(", 100%, 50%)")))
+
+
 def hue(value: Column, bias: float, span: float) -> Column:
     """Colour scale from red (0) to green (120)."""
     return F.least(F.greatest((value + bias) / (span * bias) * 120, F.lit(0.0)), F.lit(120.0))

@@ -91,8 +91,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def remove_stops(text: Column | str) -> Column:
-    """Ordered replacements; order matters, white space collapses last."""
-    return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), REPLACEMENTS, _col(text))
+    """Ordered replacements; order matters, white space collapses last.
+
+    Literals are replaced as such. The phrases about time all end in `` ago``: their patterns run only over texts with it.
+    """
+
+    def fold(c: Column, rules: list[tuple[str, str]]) -> Column:
+        for old, new in rules:
+            literal = not set(old) & set(r"\\?()+*[]")
+            c = F.replace(c, F.lit(old), F.lit(new)) if literal else F.regexp_replace(c, F.lit(old), F.lit(new))
+        return c
+
+    ago = [k for k, (old, _) in enumerate(REPLACEMENTS) if old.endswith(" ago")]
+    first, last = ago[0], ago[-1] + 1
+    timed = let(fold(_col(text), REPLACEMENTS[:first]), lambda c: F.when(F.contains(c, F.lit(" ago")), fold(c, REPLACEMENTS[first:last])).otherwise(c))
+    return fold(timed, REPLACEMENTS[last:])
 
 
 def words(text: Column | str) -> Column:

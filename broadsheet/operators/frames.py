@@ -122,5 +122,43 @@ def churn_on(df: DataFrame, day: Column, headline: str, article: str) -> DataFra
     return seen.withColumn("churn", F.when(F.col("articles") == 0, 1.0).otherwise(F.try_divide(F.col("headlines"), F.col("articles"))))
 
 
+def short_lived(df: DataFrame, first: str, last: str, days: int = 3) -> DataFrame:
+    """Rows that were up for at most so many days."""
+    return df.where(F.col(last) - F.col(first) <= F.expr(f"interval {days} days"))
+
+
+def _draw(key: str, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the key and the seed only, so a rerun or another partitioning draws alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2**32
+
+
+def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Adds ``part``: train for about ``share`` of the rows, test for the others."""
+    return df.withColumn("part", F.when(_draw(key, seed) < share, "train").otherwise("test"))
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows at random (the number is the feature): each task keeps its first n of the drawn order."""
+    return df.withColumn("_d", _draw(key, seed)).orderBy("_d", key).limit(n).drop("_d")
+
+
+def fill_pairs(counts: DataFrame, left: str, right: str, value: str) -> DataFrame:
+    """One row for each left and right value that occur, 0 where they do not occur together. Both are enumerations."""
+    grid = counts.select(left).distinct().join(F.broadcast(counts.select(right).distinct()), how="cross")
+    return grid.join(counts, [left, right], "left").withColumn(value, F.coalesce(value, F.lit(0).cast(counts.schema[value].dataType)))
+
+
+def non_empty(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The frames that have a row; what comes after skips the others."""
+    return {name: df for name, df in parts.items() if not df.isEmpty()}
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    """The frame, or an error that names what is missing."""
+    if df.isEmpty():
+        raise LookupError(f"no rows: {what}")
+    return df
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     return df.groupBy(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).count()

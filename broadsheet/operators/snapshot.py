@@ -6,12 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _digest(key: str) -> Column:
+    """A text key as it travels: 128 bits instead of the whole text. Null stays null and meets nothing."""
+    return F.unhex(F.md5(F.col(key)))
+
+
+def _against(batch: DataFrame, store: DataFrame, key: str, how: str) -> DataFrame:
+    if batch.schema[key].dataType.typeName() != "string":
+        return batch.join(store.select(key).distinct(), key, how)
+    known = store.select(_digest(key).alias("_key")).distinct()
+    return batch.withColumn("_key", _digest(key)).join(known, "_key", how).drop("_key")
+
+
 def unseen(batch: DataFrame, store: DataFrame, key: str = "processed") -> DataFrame:
-    return batch.join(store.select(key).distinct(), key, "left_anti")
+    """Rows of the batch whose key the store lacks."""
+    return _against(batch, store, key, "left_anti")
 
 
 def seen(batch: DataFrame, store: DataFrame, key: str = "processed") -> DataFrame:
-    return batch.join(store.select(key).distinct(), key, "left_semi")
+    """Rows of the batch whose key the store holds."""
+    return _against(batch, store, key, "left_semi")
+
+
+def append(batch: DataFrame, path: str, key: str) -> DataFrame:
+    """Adds the rows of the batch that the table at ``path`` lacks, one for each key, and returns the whole table."""
+    spark = batch.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    one = batch.dropDuplicates([key])
+    new = unseen(one, spark.read.schema(batch.schema).parquet(path), key) if there else one
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(batch.schema).parquet(path)
+
+
+def without_null(batch: DataFrame, key: str = "processed") -> DataFrame:
+    """Rows whose key is not null; an empty text is one and stays until :func:`empties` are deleted."""
+    return batch.where(F.col(key).isNotNull())
+
+
+def empties(store: DataFrame, key: str = "processed") -> DataFrame:
+    """Rows whose key is the empty text: those that a clean-up deletes."""
+    return store.where(F.col(key) == "")
 
 
 def upsert(store: DataFrame, batch: DataFrame, key: str, first: str = "first_accessed", last: str = "last_accessed") -> DataFrame:

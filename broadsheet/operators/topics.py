@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.scratch import maybe_broadcast
 
 THRESHOLD = 0.05
+MOST_TOPICS = 500
 
 
 def scores(docs: DataFrame, topics: DataFrame, topic_rows: int, id_col: str, tokens_col: str, stopwords: list[str] | None = None) -> DataFrame:
     """(id, topic_id, score) of all topics: 0 without an essential token, else keyword hits over tokens plus one.
 
-    The topics are a side input of a few rows (counted by the caller), so the cross product is a broadcast.
+    The topics are a side input of a few rows (counted by the caller, MOST_TOPICS at most): they become one expression
+    each, so a document's tokens are not copied, and a keyword is looked up in a hash set.
     """
-    grams = docs.withColumn("_all", tx.let(F.col(tokens_col), lambda t: F.concat(t, tx.ngrams(t, 2, stopwords=stopwords))))
-    pairs = grams.join(maybe_broadcast(topics, topic_rows), how="cross")
-    hits = F.size(F.filter("_all", lambda t: F.array_contains("keywords", t)))
-    score = F.when(F.arrays_overlap(tokens_col, "essential"), hits / (F.size(tokens_col) + 1)).otherwise(F.lit(0.0))
-    return pairs.select(id_col, "topic_id", score.alias("score"))
+    if topic_rows > MOST_TOPICS:
+        raise ValueError(f"{topic_rows} topics: at most {MOST_TOPICS} become expressions")
+    side = sorted(topics.select("topic_id", "keywords", "essential").collect(), key=lambda r: r.topic_id)
+    if not side:
+        return docs.select(id_col, F.lit(None).cast(topics.schema["topic_id"].dataType).alias("topic_id"), F.lit(0.0).alias("score")).where("false")
+    kind = topics.schema["topic_id"].dataType
+
+    def one(t: Column, grams: Column, r: Row) -> Column:
+        hits = F.size(F.filter(grams, lambda x: x.isin(r.keywords or [])))
+        score = F.when(F.exists(t, lambda x: x.isin(r.essential or [])), hits / (F.size(t) + 1)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(r.topic_id).cast(kind).alias("topic_id"), score.alias("score"))
+
+    grams = docs.select(id_col, F.col(tokens_col).alias("_t"), tx.let(F.col(tokens_col), lambda t: F.concat(t, tx.ngrams(t, 2, stopwords=stopwords))).alias("_g"))
+    return grams.select(id_col, F.inline(F.array(*[one(F.col("_t"), F.col("_g"), r) for r in side])))
 
 
 def assign(scored: DataFrame, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -29,6 +39,20 @@ def assign(scored: DataFrame, id_col: str, threshold: float = THRESHOLD) -> Data
     return best.where(F.col("b.score") > threshold).select(id_col, "b.topic_id", F.col("b.score").alias("topic_score"))
 
 
+def candidates(headlines: DataFrame, topics: DataFrame, title: str = "title", topic_id: str = "topic_id") -> DataFrame:
+    """Headlines without a topic whose title holds an essential word of some topic, in any case: what the batch run reads."""
+    words = sorted({w for r in topics.select("essential").collect() for w in r.essential or []})
+    return headlines.where(F.col(topic_id).isNull() & tx.matches_any(title, words))
+
+
+def assign_last(scored: DataFrame, article: str, order: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(article, topic_id, topic_score) when the rows of an article are written one after the other: each headline
+    (``order``) has its best topic, and the last one above the threshold stands."""
+    best = scored.groupBy(article, order).agg(F.max_by(F.struct("topic_id", "score"), F.struct("score", -F.col("topic_id"))).alias("b")).where(F.col("b.score") > threshold)
+    last = best.groupBy(article).agg(F.max_by("b", order).alias("b"))
+    return last.select(article, "b.topic_id", F.col("b.score").alias("topic_score"))
+
+
 def assign_missing(articles: DataFrame, scored: DataFrame, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Articles that have a topic keep it; others take their best one."""
     new = assign(scored, id_col, threshold).select(id_col, F.col("topic_id").alias("_t"), F.col("topic_score").alias("_s"))

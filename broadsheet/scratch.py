@@ -35,6 +35,10 @@ class Scratch:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def end(self) -> None:
+        """Deletes the whole folder, once what was made of it is read no more."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm

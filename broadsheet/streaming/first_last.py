@@ -2,7 +2,8 @@
 
 ``sightings`` is the stateful query: one running minimum and maximum per key. ``ingest`` keeps a snapshot table up to date
 from micro-batches: each batch is combined with the current snapshot by one aggregate and written as a new version, and a
-version is named by its batch, so a batch that is run again after a failure rewrites its own version only.
+version is named by its batch, so a batch that is run again after a failure rewrites its own version only. The state is
+what lies in the folder: a restart goes on from the last version below its batch.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from broadsheet.operators import snapshot
 from broadsheet.scratch import checkpoint_dir
 
 
-def stream(spark: SparkSession, path: str, schema) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A folder of parquet files as a stream; a single file is taken from its folder by name."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at, fs = _folder(spark, path)
     reader = spark.readStream.schema(schema)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if fs.getFileStatus(at).isFile():
         return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
     return reader.parquet(path)
 
@@ -31,14 +34,54 @@ def ingest(rows: DataFrame, key: str, ts: str, name: str) -> DataFrame:
     """Runs what is available to its end and returns the last snapshot (key, first_accessed, last_accessed)."""
     spark = rows.sparkSession
     root = f"{checkpoint_dir(spark)}/broadsheet/{name}"
-    state: dict[str, str] = {}
+    first = rows.select(key, F.col(ts).alias("first_accessed"), F.col(ts).alias("last_accessed"))
 
     def batch(df: DataFrame, n: int) -> None:
         new = df.select(key, F.col(ts).alias("first_accessed"), F.col(ts).alias("last_accessed"))
-        store = spark.read.parquet(state["at"]) if "at" in state else new.limit(0)
+        done = [v for v in versions(spark, root) if v < n]
+        store = spark.read.schema(first.schema).parquet(f"{root}/v{done[-1]}") if done else new.limit(0)
         snapshot.upsert(store, new, key).write.mode("overwrite").parquet(f"{root}/v{n}")
-        state["at"] = f"{root}/v{n}"
+        # The version before stays, for a batch that has to run again; older ones are not read any more.
+        for v in done[:-1]:
+            _delete(spark, f"{root}/v{v}")
 
     query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state["at"])
+    done = versions(spark, root)
+    reader = spark.read.schema(first.schema)
+    return reader.parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], first.schema)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions that were written to their end, ascending."""
+    at, fs = _folder(spark, root)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+    return sorted(v for v in done if fs.exists(_folder(spark, f"{root}/v{v}/_SUCCESS")[0]))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def latest(rows: DataFrame, key: str, ts: str, name: str) -> DataFrame:
+    """Runs :func:`sightings` over what is available and returns its table; the state is Spark's own state store."""
+    spark = rows.sparkSession
+    root = f"{checkpoint_dir(spark)}/broadsheet/{name}"
+    made = sightings(rows, key, ts)
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/v{n}")
+
+    query = made.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = versions(spark, root)
+    return spark.read.schema(made.schema).parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], made.schema)
