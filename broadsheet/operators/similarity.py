@@ -2,7 +2,12 @@
 
 Pairs come from an inverted index with prefix filtering: a document is probed only under its rarest terms, as many as are
 needed so that the rest could not lift a cosine to the threshold, so a word that every headline holds makes no pairs.
-Equal texts are joined once, as one class.
+
+Equal texts are one class with a number of copies (:func:`classes`): pairs are made between classes, and clusters and
+newsiness count copies. Only :func:`similar_pairs`, whose result is the list of pairs, writes them out.
+
+With ``by`` columns every group (a day, a half hour) has weights, pairs and clusters of its own: the columns are part of
+every key, so groups run side by side in one plan.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
 from broadsheet.operators.components import components
-from broadsheet.scratch import Scratch
+from broadsheet.scratch import Scratch, maybe_broadcast
 
 #: Terms of the usual vectoriser: two or more word characters, in lower case.
 TERM = r"(?U)\b\w\w+\b"
@@ -24,37 +29,128 @@ def terms(text: Column | str, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(c) if lower else c, F.lit(TERM), F.lit(0))
 
 
-def tfidf(docs: DataFrame, id_col: str, terms_col: Column, stopwords: list[str] | None = None) -> DataFrame:
-    """(id, term, weight): raw counts times ln((1 + n) / (1 + df)) + 1, scaled to unit length per document."""
+def classes(docs: DataFrame, id_col: str, text_col: str, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (by, id, rep) and classes (by, rep, copies, text) of equal texts; rep is the least id. Texts meet by digest."""
+    by, scratch = by or [], Scratch(docs.sparkSession, "classes")
+    keyed = docs.select(*by, F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("_key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    made = scratch.keep(keyed.groupBy(*by, "_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("text").alias("text")), "classes")
+    members = keyed.drop("text").join(made.select(*by, "_key", "rep"), [*by, "_key"]).select(*by, "id", "rep")
+    return members, made.drop("_key")
+
+
+def tfidf(docs: DataFrame, id_col: str, terms_col: Column, stopwords: list[str] | None = None, by: list[str] | None = None, copies: str | None = None) -> DataFrame:
+    """(by, id, term, weight): raw counts times ln((1 + n) / (1 + df)) + 1, scaled to unit length per document.
+
+    ``copies`` names a column with the number of documents that a row stands for; n and df count them.
+    """
+    by = by or []
     tokens = tx.remove_stop(terms_col, stopwords) if stopwords else terms_col
-    counts = docs.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    n = F.broadcast(docs.agg(F.countDistinct(id_col).alias("n")))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).join(n, how="cross").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def cosine_pairs(weights: DataFrame, id_col: str, threshold: float = 0.5, digits: int = 9) -> DataFrame:
-    """(a, b, sim) of pairs a < b with a cosine of at least the threshold, rounded before it is compared."""
-    spark = weights.sparkSession
-    scratch = Scratch(spark, "cosine")
-    w = scratch.keep(weights.select(F.col(id_col).alias("id"), "term", "weight"), "weights")
-    df = w.groupBy("term").agg(F.count("*").alias("df"))
+    stands = F.col(copies) if copies else F.lit(1).cast("long")
+    counts = docs.select(*by, id_col, stands.alias("_m"), F.explode(tokens).alias("term")).groupBy(*by, id_col, "term").agg(F.count("*").alias("tf"), F.first("_m").alias("_m"))
+    n = docs.select(*by, stands.alias("_m")).groupBy(*by).agg(F.sum("_m").alias("n"))
+    df = counts.groupBy(*by, "term").agg(F.sum("_m").alias("df"))
+    total = df.join(n, by) if by else df.join(F.broadcast(n), how="cross")  # one row without groups
+    idf = total.select(*by, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counts.join(idf, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy(*by, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, [*by, id_col]).select(*by, id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def cosine_pairs(weights: DataFrame, id_col: str, threshold: float = 0.5, digits: int = 9, by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, sim) of pairs a < b with a cosine of at least the threshold, rounded before it is compared."""
+    by, scratch = by or [], Scratch(weights.sparkSession, "cosine")
+    w = scratch.keep(weights.select(*by, F.col(id_col).alias("id"), "term", "weight"), "weights")
+    df = w.groupBy(*by, "term").agg(F.count("*").alias("df"))
     # Terms in order of rarity; a document is entered under terms until what is left has a norm below the threshold.
-    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)))
-    entered = w.join(df, "term").withColumn("tail", tail).where(F.col("tail") >= threshold - 1e-6).select("id", "term")
+    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(*by, "id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)))
+    entered = w.join(df, [*by, "term"]).withColumn("tail", tail).where(F.col("tail") >= threshold - 1e-6).select(*by, "id", "term")
     entered = scratch.keep(entered, "entered")
-    left, right = entered.select(F.col("id").alias("a"), "term"), entered.select(F.col("id").alias("b"), "term")
-    candidates = scratch.keep(left.join(right, "term").where("a < b").select("a", "b").distinct(), "candidates")
-    wa = w.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
-    wb = w.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
-    dots = candidates.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), digits).alias("sim"))
+    left, right = entered.select(*by, F.col("id").alias("a"), "term"), entered.select(*by, F.col("id").alias("b"), "term")
+    candidates = scratch.keep(left.join(right, [*by, "term"]).where("a < b").select(*by, "a", "b").distinct(), "candidates")
+    wa = w.select(*by, F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
+    wb = w.select(*by, F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
+    dots = candidates.join(wa, [*by, "a"]).join(wb, [*by, "b", "term"]).groupBy(*by, "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), digits).alias("sim"))
     return dots.where(F.col("sim") >= threshold)
 
 
+class Similar:
+    """Classes of equal texts of a frame and the pairs of classes that are similar."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, stopwords: list[str] | None = None, by: list[str] | None = None, tokens: Column | None = None):
+        self.by, self.docs, self.id_col, self.threshold = by or [], docs, id_col, threshold
+        self.scratch = Scratch(docs.sparkSession, "similar")
+        members, made = classes(docs, id_col, text_col, self.by)
+        self.members = self.scratch.keep(members, "members")
+        weights = tfidf(made, "rep", terms("text") if tokens is None else tokens, stopwords, self.by, "copies")
+        self.weights = self.scratch.keep(weights, "weights")
+        #: Classes that have a term; a text without one is similar to nothing, its copies included.
+        held = self.weights.select(*self.by, "rep").distinct()
+        self.classes = self.scratch.keep(made.select(*self.by, "rep", "copies").join(held, [*self.by, "rep"]), "classes")
+        self.pairs = self.scratch.keep(cosine_pairs(self.weights, "rep", threshold, by=self.by), "pairs")
+
+    def listed(self) -> DataFrame:
+        """(by, a, b, sim) of all documents: the pairs of classes written out, and those inside a class."""
+        m = self.members.join(self.classes.select(*self.by, "rep"), [*self.by, "rep"])
+        one, two = m.select(*self.by, F.col("id").alias("i"), F.col("rep").alias("a")), m.select(*self.by, F.col("id").alias("j"), F.col("rep").alias("b"))
+        across = self.pairs.join(one, [*self.by, "a"]).join(two, [*self.by, "b"]).select(*self.by, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "sim")
+        inside = one.join(two.withColumnRenamed("b", "a"), [*self.by, "a"]).where("i < j").select(*self.by, F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1.0).alias("sim"))
+        return across.unionByName(inside)
+
+    def newsiness(self) -> DataFrame:
+        """(by, newsiness): ordered similar pairs over the square of the number of documents, times 10000."""
+        copies = self.classes.select(*self.by, "rep", "copies")
+        a, b = copies.select(*self.by, F.col("rep").alias("a"), F.col("copies").alias("ca")), copies.select(*self.by, F.col("rep").alias("b"), F.col("copies").alias("cb"))
+        across = self.pairs.join(a, [*self.by, "a"]).join(b, [*self.by, "b"]).select(*self.by, (F.col("ca") * F.col("cb")).alias("p"))
+        inside = copies.select(*self.by, F.expr("copies * (copies - 1) div 2").alias("p"))
+        p = across.unionByName(inside).groupBy(*self.by).agg(F.sum("p").alias("p"))
+        n = self.docs.groupBy(*self.by).agg(F.count("*").alias("n"))
+        joined = n.join(p, self.by, "left") if self.by else n.join(p, how="cross")
+        return joined.select(*self.by, (F.try_divide(2 * F.coalesce("p", F.lit(0)), F.col("n") * F.col("n")) * 10000).alias("newsiness"))
+
+    def clusters(self, least: int = 6) -> DataFrame:
+        """(by, id, cluster): components of similar documents with at least ``least`` members, numbered in the order of
+        their smallest id; -1 for the rest. With groups, a document that is in several has a row in each."""
+        # A vertex is a class in a group: groups are numbered, so that one run of components serves all of them.
+        keyed = self.pairs.select(F.struct(*self.by, "a").alias("a"), F.struct(*self.by, F.col("b").alias("a")).alias("b")) if self.by else self.pairs.select("a", "b")
+        names = components(keyed, self.scratch, "story")
+        key = F.struct(*self.by, F.col("rep").alias("a")) if self.by else F.col("rep")
+        labelled = self.classes.withColumn("id", key).join(names, "id", "left").select(*self.by, "rep", "copies", F.coalesce("label", "id").alias("label"))
+        labelled = self.scratch.keep(labelled, "labelled")
+        large = labelled.groupBy(*self.by, "label").agg(F.sum("copies").alias("n")).where(F.col("n") >= least)
+        # One row per story is numbered, not one per document.
+        order = W.partitionBy(*self.by).orderBy("label") if self.by else W.orderBy("label")
+        numbered = self.scratch.keep(large.select(*self.by, "label", (F.row_number().over(order) - 1).alias("cluster")), "numbered")
+        named = labelled.join(maybe_broadcast(numbered, numbered.count()), [*self.by, "label"]).select(*self.by, "rep", "cluster")
+        found = self.members.join(named, [*self.by, "rep"], "left")
+        return found.select(*self.by, F.col("id").alias(self.id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
 def similar_pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, stopwords: list[str] | None = None) -> DataFrame:
-    return cosine_pairs(tfidf(docs, id_col, terms(text_col), stopwords), id_col, threshold)
+    """(a, b, sim) of all pairs a < b (the list is the result; counts and clusters of :class:`Similar` need no list)."""
+    return Similar(docs, id_col, text_col, threshold, stopwords).listed()
+
+
+def to_probe(docs: DataFrame, id_col: str, text_col: str, probe: str, stopwords: list[str] | None = None) -> DataFrame:
+    """(id, similarity) of every document to one text, by the weights of the documents; 0 without a common term."""
+    own = docs.select(id_col, F.col(text_col).alias("_text"))
+    weights = tfidf(own, id_col, terms("_text"), stopwords)
+    side = docs.sparkSession.createDataFrame([(probe,)], "_text string")
+    tokens = tx.remove_stop(terms("_text"), stopwords) if stopwords else terms("_text")
+    asked = side.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    n = F.broadcast(own.agg(F.count("*").alias("n")))
+    df = own.select(id_col, F.explode(F.array_distinct(tx.remove_stop(terms("_text"), stopwords) if stopwords else terms("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known = asked.join(df, "term").join(n, how="cross").select("term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("q"))
+    norm = F.broadcast(known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm")))
+    hits = weights.join(F.broadcast(known), "term").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))  # the words of one text
+    out = own.select(id_col).join(hits, id_col, "left").join(norm, how="cross")
+    return out.select(id_col, F.coalesce(F.try_divide("dot", "norm"), F.lit(0.0)).alias("similarity"))
+
+
+def precision(similar: DataFrame, text_col: str, word: str, cutoff: float = 0.4) -> DataFrame:
+    """Of the rows above the cutoff: how many hold the word, how many do not, and the share of the former."""
+    above = similar.where(F.col("similarity") > cutoff)
+    out = above.agg(F.count_if(F.contains(text_col, F.lit(word))).alias("holds"), F.count_if(~F.contains(text_col, F.lit(word))).alias("lacks"))
+    return out.withColumn("ratio", F.try_divide("holds", F.col("holds") + F.col("lacks")))
 
 
 def nearest(pairs: DataFrame, below: float = 1.0) -> DataFrame:
@@ -95,4 +191,14 @@ def cluster_summary(labelled: DataFrame, agencies: int, least: int = 6) -> DataF
         .agg(F.count("*").alias("members"), F.max("howlong").alias("first"), F.min_by("id", F.struct(F.abs("bias"), "id")).alias("summary_id"))
         .where(F.col("members") >= least)
         .withColumn("coverage", F.bround(F.col("members") / agencies * 100, 2))
+        .orderBy("first", "cluster")
     )
+
+
+def agency_lists(labelled: DataFrame, least: int = 6) -> DataFrame:
+    """(cluster, agencies): the members of a story, one per agency, by bias and then by name, as text with a bar where the
+    bias changes. A story has at most one member per agency, so the list is bounded by the agencies."""
+    one = labelled.where("cluster <> -1").groupBy("cluster", "agency").agg(F.min_by(F.struct("bias", "agency"), "id").alias("m"))
+    listed = one.groupBy("cluster").agg(F.sort_array(F.collect_list("m")).alias("m")).where(F.size("m") >= least)
+    parted = F.transform("m", lambda x, i: F.concat(F.when((i > 0) & (F.get(F.col("m"), i - 1)["bias"] != x["bias"]), F.lit("| ")).otherwise(F.lit("")), x["agency"]))
+    return listed.select("cluster", F.array_join(parted, " ").alias("agencies"))

@@ -265,7 +265,7 @@ def halfhour_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_H} SELECT slot, n, round((n - mean) / nullif(std, 0), 6) AS z, CASE WHEN (n - mean) / nullif(std, 0) IS NULL THEN 'unknown' WHEN round((n - mean) / nullif(std, 0), 6) > 1.5 THEN 'big' WHEN round((n - mean) / nullif(std, 0), 6) < 0.25 THEN 'slow' ELSE 'average' END AS kind FROM v JOIN b ON b.halfhour = CAST(hour(slot) * 60 + minute(slot) AS INT) AND b.day = dayname(slot)")
-def newsiness_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+def activity_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each half hour against the baseline: busy, average or slow."""
     counts = _slots(spark, sf_dir).groupBy("slot").agg(F.count("*").alias("n"))
     return baseline.classify(counts, baseline.build(counts, "slot", "n"), "slot", "n").select("slot", "n", F.round("z", 6).alias("z"), "kind")

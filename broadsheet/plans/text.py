@@ -292,11 +292,6 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(_pairs(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {_PAIRS} SELECT round(2 * count(*) / ((SELECT count(*) FROM title) * (SELECT count(*) FROM title)) * 10000, 6) AS newsiness FROM pr")
-def newsiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.newsiness(_pairs(spark, sf_dir), roles.titles(spark, sf_dir)).withColumn("newsiness", F.round("newsiness", 6))
-
-
 _STORIES = (
     "e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS id, a AS n FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.n), lab AS (SELECT id, min(n) AS label FROM r GROUP BY 1), "
     "big AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster FROM lab GROUP BY 1 HAVING count(*) >= 6), st AS (SELECT title.id, agency, title, coalesce(cluster, -1) AS cluster FROM title LEFT JOIN lab USING (id) LEFT JOIN big USING (label))"
@@ -305,7 +300,7 @@ _STORIES = (
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = roles.titles(spark, sf_dir)
-    return t.join(similarity.clusters(t, _pairs(spark, sf_dir), "id"), "id")
+    return t.join(similarity.Similar(t, "id", "title").clusters(), "id")
 
 
 @query(f"WITH RECURSIVE {_PAIRS}, {_STORIES} SELECT id, CAST(cluster AS INT) AS cluster FROM st")
