@@ -31,6 +31,15 @@ def half_hours(first: Column, last: Column) -> Column:
     return F.when(a < b, F.sequence(a, b - step, step))
 
 
+#: Patterns of the pages, besides that of :func:`shown`.
+PATTERNS = {"day": "EEEE, MMMM d", "iso": "yyyy-MM-dd'T'HH:mm:ss", "stamp": "yyyyMMddHHmmss", "clock": "h:mm a", "year": "yyyy"}
+
+
+def shown(ts: Column) -> Column:
+    """A time as tables show it: short month, day and twelve-hour clock. As text it does not sort by time."""
+    return F.date_format(ts, "MMM d h:mm a")
+
+
 def period(minutes: Column) -> Column:
     """Quarter of the day, right-closed: midnight itself belongs to none."""
     return F.when((minutes > 0) & (minutes <= 360), "night").when((minutes > 360) & (minutes <= 720), "morning").when((minutes > 720) & (minutes <= 1080), "afternoon").when((minutes > 1080) & (minutes <= 1440), "evening")

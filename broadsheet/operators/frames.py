@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.functions import numbers
+from broadsheet.scratch import maybe_broadcast
 
 
 def rolling_mean(df: DataFrame, columns: list[str], order: list[str], rows: int = 7, by: list[str] | None = None, suffix: str = "_ma") -> DataFrame:
@@ -31,8 +32,9 @@ def spine(df: DataFrame, day: str, step_days: int = 1, first: Column | None = No
 
 
 def fill_spine(counts: DataFrame, spine_days: DataFrame, day: str, groups: DataFrame, group: str, value: str) -> DataFrame:
-    """One row for each day and group, 0 where nothing was counted. Days and groups are both small dimensions."""
-    grid = spine_days.join(F.broadcast(groups.select(group).distinct()), how="cross")
+    """One row for each day and group, 0 where nothing was counted. The result has days times groups rows by its meaning."""
+    known = groups.select(group).distinct()
+    grid = spine_days.join(maybe_broadcast(known, known.count()), how="cross")
     return grid.join(counts, [day, group], "left").withColumn(value, F.coalesce(value, F.lit(0).cast("long")))
 
 
@@ -160,5 +162,17 @@ def required(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def by_total(df: DataFrame, column: str) -> DataFrame:
+    """(value, total, place) of the values of an enumeration, the most frequent first."""
+    totals = df.groupBy(column).agg(F.count("*").alias("total"))
+    return totals.withColumn("place", F.row_number().over(W.orderBy(F.desc("total"), column)))
+
+
+def page(df: DataFrame, order: list[Column], number: int, rows: int = 25) -> DataFrame:
+    """One page of a sorted table with the place of each row: only the rows up to its end are gathered and ranked."""
+    top = df.orderBy(*order).limit(number * rows)
+    return top.withColumn("place", F.row_number().over(W.orderBy(*order))).where(F.col("place") > (number - 1) * rows)
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     return df.groupBy(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).count()

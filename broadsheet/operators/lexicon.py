@@ -74,11 +74,14 @@ def vader(lexicon: dict[str, float]):
     return score
 
 
+def lacks_any(columns: list[str]) -> Column:
+    """Whether one of the columns is null."""
+    return F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True)
+
+
 def rescore(store: DataFrame, scores: DataFrame, id_col: str, columns: list[str], everything: bool) -> DataFrame:
     """Writes scores back by id: to all rows, or only to rows that lack one of the columns."""
     new = scores.select(id_col, *[F.col(c).alias(f"_{c}") for c in columns])
-    lacks = F.lit(everything)
-    for c in columns:
-        lacks = lacks | F.col(c).isNull()
+    lacks = F.lit(True) if everything else lacks_any(columns)
     out = store.join(new, id_col, "left")
     return out.select(*[F.when(lacks, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in store.columns])

@@ -96,7 +96,7 @@ def left_topic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main frame: headlines still up at a given time, with article and agency."""
     joined = roles.headlines(spark, sf_dir).join(roles.articles(spark, sf_dir), "article_id").join(roles.agencies(spark, sf_dir).select("agency_id", "agency"), "agency_id")
-    up = frames.live(joined, F.lit("2001-06-01").cast("timestamp_ntz"))
+    up = frames.live(joined, F.lit("2001-06-01").cast("timestamp_ntz")).orderBy(F.desc("first_accessed"), "position", "headline_id")
     howlong = F.unix_seconds(F.lit("2001-10-01").cast("timestamp")) - F.unix_seconds(F.col("first_accessed").cast("timestamp"))
     return up.select("article_id", "headline_id", "position", "agency", "topic", "first_accessed", "last_accessed", howlong.alias("howlong"), F.bround(F.round("vader", 9), 2).alias("vader"), F.bround(F.round("afinn", 9), 2).alias("afinn"))
 
@@ -359,3 +359,77 @@ def second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = s.orderBy(F.asc_nulls_last("shown"), F.regexp_replace("s_name", "^The ", ""), "s_suppkey").limit(50)
     w = W.orderBy(F.asc_nulls_last("shown"), F.regexp_replace("s_name", "^The ", ""), "s_suppkey")
     return page.withColumn("place", F.row_number().over(w)).where("place > 25")
+
+
+@query(f"WITH {roles.LOG} SELECT topic, CAST(count(*) AS BIGINT) AS total, CAST(row_number() OVER (ORDER BY count(*) DESC, topic) AS INT) AS place FROM log GROUP BY 1")
+def topic_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which order the columns of the day by topic table stand: by their totals. One row per topic is ranked."""
+    return frames.by_total(roles.access_log(spark, sf_dir), "topic")
+
+
+_DAYS = "s AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM log), (SELECT max(CAST(ts AS DATE)) FROM log), INTERVAL 1 DAY)) AS DATE) AS day)"
+
+
+@query(
+    f"WITH {roles.LOG}, {_DAYS}, k AS (SELECT DISTINCT topic, bias FROM log WHERE topic = 'purchase'), c AS (SELECT CAST(ts AS DATE) AS day, bias, count(*) AS n FROM log WHERE topic = 'purchase' GROUP BY 1, 2), "
+    "f AS (SELECT s.day, k.bias, coalesce(n, 0) AS n FROM s CROSS JOIN k LEFT JOIN c ON c.day = s.day AND c.bias = k.bias) SELECT day, bias, n, CAST(coalesce(sum(n) OVER (PARTITION BY day ORDER BY bias ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM f"
+)
+def bias_stack_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a topic per bias on every day of the log, 0 on days without one, with the base of the stacked bars."""
+    log = roles.access_log(spark, sf_dir)
+    counts = log.where("topic = 'purchase'").groupBy(F.to_date("ts").alias("day"), "bias").agg(F.count("*").alias("n"))
+    days = frames.spine(log.select(F.to_date("ts").alias("day")), "day")
+    filled = frames.fill_spine(counts, days, "day", counts, "bias", "n")
+    return frames.stacked_base(filled, "n", ["day"], ["bias"]).select("day", "bias", "n", "base")
+
+
+@query(
+    f"WITH {roles.AGENCY}, c AS (SELECT bias, credibility, count(*) AS n FROM agency WHERE (bias + credibility) % 3 <> 0 GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT bias FROM c), (SELECT DISTINCT credibility FROM c)) "
+    "SELECT bias, credibility, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY bias) * 100, 6) AS pct FROM g LEFT JOIN c USING (bias, credibility)"
+)
+def cred_share_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credibility shares within each bias, 0 for pairs that no agency has."""
+    some = roles.agencies(spark, sf_dir).where("(bias + credibility) % 3 <> 0")
+    counts = some.groupBy("bias", "credibility").agg(F.count("*").alias("n"))
+    filled = frames.fill_pairs(counts, "bias", "credibility", "n")
+    return filled.select("bias", "credibility", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy("bias")) * 100, 6).alias("pct"))
+
+
+@query("SELECT user_id, round(avg(CASE WHEN isnan(value) THEN NULL ELSE value END), 6) AS score FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS f, (SELECT max(ts) FROM events) - INTERVAL 2 DAY AS since FROM events) WHERE ts > f + INTERVAL 1 DAY AND ts > since GROUP BY 1")
+def agency_recent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score per agency over the last two days of the log, without the agency's first day."""
+    events = table(spark, sf_dir, "events")
+    later = frames.after_first_day(events, "user_id", "ts")
+    since = F.broadcast(events.agg((F.max("ts") - F.expr("interval 2 days")).alias("since")))  # one row
+    recent = later.join(since, how="cross").where("ts > since")
+    return _round(recent.groupBy("user_id").agg(F.avg(numbers.no_nan(F.col("value"))).alias("score")), "score")
+
+
+@query("SELECT event_id, strftime(ts, '%b %-d %-I:%M %p') AS shown, CAST(row_number() OVER (ORDER BY strftime(ts, '%b %-d %-I:%M %p') DESC, event_id) AS INT) AS place FROM events QUALIFY place <= 25")
+def text_date_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a table that is sorted by its dates as text, as the reference sorts it (the page is the feature)."""
+    shown = table(spark, sf_dir, "events").select("event_id", dates.shown(F.col("ts")).alias("shown"))
+    return frames.page(shown, [F.desc("shown"), F.col("event_id")], 1)
+
+
+@query("SELECT event_id, ts, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS INT) AS place FROM events QUALIFY place <= 25")
+def date_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sorted by time."""
+    return frames.page(table(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], 1)
+
+
+@query("SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY c_name, c_custkey) AS INT) AS place FROM customer WHERE contains(lower(c_name), '00001') QUALIFY place <= 25")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the rows that hold a search word in any case (the page is the feature)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return frames.page(c.where(F.contains(F.lower("c_name"), F.lit("00001"))), [F.col("c_name"), F.col("c_custkey")], 1)
+
+
+_SHOWN = {"shown": "%b %-d %-I:%M %p", "day": "%A, %B %-d", "iso": "%Y-%m-%dT%H:%M:%S", "stamp": "%Y%m%d%H%M%S", "clock": "%-I:%M %p", "year": "%Y"}
+
+
+@query("SELECT event_id, " + ", ".join(f"strftime(ts, '{f}') AS {n}" for n, f in _SHOWN.items()) + " FROM events")
+def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as the pages show them."""
+    ts = F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", dates.shown(ts).alias("shown"), *[F.date_format(ts, p).alias(n) for n, p in dates.PATTERNS.items()])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,6 @@ from broadsheet.plans import roles
 from broadsheet.plans.registry import query
 from broadsheet.session import table
 from broadsheet.sources import html
-from broadsheet.streaming import first_last
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +94,52 @@ def clean_href(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("page_id", "position", "href", "title", tx.is_url("href").alias("valid"), tx.many_words("title").alias("many"), tx.slug("title").alias("file"))
 
 
+@query("SELECT page_id, " + ", ".join(f"regexp_matches(url, '{p}') AS {n}" for n, p in tx.URL_DATES.items()) + " FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '/2024/3/7/x' WHEN 1 THEN url || '/2024/03/' WHEN 2 THEN 'https://h/a-77' WHEN 3 THEN 'https://h/x-2024-3-9.html' ELSE url END AS url FROM pages)")
+def url_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which patterns of dates and numbers an address has."""
+    n, url = F.col("page_id") % 5, F.col("url")
+    made = F.when(n == 0, F.concat(url, F.lit("/2024/3/7/x"))).when(n == 1, F.concat(url, F.lit("/2024/03/"))).when(n == 2, "https://h/a-77").when(n == 3, "https://h/x-2024-3-9.html").otherwise(url)
+    return table(spark, sf_dir, "pages").select("page_id", made.alias("url")).select("page_id", *[F.rlike("url", F.lit(p)).alias(n) for n, p in tx.URL_DATES.items()])
+
+
+_LEGACY = f"array_to_string(list_transform(list_filter(regexp_split_to_array(c, '{_SPACES}'), lambda w: w <> ''), lambda w: CASE WHEN {_EXEMPT} OR lower(split_part({_CAMEL}, ' ', 1)) IN ({', '.join(map(_quoted, tx.PATRONYMS))}) THEN w ELSE regexp_replace({_CAMEL}, '([?!.:;,])([a-zA-Z])', '\\1 \\2', 'g') END), ' ')"
+
+
+@query(f"WITH c AS (SELECT doc_id, {_nested('(' + _STRIP + ')')} AS c FROM documents) SELECT doc_id, {_put(_EDGES, _LEGACY)} AS processed FROM c")
+def legacy_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older cleaning, which also parts words that are glued together."""
+    return _docs(spark, sf_dir).select("doc_id", tx.legacy_preprocess("text").alias("processed"))
+
+
+@query("SELECT event_id, regexp_replace(props, '\\{.*?\\}', '', 'gs') AS without_json, regexp_replace('<p>[if IE 6]a' || event_type || '[endif]b[endif]</p>', '\\[if.*?\\].*\\[endif\\]', '', 'gs') AS without_ie FROM events")
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw JSON and conditional comments cut out of fragments."""
+    made = F.concat(F.lit("<p>[if IE 6]a"), F.col("event_type"), F.lit("[endif]b[endif]</p>"))
+    return table(spark, sf_dir, "events").select("event_id", tx.strip_raw_json("props").alias("without_json"), tx.strip_ie_conditionals(made).alias("without_ie"))
+
+
+def _case(word: str, table_: dict[str, str]) -> str:
+    return f"CASE {word} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in table_.items()) + f" ELSE {word} END"
+
+
+_SAID = "string_split(CASE doc_id % 3 WHEN 0 THEN 'we can''t say it''s done' WHEN 1 THEN 'they re late and he s not' ELSE 'I''ve seen none t ll' END, ' ')"
+
+
+@query(f"SELECT doc_id, list_transform({_SAID}, lambda w: {_case('w', tx.CONTRACTIONS)}) AS expanded, list_transform({_SAID}, lambda w: {_case('w', tx.TOKEN_EXPANSIONS)}) AS decontracted FROM documents")
+def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with their contractions written out, by either table."""
+    n = F.col("doc_id") % 3
+    said = F.split(F.when(n == 0, "we can't say it's done").when(n == 1, "they re late and he s not").otherwise("I've seen none t ll"), " ")
+    return _docs(spark, sf_dir).select("doc_id", tx.expand_contractions(said).alias("expanded"), tx.decontract(said).alias("decontracted"))
+
+
+@query("SELECT 2020 + doc_id % 5 AS year, round(avg(len(regexp_split_to_array(text, '[.?!][\\s\\x0B\\x{85}\\p{Z}]*\\n'))), 6) AS paragraphs FROM documents GROUP BY 1")
+def paragraphs_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean number of paragraphs by year."""
+    n = _docs(spark, sf_dir).select((2020 + F.col("doc_id") % 5).alias("year"), F.size(tx.paragraphs("text")).alias("n"))
+    return n.groupBy("year").agg(F.round(F.avg("n"), 6).alias("paragraphs"))
+
+
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All string nodes of every page; tested against a plain walk."""
@@ -255,6 +298,43 @@ def xkeyscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn").join(hits, ["conv_id", "turn"], "left").na.fill(0, ["score"])
 
 
+_DOC_GRAMS = _GRAMS.replace("SELECT conv_id, turn, regexp_extract_all", "SELECT doc_id, regexp_extract_all").replace("FROM conversations", "FROM documents").replace("SELECT conv_id, turn, unnest", "SELECT doc_id, unnest")
+
+
+def _doc_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = tx.let(similarity.terms("text", lower=False), lambda t: F.concat(t, tx.ngrams(t, 2), tx.ngrams(t, 3)))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(grams).alias("term"))
+
+
+@query(f"WITH {_DOC_GRAMS} SELECT term, freq FROM top")
+def document_ngram_top1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1000 most frequent one- to three-grams of the documents (the number is the feature)."""
+    return _top(_doc_grams(spark, sf_dir))
+
+
+@query(f"WITH {_DOC_GRAMS} SELECT term, freq FROM top ORDER BY freq DESC, term LIMIT 75")
+def document_word_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_doc_grams(spark, sf_dir), 75)
+
+
+@query(f"WITH {_DOC_GRAMS}, k AS (SELECT doc_id, count(*) AS score FROM g JOIN top USING (term) GROUP BY 1) SELECT doc_id, coalesce(score, 0) AS score FROM documents LEFT JOIN k USING (doc_id)")
+def document_xkeyscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, how many of its n-grams are among the top 1000: the n-grams are looked up where they are made."""
+    top = _top(_doc_grams(spark, sf_dir)).select("term").agg(F.collect_list("term").alias("top"))  # a list of 1000
+    known = F.broadcast(top.select(F.map_from_arrays("top", F.transform("top", lambda t: F.lit(1))).alias("top")))
+    grams = tx.let(similarity.terms("text", lower=False), lambda t: F.concat(t, tx.ngrams(t, 2), tx.ngrams(t, 3)))
+    return _docs(spark, sf_dir).select("doc_id", grams.alias("g")).join(known, how="cross").select("doc_id", F.size(F.filter("g", lambda t: F.map_contains_key("top", t))).cast("long").alias("score"))
+
+
+@query(f"WITH {_DOC_GRAMS}, d AS (SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS df FROM g GROUP BY 1) SELECT term, freq, df FROM d WHERE df >= 5 AND df <= 0.7 * (SELECT count(*) FROM documents) ORDER BY freq DESC, term LIMIT 1000")
+def vectorise_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a vectoriser that leaves out rare and very common terms, and keeps the 1000 most frequent."""
+    per_doc = _doc_grams(spark, sf_dir).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    terms = per_doc.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("df"))
+    n = F.broadcast(_docs(spark, sf_dir).agg(F.count("*").alias("docs")))  # one row
+    return terms.where("df >= 5").join(n, how="cross").where(F.col("df") <= 0.7 * F.col("docs")).select("term", "freq", "df").orderBy(F.desc("freq"), "term").limit(1000)
+
+
 _TFIDF = (
     roles.TITLE + f", tok AS (SELECT id, unnest(regexp_extract_all(lower(title), '{_TERM}', 0)) AS term FROM title), tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2), "
     "idf AS (SELECT term, ln((1 + (SELECT count(*) FROM title)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), raw AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)), "
@@ -379,22 +459,6 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.delete(cleared, store.where("c_custkey % 5 = 0"), "c_custkey")
 
 
-@query("SELECT s_suppkey, round(CASE WHEN s_acctbal IS NULL OR s_acctbal < 0 THEN s_suppkey * 0.5 ELSE s_acctbal END, 6) AS score FROM supplier")
-def rescore_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores are written back only to rows that lack one."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("score"))
-    new = s.select("s_suppkey", (F.col("s_suppkey") * 0.5).alias("score"))
-    return lexicon.rescore(s, new, "s_suppkey", ["score"], False).withColumn("score", F.round("score", 6))
-
-
-@query(_SNAP)
-def stream_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same snapshot from a stream of micro-batches."""
-    path = f"{sf_dir}/events.parquet"
-    rows = first_last.stream(spark, path, spark.read.parquet(path).schema)
-    return first_last.ingest(rows, "user_id", "ts", f"sightings-{uuid.uuid4().hex}")
-
-
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic model over page titles: the top words of each topic with their share."""
@@ -406,7 +470,8 @@ def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = LDA(k=5, maxIter=10, seed=7).fit(counts.transform(words))
     names = F.array(*[F.lit(w) for w in counts.vocabulary])
     found = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    return found.select("topic", F.get(names, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
+    # Weights of a topic sum to one, so a weight is the word's share of its component.
+    return found.select("topic", F.get(names, F.col("t.termIndices")).alias("word"), (F.col("t.termWeights") * 100).alias("pct"))
 
 
 @query()

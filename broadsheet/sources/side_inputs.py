@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 TOPICS = "topic_id int, name string, color string, keywords array<string>, essential array<string>"
 SPECIAL_DATES = "i int, name string, topic string, date date"
@@ -35,6 +37,15 @@ def dates_of(special: DataFrame, topic: str) -> DataFrame:
     return special.where(special.topic.isin(topic, "all")).orderBy("date", "i")
 
 
+def dated(topics: DataFrame, special: DataFrame) -> DataFrame:
+    """(topic_id, i, name, date, place): the special dates of every topic by its name, with those of all topics, numbered
+    by date. Both sides are files of a few dozen rows."""
+    everywhere = special.where("topic = 'all'").join(topics.select("topic_id"), how="cross")
+    own = special.join(topics.select("topic_id", F.col("name").alias("topic")), "topic")
+    both = own.select("topic_id", "i", "name", "date").unionByName(everywhere.select("topic_id", "i", "name", "date"))
+    return both.withColumn("place", F.row_number().over(W.partitionBy("topic_id").orderBy("date", "i")))
+
+
 def newsiness(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NEWSINESS).csv(path, header=True)
 

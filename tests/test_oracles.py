@@ -28,6 +28,6 @@ def test_every_query_has_sql_or_a_test_of_its_own():
 
 def test_models_give_rows(spark, sf):
     topics = QUERIES["lda_topics"](spark, sf).collect()
-    assert {r.topic for r in topics} == {0, 1, 2, 3, 4} and all(0 < r.weight < 1 for r in topics)
+    assert {r.topic for r in topics} == {0, 1, 2, 3, 4} and all(0 < r.pct < 100 for r in topics)
     parts = QUERIES["pca"](spark, sf).collect()
     assert len(parts) == 500 and all(len(r.components) == 8 for r in parts)
