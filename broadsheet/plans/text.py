@@ -78,6 +78,23 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.links(table(spark, sf_dir, "pages"))
 
 
+_RULES = [
+    html.Rule("0", attributes=(("href", r"^/[a-z]"),), exclude=(r"^/t",)),
+    html.Rule("1", attributes=(("href", None),), scope=("nav", "", ""), exclude_titles=(r"[.,]$",)),
+    html.Rule("2", tag="li", scope=("nav", "", "")),
+]
+
+
+@query(
+    f"WITH {_LINKS}, f AS (SELECT page_id % 3 AS n, page_id, position, href, trim(title) AS title FROM l WHERE trim(title) <> '') "
+    "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) - 1 AS INT) AS position, href, title FROM f WHERE (n = 0 AND regexp_matches(href, '^/[a-z]') AND NOT regexp_matches(href, '^/t')) OR (n = 1 AND NOT regexp_matches(title, '[.,]$')) OR n = 2"
+)
+def front_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline links of every page by the rule of its agency; three plain rules are dealt over the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3).cast("string").alias("agency"), "html")
+    return html.extract_links(pages, _RULES, id_col="page_id").select("page_id", "position", "href", "title")
+
+
 _BASE = "regexp_extract(url, '^[a-z]+://[^/?]+', 0)"
 _FULL = f"CASE WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN {_BASE} || href WHEN NOT starts_with(href, 'http') THEN {_BASE} || '/' || href ELSE href END"
 

@@ -1,7 +1,9 @@
 """Front pages over HTTP as a Python data source: one partition per agency, fetched by the executors.
 
     spark.dataSource.register(FrontPages)
-    spark.read.format("front_pages").option("agencies", json.dumps([{"agency": …, "url": …}])).load()
+    spark.read.format("front_pages").option("agencies", json.dumps([{"agency": …, "url": …, "headers": {…}}])).load()
+
+``headers`` is optional and goes over the default ones.
 
 A page that cannot be fetched, or whose status is not 2xx, is a row with null html and the reason in ``error``.
 """
@@ -17,12 +19,17 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 AGENT = "Mozilla/5.0 (X11; Linux x86_64) Gecko/20100101 Firefox/115.0"
+#: What is sent to agencies that the rule table marks so: our own name, or that of a search robot (a fixed value).
+AGENTS = {
+    "bot": "Broadsheet Bot",
+    "search": "Mozilla/5.0 AppleWebKit/537.36 (KHTML, like Gecko; compatible; Googlebot/2.1; +http://www.google.com/bot.html) Chrome/W.X.Y.Z Safari/537.36",
+}
 TIMEOUT_S = 60
 
 
 class AgencyPage(InputPartition):
-    def __init__(self, agency: str, url: str):
-        self.agency, self.url = agency, url
+    def __init__(self, agency: str, url: str, headers: dict[str, str]):
+        self.agency, self.url, self.headers = agency, url, headers
 
 
 class FrontPages(DataSource):
@@ -44,7 +51,7 @@ class FrontPageReader(DataSourceReader):
         self.verify = options.get("verify", "false").lower() == "true"
 
     def partitions(self) -> list[AgencyPage]:
-        return [AgencyPage(a["agency"], a["url"]) for a in self.agencies]
+        return [AgencyPage(a["agency"], a["url"], a.get("headers") or {}) for a in self.agencies]
 
     def read(self, partition: AgencyPage) -> Iterator[tuple]:
         context = ssl.create_default_context()
@@ -53,7 +60,7 @@ class FrontPageReader(DataSourceReader):
         now = datetime.datetime.now(datetime.timezone.utc)
         status, page, error = None, None, None
         try:
-            request = urllib.request.Request(partition.url, headers={"User-Agent": AGENT})
+            request = urllib.request.Request(partition.url, headers={"User-Agent": AGENT} | partition.headers)
             with urllib.request.urlopen(request, timeout=self.timeout, context=context) as answer:
                 status = answer.status
                 page = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")

@@ -1,5 +1,7 @@
 """Links and text of front pages.
 
+``front_page_rules.tsv`` holds fixed values: addresses, enumerations and patterns that decide which links are found.
+
 ``links`` takes the plain anchors with Spark's own regular expressions. ``extract_links`` applies a table of rules, one row
 per agency, in an Arrow map: which anchors count, where, under which title element, and which are left out.
 """
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.sources.front_pages import AGENT, AGENTS
+
 ANCHOR = r'<a href="([^"]*)"[^>]*>([^<]*)</a>'
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -33,8 +37,9 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 class Rule:
     """One agency's way of finding headlines on its front page.
 
-    ``attributes`` are (name, pattern) tests on the link (or on the container named by ``tag`` whose first link counts);
-    a None pattern asks for presence. ``scope`` is (tag, attribute, pattern) of an element around the links; an empty
+    ``attributes`` are (name, pattern) tests on the link, or on the element named by ``tag``: the link around it counts,
+    and without one the first link inside it. A None pattern asks for presence. A pattern on ``class`` is tried on each
+    class name and on all of them together. ``scope`` is (tag, attribute, pattern) of an element around the links; an empty
     attribute asks for the tag alone. ``titles`` are the tags of an element inside that holds the title: the whole link
     text stands in for a missing one unless ``title_required``. ``exclude`` and ``exclude_titles`` are patterns on the
     href and the title. A link without a title is left out if ``need_title``.
@@ -56,18 +61,24 @@ class _Finder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rule, self.open, self.found = rule, [], []
 
+    @staticmethod
+    def _matches(name: str, pattern: str, value: str) -> bool:
+        values = [value, *value.split()] if name == "class" else [value]
+        return any(re.search(pattern, v) for v in values)
+
     def _fits(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag not in self.rule.tag.split(","):
             return False
-        return all(n in attrs and (p is None or re.search(p, attrs[n] or "")) for n, p in self.rule.attributes)
+        return all(n in attrs and (p is None or self._matches(n, p, attrs[n])) for n, p in self.rule.attributes)
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         attrs = {n: v or "" for n, v in attributes}
         scope = self.rule.scope
         inside = any(x["scope"] for x in self.open) or scope is None
-        node = {"tag": tag, "scope": bool(scope and tag == scope[0] and (not scope[1] or re.search(scope[2], attrs.get(scope[1], "")))), "link": None}
+        node = {"tag": tag, "scope": bool(scope and tag == scope[0] and (not scope[1] or (scope[1] in attrs and self._matches(scope[1], scope[2], attrs[scope[1]])))), "link": None, "href": attrs.get("href") if tag == "a" else None}
         if inside and self._fits(tag, attrs):
-            node["link"] = {"href": attrs.get("href") if tag == "a" else None, "all": [], "title": None}
+            around = next((x["href"] for x in reversed(self.open) if x["href"]), None)
+            node["link"] = {"href": attrs.get("href") if tag == "a" else around, "all": [], "title": None}
             self.found.append(node["link"])
         elif tag == "a":
             for x in self.open:
@@ -103,23 +114,31 @@ class _Finder(HTMLParser):
                 yield href, title
 
 
-def extract_links(pages: DataFrame, rules: list[Rule], agency_col: str = "agency", html_col: str = "html") -> DataFrame:
-    """(agency, position, href, title) by the rule of each page's agency; pages of other agencies give nothing."""
+def extract_links(pages: DataFrame, rules: list[Rule], agency_col: str = "agency", html_col: str = "html", id_col: str | None = None) -> DataFrame:
+    """(id if asked for, agency, position, href, title) by the rule of each page's agency; pages of other agencies give
+    nothing."""
     table = {r.agency: r for r in rules}
+    keys, k = [F.col(id_col)] if id_col else [], 1 if id_col else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for agency, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            at, rows = [], []
+            for n, (agency, page) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1))):
                 rule = table.get(agency)
                 if rule is not None and page.is_valid:
                     finder = _Finder(rule)
                     finder.feed(page.as_py())
-                    rows += [(agency, n, *x) for n, x in enumerate(finder.result())]
+                    found = [(agency, place, *x) for place, x in enumerate(finder.result())]
+                    rows += found
+                    at += [n] * len(found)
             columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["agency", "position", "href", "title"])
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))]
+            ids = [batch.column(0).take(pa.array(at, pa.int64()))] if k else []
+            yield pa.RecordBatch.from_arrays([*ids, *made], names=[*([id_col] if k else []), "agency", "position", "href", "title"])
 
-    return pages.select(F.col(agency_col).alias("agency"), F.col(html_col).alias("html")).mapInArrow(run, "agency string, position int, href string, title string")
+    source = pages.select(*keys, F.col(agency_col).alias("agency"), F.col(html_col).alias("html"))
+    schema = "agency string, position int, href string, title string"
+    return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, {schema}" if keys else schema)
 
 
 class _Strings(HTMLParser):
@@ -128,7 +147,6 @@ class _Strings(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self.joins = False
 
     def _add(self, text: str) -> None:
         if "[" in text:
@@ -164,10 +182,10 @@ def load_rules(path: str | Path = RULES, registered_only: bool = True) -> list[R
 
 
 def agencies(spark: SparkSession, path: str | Path = RULES) -> DataFrame:
-    """The agencies of the rule table: name, address, bias, credibility, country and how their page is fetched."""
+    """The agencies of the rule table: name, address, bias, credibility, country, how their page is fetched, and as whom."""
     with open(path, encoding="utf-8", newline="") as f:
-        rows = [(r["agency"], r["url"], int(r["bias"]), int(r["credibility"]), r["country"], r["fetch"], r["registered"] == "yes") for r in csv.DictReader(f, delimiter="\t", quoting=csv.QUOTE_NONE)]
-    return spark.createDataFrame(rows, "agency string, url string, bias int, credibility int, country string, fetch string, registered boolean")
+        rows = [(r["agency"], r["url"], int(r["bias"]), int(r["credibility"]), r["country"], r["fetch"], r["registered"] == "yes", AGENTS.get(r["agent"], AGENT)) for r in csv.DictReader(f, delimiter="\t", quoting=csv.QUOTE_NONE)]
+    return spark.createDataFrame(rows, "agency string, url string, bias int, credibility int, country string, fetch string, registered boolean, user_agent string")
 
 
 @F.pandas_udf(T.StringType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import http.server
 import json
+import re
 import threading
 
 from broadsheet.plans import text  # noqa: F401  registers the queries
@@ -30,6 +31,97 @@ def test_rule_table(spark):
     assert got == [("AP", "/article/x", "A title"), ("ABC News", "/story?id=1", "T w"), ("ABC News", "/story?id=2", "Plain")]
 
 
+def example(pattern: str) -> str:
+    """Some text that a pattern matches: its first branch, repeats as often as needed."""
+    from re import _constants as c
+    from re import _parser
+
+    def walk(parts) -> str:
+        out = ""
+        for op, arg in parts:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.NOT_LITERAL:
+                out += "x" if arg != ord("x") else "y"
+            elif op is c.ANY:
+                out += "x"
+            elif op is c.IN:
+                kind, value = arg[0]
+                out += chr(value) if kind is c.LITERAL else chr(value[0]) if kind is c.RANGE else {c.CATEGORY_DIGIT: "7", c.CATEGORY_WORD: "w", c.CATEGORY_SPACE: " "}.get(value, "x") if kind is c.CATEGORY else "x"
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                out += walk(arg[2]) * max(arg[0], 1 if arg[1] else 0)
+            elif op is c.SUBPATTERN:
+                out += walk(arg[3])
+            elif op is c.BRANCH:
+                out += walk(arg[1][0])
+        return out
+
+    found = walk(_parser.parse(pattern))
+    assert re.search(pattern, found), (pattern, found)
+    return found
+
+
+def page_of(rule: html.Rule, href: str, title: str, scoped: bool = True) -> str:
+    """A page with one link that the rule describes, around or inside the element it names."""
+    attrs = {n: example(p) if p else "x" for n, p in rule.attributes}
+    if "class" in attrs:
+        attrs["class"] = "first " + attrs["class"] + " last"
+    tag = rule.tag.split(",")[0]
+    inner = f"<{rule.titles[0]}>{title}</{rule.titles[0]}>" if rule.titles else title
+    if tag == "a":
+        attrs.setdefault("href", href)
+        made = attrs["href"]
+        # Some rules want an absolute address, or one that begins with a year.
+        fit = [x for x in (made, "https://h.example" + made, made.replace("7777", "2024")) if not any(re.search(p, x) for p in rule.exclude)]
+        attrs["href"] = fit[0] if fit else made
+        own = "<a " + " ".join(f'{n}="{v}"' for n, v in attrs.items()) + f">{inner}</a>"
+    else:
+        own = f"<{tag} " + " ".join(f'{n}="{v}"' for n, v in attrs.items()) + f'><a href="{href}">{inner}</a></{tag}>'
+    if rule.scope and scoped:
+        tag, name, pattern = rule.scope
+        value = f' {name}="{"home " if name == "class" else ""}{example(pattern)}"' if name else ""
+        own = f"<{tag}{value}><div>{own}</div></{tag}>"
+    return f"<html><body><p>before</p>{own}</body></html>"
+
+
+def test_every_rule_finds_its_links(spark):
+    """One page per rule, made from the rule: the link is found, also among other class names, and not outside its scope."""
+    rules = html.load_rules(registered_only=False)
+    rows, outside = [], []
+    for r in rules:
+        rows.append((r.agency, page_of(r, "/a/link-1", "Some  headline & more")))
+        if r.scope:
+            outside.append((r.agency, page_of(r, "/a/link-1", "Some headline", scoped=False)))
+    got = html.extract_links(spark.createDataFrame(rows, "agency string, html string"), rules).collect()
+    assert {r.agency for r in rules} - {r.agency for r in got} == set()
+    assert len(got) == 131 and all(r.title == "Some headline & more" for r in got)
+    assert html.extract_links(spark.createDataFrame(outside, "agency string, html string"), rules).count() == 0
+
+
+def test_rules_leave_out_what_they_exclude(spark):
+    rules = [r for r in html.load_rules(registered_only=False) if r.exclude_titles]
+    rows = [(r.agency, page_of(r, "/a/link-1", "A " + example(p).replace("\\", ""))) for r in rules for p in r.exclude_titles]
+    assert rows and html.extract_links(spark.createDataFrame(rows, "agency string, html string"), rules).count() == 0
+
+
+def test_link_around_an_element_and_class_names(spark):
+    one = {r.agency: r for r in html.load_rules()}
+    rows = [
+        ("National Post", '<a href="/news/x"><div><span class="card__headline-clamp wide">A headline here</span></div></a><a href="/y"><span class="card__headline-clamp">Your Horoscope</span></a>'),
+        ("Fox News", '<div class="page home"><a href="//www.foxnews.com/politics/some-story">A story</a></div>'),
+        ("NPR", '<a class="topic-title first" href="/1">N title</a><a class="topic-titles" href="/2">Other</a>'),
+    ]
+    got = html.extract_links(spark.createDataFrame(rows, "agency string, html string"), list(one.values())).collect()
+    assert [(r.agency, r.href, r.title) for r in got] == [("National Post", "/news/x", "A headline here"), ("Fox News", "//www.foxnews.com/politics/some-story", "A story"), ("NPR", "/1", "N title")]
+
+
+def test_agencies_and_their_headers(spark):
+    from broadsheet.sources.front_pages import AGENT
+
+    agents = {r.agency: r.user_agent for r in html.agencies(spark).collect()}
+    assert agents["BBC"] == AGENT and agents["National Post"] == "Broadsheet Bot" and "Googlebot" in agents["Al Arabiya"]
+
+
 def test_text_of_fragments(spark):
     cases = {"<a><b>One</b> <i>two</i></a>": "One  two", "<p>x{\"a\":1}y</p>": "xy", "plain": "plain", "": "", None: None}
     df = spark.createDataFrame([(k,) for k in cases], "h string")
@@ -60,7 +152,7 @@ def test_front_pages_over_http(spark):
         def do_GET(self):
             self.send_response(200 if self.path == "/ok" else 404)
             self.end_headers()
-            self.wfile.write(b"<p>hi</p>")
+            self.wfile.write(f"<p>{self.headers['User-Agent']}</p>".encode())
 
         def log_message(self, *args):
             pass
@@ -69,7 +161,7 @@ def test_front_pages_over_http(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     spark.dataSource.register(FrontPages)
-    agencies = [{"agency": "A", "url": base + "/ok"}, {"agency": "B", "url": base + "/gone"}]
+    agencies = [{"agency": "A", "url": base + "/ok", "headers": {"User-Agent": "hi"}}, {"agency": "B", "url": base + "/gone"}]
     got = {r.agency: (r.status, r.html) for r in spark.read.format("front_pages").option("agencies", json.dumps(agencies)).load().collect()}
     server.shutdown()
     assert got == {"A": (200, "<p>hi</p>"), "B": (404, None)}
