@@ -5,11 +5,15 @@ Everything here stays inside code generation or Spark's own array functions; ``(
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # These lists, their order and their patterns decide results, so they equal the reference's.
 REPLACEMENTS: list[tuple[str, str]] = [
@@ -235,20 +239,72 @@ def ngrams(tokens: Column, n: int = 2, sep: str = " ", stopwords: list[str] | No
     return let(tokens, grams)
 
 
-def lemmatize(tokens: Column) -> Column:
-    """Plural nouns by suffix rules: the offline stand-in for a dictionary lemmatiser (a plug-in point)."""
+def stop_list(words: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
+    """A stop list in lower case: the given words with more of them and without some."""
+    out = {w.lower() for w in [*words, *(include or [])]} - {w.lower() for w in exclude or []}
+    return sorted(out)
 
-    def lemma(t: Column) -> Column:
-        return (
-            F.when(t.rlike("(ss|us|is)$") | (F.length(t) < 4), t)
-            .when(t.endswith("ies"), F.regexp_replace(t, "ies$", "y"))
-            .when(t.rlike("(ches|shes|xes|zes|sses)$"), F.regexp_replace(t, "es$", ""))
-            .when(t.endswith("men"), F.regexp_replace(t, "men$", "man"))
-            .when(t.endswith("s"), F.regexp_replace(t, "s$", ""))
-            .otherwise(t)
-        )
 
-    return F.transform(tokens, lemma)
+# Words that the word cloud leaves out besides the usual ones ("may,june" is one entry, as it is there).
+CLOUD_WORDS = (
+    "say said says n't mr ms mrs time year week month years life day thing something number system video months group home effort product part cup jan feb mar apr jun jul aug sep sept oct nov dec company companies "
+    "business ’ ' \" go new january february march april may,june july august september october november december people subscribe est read news york images politics newsletter ago live updates exclusive producers hour"
+).split()
+CLOUD_STOPWORDS = stop_list(STOPWORDS, [*CLOUD_WORDS, *string.ascii_lowercase, *string.punctuation])
+TOPIC_PAGE_STOPWORDS = stop_list(STOPWORDS, ["ago"])
+
+
+def _suffix_lemma(t: Column) -> Column:
+    return (
+        F.when(t.rlike("(ss|us|is)$") | (F.length(t) < 4), t)
+        .when(t.endswith("ies"), F.regexp_replace(t, "ies$", "y"))
+        .when(t.rlike("(ches|shes|xes|zes|sses)$"), F.regexp_replace(t, "es$", ""))
+        .when(t.endswith("men"), F.regexp_replace(t, "men$", "man"))
+        .when(t.endswith("s"), F.regexp_replace(t, "s$", ""))
+        .otherwise(t)
+    )
+
+
+def lemmatize(tokens: Column, lemma: dict[str, str] | Callable[[Column], Column] | None = None) -> Column:
+    """Dictionary forms of tokens. ``lemma`` is a table of the caller (token -> lemma, others stay) or a function of a token
+    array; without one, plural nouns by suffix rules stand in for a dictionary."""
+    if callable(lemma):
+        return lemma(tokens)
+    if lemma is not None:
+        return _mapped(tokens, lemma)
+    return F.transform(tokens, _suffix_lemma)
+
+
+#: Part-of-speech tags that are kept: nouns.
+NOUNS = ("NN", "NNS", "NNP", "NNPS")
+
+
+def pos_filter(tokens: Column, tagger: Callable[[list[str]], list[str]] | None = None, keep: tuple[str, ...] = NOUNS) -> Column:
+    """Tokens whose part of speech is kept. ``tagger`` maps a token list to its tags and runs over Arrow batches; none is
+    shipped here, and without one all tokens stay."""
+    if tagger is None:
+        return tokens
+    kept = frozenset(keep)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def tagged(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda t: [w for w, tag in zip(t, tagger(list(t))) if tag in kept], na_action="ignore")
+
+    return tagged(tokens)
+
+
+@F.pandas_udf(T.StringType())
+def normal_form(texts: pd.Series) -> pd.Series:
+    """Unicode normal form C, which Spark has no function for."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _without_marks(texts: pd.Series) -> pd.Series:
+    def plain(t: str) -> str:
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+
+    return texts.map(plain, na_action="ignore")
 
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -268,8 +324,9 @@ def plain_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[​﻿]", ""), r"(?U)[^\S\n]+", " "))
 
 
-def remove_accents(text: Column) -> Column:
-    return F.translate(text, _ACCENTED, _PLAIN)
+def remove_accents(text: Column, all_scripts: bool = False) -> Column:
+    """Letters without accents: those of Latin-1 in the JVM, or of all scripts by decomposition in an Arrow function."""
+    return _without_marks(text) if all_scripts else F.translate(text, _ACCENTED, _PLAIN)
 
 
 def remove_brackets(text: Column) -> Column:
@@ -289,5 +346,6 @@ def prepare(text: Column | str, pipeline: list[Callable[[Column], Column]]) -> C
 DEFAULT_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, F.lower, tokenize, decontract]
 TOPIC_PIPELINE = [F.lower, join_hyphenated, plain_quotes, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, lemmatize, remove_stop]
 CLUSTER_PIPELINE = [F.lower, join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, remove_stop, lemmatize]
-CLOUD_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, remove_stop, lemmatize]
-PIPELINES = {"default": DEFAULT_PIPELINE, "topic": TOPIC_PIPELINE, "cluster": CLUSTER_PIPELINE, "cloud": CLOUD_PIPELINE}
+CLOUD_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, partial(remove_stop, stopwords=CLOUD_STOPWORDS), lemmatize, pos_filter]
+TOPIC_PAGE_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, partial(remove_stop, stopwords=TOPIC_PAGE_STOPWORDS), lemmatize]
+PIPELINES = {"default": DEFAULT_PIPELINE, "topic": TOPIC_PIPELINE, "cluster": CLUSTER_PIPELINE, "cloud": CLOUD_PIPELINE, "topic_page": TOPIC_PAGE_PIPELINE}

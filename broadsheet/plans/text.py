@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.operators import frames, lexicon, similarity, snapshot, topics
+from broadsheet.operators import frames, lexicon, models, similarity, snapshot, topics
 from broadsheet.plans import roles
 from broadsheet.plans.registry import query
 from broadsheet.session import table
@@ -476,27 +476,53 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.delete(cleared, store.where("c_custkey % 5 = 0"), "c_custkey")
 
 
+def _title_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Word counts of the headlines as vectors over a bounded vocabulary, and that vocabulary."""
+    from pyspark.ml.feature import CountVectorizer
+
+    words = roles.stories(spark, sf_dir).select("id", tx.remove_stop(similarity.terms("title")).alias("words"))
+    model = CountVectorizer(inputCol="words", outputCol="features", vocabSize=1000, minDF=2).fit(words)
+    return model.transform(words).select("id", "features"), model.vocabulary
+
+
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic model over page titles: the top words of each topic with their share."""
+    """Topic model over headlines: the top words of each topic with their per cent of it."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
 
-    words = roles.titles(spark, sf_dir).select("id", similarity.terms("title").alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000, minDF=2).fit(words)
-    model = LDA(k=5, maxIter=10, seed=7).fit(counts.transform(words))
-    names = F.array(*[F.lit(w) for w in counts.vocabulary])
+    counts, vocabulary = _title_counts(spark, sf_dir)
+    model = LDA(k=5, maxIter=10, seed=7).fit(counts)
+    names = F.array(*[F.lit(w) for w in vocabulary])
     found = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
     # Weights of a topic sum to one, so a weight is the word's share of its component.
     return found.select("topic", F.get(names, F.col("t.termIndices")).alias("word"), (F.col("t.termWeights") * 100).alias("pct"))
 
 
+@query()
+def lda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic models of several sizes and learning decays by perplexity."""
+    counts, _ = _title_counts(spark, sf_dir)
+    return models.lda_grid(counts, "features", [3, 5], [0.6, 0.9])
+
+
+@query()
+def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-negative factors of the headlines: the top words of each with their per cent of it."""
+    counts, vocabulary = _title_counts(spark, sf_dir)
+    sparse = counts.select(*models.sparse_parts("features")).where(F.size("at") > 0)
+    h = models.nmf(sparse, len(vocabulary), 5)
+    share = h / h.sum(1, keepdims=True) * 100
+    rows = [(c, vocabulary[j], float(share[c, j])) for c in range(5) for j in sorted(range(len(vocabulary)), key=lambda j: -share[c, j])[:10]]
+    return spark.createDataFrame(rows, "topic int, word string, pct double")
+
+
 @query()
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardised embeddings on their first eight components."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Standardised embeddings on the components that explain 95 per cent of their variance."""
+    return models.components_for(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
 
-    v = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    scaled = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(v).transform(v)
-    return PCA(k=8, inputCol="s", outputCol="p").fit(scaled).transform(scaled).select("vec_id", vector_to_array("p").alias("components"))
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the embeddings of each label."""
+    return models.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "vec_id", "embedding", "label")

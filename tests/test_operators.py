@@ -116,3 +116,72 @@ def test_baseline(spark):
     assert (monday.mean, monday.median, round(monday["std"], 6)) == (2.0, 2.0, round(math.sqrt(2), 6))
     kinds = {str(r.slot)[:10]: r.kind for r in baseline.classify(values, base, "slot", "n").collect()}
     assert kinds == {"2024-01-01": "slow", "2024-01-08": "average", "2024-01-02": "unknown"}
+
+
+def test_equal_texts_are_one_class(spark):
+    """A text that very many rows share makes one class: clusters and newsiness count copies without their pairs."""
+    texts = ["storm hits coast"] * 300 + ["storm hits coast coast"] * 2 + ["quiet day", "", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, title string")
+    s = similarity.Similar(docs, "id", "title")
+    assert s.pairs.count() == 1 and s.listed().count() == 302 * 301 // 2
+    assert s.newsiness().first().newsiness == 302 * 301 / len(texts) ** 2 * 10000
+    got = {r.id: r.cluster for r in s.clusters(6).collect()}
+    assert got == {i: 0 if i < 302 else -1 for i in range(len(texts))}
+
+
+def test_groups_have_weights_and_clusters_of_their_own(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["x", "y"]), " ".join(rng.choice("aa bb cc dd ee".split()) for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, day string, title string")
+    s = similarity.Similar(df, "id", "title", by=["day"])
+    labels = {(r.day, r.id): r.cluster for r in s.clusters(3).collect()}
+    busy = {r.day: round(r.newsiness, 6) for r in s.newsiness().collect()}
+    for day in ("x", "y"):
+        own = similarity.Similar(df.where(F.col("day") == day), "id", "title")
+        assert {r.id: r.cluster for r in own.clusters(3).collect()} == {i: c for (d, i), c in labels.items() if d == day}
+        assert round(own.newsiness().first().newsiness, 6) == busy[day]
+        pairs = similarity.cosine_pairs(similarity.tfidf(df.where(F.col("day") == day), "id", similarity.terms("title")), "id")
+        assert {(r.a, r.b) for r in pairs.collect()} == {(r.a, r.b) for r in own.listed().collect()}
+
+
+def test_probe_and_precision(spark):
+    docs = spark.createDataFrame([(1, "storm hits coast"), (2, "storm calm"), (3, "other thing"), (4, None)], "id long, title string")
+    near = similarity.to_probe(docs, "id", "title", "storm hits coast")
+    got = {r.id: round(r.similarity, 6) for r in near.collect()}
+    assert got[1] == 1.0 and 0 < got[2] < 1 and got[3] == got[4] == 0.0
+    assert similarity.to_probe(docs, "id", "title", "unknown words").where("similarity <> 0").count() == 0
+    r = similarity.precision(near.join(docs, "id"), "title", "hits", 0.1).first()
+    assert (r.holds, r.lacks, r.ratio) == (1, 1, 0.5)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    one, two = frames.sample(df, "k", 20), frames.sample(df.repartition(7), "k", 20)
+    assert one.collect() == two.collect() and len(one.collect()) == 20
+    parts = {r.part: r["count"] for r in frames.split(df, "k").groupBy("part").count().collect()}
+    assert sum(parts.values()) == 1000 and 750 < parts["train"] < 850
+
+
+def test_guards(spark):
+    full, none = spark.range(3), spark.range(0)
+    assert list(frames.non_empty({"a": full, "b": none})) == ["a"] and frames.required(full, "rows") is full
+    try:
+        frames.required(none, "rows of today")
+    except LookupError as e:
+        assert "rows of today" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_batch_topics(spark):
+    side = spark.createDataFrame([(1, ["gas"], ["gas"]), (2, ["cat"], ["Cat"])], "topic_id int, keywords array<string>, essential array<string>")
+    rows = spark.createDataFrame([(1, "Gas is up", None), (2, "no match", None), (3, "GAS again", 1), (4, "a cat", None)], "id int, title string, topic_id int")
+    assert sorted(r.id for r in topics.candidates(rows, side).collect()) == [1, 4]
+    scored = spark.createDataFrame([(7, 1, 1, 0.9), (7, 2, 2, 0.2), (7, 3, 1, 0.05), (8, 4, 2, 0.01)], "article int, id int, topic_id int, score double")
+    assert [(r.article, r.topic_id, r.topic_score) for r in topics.assign_last(scored, "article", "id").collect()] == [(7, 2, 0.2)]
+
+
+def test_agency_lists(spark):
+    rows = [(0, 0, "B", 1), (1, 0, "A", 1), (2, 0, "C", -2), (3, 0, "C", -2), (4, 1, "A", 0), (5, -1, "Z", 0)]
+    df = spark.createDataFrame(rows, "id long, cluster int, agency string, bias int")
+    assert [(r.cluster, r.agencies) for r in similarity.agency_lists(df, 3).collect()] == [(0, "C | A B")]

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import html as html_lib
+import re
+import unicodedata
+
 import pytest
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from broadsheet.functions import dates
 from broadsheet.functions import text as tx
+from broadsheet.plans import text  # noqa: F401  registers the queries
+from broadsheet.plans.registry import QUERIES
 
 
 def one(spark, f, *values):
@@ -105,3 +112,90 @@ def test_ngrams_follow_tokens(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", tx.tokenize("t").alias("w"), tx.ngrams(tx.tokenize("t"), 3).alias("g")).collect():
         assert r.g == [" ".join(r.w[i : i + 3]) for i in range(len(r.w) - 2)]
+
+
+def test_plug_ins_and_stop_lists(spark):
+    df = spark.createDataFrame([(["Mice", "run", "cities"], "e\u0301 Ǻ ñ")], "t array<string>, s string")
+    r = df.select(
+        tx.lemmatize(F.col("t"), {"Mice": "mouse"}).alias("table"),
+        tx.lemmatize(F.col("t"), F.reverse).alias("function"),
+        tx.lemmatize(F.col("t")).alias("rules"),
+        tx.pos_filter(F.col("t"), lambda t: ["NN" if w[0].isupper() else "VB" for w in t]).alias("nouns"),
+        tx.pos_filter(F.col("t")).alias("all"),
+        tx.normal_form(F.col("s")).alias("nfc"),
+        tx.remove_accents(F.col("s"), all_scripts=True).alias("plain"),
+    ).first()
+    assert r.table == ["mouse", "run", "cities"] and r.function == ["cities", "run", "Mice"] and r.rules == ["Mice", "run", "city"]
+    assert r.nouns == ["Mice"] and r.all == ["Mice", "run", "cities"] and r.nfc == "é Ǻ ñ" and r.plain == "e A n"
+    assert tx.stop_list(["The", "a"], ["Say"], ["A"]) == ["say", "the"]
+    assert {"the", "say", "may,june", "x", "!"} <= set(tx.CLOUD_STOPWORDS) and "ago" in tx.TOPIC_PAGE_STOPWORDS
+
+
+def plain_pipeline(text, name):
+    """The named pipelines with Python's own functions."""
+    steps = {
+        "join": lambda s: re.sub(r"(\w{2,})-\s*\n\s*(\w{2,})", r"\1\2", s),
+        "quotes": lambda s: s.translate(str.maketrans("“”„‟«»‘’‚‛‹›`´", '"' * 6 + "'" * 8)),
+        "space": lambda s: re.sub(r"[^\S\n]+", " ", re.sub("[\u200b\ufeff]", "", s)).strip(" "),
+        "accents": lambda s: s.translate(str.maketrans(tx._ACCENTED, tx._PLAIN)),
+        "brackets": lambda s: re.sub(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "", s),
+        "punctuation": lambda s: "".join(" " if unicodedata.category(c).startswith("P") else c for c in s),
+        "lower": str.lower,
+        "tokens": lambda s: regex.findall(r"[\w-]*\p{L}[\w-]*", s),
+        "decontract": lambda t: [tx.TOKEN_EXPANSIONS.get(w, w) for w in t],
+        "expand": lambda t: [tx.CONTRACTIONS.get(w, w) for w in t],
+        "stop": lambda t: [w for w in t if w.lower() not in tx.STOPWORDS],
+        "cloud_stop": lambda t: [w for w in t if w.lower() not in tx.CLOUD_STOPWORDS],
+        "page_stop": lambda t: [w for w in t if w.lower() not in tx.TOPIC_PAGE_STOPWORDS],
+        "lemma": lambda t: [plain_lemma(w) for w in t],
+    }
+    order = {
+        "default": "join quotes space accents brackets punctuation lower tokens decontract",
+        "topic": "lower join quotes accents brackets punctuation tokens expand lemma stop",
+        "cluster": "lower join quotes space accents brackets punctuation tokens expand stop lemma",
+        "cloud": "join quotes space accents brackets punctuation tokens expand cloud_stop lemma",
+        "topic_page": "join quotes space accents brackets punctuation tokens expand page_stop lemma",
+    }
+    for step in order[name].split():
+        text = steps[step](text)
+    return text
+
+
+def plain_lemma(w):
+    if re.search("(ss|us|is)$", w) or len(w) < 4:
+        return w
+    if w.endswith("ies"):
+        return w[:-3] + "y"
+    if re.search("(ches|shes|xes|zes|sses)$", w):
+        return w[:-2]
+    if w.endswith("men"):
+        return w[:-3] + "man"
+    return w.removesuffix("s")
+
+
+def test_pipelines_of_all_messages_match_a_plain_version(spark, sf):
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = QUERIES["pipelines"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        for name in tx.PIPELINES:
+            assert r[name] == plain_pipeline(texts[r.conv_id, r.turn], name), (r.conv_id, r.turn, name)
+
+
+def test_text_of_all_pages_matches_a_plain_walk(spark, sf):
+    """String nodes between tags, by a scan for tags; scripts and styles run to their own end tag."""
+
+    def walk(page):
+        page = re.sub(r"<!DOCTYPE[^>]*>", "", page)
+        out, at = [], 0
+        for m in re.finditer(r"<!--(.*?)-->|<(script|style)[^>]*>(.*?)</\2>|</?[a-zA-Z][^>]*>", page, re.S):
+            if m.start() > at:
+                out.append(html_lib.unescape(page[at : m.start()]))
+            out += [x for x in (m.group(1), m.group(3)) if x]
+            at = m.end()
+        out += [html_lib.unescape(page[at:])] if at < len(page) else []
+        return " ".join(re.sub(r"\{.*?\}", "", x, flags=re.S).replace("\\n", "").strip() for x in out)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in QUERIES["html_text"](spark, sf).collect():
+        assert r.text == walk(pages[r.page_id]), r.page_id
