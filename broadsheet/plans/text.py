@@ -336,11 +336,10 @@ def document_word_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOC_GRAMS}, k AS (SELECT doc_id, count(*) AS score FROM g JOIN top USING (term) GROUP BY 1) SELECT doc_id, coalesce(score, 0) AS score FROM documents LEFT JOIN k USING (doc_id)")
 def document_xkeyscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document, how many of its n-grams are among the top 1000: the n-grams are looked up where they are made."""
-    top = _top(_doc_grams(spark, sf_dir)).select("term").agg(F.collect_list("term").alias("top"))  # a list of 1000
-    known = F.broadcast(top.select(F.map_from_arrays("top", F.transform("top", lambda t: F.lit(1))).alias("top")))
-    grams = tx.let(similarity.terms("text", lower=False), lambda t: F.concat(t, tx.ngrams(t, 2), tx.ngrams(t, 3)))
-    return _docs(spark, sf_dir).select("doc_id", grams.alias("g")).join(known, how="cross").select("doc_id", F.size(F.filter("g", lambda t: F.map_contains_key("top", t))).cast("long").alias("score"))
+    """Per document, how many of its n-grams are among the top 1000, 0 if none."""
+    grams = _doc_grams(spark, sf_dir)
+    hits = grams.join(F.broadcast(_top(grams).select("term")), "term").groupBy("doc_id").agg(F.count("*").alias("score"))  # 1000 rows
+    return _docs(spark, sf_dir).select("doc_id").join(hits, "doc_id", "left").na.fill(0, ["score"])
 
 
 @query(f"WITH {_DOC_GRAMS}, d AS (SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS df FROM g GROUP BY 1) SELECT term, freq, df FROM d WHERE df >= 5 AND df <= 0.7 * (SELECT count(*) FROM documents) ORDER BY freq DESC, term LIMIT 1000")
