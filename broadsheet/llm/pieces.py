@@ -139,7 +139,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.diff(bounds)), lists, pa.array(decoded, pa.string())], names=[*rest, "n_tokens", "ids", "decoded"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text_col))
     schema = T.StructType(source.schema.fields[:-1]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return source.mapInArrow(run, schema)
 

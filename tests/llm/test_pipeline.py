@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from broadsheet.llm import queries
+from broadsheet.scratch import Scratch
 from tests.llm.test_pairs import plain_components
 
 
@@ -57,3 +60,21 @@ def test_stages_take_nulls(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, sf)
     assert at.where("doc_id >= 10000000").count() == 0 and at.where("doc_id is null").count() == 1
+
+
+def test_stages_keep_further_columns_and_repeated_ids(spark, sf):
+    """Names that the operators use themselves, rows that repeat an id, ties, and a table without n_chars."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").drop("n_chars")
+    twice = docs.unionByName(docs.where("doc_id % 10 = 0"))
+    extra = ("id", "body", "rest", "kept", "bucket", "label", "host", "c1", "rejected", "items", "_text")
+    at = twice.select("*", *[F.lit(c).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES:
+        columns = at.columns
+        at = Scratch(spark, "test").keep(stage(spark, at, sf), name)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert at.columns == columns, name
+    rows = at.collect()
+    assert all(r[c] == c for r in rows for c in extra) and len({r.doc_id for r in rows}) < len(rows)
+    plain = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    ids = {r.doc_id: r.ids for r in plain.collect()}
+    assert all(r.ids == ids[r.doc_id] for r in rows if r.doc_id in ids and r.n_tokens == len(ids[r.doc_id]))
