@@ -1,15 +1,23 @@
-"""Scratch tables in the shared checkpoint folder: they cut lineage and survive the loss of executors."""
+"""Scratch tables in the shared checkpoint folder: they cut lineage and survive the loss of executors.
+
+Tables that no later step reads are dropped as soon as that is known; what the returned frames still read is deleted when the
+driver's process ends, or earlier by :meth:`Scratch.end`.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; beyond them the join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: What a value is counted as; others (text, lists, structs) as LONG_VALUE.
+WIDTHS = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4}
+LONG_VALUE = 48
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,6 +38,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{checkpoint_dir(spark)}/broadsheet/{name}-{uuid.uuid4().hex}"
+        if not _roots:
+            atexit.register(_delete_roots)
+        _roots.append((spark.sparkContext._jvm, self.root))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
@@ -47,6 +58,25 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a side of known size; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if rows <= most else df
+_roots: list[tuple] = []
+
+
+def _delete_roots() -> None:
+    """At the end of the process; a JVM that is gone already has nobody left to read the tables either."""
+    for jvm, root in _roots:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the gateway may be closed in several ways
+            return
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row of the frame is counted as."""
+    fixed = {"long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8} | WIDTHS
+    return sum(fixed.get(f.dataType.typeName(), LONG_VALUE) for f in df.schema.fields)
+
+
+def maybe_broadcast(df: DataFrame, rows: float, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a side of counted rows whose width is known; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if rows * row_bytes(df) <= most else df
