@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.shared import Scratch, chunks, long_id, mounted
+from broadsheet.llm.shared import Scratch, chunks, long_id, mounted, small_batches
 from broadsheet.llm.words import PUNCTUATION, U64, Words, _PLACE, mix
 
 #: (least and most tokens of an item, masks; 1: the token counts, 0: it is ignored).
@@ -206,12 +206,14 @@ def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, ship_seed
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
     """(id, contaminated, n_items, items) of every row of ``docs``."""
     source = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    small_batches(docs.sparkSession)
     shelf = _prepared(benchmark, item_col, item_text_col, ship_seeds)
     return source.mapInArrow(lambda it: _scan(it, shelf), _OUT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ship_seeds: int = SHIP_SEEDS) -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates."""
+    small_batches(docs.sparkSession)
     shelf = _prepared(benchmark, item_col, item_text_col, ship_seeds)
     at = docs.columns.index(text_col)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.packed import runs
-from broadsheet.llm.shared import Scratch, chunks, maybe_broadcast
+from broadsheet.llm.shared import Scratch, chunks, maybe_broadcast, small_batches
 from broadsheet.llm.words import U64, Words, mix
 
 LEAST_TOKENS = 5
@@ -336,6 +336,7 @@ def _decide(table: pa.Table, known: pa.Table, least: int) -> pa.Table:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_TOKENS) -> DataFrame:
     """(id, url, text) of every row."""
     spark = pages.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "html")
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = f"id {dict(source.dtypes)['id']}, url string, host string, kinds array<int>, texts array<string>, size long"

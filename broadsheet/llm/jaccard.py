@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import packed
 from broadsheet.operators.components import components
-from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, maybe_broadcast, release, text_bytes
+from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, maybe_broadcast, release, small_batches, text_bytes, tidy
 from broadsheet.llm.signature_tree import Tree, Union, bitmap, overlap
 from broadsheet.llm.words import Words, mix
 
@@ -274,6 +274,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links, itself included."""
     num, den = NUM, DEN
     spark = docs.sparkSession
+    small_batches(spark)
     scratch, n_buckets = Scratch(spark, "jaccard"), buckets(spark, text_bytes(docs, text_col))
     source = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     signed = scratch.keep(source.mapInArrow(lambda it: _signatures(it, width), "id long, n long, c1 long, c2 long"), "signed")
@@ -281,7 +282,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     classes = filled.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
 
     entries = source.where("id is not null").mapInArrow(lambda it: _prefixes(it, n_buckets, width), packed.SCHEMA)
-    shared = entries.groupBy("bucket").applyInArrow(_shared, "c1 long, shared long").groupBy("c1").agg(F.sum("shared").alias("shared"))
+    shared = entries.groupBy("bucket").applyInArrow(tidy(_shared), "c1 long, shared long").groupBy("c1").agg(F.sum("shared").alias("shared"))
     # l of the docstring, for the smallest partner that a set of this size can have; the whole overlap where that is less.
     least = f"cast(ceil({num} * n / {den}) as long)"
     wanted = f"least(cast(floor(3 * ({least}) / 20) as long) + 1, {least})"
@@ -294,7 +295,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     keyed = sets.select("id", F.posexplode("keys").alias("salt", "key"))
     grouped = _blocks(keyed, ["salt", "key"], BLOCK, scratch, "key-blocks").withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
-    links = grouped.join(sets.select("id", F.col("id").alias("label"), "hashes"), "id").groupBy("salt", "key", "block").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
+    links = grouped.join(sets.select("id", F.col("id").alias("label"), "hashes"), "id").groupBy("salt", "key", "block").applyInArrow(tidy(lambda t: _block_links(t, num, den)), "a long, b long")
     first = scratch.keep(links.distinct(), "links")
     del links, grouped
     release(spark)
@@ -305,7 +306,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     scratch.drop("sets")
 
     counted = named.select("hashes").mapInArrow(lambda it: _holders(it, n_buckets), packed.SCHEMA)
-    ranks = scratch.keep(counted.groupBy("bucket").applyInArrow(_ranked, "token long, level int"), "ranks")
+    ranks = scratch.keep(counted.groupBy("bucket").applyInArrow(tidy(_ranked), "token long, level int"), "ranks")
     least_level, total = 64, 0
     for r in sorted(ranks.groupBy("level").count().collect(), key=lambda r: -r.level):
         total += r["count"]
@@ -315,13 +316,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     got = ranks.where(F.col("level") >= least_level).toArrow()
     order = Order(got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy())
     entries = named.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order), packed.SCHEMA)
-    visits = scratch.keep(entries.groupBy("bucket").applyInArrow(_visits, "id long, host long").distinct(), "visits")
+    visits = scratch.keep(entries.groupBy("bucket").applyInArrow(tidy(_visits), "id long, host long").distinct(), "visits")
     del counted, entries
     release(spark)
     split = _blocks(visits, ["host"], BLOCK, scratch, "host-blocks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
     # A visitor goes to the pair of blocks (its own, k) for each k: the number of blocks, not of visitors.
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id")
-    more = dealt.join(named.select("id", "label", "hashes"), "id").groupBy("host", "one", "two").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
+    more = dealt.join(named.select("id", "label", "hashes"), "id").groupBy("host", "one", "two").applyInArrow(tidy(lambda t: _block_links(t, num, den)), "a long, b long")
     more = scratch.keep(more, "more")
     del dealt, split
     release(spark)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.decontaminate import _tokens
-from broadsheet.llm.shared import chunks
+from broadsheet.llm.shared import chunks, small_batches
 from broadsheet.llm.words import U64
 
 LEAST_COVERAGE = 0.8
@@ -208,6 +208,7 @@ _FINDINGS = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float6
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_findings, licenses, coverage, findings) of every row; coverage is the best one, 0 without findings."""
+    small_batches(docs.sparkSession)
     scanner = Scanner(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

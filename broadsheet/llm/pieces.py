@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.shared import chunks
+from broadsheet.llm.shared import chunks, small_batches
 
 TABLE_BYTES = 32 << 20
 #: Bytes of an entry besides the characters of the word and its ids.
@@ -139,6 +139,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.diff(bounds)), lists, pa.array(decoded, pa.string())], names=[*rest, "n_tokens", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text_col))
     schema = T.StructType(source.schema.fields[:-1]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return source.mapInArrow(run, schema)
@@ -159,5 +160,6 @@ def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

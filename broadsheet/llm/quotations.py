@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.shared import Scratch, chunks, long_id, maybe_broadcast
+from broadsheet.llm.shared import Scratch, chunks, long_id, maybe_broadcast, small_batches
 
 #: Passages and lines shorter than this many characters are weak evidence.
 LEAST_CHARS = 12
@@ -103,6 +103,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, n_quotes, reply_to, thread, position) of every message; position counts from 1."""
     spark = messages.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "quotations")
     source = messages.select(long_id(messages, conv_col).alias("conv_id"), long_id(messages, turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     parsed = scratch.keep(source.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, n_quotes long, keys array<struct<level:int,key:long,size:long,whole:boolean>>"), "parsed")

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from broadsheet.llm import packed
 from broadsheet.llm.packed import slot_column
-from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, release, text_bytes
+from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, release, small_batches, text_bytes, tidy
 from broadsheet.llm.words import Words, mix
 
 WINDOW = 50
@@ -246,13 +246,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of at least 4 words")
     spark, block = docs.sparkSession, window // 2
+    small_batches(spark)
     scratch, total = Scratch(spark, "repeats"), text_bytes(docs, text_col)
     # Each bucket of documents sends a row to each bucket of windows, so the latter are fewer.
     n, n_windows = buckets(spark, total), buckets(spark, total, 1)
     own_id = F.coalesce(long_id(docs, id_col), F.lit(NO_ID)).alias("id")
     source = docs.select(own_id, F.col(text_col).cast("string").alias("body"))
     entries = source.mapInArrow(lambda it: _anchors(it, n, block), packed.SCHEMA)
-    hits = scratch.keep(entries.groupBy("bucket").applyInArrow(lambda t: _meet(t, n, block), packed.SCHEMA), "hits")
+    hits = scratch.keep(entries.groupBy("bucket").applyInArrow(tidy(lambda t: _meet(t, n, block)), packed.SCHEMA), "hits")
     del entries
     release(spark)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
@@ -260,10 +261,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = placed.select(slot_column("id", n).alias("bucket"), "id", "body", "rest")
     schema = T._parse_datatype_string("id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string").add("rest", placed.schema["rest"].dataType)
     texts = source.select(slot_column("id", n).alias("bucket"), "id", "body")
-    windows = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(lambda a, b: _candidates(a, b, n, n_windows, window, block), packed.SCHEMA)
-    removed = scratch.keep(windows.groupBy("bucket").applyInArrow(lambda t: _decide(t, n), packed.SCHEMA), "removed")
+    windows = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(tidy(lambda a, b: _candidates(a, b, n, n_windows, window, block)), packed.SCHEMA)
+    removed = scratch.keep(windows.groupBy("bucket").applyInArrow(tidy(lambda t: _decide(t, n)), packed.SCHEMA), "removed")
     del windows
     scratch.drop("hits")
     release(spark)
-    out = placed.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(lambda a, b: _cut(a, b, window, digest), schema)
+    out = placed.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(tidy(lambda a, b: _cut(a, b, window, digest)), schema)
     return out.withColumn("id", F.nullif("id", F.lit(NO_ID)))

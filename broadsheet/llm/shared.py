@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from urllib.parse import unquote, urlparse
 
@@ -19,12 +19,24 @@ from pyspark.sql import types as T
 
 from broadsheet.scratch import Scratch, maybe_broadcast
 
-__all__ = ["CHUNK_BYTES", "Scratch", "buckets", "chunks", "long_id", "maybe_broadcast", "mounted", "release", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "Scratch", "buckets", "chunks", "long_id", "maybe_broadcast", "mounted", "release", "small_batches", "text_bytes", "tidy"]
 
 #: Bytes of text that one vectorised step handles at a time; a longer text is handled whole, on its own.
 CHUNK_BYTES = 2 << 20
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of Arrow batches to ``BATCH_BYTES`` where it was left at its default: ten thousand long
+    documents at once would be held by the JVM and by the worker."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) in (_BATCH_DEFAULT, "64m", "64MB"):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files that nothing refers to any more; they would else wait for a chance GC."""
     gc.collect()
@@ -69,6 +81,21 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(decide: Callable, every: int = 16) -> Callable:
+    """A function of grouped tables that gives freed memory back after every few groups."""
+    calls = [0]
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = decide(*tables)
+        calls[0] += 1
+        if calls[0] % every == 0:
+            _trim()
+        return out
+
+    # The workers look at the number of arguments.
+    return (lambda a, b: run(a, b)) if decide.__code__.co_argcount == 2 else (lambda t: run(t))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about ``most`` bytes of the text in column ``at``, or one row."""
     for batch in batches:

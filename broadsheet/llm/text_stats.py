@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.packed import runs
-from broadsheet.llm.shared import chunks
+from broadsheet.llm.shared import chunks, small_batches
 from broadsheet.llm.words import U64, Words, mix
 
 #: Characters that count as symbols (fixed by the contract of the quality rules).
@@ -124,6 +124,7 @@ def _rows(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch
 
 def with_stats(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """The key columns and COLUMNS of every row."""
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").cast("string").alias("_text"))
     schema = source.drop("_text").schema
     for c in COLUMNS:
