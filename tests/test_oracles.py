@@ -30,4 +30,5 @@ def test_models_give_rows(spark, sf):
     topics = QUERIES["lda_topics"](spark, sf).collect()
     assert {r.topic for r in topics} == {0, 1, 2, 3, 4} and all(0 < r.pct < 100 for r in topics)
     parts = QUERIES["pca"](spark, sf).collect()
-    assert len(parts) == 500 and all(len(r.components) == 8 for r in parts)
+    # As many components as explain 95 per cent of the variance; tests/test_models.py compares them with a decomposition.
+    assert len(parts) == 500 and len({len(r.components) for r in parts}) == 1
