@@ -13,7 +13,10 @@ between different sets are found; a group of similar documents is never expanded
    many holders last. A hash whose holders lie in more than one component sends them all to its host, the largest of
    these components. The sets that meet at a host (in pairs of blocks, if many) are joined by a signature tree again,
    with an exact check, leaving pairs already connected. Since both ends of every link across components meet at a
-   host, none is lost; a set travels once per host, not once per hash.
+   host, none is lost; a set travels once per host and block, not once per hash. At a host with more than
+   ``HOST_BLOCKS`` blocks only those meet that share a hash: its hashes are dealt into parts of about half a block, and a
+   set goes to the parts of its own hashes, so the copies grow with its length and not with the visitors. Only the
+   holders of one hash that fill several blocks still meet in pairs of blocks.
 
 Cases: a document without words or text has an empty set and links with nothing. Fewer words than a shingle make one
 shingle of the whole sequence. Ties at exactly the threshold link (integer arithmetic). Rows that repeat an id are one
@@ -29,7 +32,7 @@ returned: pairs that are connected already are not compared, so a document's num
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ NUM, DEN = 3, 4
 #: Sets in a block of a group; groups of any size fall into as many blocks as they need.
 BLOCK = 512
 SALTS = 3
+#: Visitors of a host with more blocks than this are dealt by the hashes that lead them there.
+HOST_BLOCKS = 64
 #: Bytes of a hash in the sets that are compared: two sets of 1000 differ from their full hashes once in 10**8 pairs.
 HASH_BYTES = 6
 _SPLIT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -244,8 +249,8 @@ def _prefix_entries(batches: Iterator[pa.RecordBatch], n_buckets: int, order: Or
         yield flush()
 
 
-def _visits(table: pa.Table) -> pa.Table:
-    """(id, host) of the holders of hashes that more than one component holds."""
+def _open(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, host, hash) of the holders of hashes that more than one component holds."""
     owner, count, token, label = packed.unpack(table, 8, 8)
     label, count = label.view(np.int64), count.astype(np.int64)
     # Of each hash's components the largest comes first, the least label among equals.
@@ -255,10 +260,21 @@ def _visits(table: pa.Table) -> pa.Table:
     sizes = np.diff(np.append(starts, len(token)))
     open_ = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
     host = np.repeat(label[starts], sizes)
-    pairs = np.unique(np.stack([owner[open_], host[open_]], 1), axis=0) if open_.any() else np.zeros((0, 2), np.int64)
+    return owner[open_], host[open_], token[open_].view(np.int64)
+
+
+def _visits(table: pa.Table) -> pa.Table:
+    """Each holder once at each of its hosts."""
+    owner, host, _ = _open(table)
+    pairs = np.unique(np.stack([owner, host], 1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "host"])
 
 
+def _hash_visits(table: pa.Table) -> pa.Table:
+    """Each holder at its hosts, once for each hash that leads it there."""
+    return pa.table([pa.array(x) for x in _open(table)], names=["id", "host", "token"])
+
+
 def _blocks(rows: DataFrame, key: list[str], most: int, scratch: Scratch, name: str) -> DataFrame:
     """Adds ``parts``: into how many blocks of about ``most`` rows a key with at least two rows falls.
 
@@ -270,6 +286,22 @@ def _blocks(rows: DataFrame, key: list[str], most: int, scratch: Scratch, name:
     return rows.join(maybe_broadcast(counts, counts.count()), key)
 
 
+def _by_hash(hot: DataFrame, visits: DataFrame, entries: Callable[[DataFrame], DataFrame], named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Visits (host, part, id) of the hosts ``hot``: a part takes the visitors that come with some of the host's hashes.
+
+    All holders of a hash that leads to a host visit that host, so the entries of the visitors alone give the same hashes
+    again; a hash of another host may get a host of its own choice there, and is left out if that is not a hot one.
+    """
+    ids = scratch.keep(visits.join(hot, "host", "left_semi").select("id").distinct(), "hot-ids")
+    chosen = named.join(maybe_broadcast(ids, ids.count()), "id", "left_semi")
+    hashed = entries(chosen).groupBy("bucket").applyInArrow(tidy(_hash_visits), "id long, host long, token long")
+    hashed = scratch.keep(hashed.join(hot, "host", "left_semi"), "hash-visits")
+    # Parts of half a block, so that only the holders of a hash with many of them take more than one block.
+    parts = scratch.keep(hashed.groupBy("host").agg(F.ceil(2 * F.count("*") / BLOCK).alias("n_parts")), "hash-parts")
+    part = F.pmod(F.xxhash64("token"), "n_parts").cast("int")
+    return hashed.join(maybe_broadcast(parts, parts.count()), "host").select("host", part.alias("part"), "id").distinct()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links, itself included."""
     num, den = NUM, DEN
@@ -315,14 +347,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         least_level = r.level
     got = ranks.where(F.col("level") >= least_level).toArrow()
     order = Order(got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy())
-    entries = named.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order), packed.SCHEMA)
-    visits = scratch.keep(entries.groupBy("bucket").applyInArrow(tidy(_visits), "id long, host long").distinct(), "visits")
-    del counted, entries
+    entries = lambda rows: rows.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order), packed.SCHEMA)
+    visits = scratch.keep(entries(named).groupBy("bucket").applyInArrow(tidy(_visits), "id long, host long").distinct(), "visits")
+    del counted
     release(spark)
-    split = _blocks(visits, ["host"], BLOCK, scratch, "host-blocks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+    meetings = visits.withColumn("part", F.lit(0))
+    hot = scratch.keep(visits.groupBy("host").count().where(F.col("count") > HOST_BLOCKS * BLOCK).select("host"), "hot-hosts")
+    n_hot = hot.count()
+    if n_hot:
+        hot = maybe_broadcast(hot, n_hot)
+        by_hash = _by_hash(hot, visits, entries, named, scratch)
+        meetings = scratch.keep(meetings.join(hot, "host", "left_anti").unionByName(by_hash), "meetings")
+    split = _blocks(meetings, ["host", "part"], BLOCK, scratch, "host-blocks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
     # A visitor goes to the pair of blocks (its own, k) for each k: the number of blocks, not of visitors.
-    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id")
-    more = dealt.join(named.select("id", "label", "hashes"), "id").groupBy("host", "one", "two").applyInArrow(tidy(lambda t: _block_links(t, num, den)), "a long, b long")
+    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", "part", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id")
+    more = dealt.join(named.select("id", "label", "hashes"), "id").groupBy("host", "part", "one", "two").applyInArrow(tidy(lambda t: _block_links(t, num, den)), "a long, b long")
     more = scratch.keep(more, "more")
     del dealt, split
     release(spark)
@@ -331,7 +370,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     n_twice = twice.count()
     own = filled.join(maybe_broadcast(twice, n_twice), "id", "left_semi").join(classes, ["c1", "c2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(first.union(more).union(own) if n_twice else first.union(more), scratch, "final")
-    scratch.drop("named", "visits", "links", "more", "ranks", "key-blocks", "host-blocks")
+    scratch.drop("named", "visits", "links", "more", "ranks", "key-blocks", "host-blocks", *(("hot-ids", "hash-visits", "hash-parts", "meetings") if n_hot else ()))
 
     reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("label", "rep").alias("component_id"))
     # Written first: a join right above the aggregate could not split the rows of a class with very many copies.

@@ -87,8 +87,13 @@ def test_components_match_brute_force(spark, seed):
     assert got == plain_components(rows)
 
 
-def test_blocks_and_hosts_match_brute_force(spark, monkeypatch):
-    """Groups larger than a block, ranked hashes, and few salts, so that completion has to find links."""
+@pytest.mark.parametrize("host_blocks", [64, 1, 0])
+def test_blocks_and_hosts_match_brute_force(spark, monkeypatch, host_blocks):
+    """Groups larger than a block, ranked hashes, and few salts, so that completion has to find links; hosts dealt by
+    blocks, and all those of several blocks, or of any size, dealt by hashes."""
+    by_hash, dealt = jaccard._by_hash, []
+    monkeypatch.setattr(jaccard, "_by_hash", lambda *a: dealt.append(by_hash(*a)) or dealt[-1])
+    monkeypatch.setattr(jaccard, "HOST_BLOCKS", host_blocks)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "SALTS", 1)
     monkeypatch.setattr(jaccard, "FIRST_LEVEL", 1)
@@ -102,6 +107,7 @@ def test_blocks_and_hosts_match_brute_force(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_components(rows)
+    assert bool(dealt) == (host_blocks < 64)
 
 
 def test_whole_documents_table(spark, sf):
