@@ -16,7 +16,8 @@ between different sets are found; a group of similar documents is never expanded
    host, none is lost; a set travels once per host and block, not once per hash. At a host with more than
    ``HOST_BLOCKS`` blocks only those meet that share a hash: its hashes are dealt into parts of about half a block, and a
    set goes to the parts of its own hashes, so the copies grow with its length and not with the visitors. Only the
-   holders of one hash that fill several blocks still meet in pairs of blocks.
+   holders of one hash that fill several blocks still meet in pairs of blocks. No task gathers the holders of a very
+   frequent hash: what a task can settle by itself does not travel, and the hosts of such hashes are aggregates.
 
 Cases: a document without words or text has an empty set and links with nothing. Fewer words than a shingle make one
 shingle of the whole sequence. Ties at exactly the threshold link (integer arithmetic). Rows that repeat an id are one
@@ -59,6 +60,8 @@ _SPLIT = np.uint64(0x8CB92BA72F3D8DD7)
 #: (the least frequent of them go without, which changes the order but no result).
 FIRST_LEVEL = 5
 MOST_RANKED = 200_000
+#: Ranked hashes with at least 2 ** HOT_LEVEL holders get their hosts before the exchange, which their holders then skip.
+HOT_LEVEL = 20
 
 
 def _least(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -112,28 +115,45 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n_buckets: int, width: int) ->
             held.append((first, np.full(len(first), name, np.int64)))
             size += len(first)
         if size >= packed.FLUSH:
-            yield _flush(held, n_buckets)
+            yield from _flush(held, n_buckets)
             held, size = [], 0
     if held:
-        yield _flush(held, n_buckets)
+        yield from _flush(held, n_buckets)
 
 
-def _flush(held: list[tuple[np.ndarray, np.ndarray]], n_buckets: int) -> pa.RecordBatch:
+def _flush(held: list[tuple[np.ndarray, np.ndarray]], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """What the task can settle itself stays with it: of a hash that several classes hold here one entry travels, marked
+    by its last bit, and each of these classes is sent its number of such hashes (bucket -1 - class bucket)."""
     h, owner = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(h, kind="stable")
+    starts = packed.runs(h[order])
+    sizes = np.diff(np.append(starts, len(h)))
+    both = np.minimum.reduceat(owner[order], starts) != np.maximum.reduceat(owner[order], starts)
+    settled, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    settled[order] = np.repeat(both, sizes)
+    lead[order[starts[both]]] = True
+    if settled.any():
+        names, counts = np.unique(owner[settled], return_counts=True)
+        yield packed.pack((-1 - names % n_buckets).astype(np.int32), names, counts)
+    go = lead | ~settled
+    h, owner, lead = h[go], owner[go], lead[go].astype(np.uint64)
     bucket = (mix(h ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32)
-    return packed.pack(bucket, owner, np.zeros(0, np.uint32), mix(h))
+    yield packed.pack(bucket, owner, np.zeros(0, np.uint32), mix(h) >> np.uint64(1) << np.uint64(1) | lead)
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Per class, how many hashes of this bucket another class holds too."""
-    owner, _, h, _ = packed.unpack(table)
+    """Per class, how many hashes of this bucket another class holds too. A class that several tasks have sent may count a
+    hash once for each of them, which leaves a class too many and never one too few."""
+    owner, counts, h, _ = packed.unpack(table)
+    if table.column("bucket")[0].as_py() < 0:
+        names, at = np.unique(owner, return_inverse=True)
+        return pa.table([pa.array(names, pa.int64()), pa.array(np.bincount(at, counts).astype(np.int64))], names=["c1", "shared"])
     order = np.argsort(h, kind="stable")
-    sh, so = h[order], owner[order]
+    told, sh, so = h[order] & np.uint64(1) == 1, h[order] >> np.uint64(1), owner[order]
     starts = packed.runs(sh)
     sizes = np.diff(np.append(starts, len(sh)))
     both = np.minimum.reduceat(so, starts) != np.maximum.reduceat(so, starts)
-    mark = np.repeat(both, sizes)
-    # A class that several tasks have sent counts each hash once.
+    mark = np.repeat(both, sizes) & ~told
     pick = np.lexsort((sh[mark], so[mark]))
     o, h = so[mark][pick], sh[mark][pick]
     new = np.ones(len(o), bool)
@@ -228,30 +248,88 @@ class Order:
         return s[np.argsort(level, kind="stable")[:n]]
 
 
-def _prefix_entries(batches: Iterator[pa.RecordBatch], n_buckets: int, order: Order) -> Iterator[pa.RecordBatch]:
-    """Prefix hashes of each document with its component and the component's size (packed into one number)."""
-    held, size = [], 0
+class Hosts:
+    """Hosts of the hashes that very many documents hold: an open hash leads its holders to its host, the others nowhere."""
+
+    def __init__(self, tokens: np.ndarray, open_tokens: np.ndarray, hosts: np.ndarray):
+        self.tokens, self.open, self.host = np.sort(tokens), np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        at = np.searchsorted(self.tokens, open_tokens)
+        self.open[at], self.host[at] = True, hosts
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``tokens`` are listed, and their places in the list."""
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        listed = self.tokens[at] == tokens
+        return listed, at[listed]
 
-    def flush() -> pa.RecordBatch:
-        owner, tokens, name = (np.concatenate(x) for x in zip(*held))
-        return packed.pack((mix(tokens ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), owner, name[:, 1], tokens, name[:, 0].copy().view(np.uint64), 8)
 
+def _first_hashes(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(id, component, its size, prefix hashes) of each document."""
     for batch in batches:
         for i, label, count, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
             s = _unship(raw.as_buffer())
-            first = order.first(s, len(s) - _least(len(s)) + 1)
-            held.append((np.full(len(first), i, np.int64), first, np.tile(np.array([label, min(count, 2**32 - 1)], np.int64), (len(first), 1))))
-            size += len(first)
-            if size >= packed.FLUSH:
-                yield flush()
-                held, size = [], 0
+            yield i, label, min(count, 2**32 - 1), order.first(s, len(s) - _least(len(s)) + 1)
+
+
+def _candidate_hosts(batches: Iterator[pa.RecordBatch], order: Order, hot: Hosts) -> Iterator[pa.RecordBatch]:
+    """Of each listed hash the largest component that the task meets, and the range of the components' labels."""
+    n = len(hot.tokens)
+    size, best, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    for _, label, count, first in _first_hashes(batches, order):
+        _, at = hot.find(first)
+        over = at[(count > size[at]) | ((count == size[at]) & (label < best[at]))]
+        size[over], best[over] = count, label
+        low[at], high[at] = np.minimum(low[at], label), np.maximum(high[at], label)
+    met = size > 0
+    yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (hot.tokens.view(np.int64), size, best, low, high)], names=["token", "size", "label", "low", "high"])
+
+
+def _hosts(named: DataFrame, order: Order, tokens: np.ndarray) -> Hosts | None:
+    """Hosts of ``tokens``, at most ``MOST_RANKED``: aggregated in the tasks first, so that no task gathers the holders."""
+    if not len(tokens):
+        return None
+    hot = Hosts(tokens, tokens[:0], np.zeros(0, np.int64))
+    met = named.mapInArrow(lambda it: _candidate_hosts(it, order, hot), "token long, size long, label long, low long, high long")
+    # Of components of one size the least label is the host.
+    best = F.max(F.struct("size", F.bitwise_not("label").alias("turned"))).alias("best")
+    found = met.groupBy("token").agg(best, F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    got = found.select("token", F.bitwise_not("best.turned").alias("host")).toArrow()
+    return Hosts(tokens, got.column("token").to_numpy().view(np.uint64), got.column("host").to_numpy())
+
+
+def _prefix_entries(batches: Iterator[pa.RecordBatch], n_buckets: int, order: Order, hot: Hosts | None) -> Iterator[pa.RecordBatch]:
+    """Prefix hashes of each document with its component and the component's size (packed into one number); for hashes
+    whose host is known, the visits themselves (bucket -1 - document bucket)."""
+    held, known, size = [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            owner, tokens, name = (np.concatenate(x) for x in zip(*held))
+            yield packed.pack((mix(tokens ^ _SPLIT) % np.uint64(n_buckets)).astype(np.int32), owner, name[:, 1], tokens, name[:, 0].copy().view(np.uint64), 8)
+        if known:
+            owner, tokens, host = (np.concatenate(x) for x in zip(*known))
+            yield packed.pack(-1 - packed.slot(owner, n_buckets), owner, np.zeros(0, np.uint32), tokens, host.view(np.uint64), 8)
+
+    for i, label, count, first in _first_hashes(batches, order):
+        size += len(first)
+        if hot is not None:
+            listed, at = hot.find(first)
+            leads = hot.open[at]
+            known.append((np.full(leads.sum(), i, np.int64), first[listed][leads], hot.host[at][leads]))
+            first = first[~listed]
+        held.append((np.full(len(first), i, np.int64), first, np.tile(np.array([label, count], np.int64), (len(first), 1))))
+        if size >= packed.FLUSH:
+            yield from flush()
+            held, known, size = [], [], 0
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _open(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, host, hash) of the holders of hashes that more than one component holds."""
     owner, count, token, label = packed.unpack(table, 8, 8)
+    if table.column("bucket")[0].as_py() < 0:
+        return owner, label.view(np.int64), token.view(np.int64)
     label, count = label.view(np.int64), count.astype(np.int64)
     # Of each hash's components the largest comes first, the least label among equals.
     order = np.lexsort((label, -count, token))
@@ -347,7 +425,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         least_level = r.level
     got = ranks.where(F.col("level") >= least_level).toArrow()
     order = Order(got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy())
-    entries = lambda rows: rows.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order), packed.SCHEMA)
+    tokens = got.column("token").to_numpy().view(np.uint64)
+    hot_hashes = _hosts(named, order, tokens[got.column("level").to_numpy() >= HOT_LEVEL])
+    entries = lambda rows: rows.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order, hot_hashes), packed.SCHEMA)
     visits = scratch.keep(entries(named).groupBy("bucket").applyInArrow(tidy(_visits), "id long, host long").distinct(), "visits")
     del counted
     release(spark)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, jaccard, licenses, queries, repeats
+from broadsheet.llm import decontaminate, jaccard, licenses, packed, queries, repeats
 from broadsheet.llm.signature_tree import Tree, bitmap
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -87,10 +87,11 @@ def test_components_match_brute_force(spark, seed):
     assert got == plain_components(rows)
 
 
-@pytest.mark.parametrize("host_blocks", [64, 1, 0])
-def test_blocks_and_hosts_match_brute_force(spark, monkeypatch, host_blocks):
+@pytest.mark.parametrize("host_blocks, hot_level", [(64, 20), (1, 5), (0, 20), (64, 5)])
+def test_blocks_and_hosts_match_brute_force(spark, monkeypatch, host_blocks, hot_level):
     """Groups larger than a block, ranked hashes, and few salts, so that completion has to find links; hosts dealt by
-    blocks, and all those of several blocks, or of any size, dealt by hashes."""
+    blocks, and all those of several blocks, or of any size, dealt by hashes; hosts of frequent hashes known beforehand."""
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", hot_level)
     by_hash, dealt = jaccard._by_hash, []
     monkeypatch.setattr(jaccard, "_by_hash", lambda *a: dealt.append(by_hash(*a)) or dealt[-1])
     monkeypatch.setattr(jaccard, "HOST_BLOCKS", host_blocks)
@@ -110,6 +111,27 @@ def test_blocks_and_hosts_match_brute_force(spark, monkeypatch, host_blocks):
     assert bool(dealt) == (host_blocks < 64)
 
 
+def test_coverage_counts_lose_no_class():
+    """Classes that several flushes hold, with a hash that nearly all of them share: no count falls short."""
+    rng = np.random.default_rng(7)
+    sets = {n: np.unique(np.append(rng.integers(1, 60, rng.integers(1, 12)), [0] * (n % 9 > 0))).astype(np.uint64) for n in range(1, 60)}
+    flushes = [rng.choice(np.arange(1, 60), 20, replace=False).tolist() for _ in range(6)]
+    held = {n for f in flushes for n in f}
+    want = {n: sum(any(h in sets[m] for m in held if m != n) for h in sets[n].tolist()) for n in held}
+    rows: dict[int, list] = {}
+    for f in flushes:
+        for batch in jaccard._flush([(sets[n], np.full(len(sets[n]), n, np.int64)) for n in f if len(sets[n])], 4):
+            for row in batch.to_pylist():
+                rows.setdefault(row["bucket"], []).append(row)
+    got = dict.fromkeys(held, 0)
+    for bucket in rows.values():
+        for r in jaccard._shared(pa.Table.from_pylist(bucket, packed.ARROW)).to_pylist():
+            got[r["c1"]] += r["shared"]
+    assert all(got[n] >= want[n] for n in held)
+    assert all(got[n] == want[n] for n in held if sum(n in f for f in flushes) == 1)
+    assert sum(len(r["owners"]) // 8 for b, bucket in rows.items() if b >= 0 for r in bucket) < sum(len(sets[n]) for f in flushes for n in f)
+
+
 def test_whole_documents_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard_join(spark, sf).collect()}
