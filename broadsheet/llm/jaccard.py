@@ -17,7 +17,8 @@ between different sets are found; a group of similar documents is never expanded
    ``HOST_BLOCKS`` blocks only those meet that share a hash: its hashes are dealt into parts of about half a block, and a
    set goes to the parts of its own hashes, so the copies grow with its length and not with the visitors. Only the
    holders of one hash that fill several blocks still meet in pairs of blocks. No task gathers the holders of a very
-   frequent hash: what a task can settle by itself does not travel, and the hosts of such hashes are aggregates.
+   frequent hash: what a task can settle by itself does not travel, and the hosts of such hashes, as
+   far as they are ranked, are aggregates.
 
 Cases: a document without words or text has an empty set and links with nothing. Fewer words than a shingle make one
 shingle of the whole sequence. Ties at exactly the threshold link (integer arithmetic). Rows that repeat an id are one
