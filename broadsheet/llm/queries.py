@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, html_text, jaccard, language, licenses, outliers, pieces, quotations, repeats, rules
+from broadsheet.llm import decontaminate, filter_audit, html_text, jaccard, language, licenses, outliers, pieces, quotations, repeats, rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -98,6 +102,26 @@ _ORACLES = {
         x AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM w),
         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM x ANTI JOIN g USING (doc_id, i) GROUP BY 1)
         SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_filter_audit": f"""
+        WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+        t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.replace("{0}", "coalesce(text, '')")} AS ws FROM documents),
+        d AS (SELECT doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, len(ws) < 200 AS a,
+            100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+            regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM t LEFT JOIN l USING (doc_id)),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM letters p, letters q, letters r, letters s, letters u
+            WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+        m AS (SELECT part, good, toxic, a, b, c, d, e, count(*) AS n FROM d GROUP BY ALL),
+        f AS (SELECT m.*, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails FROM m),
+        x AS (SELECT part, filter_order, step, n, good, toxic, fails, contains(fails, filter_order[step]) AS own,
+            len(list_filter(generate_series(1, step - 1), lambda i: contains(fails, filter_order[i]))) > 0 AS gone, fails = filter_order[step] AS only_this
+            FROM f, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        g AS (SELECT part, filter_order, step, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only_this THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN own AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost FROM x GROUP BY 1, 2, 3)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM g""",
 }
 
 
