@@ -35,6 +35,7 @@ returned: pairs that are connected already are not compared, so a document's num
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,32 @@ from broadsheet.llm.shared import Scratch, buckets, chunks, long_id, maybe_broad
 from broadsheet.llm.signature_tree import Tree, Union, bitmap, overlap
 from broadsheet.llm.words import Words, mix
 
-SHINGLE = 5
-NUM, DEN = 3, 4
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Sets of ``width``-word shingles link from a similarity of ``num`` / ``den`` on; ``cover`` is l of step 2 as a share of the set."""
+
+    width: int = 5
+    num: int = 3
+    den: int = 4
+    cover: tuple[int, int] = (3, 20)
+
+    def least(self, n: int) -> int:
+        """Least overlap that a set of size n has with any partner."""
+        return -(-self.num * n // self.den)
+
+    def sent(self, n: int) -> int:
+        """How many hashes of a set of size n the coverage filter looks at."""
+        return min(n, n - self.least(n) + self.cover[0] * n // self.cover[1] + 1)
+
+    def wanted(self) -> str:
+        """How many of them another class must hold (SQL over n): l for the smallest partner, the whole overlap where that is less."""
+        least = f"cast(ceil({self.num} * n / {self.den}) as long)"
+        return f"least(cast(floor({self.cover[0]} * ({least}) / {self.cover[1]}) as long) + 1, {least})"
+
+
+LINKED = Rule()
 #: Sets in a block of a group; groups of any size fall into as many blocks as they need.
 BLOCK = 512
 SALTS = 3
@@ -65,11 +90,6 @@ MOST_RANKED = 200_000
 HOT_LEVEL = 20
 
 
-def _least(n: np.ndarray | int, num: int = NUM, den: int = DEN):
-    """Least overlap that a set of size n has with any partner."""
-    return -(-num * n // den)
-
-
 def set_class(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that name a set."""
     a = mix(s + np.uint64(0x51ED270B)).sum(dtype=np.uint64)
@@ -96,13 +116,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         )
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n_buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], n_buckets: int, rule: Rule) -> Iterator[pa.RecordBatch]:
     """The first hashes of each class that the task meets; a class that it meets again is skipped (bounded memory)."""
     seen: set[int] = set()
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in chunks(batches):
-        for s in Words(batch.column(1), lower=True).shingle_sets(width):
+        for s in Words(batch.column(1), lower=True).shingle_sets(rule.width):
             n = len(s)
             if not n:
                 continue
@@ -112,7 +132,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n_buckets: int, width: int) ->
             if len(seen) >= 500_000:
                 seen.clear()
             seen.add(name)
-            first = s[: min(n, n - _least(n) + 3 * n // 20 + 1)]
+            first = s[: rule.sent(n)]
             held.append((first, np.full(len(first), name, np.int64)))
             size += len(first)
         if size >= packed.FLUSH:
@@ -163,14 +183,19 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(names, pa.int64()), pa.array(counts, pa.int64())], names=["c1", "shared"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the classes that are left, with a group key for each salt."""
+def least_hashes(s: np.ndarray) -> list[int]:
+    """The least hash of a set under each salt."""
+    return [int(mix(s ^ np.uint64(977 * (r + 1))).min().view(np.int64)) for r in range(SALTS)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, keys_of: Callable[[np.ndarray], list[int]]) -> Iterator[pa.RecordBatch]:
+    """Sets of the classes that are left, with their group keys."""
     for batch in chunks(batches):
         sets = Words(batch.column(1), lower=True).shingle_sets(width)
         # An empty set comes here only as a further row of an id that has another one.
         filled = pa.array([len(s) > 0 for s in sets], pa.bool_())
         batch, sets = batch.filter(filled), [s for s in sets if len(s)]
-        keys = [[int(mix(s ^ np.uint64(977 * (r + 1))).min().view(np.int64)) for r in range(salts)] for s in sets]
+        keys = [keys_of(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ship(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
             names=["id", "n", "hashes", "keys"],
@@ -239,11 +264,13 @@ def _ranked(table: pa.Table) -> pa.Table:
 class Order:
     """Global order of hashes: by level, then by value. Hashes that are not listed have level 0."""
 
-    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
-        order = np.argsort(tokens)
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray, rule: Rule):
+        self.rule, order = rule, np.argsort(tokens)
         self.tokens, self.levels = np.append(tokens[order], np.uint64(2**64 - 1)), np.append(levels[order], 0)
 
-    def first(self, s: np.ndarray, n: int) -> np.ndarray:
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """Of which any partner holds one at least."""
+        n = len(s) - self.rule.least(len(s)) + 1
         at = np.searchsorted(self.tokens[:-1], s)
         level = np.where(self.tokens[at] == s, self.levels[at], 0)
         return s[np.argsort(level, kind="stable")[:n]]
@@ -269,7 +296,7 @@ def _first_hashes(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[t
     for batch in batches:
         for i, label, count, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
             s = _unship(raw.as_buffer())
-            yield i, label, min(count, 2**32 - 1), order.first(s, len(s) - _least(len(s)) + 1)
+            yield i, label, min(count, 2**32 - 1), order.prefix(s)
 
 
 def _candidate_hosts(batches: Iterator[pa.RecordBatch], order: Order, hot: Hosts) -> Iterator[pa.RecordBatch]:
@@ -381,9 +408,25 @@ def _by_hash(hot: DataFrame, visits: DataFrame, entries: Callable[[DataFrame], D
     return hashed.join(maybe_broadcast(parts, parts.count()), "host").select("host", part.alias("part"), "id").distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links, itself included."""
-    num, den = NUM, DEN
+def by_least_hashes(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Groups (salt, key, block) of step 3."""
+    keyed = sets.select("id", F.posexplode("keys").alias("salt", "key"))
+    return _blocks(keyed, ["salt", "key"], BLOCK, scratch, "key-blocks").withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
+
+
+def link(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rule: Rule = LINKED,
+    keys_of: Callable[[np.ndarray], list[int]] = least_hashes,
+    groups_of: Callable[[DataFrame, Scratch], DataFrame] = by_least_hashes,
+) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links, itself included.
+
+    ``keys_of`` and ``groups_of`` say which sets meet in step 3: keys of a set, and (group columns, id) made of (id, n, hashes, keys).
+    """
+    num, den, width = rule.num, rule.den, rule.width
     spark = docs.sparkSession
     small_batches(spark)
     scratch, n_buckets = Scratch(spark, "jaccard"), buckets(spark, text_bytes(docs, text_col))
@@ -392,21 +435,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     filled = signed.where("n > 0 and id is not null")
     classes = filled.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
 
-    entries = source.where("id is not null").mapInArrow(lambda it: _prefixes(it, n_buckets, width), packed.SCHEMA)
+    entries = source.where("id is not null").mapInArrow(lambda it: _prefixes(it, n_buckets, rule), packed.SCHEMA)
     shared = entries.groupBy("bucket").applyInArrow(tidy(_shared), "c1 long, shared long").groupBy("c1").agg(F.sum("shared").alias("shared"))
-    # l of the docstring, for the smallest partner that a set of this size can have; the whole overlap where that is less.
-    least = f"cast(ceil({num} * n / {den}) as long)"
-    wanted = f"least(cast(floor(3 * ({least}) / 20) as long) + 1, {least})"
-    live = scratch.keep(classes.join(shared, "c1").where(f"shared >= {wanted}").select(F.col("rep").alias("id")).distinct(), "live")
+    live = scratch.keep(classes.join(shared, "c1").where(f"shared >= {rule.wanted()}").select(F.col("rep").alias("id")).distinct(), "live")
     release(spark)
     n_live = live.count()
     sets = scratch.keep(
-        source.join(maybe_broadcast(live, n_live), "id", "left_semi").mapInArrow(lambda it: _sets(it, width, SALTS), "id long, n long, hashes binary, keys array<long>"), "sets"
+        source.join(maybe_broadcast(live, n_live), "id", "left_semi").mapInArrow(lambda it: _sets(it, width, keys_of), "id long, n long, hashes binary, keys array<long>"), "sets"
     )
 
-    keyed = sets.select("id", F.posexplode("keys").alias("salt", "key"))
-    grouped = _blocks(keyed, ["salt", "key"], BLOCK, scratch, "key-blocks").withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("parts")).cast("int")).select("salt", "key", "block", "id")
-    links = grouped.join(sets.select("id", F.col("id").alias("label"), "hashes"), "id").groupBy("salt", "key", "block").applyInArrow(tidy(lambda t: _block_links(t, num, den)), "a long, b long")
+    grouped = groups_of(sets, scratch)
+    links = grouped.join(sets.select("id", F.col("id").alias("label"), "hashes"), "id").groupBy(*[c for c in grouped.columns if c != "id"]).applyInArrow(tidy(lambda t: _block_links(t, num, den)), "a long, b long")
     first = scratch.keep(links.distinct(), "links")
     del links, grouped
     release(spark)
@@ -425,7 +464,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             break
         least_level = r.level
     got = ranks.where(F.col("level") >= least_level).toArrow()
-    order = Order(got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy())
+    order = Order(got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy(), rule)
     tokens = got.column("token").to_numpy().view(np.uint64)
     hot_hashes = _hosts(named, order, tokens[got.column("level").to_numpy() >= HOT_LEVEL])
     entries = lambda rows: rows.mapInArrow(lambda it: _prefix_entries(it, n_buckets, order, hot_hashes), packed.SCHEMA)
@@ -463,9 +502,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = LINKED) -> DataFrame:
     """The rows of ``docs``, all columns, but of each group of linked documents only the one with the least id."""
-    linked = link(docs, id_col, text_col, width).where("component_id <> id").select("id").distinct()
+    linked = link(docs, id_col, text_col, rule).where("component_id <> id").select("id").distinct()
     gone = Scratch(docs.sparkSession, "jaccard-gone").keep(linked, "gone")
     gone = maybe_broadcast(gone, gone.count())
     return docs.join(gone, docs[id_col] == gone["id"], "left_anti")

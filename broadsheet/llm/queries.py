@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, filter_audit, html_text, jaccard, language, licenses, outliers, pieces, quotations, repeats, rules
+from broadsheet.llm import decontaminate, filter_audit, html_text, jaccard, language, licenses, minhash, outliers, pieces, quotations, repeats, rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,24 +76,36 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ORACLES = {
-    "op1_ngram_jaccard_join": f"""
+
+def _linked_sql(width: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of ``width``-word shingles are similar by ``percent``."""
+    return f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("{0}", f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, shingle FROM (
-            SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-                ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w)),
+            SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(generate_series(1, len(ws) - {width - 1}), lambda i: array_to_string(ws[i:i + {width - 1}], ' ')) END) AS shingle FROM w)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
-        l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+        l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= {percent} * (na.n + nb.n - o)),
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-        r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached)
-        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE r.id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+        r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached),
+        c AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE r.id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id)
+        SELECT *{more} FROM c"""
+
+
+_ORACLES = {
+    "op1_ngram_jaccard_join": _linked_sql(5, 75),
+    "op13_minhash_dedup": _linked_sql(2, 80, ", doc_id = component_id AS kept"),
     "op5_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS.replace("{0}", "coalesce(text, '')")} AS ws FROM documents),
         p AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS p FROM w)),
