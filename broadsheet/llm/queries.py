@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, filter_audit, html_text, jaccard, language, licenses, minhash, outliers, pieces, quotations, repeats, rules
+from broadsheet.llm import collocations, decontaminate, filter_audit, html_text, jaccard, language, licenses, minhash, outliers, pieces, quotations, repeats, rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_docs(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -114,6 +118,23 @@ _ORACLES = {
         x AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM w),
         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM x ANTI JOIN g USING (doc_id, i) GROUP BY 1)
         SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_phrase_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+        s AS (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+        f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+        t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+        c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+        x AS (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c),
+        b AS (SELECT x.lang, x.phrase, x.a, l.n AS l, r.n AS r, (2000000::HUGEINT * a) // (l.n + r.n) AS score FROM x
+            JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:j], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[j + 1:x.k], ' ')
+            QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, j) = 1),
+        m AS (SELECT lang, ws, a, k, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
+        y AS (SELECT lang, ws, a, m, unnest(generate_series(1, k - m + 1)) AS i FROM m),
+        z AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS around FROM y GROUP BY 1, 2),
+        q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase
+            WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT)
+        SELECT q.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000""",
     "op12_filter_audit": f"""
         WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
         t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.replace("{0}", "coalesce(text, '')")} AS ws FROM documents),
