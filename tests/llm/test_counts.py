@@ -119,6 +119,26 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, seed, vocabulary,
     assert got == plain_linked(rows)
 
 
+def test_unconnected_sets_of_a_large_group_meet_all_others(spark, monkeypatch):
+    """A group of many blocks: chains whose ends are not similar to the least id, and sets that only a similar pair shares."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for k in rng.sample(range(60), rng.choice([0, 1, 4, 6, 8])):
+            w[k] = f"y{rng.randrange(5)}"
+        rows.append((i * 2, " ".join(w)))
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_linked(rows)
+    assert got == want and len({c for _, c, _ in want.values()}) > 5
+
+
+def test_no_link_is_lost_to_chance():
+    assert minhash.chance_of_missing(0.8) < 1e-11 and minhash.chance_of_missing(0.05) > 0.9999
+
+
 def test_second_permutation_and_its_shifts():
     """A bijection (on a sample: no two places get one value), and signatures as its definition says, for any length."""
     places = np.random.default_rng(5).choice(2**32, 200_000, replace=False).astype(np.uint32)
