@@ -79,9 +79,9 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RULES = [
-    html.Rule("0", attributes=(("href", r"^/[a-z]"),), exclude=(r"^/t",)),
-    html.Rule("1", attributes=(("href", None),), scope=("nav", "", ""), exclude_titles=(r"[.,]$",)),
-    html.Rule("2", tag="li", scope=("nav", "", "")),
+    html.Rule("0", "all a ;; href=^/[a-z]", need="link", exclude=(r"^/t",)),
+    html.Rule("1", "first nav > all a ;; href=", need="link", exclude_titles=(r"[.,]$",)),
+    html.Rule("2", "all nav > all li > down a", need="link"),
 ]
 
 
@@ -95,6 +95,42 @@ def front_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_links(pages, _RULES, id_col="page_id").select("page_id", "position", "href", "title")
 
 
+#: What stands before the path of a link, so that each page's links suit some agencies: dates, sections and numbers.
+_PATHS = ["/2024/3/7", "/article", "/story", "/news/world/politics", "/2024-03-07", "/entry/a", "/posts", "/content/p", "/en/article", "/a/x", "/2024/03", "/12345/"]
+_DEALT = "list_extract([" + ", ".join(map(_quoted, _PATHS)) + f"], CAST(page_id % {len(_PATHS)} + 1 AS INT))"
+
+
+def _dealt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): the pages, each with one of ``_PATHS`` before the paths of its links, which also have the attributes
+    that rules ask for, and carry their text in a heading in every second page."""
+    path = F.get(F.array(*[F.lit(p) for p in _PATHS]), (F.col("page_id") % len(_PATHS)).cast("int"))
+    made = F.regexp_replace("html", r'<a href="/([^"]*)">', F.concat(F.lit('<a title="t" aria-label="Label $1" data-testid="dynamic-link" class="item-title x" href="'), path, F.lit('/$1">')))
+    titled = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(made, "(<a [^>]*>)([^<]*)</a>", "$1<h2>$2</h2></a>")).otherwise(made)
+    return table(spark, sf_dir, "pages").select("page_id", titled.alias("html"))
+
+
+_PLAIN = [(r.agency, r.programs()[0][0].tests[0][1], r.need) for r in html.load_rules(registered_only=False) if r.is_plain()]
+
+
+@query(
+    f"WITH {_LINKS}, r AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(p or str())}, {_quoted(n)})' for a, p, n in _PLAIN)}) r(agency, pattern, need)), "
+    f"d AS (SELECT page_id, position, {_DEALT} || href AS href, trim(title) AS title FROM l WHERE starts_with(href, '/')) "
+    "SELECT page_id, agency, CAST(row_number() OVER (PARTITION BY page_id, agency ORDER BY position) - 1 AS INT) AS position, href, title FROM d JOIN r ON regexp_matches(href, pattern) AND (need = '' OR title <> '')"
+)
+def front_page_plain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by every rule of the table that tests the href alone, over every page."""
+    plain = [r for r in html.load_rules(registered_only=False) if r.is_plain()]
+    found = html.extract_links(_dealt_pages(spark, sf_dir), plain, agency_col=None, id_col="page_id")
+    return found.select("page_id", "agency", "position", "href", "title")
+
+
+@query()
+def front_page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by all 131 rules over every page; tests hold the rules against pages written for them and against a plain walk."""
+    found = html.extract_links(_dealt_pages(spark, sf_dir), html.load_rules(registered_only=False), agency_col=None, id_col="page_id")
+    return found.select("page_id", "agency", "position", "href", "title")
+
+
 _BASE = "regexp_extract(url, '^[a-z]+://[^/?]+', 0)"
 _FULL = f"CASE WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN {_BASE} || href WHEN NOT starts_with(href, 'http') THEN {_BASE} || '/' || href ELSE href END"
 

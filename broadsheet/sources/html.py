@@ -3,7 +3,7 @@
 ``front_page_rules.tsv`` holds fixed values: addresses, enumerations and patterns that decide which links are found.
 
 ``links`` takes the plain anchors with Spark's own regular expressions. ``extract_links`` applies a table of rules, one row
-per agency, in an Arrow map: which anchors count, where, under which title element, and which are left out.
+per agency, in an Arrow map: short programs that say which links count, what becomes their title, and which are left out.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.sources.dom import Page, Tests
 from broadsheet.sources.front_pages import AGENT, AGENTS
 
 ANCHOR = r'<a href="([^"]*)"[^>]*>([^<]*)</a>'
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -33,102 +33,141 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return pages.select(id_col, F.posexplode(both).alias("position", "a")).select(id_col, "position", F.col("a.href").alias("href"), F.col("a.title").alias("title"))
 
 
+@dataclass(frozen=True)
+class Step:
+    """One move through a page: ``first`` or ``all`` inside, the nearest ``up``, the first ``down``; ``drop`` leaves the
+    first such element out of what follows."""
+
+    move: str
+    tags: tuple[str, ...]
+    tests: Tests
+
+
+def _selector(text: str) -> tuple[tuple[str, ...], Tests]:
+    """``tag,tag ;; attribute=pattern ;; attribute=``: an empty pattern asks for presence. Patterns are searched for."""
+    tags, *tests = text.split(" ;; ")
+    return tuple(tags.strip().split(",")), tuple((n, p or None) for n, _, p in (x.partition("=") for x in tests))
+
+
 @dataclass(frozen=True)
 class Rule:
     """One agency's way of finding headlines on its front page.
 
-    ``attributes`` are (name, pattern) tests on the link, or on the element named by ``tag``: the link around it counts,
-    and without one the first link inside it. A None pattern asks for presence. A pattern on ``class`` is tried on each
-    class name and on all of them together. ``scope`` is (tag, attribute, pattern) of an element around the links; an empty
-    attribute asks for the tag alone. ``titles`` are the tags of an element inside that holds the title: the whole link
-    text stands in for a missing one unless ``title_required``. ``exclude`` and ``exclude_titles`` are patterns on the
-    href and the title. A link without a title is left out if ``need_title``.
+    ``steps`` is a program, its steps parted by `` > ``: ``first main ;; class=^page$ > all a ;; href=/story/`` (several
+    programs, run one after the other, by `` || ``). ``title`` says what becomes the title: nothing for the whole link,
+    ``@attribute``, or a selector inside the link, with `` | link`` for the whole link where it is missing; without that the
+    link is left out. ``need`` says what must hold text for a link to count: nothing, ``link``, ``match`` for what the last
+    ``all`` found, or a selector as above. ``exclude`` are patterns on the href, ``exclude_titles`` on the text of ``need``, or
+    of the link. ``cut`` is removed from the href, and ``base`` put before it. A link without a href is left out.
     """
 
     agency: str
-    tag: str = "a"
-    attributes: tuple[tuple[str, str | None], ...] = ()
-    scope: tuple[str, str, str] | None = None
-    titles: tuple[str, ...] = ()
-    title_required: bool = False
+    steps: str = "all a ;; href="
+    title: str = ""
+    need: str = ""
     exclude: tuple[str, ...] = ()
     exclude_titles: tuple[str, ...] = ()
-    need_title: bool = True
+    base: str = ""
+    cut: str = ""
+
+    def programs(self) -> list[list[Step]]:
+        """The compiled steps."""
+        moves = [[x.strip().partition(" ") for x in p.split(" > ")] for p in self.steps.split(" || ")]
+        return [[Step(m, *_selector(rest)) for m, _, rest in p] for p in moves]
+
+    def is_plain(self) -> bool:
+        """Whether the rule is one test of the href of any link, whose whole text is the title."""
+        (one, *more), *others = self.programs()
+        tests = one.tests
+        return not more and not others and one.move == "all" and one.tags == ("a",) and len(tests) == 1 and tests[0][0] == "href" and not (self.title or self.exclude or self.exclude_titles or self.base or self.cut) and self.need in ("", "link")
 
 
-class _Finder(HTMLParser):
+def _cleaned(text: str) -> str:
+    """A string node without conditional comments and raw JSON."""
+    if "[" in text:
+        text = re.sub(r"\[if.*?\].*\[endif\]", "", text, flags=re.S)
+    if "{" in text:
+        text = re.sub(r"\{.*?\}", "", text, flags=re.S)
+    return text.replace("\\n", "").strip()
+
+
+class Finder:
+    """A rule ready to run over pages."""
+
     def __init__(self, rule: Rule):
-        super().__init__(convert_charrefs=True)
-        self.rule, self.open, self.found = rule, [], []
+        self.rule, self.compiled = rule, rule.programs()
+        self.title = self._choice(rule.title) if rule.title and rule.title[0] != "@" else None
+        self.need = self._choice(rule.need) if rule.need not in ("", "link", "match") else None
 
     @staticmethod
-    def _matches(name: str, pattern: str, value: str) -> bool:
-        values = [value, *value.split()] if name == "class" else [value]
-        return any(re.search(pattern, v) for v in values)
-
-    def _fits(self, tag: str, attrs: dict[str, str]) -> bool:
-        if tag not in self.rule.tag.split(","):
-            return False
-        return all(n in attrs and (p is None or self._matches(n, p, attrs[n])) for n, p in self.rule.attributes)
-
-    def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
-        attrs = {n: v or "" for n, v in attributes}
-        scope = self.rule.scope
-        inside = any(x["scope"] for x in self.open) or scope is None
-        node = {"tag": tag, "scope": bool(scope and tag == scope[0] and (not scope[1] or (scope[1] in attrs and self._matches(scope[1], scope[2], attrs[scope[1]])))), "link": None, "href": attrs.get("href") if tag == "a" else None}
-        if inside and self._fits(tag, attrs):
-            around = next((x["href"] for x in reversed(self.open) if x["href"]), None)
-            node["link"] = {"href": attrs.get("href") if tag == "a" else around, "all": [], "title": None}
-            self.found.append(node["link"])
-        elif tag == "a":
-            for x in self.open:
-                if x["link"] is not None and x["link"]["href"] is None:
-                    x["link"]["href"] = attrs.get("href")
-        if tag in self.rule.titles:
-            for x in self.open:
-                if x["link"] is not None and x["link"]["title"] is None:
-                    x["link"]["title"] = []
-                    node["titled"] = x["link"]["title"]
-        if tag not in _VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                del self.open[k:]
-                return
+    def _choice(text: str) -> tuple[tuple[tuple[str, ...], Tests], bool]:
+        chosen, _, other = text.partition(" | ")
+        return _selector(chosen), other == "link"
 
-    def handle_data(self, data: str) -> None:
-        for x in self.open:
-            if x["link"] is not None:
-                x["link"]["all"].append(data)
-            if "titled" in x:
-                x["titled"].append(data)
-
-    def result(self) -> Iterator[tuple[str, str]]:
-        for link in self.found:
-            parts = link["title"] if link["title"] is not None else [] if self.rule.title_required else link["all"]
-            title = " ".join("".join(parts).split())
-            href = link["href"]
-            if href and (title or not self.rule.need_title) and not any(re.search(p, href) for p in self.rule.exclude) and not any(re.search(p, title) for p in self.rule.exclude_titles):
-                yield href, title
-
-
-def extract_links(pages: DataFrame, rules: list[Rule], agency_col: str = "agency", html_col: str = "html", id_col: str | None = None) -> DataFrame:
-    """(id if asked for, agency, position, href, title) by the rule of each page's agency; pages of other agencies give
-    nothing."""
-    table = {r.agency: r for r in rules}
+    @staticmethod
+    def _chosen(page: Page, link: int, choice: tuple) -> int | None:
+        selector, otherwise = choice
+        return next(page.inside(link, *selector), link if otherwise else None)
+
+    def _matches(self, page: Page, program: list[Step]) -> Iterator[tuple[int, int]]:
+        """(what the last ``all`` found, the link)."""
+        at, dropped = [(0, 0)], []
+        for step in program:
+            if step.move == "drop":
+                dropped += [(x, page.end[x]) for n, _ in at for x in page.inside(n, step.tags, step.tests)][:1]
+                continue
+            after = []
+            for match, node in at:
+                if step.move == "up":
+                    found = page.around(node, step.tags, step.tests)
+                    after += [(match, found)] if found is not None else []
+                    continue
+                inside = (x for x in page.inside(node, step.tags, step.tests) if not any(a <= x < b for a, b in dropped))
+                if step.move == "all":
+                    after += [(x, x) for x in inside]
+                else:
+                    after += [(x if step.move == "first" else match, x) for x in [next(inside, None)] if x is not None]
+            at = after
+        yield from at
+
+    def run(self, page: Page) -> Iterator[tuple[str, str]]:
+        """(href, title) of every link, in the order in which they are found."""
+        rule = self.rule
+        for program in self.compiled:
+            for match, link in self._matches(page, program):
+                href = page.attrs[link].get("href")
+                if href is None or any(re.search(p, href) for p in rule.exclude):
+                    continue
+                judged = match if rule.need == "match" else self._chosen(page, link, self.need) if self.need else link
+                text = page.seen(judged) if judged is not None else ""
+                if (rule.need and not text) or any(re.search(p, text) for p in rule.exclude_titles):
+                    continue
+                if rule.title.startswith("@"):
+                    title = _cleaned(page.attrs[link].get(rule.title[1:], ""))
+                else:
+                    chosen = self._chosen(page, link, self.title) if self.title else link
+                    if chosen is None:
+                        continue
+                    title = " ".join(_cleaned(x) for x in page.all_strings(chosen))
+                yield rule.base + (re.sub(rule.cut, "", href) if rule.cut else href), title
+
+
+def extract_links(pages: DataFrame, rules: list[Rule], agency_col: str | None = "agency", html_col: str = "html", id_col: str | None = None) -> DataFrame:
+    """(id if asked for, agency, position, href, title) by the rule of each page's agency, or by all rules without an agency
+    column. A page is parsed once; pages of other agencies and null pages give nothing. Positions count a rule's links."""
+    table = {r.agency: Finder(r) for r in rules}
     keys, k = [F.col(id_col)] if id_col else [], 1 if id_col else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for n, (agency, page) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1))):
-                rule = table.get(agency)
-                if rule is not None and page.is_valid:
-                    finder = _Finder(rule)
-                    finder.feed(page.as_py())
-                    found = [(agency, place, *x) for place, x in enumerate(finder.result())]
+            for n, (agency, source) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1))):
+                wanted = list(table) if agency_col is None else [agency] if agency in table else []
+                if not wanted or not source.is_valid:
+                    continue
+                page = Page(source.as_py())
+                for name in wanted:
+                    found = [(name, place, *x) for place, x in enumerate(table[name].run(page))]
                     rows += found
                     at += [n] * len(found)
             columns = list(zip(*rows)) or [(), (), (), ()]
@@ -136,7 +175,8 @@ def extract_links(pages: DataFrame, rules: list[Rule], agency_col: str = "agency
             ids = [batch.column(0).take(pa.array(at, pa.int64()))] if k else []
             yield pa.RecordBatch.from_arrays([*ids, *made], names=[*([id_col] if k else []), "agency", "position", "href", "title"])
 
-    source = pages.select(*keys, F.col(agency_col).alias("agency"), F.col(html_col).alias("html"))
+    agency = F.col(agency_col) if agency_col else F.lit(None).cast("string")
+    source = pages.select(*keys, agency.alias("agency"), F.col(html_col).alias("html"))
     schema = "agency string, position int, href string, title string"
     return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, {schema}" if keys else schema)
 
@@ -148,36 +188,26 @@ class _Strings(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
 
-    def _add(self, text: str) -> None:
-        if "[" in text:
-            text = re.sub(r"\[if.*?\].*\[endif\]", "", text, flags=re.S)
-        if "{" in text:
-            text = re.sub(r"\{.*?\}", "", text, flags=re.S)
-        self.parts.append(text.replace("\\n", "").strip())
-
     def handle_data(self, data: str) -> None:
-        self._add(data)
+        self.parts.append(_cleaned(data))
 
     def handle_comment(self, data: str) -> None:
-        self._add(data)
+        self.parts.append(_cleaned(data))
 
 
 RULES = Path(__file__).with_name("front_page_rules.tsv")
 
 
 def load_rules(path: str | Path = RULES, registered_only: bool = True) -> list[Rule]:
-    """The rule table: one row per agency, patterns parted by `` ;; ``."""
+    """The rule table: one row per agency, in the words of :class:`Rule`; excluded patterns are parted by `` ;; ``."""
     out = []
     with open(path, encoding="utf-8", newline="") as f:
         for r in csv.DictReader(f, delimiter="\t", quoting=csv.QUOTE_NONE):
             if registered_only and r["registered"] != "yes":
                 continue
             listed = lambda c, r=r: tuple(x for x in (r[c] or "").split(" ;; ") if x)
-            attributes = tuple((n, p or None) for n, _, p in (x.partition("=") for x in listed("attributes")))
-            tag, _, test = (r["scope"] or "").partition(" ")
-            name, _, pattern = test.partition("=")
-            titles = tuple(x for x in (r["titles"] or "").split(",") if x)
-            out.append(Rule(r["agency"], r["tag"], attributes, (tag, name, pattern) if tag else None, titles, r["title_required"] == "yes", listed("exclude_href"), listed("exclude_title")))
+            base = r["url"] if r["address"] == "base" else ""
+            out.append(Rule(r["agency"], r["steps"], r["title"], r["need"], listed("exclude_href"), listed("exclude_title"), base, r["cut"]))
     return out
 
 
