@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import dates
 from broadsheet.functions import text as tx
-from broadsheet.operators import baseline, frames, similarity
+from broadsheet.operators import baseline, frames, intervals, similarity
 from broadsheet.plans import roles
 from broadsheet.plans.registry import query
 
@@ -55,8 +55,10 @@ _BASE = "base AS (SELECT CAST(hour(slot) * 60 + minute(slot) AS INT) AS halfhour
 def _per_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(slot, newsiness) of every half hour: headlines that were up for three days at most, similar within the half hour."""
     short = frames.short_lived(_home(spark, sf_dir), "first_accessed", "last_accessed", 3)
-    up = baseline.expand(short, "first_accessed", "last_accessed").select("slot", "id", "title")
-    return similarity.Similar(up, "id", "title", stopwords=tx.STOPWORDS, by=["slot"]).newsiness()
+    hour = lambda c: intervals.slot_number(F.date_trunc("hour", c)).cast("long")
+    up = short.select("id", "title", hour("first_accessed").alias("begin"), (hour("last_accessed") - 1).alias("end"))
+    found = intervals.Intervals(up, "id", "title", "begin", "end", stopwords=tx.STOPWORDS).newsiness()
+    return found.select(intervals.slot_time(F.col("slot")).alias("slot"), "newsiness")
 
 
 @query(f"WITH {_SLOTS} SELECT slot, round(newsiness, 6) AS newsiness FROM news")
