@@ -279,12 +279,20 @@ def lemmatize(tokens: Column, lemma: dict[str, str] | Callable[[Column], Column]
 NOUNS = ("NN", "NNS", "NNP", "NNPS")
 
 
-def pos_filter(tokens: Column, tagger: Callable[[list[str]], list[str]] | None = None, keep: tuple[str, ...] = NOUNS) -> Column:
-    """Tokens whose part of speech is kept. ``tagger`` maps a token list to its tags and runs over Arrow batches; none is
-    shipped here, and without one all tokens stay."""
+def pos_filter(tokens: Column, tagger=None, keep: tuple[str, ...] = NOUNS) -> Column:
+    """Tokens whose part of speech is kept. ``tagger`` is a fitted :class:`broadsheet.operators.tagger.Tagger`, which tags a
+    batch at once, or a function from a token list to its tags; without one all tokens stay."""
     if tagger is None:
         return tokens
     kept = frozenset(keep)
+    if hasattr(tagger, "tag"):
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def filtered(parts: pd.Series) -> pd.Series:
+            lists = [None if t is None else list(t) for t in parts]
+            return pd.Series([None if t is None else [w for w, x in zip(t, tags) if x in kept] for t, tags in zip(lists, tagger.tag(lists))], dtype=object)
+
+        return filtered(tokens)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def tagged(parts: pd.Series) -> pd.Series:
@@ -343,9 +351,16 @@ def prepare(text: Column | str, pipeline: list[Callable[[Column], Column]]) -> C
 
 
 #: The named pipelines; they differ in order, so they are kept apart.
-DEFAULT_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, F.lower, tokenize, decontract]
+DEFAULT_PIPELINE = [join_hyphenated, plain_quotes, normal_form, plain_space, remove_accents, remove_brackets, remove_punctuation, F.lower, tokenize, decontract]
 TOPIC_PIPELINE = [F.lower, join_hyphenated, plain_quotes, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, lemmatize, remove_stop]
 CLUSTER_PIPELINE = [F.lower, join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, remove_stop, lemmatize]
 CLOUD_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, partial(remove_stop, stopwords=CLOUD_STOPWORDS), lemmatize, pos_filter]
 TOPIC_PAGE_PIPELINE = [join_hyphenated, plain_quotes, plain_space, remove_accents, remove_brackets, remove_punctuation, tokenize, expand_contractions, partial(remove_stop, stopwords=TOPIC_PAGE_STOPWORDS), lemmatize]
+
+
+def cloud_pipeline(tagger) -> list[Callable[[Column], Column]]:
+    """The pipeline of the word cloud with a fitted tagger: of its words only nouns are left."""
+    return [*CLOUD_PIPELINE[:-1], partial(pos_filter, tagger=tagger)]
+
+
 PIPELINES = {"default": DEFAULT_PIPELINE, "topic": TOPIC_PIPELINE, "cluster": CLUSTER_PIPELINE, "cloud": CLOUD_PIPELINE, "topic_page": TOPIC_PAGE_PIPELINE}

@@ -136,6 +136,7 @@ def plain_pipeline(text, name):
     steps = {
         "join": lambda s: re.sub(r"(\w{2,})-\s*\n\s*(\w{2,})", r"\1\2", s),
         "quotes": lambda s: s.translate(str.maketrans("“”„‟«»‘’‚‛‹›`´", '"' * 6 + "'" * 8)),
+        "form": lambda s: unicodedata.normalize("NFC", s),
         "space": lambda s: re.sub(r"[^\S\n]+", " ", re.sub("[\u200b\ufeff]", "", s)).strip(" "),
         "accents": lambda s: s.translate(str.maketrans(tx._ACCENTED, tx._PLAIN)),
         "brackets": lambda s: re.sub(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "", s),
@@ -150,7 +151,7 @@ def plain_pipeline(text, name):
         "lemma": lambda t: [plain_lemma(w) for w in t],
     }
     order = {
-        "default": "join quotes space accents brackets punctuation lower tokens decontract",
+        "default": "join quotes form space accents brackets punctuation lower tokens decontract",
         "topic": "lower join quotes accents brackets punctuation tokens expand lemma stop",
         "cluster": "lower join quotes space accents brackets punctuation tokens expand stop lemma",
         "cloud": "join quotes space accents brackets punctuation tokens expand cloud_stop lemma",
