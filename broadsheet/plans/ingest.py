@@ -16,6 +16,7 @@ from broadsheet.scratch import Scratch, checkpoint_dir
 from broadsheet.session import table
 from broadsheet.sources import side_inputs
 from broadsheet.streaming import first_last
+from broadsheet.streaming import pages as page_stream
 
 
 def _list(words: list[str]) -> str:
@@ -231,6 +232,38 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(stored.agg(F.countDistinct("title").alias("distinct_titles")), how="cross")  # one row each
 
 
+_TWO_RUNS = (
+    f"{roles.STORY}, link AS (SELECT id, 'src' || id % 7 AS agency, title AS processed, CASE WHEN id % 6 = 0 THEN 'ftp://x' ELSE 'https://h.example/' || id // 3 END AS href, id % 10 < 6 AS earlier FROM story), "
+    "kept AS (SELECT * FROM link WHERE regexp_matches(href, '^https?://') AND contains(processed, ' ')), old AS (SELECT * FROM kept WHERE earlier), "
+    "one AS (SELECT agency, processed, arg_min(href, id) AS href FROM kept WHERE NOT earlier GROUP BY 1, 2), k AS (SELECT one.*, processed IN (SELECT processed FROM old) AS known, href IN (SELECT href FROM old) AS article FROM one), "
+    "f AS (SELECT agency, count(*) AS found FROM link WHERE NOT earlier GROUP BY 1), "
+    "c AS (SELECT agency, count(*) FILTER (NOT known) AS headlines, count(*) FILTER (known) AS updated, count(DISTINCT CASE WHEN NOT known AND NOT article THEN href END) AS articles FROM k GROUP BY 1), "
+    "r AS (SELECT agency, found, coalesce(articles, 0) AS articles, coalesce(headlines, 0) AS headlines, coalesce(updated, 0) AS updated FROM f LEFT JOIN c USING (agency))"
+)
+
+
+def _second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run over four tenths of the headlines, against a store of the rest."""
+    s = roles.stories(spark, sf_dir)
+    href = F.when(F.col("id") % 6 == 0, "ftp://x").otherwise(F.concat(F.lit("https://h.example/"), F.floor(F.col("id") / 3)))
+    links = s.select(F.concat(F.lit("src"), F.col("id") % 7).alias("agency"), F.col("id").alias("position"), href.alias("href"), F.col("title").alias("processed"), (F.col("id") % 10 < 6).alias("earlier"))
+    links = links.withColumn("counts", F.col("href").rlike("^https?://") & tx.many_words("processed"))
+    return page_stream.counters(links.where("not earlier"), links.where("earlier and counts"), F.length("agency") * 10)
+
+
+@query(f"WITH {_TWO_RUNS} SELECT agency, found, articles, headlines, updated, round(length(agency) * 10 / found, 9) AS seconds_each FROM r")
+def agency_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run found for each agency: links, new articles and headlines, known ones, seconds for each link."""
+    return _second_run(spark, sf_dir).withColumn("seconds_each", F.round("seconds_each", 9))
+
+
+@query(f"WITH {_TWO_RUNS} SELECT agency, agency || ': (' || articles || ',' || headlines || ',' || updated || ')' AS line, 0 AS n_exceptions FROM r")
+def day_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's report as rows: one line for each agency."""
+    made = page_stream.day_report(_second_run(spark, sf_dir))
+    return made.select("agency", "line", F.size("exceptions").alias("n_exceptions"))
+
+
 @query("SELECT event_type AS topic, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'absent') GROUP BY 1")
 def topics_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame for each topic asked for; those without rows are skipped."""

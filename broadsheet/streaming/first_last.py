@@ -31,7 +31,8 @@ def sightings(rows: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def ingest(rows: DataFrame, key: str, ts: str, name: str) -> DataFrame:
-    """Runs what is available to its end and returns the last snapshot (key, first_accessed, last_accessed)."""
+    """Runs what is available to its end and returns the last snapshot (key, first_accessed, last_accessed). The key is a
+    column; rows with a null key are kept under it."""
     spark = rows.sparkSession
     root = f"{checkpoint_dir(spark)}/broadsheet/{name}"
     first = rows.select(key, F.col(ts).alias("first_accessed"), F.col(ts).alias("last_accessed"))

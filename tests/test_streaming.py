@@ -74,3 +74,70 @@ def test_text_keys_meet_by_digest(spark):
     assert {r.n for r in snapshot.without_null(batch).collect()} == {1, 2, 4}
     assert {r.n for r in snapshot.empties(batch).collect()} == {4}
     assert snapshot.delete(batch, snapshot.empties(batch), "n").where(F.col("n") == 4).count() == 0
+
+
+PAGE = '<a href="/2024/03/02/one">First headline here</a><a href="/2024/03/02/two">Second headline here</a><a href="/2024/03/02/two">Second headline here</a><a href="/2024/03/02/x">single</a><a href="/about">About this page</a>'
+LATER = '<a href="/2024/03/02/two">Second headline here</a><a href="/2024/03/02/two">Another wording of two</a><a href="/2024/03/02/three">Third headline here</a>'
+
+
+def test_stream_of_front_pages_into_the_store(spark):
+    """Several offsets from a local server: a restart goes on where it was, and no half hour is fetched twice."""
+    import http.server
+    import json
+    import threading
+    import time
+
+    from broadsheet.sources.front_pages import FrontPages
+    from broadsheet.sources.html import Rule
+    from broadsheet.streaming import pages
+
+    served = {"page": PAGE, "n": 0}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            served["n"] += 1
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.end_headers()
+            self.wfile.write(served["page"].encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, name = f"http://127.0.0.1:{server.server_port}", f"test-{uuid.uuid4().hex}"
+    spark.dataSource.register(FrontPages)
+    agencies = json.dumps([{"agency": "A", "url": base + "/ok"}, {"agency": "B", "url": base + "/gone"}])
+    rules = [Rule("A", r"all a ;; href=/\d{4}/\d{2}/\d{2}/", need="link")]
+
+    def run(every):
+        stream = spark.readStream.format("front_pages").option("agencies", agencies).option("every", every).load()
+        store, counted = pages.ingest(stream, rules, name)
+        return store.collect(), {(r.batch, r.agency): (r.found, r.articles, r.headlines, r.updated) for r in counted.collect()}
+
+    store, counted = run(1)
+    # A known headline, one twice on the page, one of a single word, and a link that the rule does not want.
+    assert len(store) == 2 and list(counted.values()) == [(4, 2, 2, 0)]
+    before = {r.processed: r for r in store}
+    served["page"] = LATER
+    time.sleep(1.1)
+    store, counted = run(1)
+    assert len(store) == 4 and sorted(counted.values()) == [(3, 1, 2, 1), (4, 2, 2, 0)]
+    after = {r.processed: r for r in store}
+    # What left the page keeps its last sighting, what stays gets a new one, and first sightings stay.
+    moved = [p for p, r in before.items() if after[p].last_accessed > r.last_accessed]
+    assert len(moved) == 1 and "econd" in moved[0] and all(after[p].first_accessed == r.first_accessed for p, r in before.items())
+    fetched = served["n"]
+    # The same offset again: stretches so long that none has passed.
+    again, _ = run(10**9)
+    server.shutdown()
+    assert served["n"] == fetched and {r.processed for r in again} == set(after)
+
+
+def test_day_report(spark):
+    from broadsheet.streaming import pages
+
+    counted = spark.createDataFrame([("A", 9, 1, 2, 3, 0), ("A", 9, 1, 0, 5, 1), ("B", 1, 0, 0, 0, 0)], "agency string, found long, articles long, headlines long, updated long, batch int")
+    errors = spark.createDataFrame([("B", "timed out"), ("B", "timed out"), ("C", "404"), ("A", None)], "agency string, error string")
+    got = {r.agency: (r.line, r.exceptions) for r in pages.day_report(counted, errors).collect()}
+    assert got == {"A": ("A: (2,2,8)", []), "B": ("B: (0,0,0)", ["timed out"]), "C": ("C: (0,0,0)", ["404"])}
