@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
+from broadsheet.scratch import maybe_broadcast
 
 THRESHOLD = 0.05
 MOST_TOPICS = 500
@@ -18,7 +19,7 @@ def scores(docs: DataFrame, topics: DataFrame, topic_rows: int, id_col: str, tok
     each, so a document's tokens are not copied, and a keyword is looked up in a hash set.
     """
     if topic_rows > MOST_TOPICS:
-        raise ValueError(f"{topic_rows} topics: at most {MOST_TOPICS} become expressions")
+        raise ValueError(f"{topic_rows} topics: at most {MOST_TOPICS} become expressions; positive_scores takes any number")
     side = sorted(topics.select("topic_id", "keywords", "essential").collect(), key=lambda r: r.topic_id)
     if not side:
         return docs.select(id_col, F.lit(None).cast(topics.schema["topic_id"].dataType).alias("topic_id"), F.lit(0.0).alias("score")).where("false")
@@ -33,6 +34,29 @@ def scores(docs: DataFrame, topics: DataFrame, topic_rows: int, id_col: str, tok
     return grams.select(id_col, F.inline(F.array(*[one(F.col("_t"), F.col("_g"), r) for r in side])))
 
 
+def positive_scores(docs: DataFrame, topics: DataFrame, id_col: str, tokens_col: str, stopwords: list[str] | None = None) -> DataFrame:
+    """(id, topic_id, score) of the scores above 0, for any number of topics; the same as those of :func:`scores`.
+
+    A document's grams are joined to a table of keywords, its distinct tokens to one of essential words. Both tables are
+    broadcast if their counted rows are few, else the grams are shuffled by their text, and only those that are keywords
+    are added up. Ids should be distinct. A keyword that a topic lists twice counts once; null words match nothing.
+    """
+    lists = [topics.select("topic_id", F.explode(c).alias("word")) for c in ("keywords", "essential")]
+    return scores_of_words(docs, *lists, id_col, tokens_col, stopwords)
+
+
+def scores_of_words(docs: DataFrame, keywords: DataFrame, essential: DataFrame, id_col: str, tokens_col: str, stopwords: list[str] | None = None) -> DataFrame:
+    """The same with the words of the topics as tables (topic_id, word), so that no list of a topic has to fit in a row."""
+    lists = {"keywords": keywords, "essential": essential}
+    lists = {c: t.select("topic_id", "word").where("word is not null").distinct() for c, t in lists.items()}
+    sides = {c: maybe_broadcast(t, t.count()) for c, t in lists.items()}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("t"))
+    grams = rows.select("id", F.size("t").alias("n"), F.explode(tx.let(F.col("t"), lambda t: F.concat(t, tx.ngrams(t, 2, stopwords=stopwords)))).alias("word"))
+    hits = grams.join(sides["keywords"], "word").groupBy("id", "topic_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    own = rows.select("id", F.explode(F.array_distinct("t")).alias("word")).join(sides["essential"], "word").select("id", "topic_id").distinct()
+    return hits.join(own, ["id", "topic_id"]).select(F.col("id").alias(id_col), "topic_id", (F.col("hits") / (F.col("n") + 1)).alias("score"))
+
+
 def assign(scored: DataFrame, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(id, topic_id, topic_score): the best topic, the first among equals, if above the threshold."""
     best = scored.groupBy(id_col).agg(F.max_by(F.struct("topic_id", "score"), F.struct("score", -F.col("topic_id"))).alias("b"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
 from broadsheet.operators import frames, lexicon, models, similarity, snapshot, topics
 from broadsheet.plans import roles
 from broadsheet.plans.registry import query
+from broadsheet.scratch import Scratch
 from broadsheet.session import table
 from broadsheet.sources import html
 
@@ -315,6 +316,30 @@ def topic_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.assign(_scores(spark, sf_dir), "doc_id").withColumn("topic_score", F.round("topic_score", 9))
 
 
+#: A topic for each word that ten documents or more hold: essential, and a keyword with every pair that begins with it.
+_MANY = (
+    f"tk AS (SELECT doc_id, {_put(_TOKENS, 'lower(text)')} AS t FROM documents), u AS (SELECT DISTINCT doc_id, unnest(t) AS word FROM tk), w AS (SELECT word, row_number() OVER (ORDER BY word) AS topic_id FROM u GROUP BY 1 HAVING count(*) >= 10), "
+    "b AS (SELECT doc_id, len(t) AS n, unnest(CASE WHEN len(t) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]) END) AS g FROM tk), "
+    "p AS (SELECT g, topic_id FROM (SELECT DISTINCT g FROM b) JOIN w ON w.word = split_part(g, ' ', 1)), "
+    "h AS (SELECT doc_id, n, topic_id FROM b JOIN p USING (g) UNION ALL SELECT doc_id, n, topic_id FROM (SELECT doc_id, len(t) AS n, unnest(t) AS word FROM tk) JOIN w USING (word)), "
+    "s AS (SELECT doc_id, topic_id, count(*) / (any_value(n) + 1) AS score FROM h GROUP BY 1, 2)"
+)
+
+
+@query(f"WITH {_MANY} SELECT doc_id, topic_id, round(score, 9) AS topic_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_id) AS rn FROM s) WHERE rn = 1 AND score > 0.05")
+def topic_assign_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignment among as many topics as the corpus has usual words, by joins with the keyword lists."""
+    tokens = _docs(spark, sf_dir).select("doc_id", tx.tokenize(F.lower("text")).alias("tokens"))
+    usual = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 10")
+    # Topics have numbers in the order of their words: one sort of the usual words, not of documents.
+    scratch = Scratch(spark, "topics")
+    essential = scratch.keep(usual.select(F.row_number().over(Window.orderBy("word")).cast("long").alias("topic_id"), "word"), "essential")
+    pairs = tokens.select(F.explode(tx.ngrams(F.col("tokens"), 2)).alias("pair")).distinct().withColumn("word", F.substring_index("pair", " ", 1))
+    keywords = scratch.keep(essential.unionByName(pairs.join(essential, "word").select("topic_id", F.col("pair").alias("word"))), "keywords")
+    out = topics.assign(topics.scores_of_words(tokens, keywords, essential, "doc_id", "tokens"), "doc_id")
+    return out.withColumn("topic_score", F.round("topic_score", 9))
+
+
 _TERM = r"[\p{L}\p{N}\p{M}_]{2,}"
 _GRAMS = (
     f"w AS (SELECT conv_id, turn, regexp_extract_all(text, '{_TERM}', 0) AS t FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(t, "

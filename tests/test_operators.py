@@ -185,3 +185,31 @@ def test_agency_lists(spark):
     rows = [(0, 0, "B", 1), (1, 0, "A", 1), (2, 0, "C", -2), (3, 0, "C", -2), (4, 1, "A", 0), (5, -1, "Z", 0)]
     df = spark.createDataFrame(rows, "id long, cluster int, agency string, bias int")
     assert [(r.cluster, r.agencies) for r in similarity.agency_lists(df, 3).collect()] == [(0, "C | A B")]
+
+
+def test_many_topics_equal_the_expressions(spark, monkeypatch):
+    """5,000 topics by joins, also shuffled ones; on the first 50 of them the scores of the expression path."""
+    import random
+
+    from broadsheet.operators import topics
+    from broadsheet import scratch
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    listed = [(i, rng.sample(words, rng.randint(0, 4)) + [" ".join(rng.sample(words, 2))] * rng.randint(0, 2), rng.sample(words, rng.randint(0, 3))) for i in range(5000)]
+    side = spark.createDataFrame(listed + [(6000, None, None), (6001, [None, "w1"], ["w1", None])], "topic_id int, keywords array<string>, essential array<string>")
+    docs = spark.createDataFrame([(i, [rng.choice(words) for _ in range(rng.randint(0, 30))]) for i in range(40)] + [(90, None)], "id long, t array<string>")
+    few = side.where("topic_id < 50")
+    want = {(r.id, r.topic_id): round(r.score, 9) for r in topics.scores(docs, few, 50, "id", "t").collect() if r.score > 0}
+    for most in (scratch.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(topics, "maybe_broadcast", lambda df, rows, most=most: scratch.maybe_broadcast(df, rows, most))
+        got = {(r.id, r.topic_id): round(r.score, 9) for r in topics.positive_scores(docs, side, "id", "t").collect()}
+        assert {k: v for k, v in got.items() if k[1] < 50} == want and len(want) > 5
+        plain = {}
+        for i, t in docs.collect():
+            grams = [*(t or []), *(" ".join(x) for x in zip(t or [], (t or [])[1:]))]
+            for k, keys, ess in listed:
+                hits = sum(g in keys for g in grams)
+                if hits and set(t or []) & set(ess):
+                    plain[i, k] = round(hits / (len(t) + 1), 9)
+        assert {k: v for k, v in got.items() if k[1] < 5000} == plain
