@@ -49,12 +49,12 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines with times and agencies: the first line of a document, up to 80 characters, with made-up attributes."""
+    """Headlines with times and agencies: the first line of a document, with made-up attributes."""
     first = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 % 20160 as int), 0)")
     up = F.expr("make_dt_interval(cast(case when doc_id % 23 = 0 then 5 else 0 end as int), 0, cast(doc_id * 53 % 1440 as int), 0)")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.regexp_extract("text", r"^[^\n]{0,80}", 0).alias("title"),
+        F.regexp_extract("text", r"^[^\n]*", 0).alias("title"),
         F.col("source").alias("agency"),
         F.expr("cast(doc_id % 7 - 3 as int)").alias("bias"),
         F.expr("case doc_id % 5 when 0 then 'gb' when 1 then 'fr' else 'us' end").alias("country"),
@@ -70,7 +70,7 @@ ARTICLE = "article AS (SELECT o_orderkey AS article_id, o_custkey AS agency_id,
 HEADLINE = "headline AS (SELECT l_orderkey AS article_id, l_partkey AS headline_id, l_linenumber AS position, l_discount * 10 - 0.5 AS vader, l_tax * 10 AS afinn, l_shipdate AS last_accessed FROM lineitem)"
 TITLE = "title AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/?]+)', 1) AS agency FROM pages)"
 STORY = (
-    "story AS (SELECT doc_id AS id, regexp_extract(text, '^[^\n]{0,80}', 0) AS title, source AS agency, CAST(doc_id % 7 - 3 AS INT) AS bias, CASE doc_id % 5 WHEN 0 THEN 'gb' WHEN 1 THEN 'fr' ELSE 'us' END AS country, "
+    "story AS (SELECT doc_id AS id, regexp_extract(text, '^[^\n]*', 0) AS title, source AS agency, CAST(doc_id % 7 - 3 AS INT) AS bias, CASE doc_id % 5 WHEN 0 THEN 'gb' WHEN 1 THEN 'fr' ELSE 'us' END AS country, "
     "TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 % 20160 AS BIGINT)) AS first_accessed, "
     "TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 % 20160 AS BIGINT)) + to_days(CAST(CASE WHEN doc_id % 23 = 0 THEN 5 ELSE 0 END AS INT)) + to_minutes(CAST(doc_id * 53 % 1440 AS BIGINT)) AS last_accessed FROM documents)"
 )
