@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from broadsheet.functions import numbers
 from broadsheet.functions import text as tx
 from broadsheet.operators import frames, lexicon, snapshot, topics
+from broadsheet.operators.store import Store
 from broadsheet.plans import roles
 from broadsheet.plans.registry import query
 from broadsheet.scratch import Scratch, checkpoint_dir
 from broadsheet.session import table
 from broadsheet.sources import side_inputs
-from broadsheet.streaming import first_last
+from broadsheet.streaming import first_last, liveness
 from broadsheet.streaming import pages as page_stream
 
 
@@ -30,7 +31,7 @@ def _list(words: list[str]) -> str:
 def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that two batches are appended to: of each key only the first row is added."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    path = f"{checkpoint_dir(spark)}/broadsheet/inserted-{uuid.uuid4().hex}"
+    path = passing_folder(spark, "inserted")
     half = F.lit("2024-01-16").cast("timestamp_ntz")
     stored = None
     for part in (events.where(F.col("ts") < half), events.where(F.col("ts") >= half)):
@@ -98,7 +99,7 @@ def special_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written as CSV and read again by its declared schema."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    path = f"{checkpoint_dir(spark)}/broadsheet/csv-{uuid.uuid4().hex}"
+    path = passing_folder(spark, "csv")
     side_inputs.write_csv(s, path)
     return side_inputs.csv(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
 
@@ -311,7 +312,7 @@ _SNAP = "SELECT user_id, min(ts) AS first_accessed, max(ts) AS last_accessed FRO
 
 def _several_files(spark: SparkSession, sf_dir: str) -> str:
     """The access log as four files, so that a stream over it has several batches."""
-    path = f"{checkpoint_dir(spark)}/broadsheet/log-{uuid.uuid4().hex}"
+    path = passing_folder(spark, "log")
     table(spark, sf_dir, "events").select("user_id", "ts").repartition(4).write.parquet(path)
     return path
 
@@ -319,7 +320,7 @@ def _several_files(spark: SparkSession, sf_dir: str) -> str:
 @query(_SNAP)
 def stream_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last sighting from a stream of several micro-batches, and a restart that finds nothing new."""
-    path, name = _several_files(spark, sf_dir), f"sightings-{uuid.uuid4().hex}"
+    path, name = _several_files(spark, sf_dir), passing_name(spark, "sightings")
     schema = spark.read.parquet(path).schema
     first_last.ingest(first_last.stream(spark, path, schema, 1), "user_id", "ts", name)
     return first_last.ingest(first_last.stream(spark, path, schema, 1), "user_id", "ts", name)
@@ -330,4 +331,54 @@ def stream_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful query: running minimum, maximum and count per key in Spark's state store."""
     path = _several_files(spark, sf_dir)
     rows = first_last.stream(spark, path, spark.read.parquet(path).schema, 1)
-    return first_last.latest(rows, "user_id", "ts", f"running-{uuid.uuid4().hex}")
+    return first_last.latest(rows, "user_id", "ts", passing_name(spark, "running"))
+
+
+@query(_SNAP)
+def stream_bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last sighting from a stream into a store dealt by key hash, of which a batch rewrites what it touches."""
+    path, name = _several_files(spark, sf_dir), passing_name(spark, "bucketed")
+    return first_last.ingest_buckets(first_last.stream(spark, path, spark.read.parquet(path).schema, 1), "user_id", "ts", name, 16).read()
+
+
+@query(
+    "SELECT user_id, min(ts) AS first_accessed, CASE WHEN max(ts) >= TIMESTAMP '2024-01-30' THEN TIMESTAMP '2024-05-01' ELSE max(ts) END AS last_accessed "
+    "FROM events WHERE user_id % 5 <> 0 GROUP BY 1"
+)
+def bucketed_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed store through two upserts, a touch of the keys of the last days, and a delete."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("first_accessed"), F.col("ts").alias("last_accessed"))
+    stored = Store(spark, passing_folder(spark, "upkeep"), events.schema, "user_id", 16)
+    half, late = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-16", "2024-01-30"))
+    stored.upsert(events.where(F.col("first_accessed") < half))
+    stored.upsert(events.where(F.col("first_accessed") >= half))
+    stored.touch(events.where(F.col("first_accessed") >= late), F.lit("2024-05-01").cast("timestamp_ntz"))
+    stored.delete(events.where("user_id % 5 = 0").select("user_id").distinct())
+    stored.vacuum(1)
+    return stored.read()
+
+
+_GAP, _FORGET, _DELAY = 12 * 3600, 3 * 86400, 3600
+_STAYS = f"""WITH seen AS (SELECT user_id, ts, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS since FROM events),
+cut AS (SELECT *, sum(CASE WHEN since IS NULL OR since > {_GAP}000000 THEN 1 ELSE 0 END) OVER w AS stay, sum(CASE WHEN since IS NULL OR since > {_FORGET}000000 THEN 1 ELSE 0 END) OVER w AS life
+  FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+made AS (SELECT user_id, life, stay, min(ts) AS f, max(ts) AS last_accessed, count(*) AS m FROM cut GROUP BY 1, 2, 3),
+whole AS (SELECT user_id, min(f) OVER (PARTITION BY user_id, life) AS first_accessed, last_accessed, CAST(sum(m) OVER (PARTITION BY user_id, life ORDER BY stay ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM made)
+SELECT * FROM whole WHERE epoch_us(last_accessed) + {_GAP}000000 < (SELECT max(epoch_us(ts)) - {_DELAY}000000 FROM events)"""
+
+
+@query(_STAYS)
+def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays of each agency on its page that ended: sightings at most twelve hours apart, lives at most three days."""
+    return liveness.stays(table(spark, sf_dir, "events"), "user_id", "ts", _GAP, _FORGET, _DELAY)
+
+
+@query(_STAYS)
+def stream_left_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream in the order of time: timers close stays, state is freed after three days."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    path, name = passing_folder(spark, "log"), passing_name(spark, "left")
+    cuts = [F.lit(d).cast("timestamp_ntz") for d in ("1000-01-01", "2024-01-11", "2024-01-21", "9999-01-01")]
+    for a, b in zip(cuts, cuts[1:]):
+        events.where((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.mode("append").parquet(path)
+    return liveness.run_left(first_last.stream(spark, path, events.schema, 1), "user_id", "ts", name, _GAP, _FORGET, _DELAY)

@@ -58,6 +58,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def passing_name(spark: SparkSession, name: str) -> str:
+    """A name of its own for a store or stream in the checkpoint folder that ends with the driver's process."""
+    return Scratch(spark, name).root.rsplit("/", 1)[1]
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """The whole path of such a folder."""
+    return Scratch(spark, name).root
+
+
 _roots: list[tuple] = []
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators import snapshot
+from broadsheet.operators.store import BUCKETS, Store
 from broadsheet.scratch import checkpoint_dir
 
 
@@ -53,6 +54,23 @@ def ingest(rows: DataFrame, key: str, ts: str, name: str) -> DataFrame:
     return reader.parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], first.schema)
 
 
+def ingest_buckets(rows: DataFrame, key: str, ts: str, name: str, buckets: int = BUCKETS) -> Store:
+    """As :func:`ingest`, into a bucketed store: a batch rewrites the buckets of its keys only, and one that runs again after
+    its version was made changes nothing. The store and the stream's progress lie in one folder and live and die together."""
+    spark = rows.sparkSession
+    root = f"{checkpoint_dir(spark)}/broadsheet/{name}"
+    first = rows.select(key, F.col(ts).alias("first_accessed"), F.col(ts).alias("last_accessed"))
+
+    def batch(df: DataFrame, n: int) -> None:
+        store = Store(df.sparkSession, f"{root}/store", first.schema, key, buckets)
+        store.upsert(df.select(key, F.col(ts).alias("first_accessed"), F.col(ts).alias("last_accessed")), n)
+        store.vacuum()
+
+    query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return Store(spark, f"{root}/store", first.schema, key, buckets)
+
+
 def _folder(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
