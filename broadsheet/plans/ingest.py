@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from broadsheet.operators import frames, lexicon, snapshot, topics
 from broadsheet.operators.store import Store
 from broadsheet.plans import roles
 from broadsheet.plans.registry import query
-from broadsheet.scratch import Scratch, checkpoint_dir
+from broadsheet.scratch import Scratch, passing_folder, passing_name
 from broadsheet.session import table
 from broadsheet.sources import side_inputs
 from broadsheet.streaming import first_last, liveness
