@@ -1,7 +1,9 @@
 """License scans by patience alignment against license texts and notices.
 
-Trigrams of the templates find places of a document where a template may lie; hits on neighbouring diagonals make a
-candidate window of bounded length. Template and window are aligned: tokens that occur once in either are anchors, the
+Trigrams of the long templates find places of a document where a template may lie; hits on neighbouring diagonals make a
+candidate window of bounded length. Short templates (up to ``SHORT`` tokens), of which few changes break every trigram, are
+found by tokens that no accepted window can lack: a deciding word, a number, or one more of the longest tokens than may be
+missing; all windows around such a token are tried. Template and window are aligned: tokens that occur once in either are anchors, the
 longest increasing subsequence of their positions is kept, and the gaps between anchors are aligned in the same way.
 Coverage is the share of the template's tokens that are aligned. A window whose coverage reaches ``LEAST_COVERAGE`` is a
 finding unless a deciding word speaks against it: words that tell one license from another (names, version numbers, ND, SA,
@@ -36,6 +38,8 @@ from broadsheet.llm.words import U64
 
 LEAST_COVERAGE = 0.8
 _GRAM = 3
+#: Tokens up to which a template is sought by single tokens.
+SHORT = 30
 _FILTER_BITS = 20
 
 #: Words that tell a license from its neighbours, besides numbers.
@@ -131,8 +135,18 @@ def _plain(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2f:-@\[-^`{-~\x7f]+|[0-9A-Za-z_]+", text)
 
 
+def _needed(n: int) -> int:
+    """Least number of aligned tokens of a template of ``n``."""
+    return next(k for k in range(n + 1) if k >= LEAST_COVERAGE * n)
+
+
+def _beside(tokens: np.ndarray, a: int, b: int) -> tuple[int | None, int | None]:
+    """The tokens right before and after a window."""
+    return (int(tokens[a - 1]) if a > 0 else None), (int(tokens[b]) if b < len(tokens) else None)
+
+
 class Scanner:
-    """Trigrams of the templates in a hash table, with a bit table before it."""
+    """Trigrams of long templates and single tokens of short ones in hash tables, with bit tables before them."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
@@ -144,27 +158,55 @@ class Scanner:
         #: Positions of each template that must be aligned.
         self.must = [{p for p, t in enumerate(tokens) if d[p] or t in self.deciding} for tokens, d in zip(self.tokens, digits)]
         self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.singles: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        rank = {w: k for k, w in enumerate(named)}
+        for t, tokens in enumerate(self.tokens):
+            if _GRAM <= len(tokens) <= SHORT:
+                texts = _plain(templates[self.names[t]])
+                if self.must[t]:
+                    chosen = {tokens[min(self.must[t], key=lambda p: (rank.get(tokens[p], len(rank)), p))]}
+                    places = [p for p in range(len(tokens)) if tokens[p] in chosen]
+                else:
+                    missing = len(tokens) - _needed(len(tokens))
+                    places = sorted(range(len(tokens)), key=lambda p: (-len(texts[p]), p))[: missing + 1]
+                for p in places:
+                    self.singles[tokens[p]].append((t, p))
+        self.token_bits = np.zeros(1 << _FILTER_BITS, bool)
+        self.token_bits[np.array(list(self.singles), U64) & U64((1 << _FILTER_BITS) - 1)] = True
         h, bounds, _ = words.windows(_GRAM)
         for t in range(len(self.names)):
+            if len(self.tokens[t]) <= SHORT:
+                continue
             for p, g in enumerate(h[bounds[t] : bounds[t + 1]].tolist()):
                 self.grams[g].append((t, p))
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
         self.bits[np.array(list(self.grams), U64) & U64((1 << _FILTER_BITS) - 1)] = True
 
-    def _fits(self, t: int, window: list[int]) -> tuple[int, int, int] | None:
-        """Aligned tokens, and first and end position in the window, if the window holds template ``t``."""
+    def _fits(self, t: int, window: list[int], before: int | None = None, after: int | None = None) -> tuple[int, int, int] | None:
+        """Aligned tokens, and first and end position in the window, if the window holds template ``t``; ``before`` and
+        ``after`` are the tokens beside the window."""
         template = self.tokens[t]
         pairs = patience(template, window)
-        if not pairs or len(pairs) < LEAST_COVERAGE * len(template):
+        if not pairs or len(pairs) < _needed(len(template)):
             return None
         if not self.must[t] <= {i for i, _ in pairs}:
             return None
         first, end = pairs[0][1], pairs[-1][1] + 1
+        if (first == 0 and before in self.deciding) or (end == len(window) and after in self.deciding):
+            return None
         aligned = {j for _, j in pairs}
         if any(w in self.deciding and j not in aligned for j, w in enumerate(window[max(0, first - 1) : end + 1], max(0, first - 1))):
             return None
         return len(pairs), first, end
 
+    def _near_singles(self, words) -> Iterator[tuple[int, int, int]]:
+        """(text, template, where it would begin) for each place of a short template's token."""
+        near = np.flatnonzero(self.token_bits[words.hash & U64((1 << _FILTER_BITS) - 1)])
+        owner = np.searchsorted(words.bounds, near, "right") - 1
+        for k, d, h in zip(near.tolist(), owner.tolist(), words.hash[near].tolist()):
+            for t, p in self.singles.get(h, ()):
+                yield d, t, k - int(words.bounds[d]) - p
+
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
         """(name, coverage, first token, end token) of each text's findings, in order of place."""
         words = _tokens(texts)
@@ -188,11 +230,29 @@ class Scanner:
                     if tokens is None:
                         tokens = words.hash[words.bounds[d] : words.bounds[d + 1]]
                     low, high = max(0, diagonals[start] - slack), min(len(tokens), diagonals[k - 1] + len(template) + slack)
-                    got = self._fits(t, tokens[low:high].tolist())
+                    got = self._fits(t, tokens[low:high].tolist(), *_beside(tokens, low, high))
                     if got is not None:
                         found[d].append((got[0], got[0] / len(template), self.names[t], low + got[1], low + got[2]))
                     # A long chain is cut into windows that overlap by two slacks.
                     start = k if end else bisect.bisect_left(diagonals, diagonals[k] - 2 * slack, start + 1, k)
+        for d, t, at in self._near_singles(words):
+            own, template = words.hash[words.bounds[d] : words.bounds[d + 1]], self.tokens[t]
+            slack = max(2, len(template) // 5)
+            low, high = max(0, at - slack), min(len(own), at + len(template) + slack)
+            around = own[low:high].tolist()
+            held = set(around)
+            if sum(w in held for w in template) < _needed(len(template)):
+                continue
+            best = None
+            for a in range(low, min(high, at + slack) + 1):
+                for b in range(max(a, at + len(template) - slack), high + 1):
+                    if best is not None and best[0] == len(template):
+                        break
+                    got = self._fits(t, around[a - low : b - low], *_beside(own, a, b))
+                    if got is not None and (best is None or got[0] > best[0]):
+                        best = got[0], a + got[1], a + got[2]
+            if best is not None:
+                found[d].append((best[0], best[0] / len(template), self.names[t], best[1], best[2]))
         out = []
         for d in range(len(texts)):
             kept: list = []

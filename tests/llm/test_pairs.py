@@ -310,6 +310,38 @@ def test_licenses_match_alignment_over_all_windows():
         assert got <= want and bool(got) == bool(want), text[:80]
 
 
+SHORT = [n for n in licenses.TEMPLATES if len(licenses._plain(licenses.TEMPLATES[n])) <= licenses.SHORT]
+
+
+@pytest.mark.parametrize("name", SHORT)
+def test_short_templates_with_every_single_change(name):
+    """Every substitution, deletion and insertion of a word: a template is found where any window around fits it."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    words = licenses._plain(licenses.TEMPLATES[name])
+    made = [words]
+    for p in range(len(words)):
+        made += [[*words[:p], "our", *words[p + 1 :]], [*words[:p], *words[p + 1 :]], [*words[:p], "our", *words[p:]], [*words[:p], "our", "own", *words[p:]]]
+        made += [[*words[:p], "MIT", *words[p + 1 :]], [*words[:p], "3", *words[p:]]]
+    texts = [" ".join(["so", "it", "is", *m, "and", "so", "on"]) for m in made]
+    tokens = licenses._tokens(pa.array(texts))
+    own = [w.tolist() for w in np.split(tokens.hash, tokens.bounds[1:-1])]
+    for text, window, got in zip(texts, own, scanner.scan(pa.array(texts))):
+        want = set()
+        for t, template in enumerate(scanner.tokens):
+            reach = len(template) + max(2, len(template) // 5)
+            if len(template) <= licenses.SHORT and any(scanner._fits(t, window[a:b], *licenses._beside(window, a, b)) for a in range(len(window)) for b in range(a + 1, min(len(window), a + reach) + 1)):
+                want.add(scanner.names[t])
+        found = {x[0] for x in got}
+        # Of templates that fit one place one stays: the one with the most aligned tokens.
+        assert found <= want and bool(found) == bool(want), (text, want, found)
+    assert name in {x[0] for x in scanner.scan(pa.array(texts[:1]))[0]}
+
+
+@pytest.mark.parametrize("text", ["Licensed under an MIT License.", "Released under an MIT License.", "Licensed under a BSD License.", "Licensed under our MIT License here", "All my rights are reserved"])
+def test_short_notices_with_a_changed_word(text):
+    assert len(licenses.Scanner(licenses.TEMPLATES).scan(pa.array([text]))[0]) == 1
+
+
 def test_scans_of_odd_rows(spark):
     """Null ids, clashing names, repeated rows and a very long text."""
     long = "word " * 200_000 + "Released under the MIT License. " + "word " * 1000
