@@ -78,19 +78,3 @@ def test_stages_keep_further_columns_and_repeated_ids(spark, sf):
     plain = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     ids = {r.doc_id: r.ids for r in plain.collect()}
     assert all(r.ids == ids[r.doc_id] for r in rows if r.doc_id in ids and r.n_tokens == len(ids[r.doc_id]))
-
-
-def test_junk_with_a_label_is_judged_by_models_that_have_not_seen_it(spark, sf):
-    """Random letters of two scripts, labelled as a language, several copies each: their own model would know them."""
-    import random
-
-    rng = random.Random(3)
-    letters = "abcdefghijklmnopqrstuvwxyz\u0431\u0432\u0433\u0434\u0436\u0437\u0438\u043a\u043b\u043c"
-    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(120)) for _ in range(4)]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = [(10**7 + k, junk[k % 4], "en", "s", len(junk[k % 4])) for k in range(8)]
-    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), sf)
-    assert kept.columns == docs.columns
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert not {i for i in ids if i >= 10**7}
-    assert ids == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
