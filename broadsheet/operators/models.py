@@ -4,9 +4,11 @@ clusters. Documents stay distributed; what reaches the driver is bounded by the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,16 +31,39 @@ def components_for(df: DataFrame, id_col: str, vector_col: str, variance: float
     return model.transform(scaled).select(id_col, F.slice(vector_to_array("_p"), 1, min(k, size)).alias("components"))
 
 
-def lda_grid(counts: DataFrame, features_col: str, sizes: list[int], decays: list[float], iterations: int = 10, seed: int = 7) -> DataFrame:
-    """(k, decay, perplexity) of a topic model for each pair of settings, the best first; a tenth of the rows judges."""
-    train, test = counts.randomSplit([0.9, 0.1], seed)
-    test = test if not test.isEmpty() else train
-    rows = []
-    for k in sizes:
-        for decay in decays:
-            model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", learningDecay=decay, featuresCol=features_col).fit(train)
-            rows.append((k, decay, float(model.logPerplexity(test))))
-    return counts.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r[2], r[0], r[1])), "k int, decay double, perplexity double")
+def lda_grid(
+    counts: DataFrame, features_col: str, sizes: list[int], decays: list[float], iterations: int = 10, seed: int = 7, folds: int = 5, parallel: int = 4, id_col: str = "id"
+) -> DataFrame:
+    """(k, decay, perplexity, spread) of a topic model for each pair of settings, the best first: mean and standard deviation,
+    over the folds, of the log perplexity of a fold's rows under a model of all others.
+
+    Rows are dealt by the hash of their id, so folds do not depend on partitions; a null id is one id. Models of settings and
+    folds are independent jobs, ``parallel`` at a time. A fold without rows, or with all of them, judges nothing; where no fold
+    can (one row, or equal ids), all rows are learned from and judged. Without rows there are no settings to compare.
+    """
+    spark = counts.sparkSession
+    fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(folds)).cast("int")
+    dealt = counts.select(fold.alias("fold"), features_col).persist()
+    try:
+        rows_of = {r.fold: r["count"] for r in dealt.groupBy("fold").count().collect()}
+        judged: list[int | None] = sorted(rows_of) if len(rows_of) > 1 else [None] * bool(rows_of)
+        tasks = [(k, decay, f) for k in sizes for decay in decays for f in judged]
+
+        def one(task: tuple[int, float, int | None]) -> float:
+            k, decay, f = task
+            train, test = (dealt, dealt) if f is None else (dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f))
+            lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", learningDecay=decay, featuresCol=features_col)
+            return float(lda.fit(train).logPerplexity(test))
+
+        with ThreadPool(parallel) as pool:
+            found = pool.map(inheritable_thread_target(spark)(one), tasks)
+    finally:
+        dealt.unpersist()
+    by: dict[tuple[int, float], list[float]] = {}
+    for (k, decay, _), x in zip(tasks, found):
+        by.setdefault((k, decay), []).append(x)
+    rows = [(k, decay, float(np.mean(x)), float(np.std(x))) for (k, decay), x in by.items()]
+    return spark.createDataFrame(sorted(rows, key=lambda r: (r[2], r[0], r[1])), "k int, decay double, perplexity double, spread double")
 
 
 def sparse_parts(vector_col: str) -> list[Column]:

@@ -560,9 +560,9 @@ def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic models of several sizes and learning decays by perplexity."""
+    """Topic models of several sizes and learning decays by their perplexity over three folds."""
     counts, _ = _title_counts(spark, sf_dir)
-    return models.lda_grid(counts, "features", [3, 5], [0.6, 0.9])
+    return models.lda_grid(counts, "features", [3, 5], [0.6, 0.9], folds=3)
 
 
 @query()

@@ -77,6 +77,31 @@ def test_grids_and_factors_give_rows(spark, sf):
     assert QUERIES["density_clusters"](spark, sf).count() == 500
 
 
+def test_grid_over_folds_equals_a_plain_loop(spark):
+    """Two kinds of documents with words of their own: the same means as fits one by one over the same folds."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(i, Vectors.sparse(12, sorted((6 * (i % 2) + int(w), float(n)) for w, n in zip(rng.choice(6, 4, replace=False), rng.integers(1, 5, 4))))) for i in range(80)]
+    counts = spark.createDataFrame(rows, ["id", "features"])
+    got = models.lda_grid(counts, "features", [2, 6], [0.6], iterations=15, folds=3).collect()
+    fold = F.pmod(F.xxhash64("id"), F.lit(3))
+    want = {}
+    for k in (2, 6):
+        found = []
+        for f in range(3):
+            model = LDA(k=k, maxIter=15, seed=7, optimizer="online", learningDecay=0.6).fit(counts.where(fold != f))
+            found.append(model.logPerplexity(counts.where(fold == f)))
+        want[k] = np.mean(found), np.std(found)
+    # Sampling of mini-batches follows the partitions, so the numbers are close, and the order is the same.
+    assert [r.k for r in got] == sorted(want, key=lambda k: want[k][0])
+    assert all(abs(r.perplexity - want[r.k][0]) < 0.1 for r in got)
+    assert models.lda_grid(counts.limit(0), "features", [2], [0.6]).count() == 0
+    assert models.lda_grid(counts.limit(1), "features", [2], [0.6], iterations=2).count() == 1
+
+
 #: Valences of the published lexicon for the words of its authors' examples.
 VALENCES = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "great": 3.1, "bad": -2.5, "horrible": -2.5, "sux": -1.5, "uncompelling": -0.9}
 
