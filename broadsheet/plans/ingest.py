@@ -47,51 +47,47 @@ def touch_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.touch(store, batch, "c_custkey", F.lit("2024-05-01").cast("timestamp_ntz"))
 
 
-_YAML = """
-- name: Weather
-  color: '#446'
-  keywords: [storm, rain, the river]
-  essential: [storm, rain]
-- name: Money
-  color: '#464'
-  keywords: [bank, price]
-  essential: [price]
-- name: Sport
-"""
-_DATES = """
-- {name: Flood, topic: Weather, date: 2024-03-02}
-- {name: Crash, topic: Money, date: 2024-02-01}
-- {name: New year, topic: all, date: 2024-01-01}
-- {name: Nowhere, topic: Space, date: 2024-04-01}
-"""
-_TOPIC = "topic AS (SELECT * FROM (VALUES (1, 'Weather', '#446', ['storm', 'rain', 'the river'], ['storm', 'rain']), (2, 'Money', '#464', ['bank', 'price'], ['price']), (3, 'Sport', NULL, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]))) v(topic_id, name, color, keywords, essential))"
-_DATED = "dated AS (SELECT * FROM (VALUES (1, 'Flood', 'Weather', DATE '2024-03-02'), (2, 'Crash', 'Money', DATE '2024-02-01'), (3, 'New year', 'all', DATE '2024-01-01'), (4, 'Nowhere', 'Space', DATE '2024-04-01')) v(i, name, topic, date))"
-
-
-@query(f"WITH {_TOPIC} SELECT topic_id, name, color, array_to_string(keywords, ',') AS keywords, array_to_string(essential, ',') AS essential, len(string_split(array_to_string(keywords, ','), ',')) AS parts FROM topic")
+_BRANDS = "SELECT p_brand AS name, CASE WHEN count(*) % 2 = 0 THEN '#446' END AS color, list_sort(list(DISTINCT p_name)) AS keywords, list_sort(list(DISTINCT p_type)) AS essential FROM part WHERE {} GROUP BY 1"
+
+
+def _topics(spark: SparkSession, sf_dir: str, wanted: str = "true") -> DataFrame:
+    """A topic for each brand: the names of its parts are keywords, their types the essential ones, and some have no colour."""
+    lists = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("p_name", "keywords"), ("p_type", "essential"))]
+    return table(spark, sf_dir, "part").where(wanted).groupBy(F.col("p_brand").alias("name")).agg(F.when(F.count("*") % 2 == 0, "#446").alias("color"), *lists)
+
+
+@query(
+    f"WITH topic AS ({_BRANDS.format('true')}) SELECT name, color, array_to_string(keywords, ',') AS keywords, array_to_string(essential, ',') AS essential, "
+    "string_split(array_to_string(keywords, ','), ',') AS again, len(string_split(array_to_string(essential, ','), ',')) AS parts FROM topic"
+)
 def topic_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of a YAML file, their lists as comma-joined text and split again."""
-    t = side_inputs.topics(spark, _YAML)
-    joined = t.select("topic_id", "name", "color", F.array_join("keywords", ",").alias("keywords"), F.array_join("essential", ",").alias("essential"))
-    return joined.withColumn("parts", F.size(F.split("keywords", ",")).cast("long"))  # an empty text is one empty word
+    """Lists of the topics as comma-joined text and split again."""
+    joined = _topics(spark, sf_dir).select("name", "color", F.array_join("keywords", ",").alias("keywords"), F.array_join("essential", ",").alias("essential"))
+    return joined.withColumns({"again": F.split("keywords", ","), "parts": F.size(F.split("essential", ",")).cast("long")})
 
 
 @query(
-    f"WITH {_TOPIC}, batch AS (SELECT * FROM (VALUES ('Money', '#000', ['bank', 'rate'], ['rate']), ('War', '#f00', ['front'], ['front'])) v(name, color, keywords, essential)) "
+    f"WITH topic AS ({_BRANDS.format('p_partkey % 3 <> 0')}), batch AS ({_BRANDS.format('p_size > 45')}) "
     "SELECT name, coalesce(b.color, t.color) AS color, array_to_string(coalesce(b.keywords, t.keywords), ',') AS keywords, array_to_string(coalesce(b.essential, t.essential), ',') AS essential FROM topic t FULL JOIN batch b USING (name)"
 )
 def topic_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic table brought up to date by name."""
-    store = side_inputs.topics(spark, _YAML).drop("topic_id")
-    batch = spark.createDataFrame([("Money", "#000", ["bank", "rate"], ["rate"]), ("War", "#f00", ["front"], ["front"])], store.schema)
-    merged = snapshot.merge(store, batch, "name")
+    """The topic table brought up to date by name: a missing colour of the batch does not wipe out the one that is there."""
+    merged = snapshot.merge(_topics(spark, sf_dir, "p_partkey % 3 <> 0"), _topics(spark, sf_dir, "p_size > 45"), "name")
     return merged.select("name", "color", F.array_join("keywords", ",").alias("keywords"), F.array_join("essential", ",").alias("essential"))
 
 
-@query(f"WITH {_TOPIC}, {_DATED} SELECT topic_id, d.i, d.name, d.date, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY d.date, d.i) AS INT) AS place FROM topic JOIN dated d ON d.topic = topic.name OR d.topic = 'all'")
+@query(
+    "WITH topic AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INT) AS topic_id, p_brand AS name FROM part), "
+    "dated AS (SELECT o_orderkey AS i, o_orderpriority AS name, CASE WHEN o_orderkey % 500 = 0 THEN 'all' ELSE 'Brand#' || (o_custkey % 40) END AS topic, CAST(o_orderdate AS DATE) AS date FROM orders) "
+    "SELECT topic_id, d.i, d.name, d.date, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY d.date, d.i) AS INT) AS place FROM topic JOIN dated d ON d.topic = topic.name OR d.topic = 'all'"
+)
 def special_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Special dates joined to their topics by name, those of all topics included, in order of date."""
-    return side_inputs.dated(side_inputs.topics(spark, _YAML), side_inputs.special_dates(spark, _DATES))
+    """Special dates (orders) joined to their topics (brands) by name, those of all topics included, in order of date; dates
+    of a topic that is none go."""
+    topics_ = table(spark, sf_dir, "part").select(F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int").alias("topic_id"), F.col("p_brand").alias("name")).distinct()
+    topic = F.when(F.col("o_orderkey") % 500 == 0, "all").otherwise(F.concat(F.lit("Brand#"), (F.col("o_custkey") % 40).cast("string")))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_orderpriority").alias("name"), topic.alias("topic"), F.col("o_orderdate").cast("date").alias("date"))
+    return side_inputs.dated(topics_, orders)
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

@@ -176,14 +176,16 @@ def _case(word: str, table_: dict[str, str]) -> str:
     return f"CASE {word} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in table_.items()) + f" ELSE {word} END"
 
 
-_SAID = "string_split(CASE doc_id % 3 WHEN 0 THEN 'we can''t say it''s done' WHEN 1 THEN 'they re late and he s not' ELSE 'I''ve seen none t ll' END, ' ')"
+#: Frequent words of the texts and the contractions that take their places.
+_SPOKEN = {"the": "can't", "of": "it's", "and": "ll", "to": "I've", "der": "he's", "la": "re", "de": "don't", "a": "t"}
+_SAID = f"list_transform(string_split(text, ' '), lambda v: {_case('v', _SPOKEN)})"
 
 
 @query(f"SELECT doc_id, list_transform({_SAID}, lambda w: {_case('w', tx.CONTRACTIONS)}) AS expanded, list_transform({_SAID}, lambda w: {_case('w', tx.TOKEN_EXPANSIONS)}) AS decontracted FROM documents")
 def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with their contractions written out, by either table."""
-    n = F.col("doc_id") % 3
-    said = F.split(F.when(n == 0, "we can't say it's done").when(n == 1, "they re late and he s not").otherwise("I've seen none t ll"), " ")
+    """Tokens of the whole texts, some made contractions, with these written out by either table."""
+    places = F.create_map(*[F.lit(x) for pair in _SPOKEN.items() for x in pair])
+    said = F.transform(F.split("text", " "), lambda w: F.coalesce(places[w], w))
     return _docs(spark, sf_dir).select("doc_id", tx.expand_contractions(said).alias("expanded"), tx.decontract(said).alias("decontracted"))
 
 

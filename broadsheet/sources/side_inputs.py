@@ -39,8 +39,9 @@ def dates_of(special: DataFrame, topic: str) -> DataFrame:
 
 def dated(topics: DataFrame, special: DataFrame) -> DataFrame:
     """(topic_id, i, name, date, place): the special dates of every topic by its name, with those of all topics, numbered
-    by date. Both sides are files of a few dozen rows."""
-    everywhere = special.where("topic = 'all'").join(topics.select("topic_id"), how="cross")
+    by date. Dates of all topics are written out for each topic, which is their meaning: the list of topics is one row."""
+    ids = topics.agg(F.collect_list("topic_id").alias("_ids"))
+    everywhere = special.where("topic = 'all'").join(F.broadcast(ids)).withColumn("topic_id", F.explode("_ids"))
     own = special.join(topics.select("topic_id", F.col("name").alias("topic")), "topic")
     both = own.select("topic_id", "i", "name", "date").unionByName(everywhere.select("topic_id", "i", "name", "date"))
     return both.withColumn("place", F.row_number().over(W.partitionBy("topic_id").orderBy("date", "i")))

@@ -194,3 +194,13 @@ def test_front_pages_over_http(spark):
     got = {r.agency: (r.status, r.html) for r in spark.read.format("front_pages").option("agencies", json.dumps(agencies)).load().collect()}
     server.shutdown()
     assert got == {"A": (200, "<p>hi</p>"), "B": (404, None)}
+
+
+def test_topics_of_a_file_and_their_dates(spark):
+    """Missing lists are empty, rows are numbered in file order, dates of a topic that is none go."""
+    topics = side_inputs.topics(spark, "- name: Weather\n  color: '#446'\n  keywords: [storm, rain, the river]\n  essential: [storm, rain]\n- name: Sport\n")
+    assert [tuple(r) for r in topics.orderBy("topic_id").collect()] == [(1, "Weather", "#446", ["storm", "rain", "the river"], ["storm", "rain"]), (2, "Sport", None, [], [])]
+    dates = side_inputs.special_dates(spark, "- {name: Flood, topic: Weather, date: 2024-03-02}\n- {name: New year, topic: all, date: 2024-01-01}\n- {name: Nowhere, topic: Space, date: 2024-04-01}\n")
+    got = sorted((r.topic_id, r.i, r.name, r.place) for r in side_inputs.dated(topics, dates).collect())
+    assert got == [(1, 1, "Flood", 2), (1, 2, "New year", 1), (2, 2, "New year", 1)]
+    assert side_inputs.dated(topics, dates.limit(0)).count() == side_inputs.dated(topics.limit(0), dates).count() == 0

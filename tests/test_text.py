@@ -200,3 +200,9 @@ def test_text_of_all_pages_matches_a_plain_walk(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["html_text"](spark, sf).collect():
         assert r.text == walk(pages[r.page_id]), r.page_id
+
+
+def test_contractions_written_out(spark):
+    row = spark.range(1).select(tx.expand_contractions(F.split(F.lit("we can't say it's done"), " ")).alias("a"), tx.decontract(F.split(F.lit("they re late t ll"), " ")).alias("b")).first()
+    assert row.a == [tx.CONTRACTIONS.get(w, w) for w in "we can't say it's done".split()] and row.a != "we can't say it's done".split()
+    assert row.b == [tx.TOKEN_EXPANSIONS.get(w, w) for w in "they re late t ll".split()] and row.b != "they re late t ll".split()
