@@ -195,6 +195,19 @@ def cluster_summary(labelled: DataFrame, agencies: int, least: int = 6) -> DataF
     )
 
 
+#: Minutes below which a story is marked as breaking.
+BREAKING_MINUTES = 90
+
+
+def age_marks(summary: DataFrame) -> DataFrame:
+    """(cluster, breaking, mark) of :func:`cluster_summary`: how many headlines, and how long ago the first one came, in whole
+    minutes for a breaking story and in whole hours for others. An unknown age is not breaking and has no mark."""
+    minutes = F.floor(F.col("first") / 60)
+    breaking = F.coalesce(minutes < BREAKING_MINUTES, F.lit(False))
+    age = F.when(breaking, F.concat(F.lit("BREAKING! "), minutes.cast("string"), F.lit("m ago!"))).otherwise(F.concat(F.lit("First broken "), F.floor(minutes / 60).cast("string"), F.lit(" hours ago")))
+    return summary.select("cluster", breaking.alias("breaking"), F.concat(F.col("members").cast("string"), F.lit(" headlines, "), age).alias("mark"))
+
+
 def agency_lists(labelled: DataFrame, least: int = 6) -> DataFrame:
     """(cluster, agencies): the members of a story, one per agency, by bias and then by name, as text with a bar where the
     bias changes. A story has at most one member per agency, so the list is bounded by the agencies."""

@@ -114,6 +114,17 @@ def story_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("cluster").cast("int").alias("cluster"), "members", "first", "summary_id", "coverage")
 
 
+@query(
+    f"{_REPORT}, a AS (SELECT cluster, count(*) AS members, max(date_diff('second', first_accessed, TIMESTAMP '2024-02-01') % 9000) // 60 AS minutes FROM m GROUP BY 1 HAVING count(*) >= 3) "
+    "SELECT CAST(cluster AS INT) AS cluster, minutes < 90 AS breaking, members || ' headlines, ' || CASE WHEN minutes < 90 THEN 'BREAKING! ' || minutes || 'm ago!' ELSE 'First broken ' || (minutes // 60) || ' hours ago' END AS mark FROM a"
+)
+def story_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories marked as breaking below ninety minutes (ages are taken from a span of 150 minutes), or by their hours."""
+    since = F.unix_seconds(F.lit("2024-02-01").cast("timestamp")) - F.unix_seconds(F.col("first_accessed").cast("timestamp"))
+    summary = similarity.cluster_summary(_report(spark, sf_dir).withColumn("howlong", since % 9000), 124, 3)
+    return similarity.age_marks(summary).select(F.col("cluster").cast("int").alias("cluster"), "breaking", "mark")
+
+
 @query(
     f"{_REPORT}, w AS (SELECT cluster, agency, bias, lag(bias) OVER (PARTITION BY cluster ORDER BY bias, agency) AS before FROM m) "
     "SELECT CAST(cluster AS INT) AS cluster, string_agg(CASE WHEN before <> bias THEN '| ' ELSE '' END || agency, ' ' ORDER BY bias, agency) AS agencies FROM w GROUP BY 1 HAVING count(*) >= 3"

@@ -181,6 +181,13 @@ def test_batch_topics(spark):
     assert [(r.article, r.topic_id, r.topic_score) for r in topics.assign_last(scored, "article", "id").collect()] == [(7, 2, 0.2)]
 
 
+def test_age_marks(spark):
+    df = spark.createDataFrame([(0, 3, 0), (1, 4, 89 * 60 + 59), (2, 5, 90 * 60), (3, 6, 7300), (4, 7, None)], "cluster int, members long, first long")
+    got = [(r.breaking, r.mark) for r in similarity.age_marks(df).orderBy("cluster").collect()]
+    assert got == [(True, "3 headlines, BREAKING! 0m ago!"), (True, "4 headlines, BREAKING! 89m ago!"), (False, "5 headlines, First broken 1 hours ago"), (False, "6 headlines, First broken 2 hours ago"), (False, None)]
+    assert similarity.age_marks(df.limit(0)).count() == 0
+
+
 def test_agency_lists(spark):
     rows = [(0, 0, "B", 1), (1, 0, "A", 1), (2, 0, "C", -2), (3, 0, "C", -2), (4, 1, "A", 0), (5, -1, "Z", 0)]
     df = spark.createDataFrame(rows, "id long, cluster int, agency string, bias int")
