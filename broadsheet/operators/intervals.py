@@ -1,17 +1,16 @@
 """Similar headlines in every half hour, from intervals: a headline is not copied into the half hours in which it is up.
 
-Weights of terms differ from half hour to half hour, as what is up differs, but the texts do not. So the pairs that may be
-similar are sought once for each stretch of ``STRETCH`` half hours:
+Weights of terms differ from half hour to half hour, as what is up differs, but the texts do not. So a headline travels once
+for each stretch of ``STRETCH`` half hours in which it is up:
 
 1. Equal texts are one class. How many members of a class, and of a term's headlines, are up is kept as running differences:
    +1 where an interval begins, -1 behind its end, added up over time.
-2. In a stretch a term has a least and a greatest weight, from the least and greatest number of headlines that are up with
-   it and at all. A class is entered under its rarest terms until the rest could not reach the threshold under any weights
-   within these bounds; classes that meet under a term are candidates, and stay if the bounds allow the threshold.
-3. Only for what stays are weights of single half hours made, and dots compared with the threshold.
+2. The classes of a stretch are dealt into blocks, of which every two meet in a task (:mod:`blocks`), with the running counts of
+   the terms. The task makes the weights of one half hour after the other and compares them.
+3. It returns how many pairs are similar in each half hour, or the pairs where they are asked for.
 
-So the work that grows with the number of headlines grows with headline times stretches; half hours are written out only for
-pairs that are near or above the threshold, and for the calendar itself.
+So what is shipped grows with headlines times stretches; half hours are written out only for similar pairs that are asked for,
+and for the calendar itself. The comparisons grow with the square of what is up at a time.
 
 Cases: an interval that ends before it begins is never up. A null text, or one without terms, counts as a headline that is
 similar to nothing. Half hours in which nothing is up have no row.
@@ -19,18 +18,23 @@ similar to nothing. Half hours in which nothing is up have no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
+from broadsheet.operators import blocks
 from broadsheet.operators.similarity import terms
 from broadsheet.scratch import Scratch, maybe_broadcast
 
 #: Half hours of one stretch.
 STRETCH = 24
-#: Bounds are widened by this, so that rounding drops no pair.
-EPS = 1e-6
+#: Digits to which a product is rounded before it is compared.
+DIGITS = 9
 
 
 def slot_number(ts: Column | str) -> Column:
@@ -58,10 +62,61 @@ def _stretches() -> Column:
     return F.explode(F.sequence(F.floor(F.col("begin") / STRETCH), F.floor((F.col("end") - 1) / STRETCH)))
 
 
-def _clipped(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows (stretch, begin, end) with the half hours of their stretch written out."""
-    inside = rows.withColumn("begin", F.greatest("begin", F.col("stretch") * STRETCH)).withColumn("end", F.least("end", (F.col("stretch") + 1) * STRETCH))
-    return inside.select(*columns, _slots("begin", "end").alias("slot"))
+def _clipped(rows: DataFrame) -> DataFrame:
+    """Rows (begin, end) once for each ``stretch``, cut to it and counted from its first half hour."""
+    own = rows.withColumn("stretch", _stretches())
+    first = F.col("stretch") * STRETCH
+    return own.withColumn("begin", (F.greatest("begin", first) - first).cast("int")).withColumn("end", (F.least("end", first + STRETCH) - first).cast("int"))
+
+
+def _running(at: np.ndarray, begin: np.ndarray, end: np.ndarray, value: np.ndarray, n: int, stretch: int) -> np.ndarray:
+    """(half hour, n): the values of runs written out."""
+    out = np.zeros((stretch + 1, n), np.int64)
+    np.add.at(out, (begin, at), value)
+    np.subtract.at(out, (end, at), value)
+    return np.cumsum(out, 0)[:-1]
+
+
+class _Side:
+    """The classes of a block: terms, their counts, and how many members are up in each half hour."""
+
+    def __init__(self, rows: pa.Table, numbers: np.ndarray, stretch: int):
+        self.starts, self.tf = blocks.listed(rows.column("tf"))
+        runs, begin = blocks.listed(rows.column("begins"))
+        self.numbers, n = numbers, len(rows)
+        at = np.repeat(np.arange(n), np.diff(runs))
+        self.up = _running(at, begin, blocks.listed(rows.column("ends"))[1], blocks.listed(rows.column("counts"))[1], n, stretch)
+
+    def at(self, k: int, idf: np.ndarray, cut: float) -> tuple[np.ndarray, blocks.Vectors]:
+        """The classes that are up in half hour k, and their weights in it."""
+        live = np.flatnonzero(self.up[k])
+        sizes = np.diff(self.starts)[live]
+        at = blocks.spread(self.starts[live], sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        w = self.tf[at] * idf[self.numbers[at]]
+        norm = np.sqrt(np.add.reduceat(w * w, starts[:-1])) if len(w) else w
+        return live, blocks.Vectors(starts, self.numbers[at], w / np.repeat(norm, sizes), cut)
+
+
+def _similar(rows: pa.Table, runs: pa.Table, theta: float, stretch: int) -> Iterator[tuple]:
+    """(half hour, reps of one block and of the other, products, pairs of headlines) of a task, one half hour after the other."""
+    a, b, same = blocks.sides(rows)
+    names, rank, (na, nb) = blocks.numbered(blocks.listed(a.column("terms"))[1], blocks.listed(b.column("terms"))[1])
+    term, begin, end, value = (np.asarray(runs.column(c).fill_null(0)) for c in ("term", "begin", "end", "value"))
+    whole = np.asarray(runs.column("term").is_null())
+    place = np.minimum(np.searchsorted(names, term), len(names) - 1)
+    known = ~whole & (names[place] == term)
+    df = _running(rank[place[known]], begin[known], end[known], value[known], len(names), stretch)
+    n = _running(np.zeros(whole.sum(), np.int64), begin[whole], end[whole], value[whole], 1, stretch)[:, 0]
+    one, cut = _Side(a, na, stretch), blocks.REST * theta
+    two = one if same else _Side(b, nb, stretch)
+    first = rows.column("stretch")[0].as_py() * stretch
+    for k in np.flatnonzero(n):
+        idf = np.log((1 + n[k]) / (1 + df[k])) + 1
+        (i, x), (j, y) = one.at(k, idf, cut), two.at(k, idf, cut)
+        for u, v, sim in blocks.similar(x, y, len(names), theta, 0.5 * 10.0**-DIGITS, same):
+            u, v = i[u], j[v]
+            yield first + int(k), a.column("rep").take(pa.array(u)), b.column("rep").take(pa.array(v)), sim, one.up[k][u] * two.up[k][v]
 
 
 class Intervals:
@@ -70,6 +125,7 @@ class Intervals:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, begin: str, end: str, threshold: float = 0.5, stopwords: list[str] | None = None):
         self.threshold, self.scratch = threshold, Scratch(docs.sparkSession, "intervals")
         self._pairs: DataFrame | None = None
+        self._live: DataFrame | None = None
         keep = self.scratch.keep
         text = F.coalesce(F.col(text_col), F.lit(""))
         up = docs.where(F.col(begin) <= F.col(end)).select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("key"), F.col(begin).cast("long").alias("begin"), F.col(end).cast("long").alias("end"))
@@ -87,56 +143,66 @@ class Intervals:
         self.classes = keep(steps(self.changes, ["key"], "c").join(held, "key").select("rep", "begin", "end", "c"), "classes")
         self.frequencies = keep(steps(self.changes.join(self.terms.select("key", "term"), "key").select("term", "slot", "d"), ["term"], "df"), "frequencies")
 
-    def candidates(self) -> DataFrame:
-        """(stretch, a, b) of classes, a < b, that may be similar in some half hour of the stretch."""
-        theta, keep = self.threshold, self.scratch.keep
-        around = self.calendar.groupBy("stretch").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-        bounds = self.frequencies.select("term", "df", _stretches().alias("stretch")).groupBy("stretch", "term").agg(F.min("df").alias("df_low"), F.max("df").alias("df_high"))
-        idf = lambda n, df: F.log((1 + F.col(n)) / (1 + F.col(df))) + 1
-        # A term is never in more headlines than there are, so that its weight is 1 at least.
-        bounds = bounds.join(maybe_broadcast(around, self.n_slots), "stretch").select("stretch", "term", "df_high", F.greatest(idf("n_low", "df_high"), F.lit(1.0)).alias("low"), idf("n_high", "df_low").alias("high"))
-        live = self.classes.select("rep", _stretches().alias("stretch")).distinct().join(self.terms.select("rep", "term", "tf"), "rep")
-        w = live.join(bounds, ["stretch", "term"])
-        w = w.select("stretch", "rep", "term", "df_high", (F.col("tf") * F.col("low")).alias("low"), (F.col("tf") * F.col("high")).alias("high"))
-        rare_first = W.partitionBy("stretch", "rep").orderBy("df_high", "term")
-        rest, before, every = (rare_first.rowsBetween(*x) for x in ((0, W.unboundedFollowing), (W.unboundedPreceding, -1), (W.unboundedPreceding, W.unboundedFollowing)))
-        square = lambda c, over: F.coalesce(F.sum(F.col(c) * F.col(c)).over(over), F.lit(0.0))
-        tail, head, norm = square("high", rest), square("low", before), F.sqrt(square("low", every))
-        w = keep(w.select("stretch", "rep", "term", (tail / (tail + head) >= theta * theta - EPS).alias("enters"), (F.col("high") / norm).alias("most")), "bounded")
-        entered = w.where("enters")
-        one, two = entered.select("stretch", "term", F.col("rep").alias("a")), entered.select("stretch", "term", F.col("rep").alias("b"))
-        met = one.join(two, ["stretch", "term"]).where("a < b").select("stretch", "a", "b").distinct()
-        left, right = w.select("stretch", F.col("rep").alias("a"), "term", F.col("most").alias("ma")), w.select("stretch", F.col("rep").alias("b"), "term", F.col("most").alias("mb"))
-        most = met.join(left, ["stretch", "a"]).join(right, ["stretch", "b", "term"]).groupBy("stretch", "a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("most"))
-        return keep(most.where(F.col("most") >= theta - EPS).select("stretch", "a", "b"), "candidates")
+    def _stretched(self) -> DataFrame:
+        """(stretch, rep, begins, ends, counts, terms, tf) of every class in each stretch in which it is up."""
+        if self._live is None:
+            entry = F.struct(F.xxhash64("term").alias("t"), F.col("tf").cast("long").alias("tf"))
+            held = self.terms.groupBy("rep").agg(F.collect_list(entry).alias("v")).select("rep", F.col("v.t").alias("terms"), F.col("v.tf").alias("tf"))
+            spans = _clipped(self.classes).groupBy("stretch", "rep").agg(F.collect_list(F.struct("begin", "end", F.col("c").cast("long").alias("c"))).alias("s"))
+            live = spans.select("stretch", "rep", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"), F.col("s.c").alias("counts"))
+            self._live = self.scratch.keep(live.join(held, "rep"), "live")
+        return self._live
+
+    def _meet(self, run, schema: str) -> DataFrame:
+        """The rows that ``run`` makes of every two blocks of a stretch and its running counts."""
+        live = self._stretched()
+        per = live.groupBy("stretch").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("m"))
+        most = per.agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("stretches")).first()
+        n_blocks = blocks.number_of(most.n or 0, most.m or 0)
+        meetings = [(i, j) for i in range(n_blocks) for j in range(i, n_blocks)]
+        every = F.explode(F.array(*[F.struct(F.lit(i).alias("one"), F.lit(j).alias("two")) for i, j in meetings])).alias("m")
+        counted = self.frequencies.select(F.xxhash64("term").alias("term"), "begin", "end", F.col("df").cast("long").alias("value"))
+        whole = self.calendar.select(F.lit(None).cast("long").alias("term"), F.col("slot").alias("begin"), (F.col("slot") + 1).alias("end"), F.col("n").cast("long").alias("value"))
+        runs = _clipped(counted.unionByName(whole)).select("stretch", "term", "begin", "end", "value", every).select("stretch", "m.one", "m.two", "term", "begin", "end", "value")
+        keys, tasks = ["stretch", "one", "two"], min(2_000, max(1, 2 * most.stretches * len(meetings)))
+        one = blocks.dealt(live, F.col("rep"), n_blocks).repartition(tasks, *keys).groupBy(*keys)
+        return one.cogroup(runs.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
     def pairs(self) -> DataFrame:
         """(slot, a, b, sim, p): similar classes in each half hour, and how many pairs of headlines they stand for."""
         if self._pairs is None:
-            self._pairs = self.scratch.keep(self._found(), "pairs")
+            theta, stretch = self.threshold, STRETCH
+            rep = self.terms.schema["rep"].dataType.simpleString()
+
+            def run(rows: pa.Table, runs: pa.Table) -> pa.Table:
+                none = rows.column("rep").slice(0, 0)
+                parts = [pa.table({"slot": pa.array([], pa.int64()), "rep": none, "other": none, "sim": pa.array([], pa.float64()), "p": pa.array([], pa.int64())})]
+                for slot, x, y, sim, p in _similar(rows, runs, theta, stretch) if len(rows) else ():
+                    parts.append(pa.table({"slot": pa.array([slot] * len(sim), pa.int64()), "rep": x, "other": y, "sim": sim, "p": pa.array(p, pa.int64())}))
+                return pa.concat_tables(parts)
+
+            found = self._meet(run, f"slot long, rep {rep}, other {rep}, sim double, p long")
+            # Each pair from both of its ends.
+            turned = F.explode(F.array(F.struct("rep", "other"), F.struct(F.col("other").alias("rep"), F.col("rep").alias("other")))).alias("e")
+            weights = self.scratch.keep(found.select("slot", "sim", "p", turned).select("slot", "e.rep", "e.other", F.round("sim", DIGITS).alias("sim"), "p"), "weights")
+            self._pairs = weights.where("rep < other").select("slot", F.col("rep").alias("a"), F.col("other").alias("b"), "sim", "p")
         return self._pairs
 
-    def _found(self) -> DataFrame:
-        keep, near = self.scratch.keep, self.candidates()
-        ends = keep(near.select("stretch", F.col("a").alias("rep")).union(near.select("stretch", F.col("b").alias("rep"))).distinct(), "ends")
-        stretched = self.classes.select("rep", "begin", "end", "c", _stretches().alias("stretch")).join(ends, ["stretch", "rep"])
-        live = _clipped(stretched, "stretch", "rep", "c", "begin", "end").select("stretch", "slot", "rep", "c")
-        own = ends.join(self.terms.select("rep", "term", "tf"), "rep")
-        asked = own.select("stretch", "term").distinct()
-        found = _clipped(self.frequencies.select("term", "begin", "end", "df", _stretches().alias("stretch")).join(asked, ["stretch", "term"]), "term", "df", "begin", "end").select("slot", "term", "df")
-        calendar = maybe_broadcast(self.calendar.select("slot", "n"), self.n_slots)
-        idf = found.join(calendar, "slot").select("slot", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-        raw = live.join(own, ["stretch", "rep"]).join(idf, ["slot", "term"]).select("stretch", "slot", "rep", "c", "term", (F.col("tf") * F.col("idf")).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("slot", "rep")))
-        weights = keep(raw.select("stretch", "slot", "rep", "c", "term", (F.col("w") / norm).alias("weight")), "weights")
-        one = weights.select("stretch", "slot", F.col("rep").alias("a"), F.col("c").alias("ca"), "term", F.col("weight").alias("wa"))
-        two = weights.select("slot", F.col("rep").alias("b"), F.col("c").alias("cb"), "term", F.col("weight").alias("wb"))
-        dots = near.join(one, ["stretch", "a"]).join(two, ["slot", "b", "term"]).groupBy("slot", "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("sim"), F.max(F.col("ca") * F.col("cb")).alias("p"))
-        return dots.where(F.col("sim") >= self.threshold)
+    def _counted(self) -> DataFrame:
+        """(slot, p): pairs of headlines in similar classes, added up for each task."""
+        theta, stretch = self.threshold, STRETCH
+
+        def run(rows: pa.Table, runs: pa.Table) -> pa.Table:
+            sums: dict[int, int] = {}
+            for slot, _, _, _, p in _similar(rows, runs, theta, stretch) if len(rows) else ():
+                sums[slot] = sums.get(slot, 0) + int(p.sum())
+            return pa.table({"slot": pa.array(list(sums), pa.int64()), "p": pa.array(list(sums.values()), pa.int64())})
+
+        return self._meet(run, "slot long, p long")
 
     def newsiness(self) -> DataFrame:
         """(slot, newsiness): ordered similar pairs over the square of the number of headlines, times 10000."""
         inside = self.classes.where("c > 1").select(_slots("begin", "end").alias("slot"), F.expr("c * (c - 1) div 2").alias("p"))
-        p = self.pairs().select("slot", "p").unionByName(inside).groupBy("slot").agg(F.sum("p").alias("p"))
+        p = self._counted().unionByName(inside).groupBy("slot").agg(F.sum("p").alias("p"))
         joined = self.calendar.join(maybe_broadcast(p, self.n_slots), "slot", "left")
         return joined.select("slot", (F.try_divide(2 * F.coalesce("p", F.lit(0)), F.col("n") * F.col("n")) * 10000).alias("newsiness"))
