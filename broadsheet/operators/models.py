@@ -13,10 +13,15 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Points that one group of density clusters may have: its distances are compared in one task.
+from broadsheet.scratch import Scratch
+
+#: Points that one group of density clusters may have so that its distances are compared in one task; those of a larger group
+#: are compared in blocks of BLOCK_POINTS, of which every two meet in a task.
 MOST_POINTS = 5_000
+BLOCK_POINTS = 1_024
 _TINY = 1e-9
 
 
@@ -121,13 +126,21 @@ def nmf(counts: DataFrame, terms: int, k: int, iterations: int = 20, steps: int
 def density_clusters(x: np.ndarray, least: int, neighbours: int | None = None) -> np.ndarray:
     """Hierarchical density clusters (HDBSCAN by excess of mass); -1 for noise, clusters in the order of their first point."""
     n, neighbours = len(x), neighbours or least
-    labels = np.full(n, -1)
     if n < least or n < 2:
-        return labels
-    distance = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if n <= 300 else (x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T, 0))
+        return np.full(n, -1)
+    distance = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(2), 0)) if n <= 300 else _distances(x, x)
     core = np.sort(distance, 1)[:, min(neighbours, n) - 1]
+    return density_labels(n, _spanning(distance, core), least)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+def _spanning(distance: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """Minimum spanning tree of the mutual reachability, grown from point 0."""
+    n = len(core)
     reach = np.maximum(np.maximum(core[:, None], core[None, :]), distance)
-    # Minimum spanning tree of the mutual reachability, grown from point 0.
     inside, best, link, edges = np.zeros(n, bool), reach[0].copy(), np.zeros(n, int), []
     inside[0] = True
     for _ in range(n - 1):
@@ -136,7 +149,13 @@ def density_clusters(x: np.ndarray, least: int, neighbours: int | None = None) -
         inside[j] = True
         closer = reach[j] < best
         best[closer], link[closer] = reach[j][closer], j
-    # Single linkage: node n + m joins two nodes at the m-th shortest edge.
+    return edges
+
+
+def density_labels(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """Clusters of n points from edges (length, point, point) that hold a minimum spanning tree."""
+    labels = np.full(n, -1)
+    # Single linkage: node n + m joins two nodes at the m-th shortest edge of the tree.
     up, kids, heights, sizes = list(range(2 * n - 1)), {}, {}, [1] * n + [0] * (n - 1)
 
     def find(i: int) -> int:
@@ -145,8 +164,12 @@ def density_clusters(x: np.ndarray, least: int, neighbours: int | None = None) -
             i = up[i]
         return i
 
-    for m, (d, a, b) in enumerate(sorted(edges)):
-        a, b, node = find(a), find(b), n + m
+    node = n - 1
+    for d, a, b in sorted(edges):
+        a, b = find(a), find(b)
+        if a == b:
+            continue
+        node += 1
         kids[node], heights[node], sizes[node] = (a, b), d, sizes[a] + sizes[b]
         up[a] = up[b] = node
 
@@ -200,15 +223,67 @@ def density_clusters(x: np.ndarray, least: int, neighbours: int | None = None) -
 
 
 def clustered(df: DataFrame, id_col: str, vector_col: str, by: str, least: int = 5) -> DataFrame:
-    """(by, id, cluster): density clusters of each group. A group is compared in one task, so one with more than
-    MOST_POINTS rows is an error, not a sample."""
+    """(by, id, cluster): density clusters of each group. A group of up to MOST_POINTS rows is compared in one task, a larger one
+    in blocks; its points are never sampled."""
+    kinds = dict(df.dtypes)
+    schema = f"`{by}` {kinds[by]}, `{id_col}` {kinds[id_col]}, cluster int"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MOST_POINTS:
-            raise ValueError(f"{len(frame)} points in one group: at most {MOST_POINTS}")
         frame = frame.sort_values(id_col, kind="stable")
         found = density_clusters(np.stack(frame[vector_col].to_numpy()).astype(float), least)
         return pd.DataFrame({by: frame[by], id_col: frame[id_col], "cluster": found.astype(np.int32)})
 
-    kinds = dict(df.dtypes)
-    return df.select(by, id_col, vector_col).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{id_col}` {kinds[id_col]}, cluster int")
+    rows = df.select(by, id_col, vector_col)
+    sizes = rows.groupBy(F.struct(by).alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > MOST_POINTS)
+    # Each large group holds more than MOST_POINTS rows, so there are few of them.
+    large = Scratch(df.sparkSession, "density").keep(sizes, "large")
+    if not large.limit(1).count():
+        return rows.groupBy(by).applyInPandas(run, schema)
+    small = rows.join(large, F.struct(by) == large.g, "left_anti").groupBy(by).applyInPandas(run, schema)
+    return small.unionByName(_clustered_in_blocks(rows.join(large, F.struct(by) == large.g), id_col, vector_col, by, least))
+
+
+def _clustered_in_blocks(rows: DataFrame, id_col: str, vector_col: str, by: str, least: int) -> DataFrame:
+    """The same for groups ``g`` of ``n`` points, with memory for two blocks.
+
+    Every two blocks meet twice: for the nearest neighbours, from which the core distances come, and for a spanning tree of
+    their points. Each edge lies in some pair of blocks, and one that is the longest of a circle there is in no tree of the
+    whole, so these trees together hold one of the group. A group's edges, points times blocks at most, are linked in one task.
+    """
+    scratch = Scratch(rows.sparkSession, "density-blocks")
+    order = F.row_number().over(W.partitionBy("g").orderBy(id_col)) - 1
+    points = scratch.keep(rows.select("g", F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), "n", order.alias("at")), "points")
+    g = points.schema["g"].dataType.simpleString()
+    n_blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
+
+    def met(p: DataFrame) -> DataFrame:
+        own = p.withColumn("block", (F.col("at") % n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        dealt = own.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+        groups = points.agg(F.sum(n_blocks / F.col("n") * (n_blocks + 1) / 2)).first()[0] or 1
+        return dealt.drop("other").repartition(min(2_000, max(1, int(groups))), "g", "one", "two").groupBy("g", "one", "two")
+
+    def nearest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [frame[frame["block"] == b] for b in {key[1], key[2]}]
+        x = [np.stack(p["v"].to_numpy()) for p in parts]
+        far = _distances(x[0], x[-1])
+        both = [(parts[0], far)] + ([(parts[1], far.T)] if len(parts) > 1 else [])
+        return pd.concat([pd.DataFrame({"at": p["at"], "near": list(np.sort(d, 1)[:, :least])}) for p, d in both]).assign(g=[key[0]] * sum(map(len, parts)))[["g", "at", "near"]]
+
+    near = met(points).applyInPandas(nearest, f"g {g}, at int, near array<double>")
+    core = near.groupBy("g", "at").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).select("g", "at", F.get("near", F.lit(least - 1)).alias("core"))
+    reached = scratch.keep(points.drop("id").join(core, ["g", "at"]), "reached")
+
+    def tree(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x, at = np.stack(frame["v"].to_numpy()), frame["at"].to_numpy()
+        d, i, j = (np.array(c) for c in zip(*_spanning(_distances(x, x), frame["core"].to_numpy()))) if len(x) > 1 else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"g": [key[0]] * len(d), "d": d, "i": at[i], "j": at[j], "n": frame["n"].iloc[0]})
+
+    edges = scratch.keep(met(reached).applyInPandas(tree, f"g {g}, d double, i int, j int, n long"), "edges")
+
+    def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        n = int(frame["n"].iloc[0])
+        found = density_labels(n, list(zip(frame["d"].tolist(), frame["i"].tolist(), frame["j"].tolist())), least)
+        return pd.DataFrame({"g": [key[0]] * n, "at": np.arange(n, dtype=np.int32), "cluster": found.astype(np.int32)})
+
+    labels = edges.groupBy("g").applyInPandas(linked, f"g {g}, at int, cluster int")
+    return points.join(labels, ["g", "at"]).select(F.col(f"g.`{by}`").alias(by), F.col("id").alias(id_col), "cluster")

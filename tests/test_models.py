@@ -69,6 +69,19 @@ def test_groups_of_density_clusters(spark):
     assert all(got[g, i] == i % 2 for g in (1, 2) for i in range(40))
 
 
+def test_large_groups_of_density_clusters(spark, monkeypatch):
+    """A group beyond the limit of one task, which was an error, gets the clusters of one task from blocks."""
+    rng = np.random.default_rng(3)
+    spots = {7: [(0, 0), (4, 0), (0, 4)], None: [(0, 0), (9, 9)]}
+    rows = [(g, i, [float(c) for c in rng.normal(at[i % len(at)], 0.4)]) for g, at in spots.items() for i in range(150)] + [(1, i, [float(i % 2 * 5 + i * 0.01)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "label int, vec_id int, embedding array<double>")
+    want = {(r.label, r.vec_id): r.cluster for r in models.clustered(df, "vec_id", "embedding", "label").collect()}
+    assert len(want) == 320 and max(want.values()) >= 1
+    monkeypatch.setattr(models, "MOST_POINTS", 100)
+    monkeypatch.setattr(models, "BLOCK_POINTS", 40)
+    assert {(r.label, r.vec_id): r.cluster for r in models.clustered(df, "vec_id", "embedding", "label").collect()} == want
+
+
 def test_grids_and_factors_give_rows(spark, sf):
     grid = QUERIES["lda_grid"](spark, sf).collect()
     assert {(r.k, r.decay) for r in grid} == {(3, 0.6), (3, 0.9), (5, 0.6), (5, 0.9)} and all(r.perplexity > 0 for r in grid)
