@@ -11,7 +11,7 @@ parts is shipped, and a task maps into memory the parts that its texts need. Tha
 gets the language with the lowest cross-entropy per symbol; ties go to the language that sorts first.
 
 Score and rejection are calibrated on labelled rows that the models have not learned from: a tenth of them by the hash of
-their id, at most about ``CALIBRATION_ROWS`` (a bounded sample of labelled rows; everything else counts all rows). The
+their id, however many these are. What each of them scores stays distributed; sums and exact percentiles reach the driver. The
 score is a logistic curve of the cross-entropy margin times the square root of the length. A text is rejected if it has no
 letters, or if its cross-entropy lies further above the median of its language than nearly all (99.9 %) of the calibration
 texts of its length band do, by more than the chance of so few symbols allows (``limits``).
@@ -45,7 +45,9 @@ ORDER = 4
 #: Rows (gram and language) of one stored part, and cells (gram times language) that scoring spreads out at a time.
 PART_ROWS = 2_000_000
 STEP_CELLS = 4_000_000
-CALIBRATION_ROWS = 4_000
+#: One labelled row in so many is kept out of the models for the calibration.
+KEPT_OUT = 10
+NEWTON_STEPS = 50
 LEAST_CALIBRATION = 5
 LEAST_KEPT_OUT = 20
 #: Lengths, in symbols, at which the bands of the rejection limits begin.
@@ -266,32 +268,41 @@ class Model:
         langs = ["und" if x else self.langs[b] for x, b in zip(none, best)]
         return langs, np.where(none, 0.0, score), np.where(none, 0.0, lowest), none | (lowest > self.limits(best, symbols))
 
-    def calibrate(self, best: np.ndarray, margin: np.ndarray, lowest: np.ndarray, right: np.ndarray, symbols: np.ndarray) -> None:
-        """Fits score and limits to labelled texts with letters: what was found, by what margin, and whether it was right."""
-        if not self.langs or len(best) < LEAST_CALIBRATION:
+    def calibrate(self, found: DataFrame) -> None:
+        """Fits score and limits to all labelled texts with letters: what was found, by what margin, and whether it was right."""
+        every = found.agg(F.count("*").alias("n"), F.count_if("right").alias("right"), F.percentile("margin", F.lit(0.5)).alias("margin")).first()
+        if not self.langs or every.n < LEAST_CALIBRATION:
             return
-        y = np.append(right.astype(float), [0.0, 1.0])  # keeps the curve finite where all are right
-        x = np.append(margin, [0.0, float(np.median(margin))])
+        # Two more rows keep the curve finite where all are right.
+        y, x = np.array([0.0, 1.0]), np.array([0.0, every.margin])
         a, b = 1.0, 0.0
-        for _ in range(50):
+        for _ in range(NEWTON_STEPS):
+            z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) * F.col("margin") + F.lit(b)))
+            rows = found.select(F.col("margin").alias("x"), F.col("right").cast("double").alias("y"), (1 / (1 + F.exp(-z))).alias("p")).withColumn("w", F.expr("p * (1 - p) + 1e-6"))
+            s = np.array(rows.agg(*[F.sum(F.expr(e)) for e in ("(y - p) * x", "y - p", "w * x * x", "w * x", "w")]).first(), float)
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             w = p * (1 - p) + 1e-6
-            g = np.array([((y - p) * x).sum() - 1e-3 * a, (y - p).sum()])
-            hess = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]])
-            step = np.linalg.solve(hess, g)
-            a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -1, 1)
-        self.slope, self.offset = max(float(a), 0.0), float(b)
-        if right.sum() < LEAST_CALIBRATION:
+            s += [((y - p) * x).sum(), (y - p).sum(), (w * x * x).sum(), (w * x).sum(), w.sum()]
+            step = np.linalg.solve(np.array([[s[2] + 1e-3, s[3]], [s[3], s[4]]]), np.array([s[0] - 1e-3 * a, s[1]]))
+            a, b = a + float(np.clip(step[0], -1, 1)), b + float(np.clip(step[1], -1, 1))
+            if abs(step).max() < 1e-10:
+                break
+        # Sums depend on the order of partitions in their last digits.
+        self.slope, self.offset = max(round(a, 9), 0.0), round(b, 9)
+        if every.right < LEAST_CALIBRATION:
             return
-        best, lowest, symbols = best[right], lowest[right], symbols[right]
-        for j in range(len(self.langs)):
-            own = lowest[best == j]
-            self.median[j] = np.median(own if len(own) >= LEAST_CALIBRATION else lowest)
-        above, wider = lowest - self.median[best], 0.0
+        right = found.where("right")
+        half = F.percentile("lowest", F.lit(0.5))
+        own = {r.best: r.m for r in right.groupBy("best").agg(F.count("*").alias("n"), half.alias("m")).where(F.col("n") >= LEAST_CALIBRATION).collect()}
+        whole = right.agg(half).first()[0]
+        self.median = np.array([own.get(j, whole) for j in range(len(self.langs))])
+        median = F.get(F.array(*[F.lit(float(m)) for m in self.median]), F.col("best"))
+        band = sum((F.col("symbols") >= k).cast("int") for k in BANDS) - 1
+        above = {r.band: r.q for r in right.groupBy(band.alias("band")).agg(F.percentile(F.col("lowest") - median, F.lit(0.999)).alias("q")).collect()}
+        wider = 0.0
         # From long to short; a band with few rows has the limits of the longer one at least.
         for k in range(len(BANDS) - 1, -1, -1):
-            own = above[(symbols >= BANDS[k]) & (symbols < (BANDS[k + 1] if k + 1 < len(BANDS) else np.inf))]
-            wider = self.excess[k] = max(wider, float(np.quantile(own, 0.999)) if len(own) else 0.0)
+            wider = self.excess[k] = max(wider, above.get(k, 0.0))
 
 
 class _Parts:
@@ -436,20 +447,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     scratch = Scratch(spark, "language")
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and body is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    # By the hash of the id: a bounded sample that does not depend on partitions.
-    stride = max(10, -(-sum(sizes.values()) // CALIBRATION_ROWS))
     large = [lang for lang, n in sizes.items() if n >= LEAST_KEPT_OUT]
-    out = (F.pmod(F.xxhash64("id"), F.lit(stride)) == 0) & F.col("lang").isin(large)
+    out = (F.pmod(F.xxhash64("id"), F.lit(KEPT_OUT)) == 0) & F.col("lang").isin(large)
     counts = rows.where(~out).select("lang", "body").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts, "counts")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     model = _estimate(scratch, counts, langs) if langs else Model([], [])
     scratch.drop("counts")
     if langs:
-        # Texts are scored by the executors; a few numbers of each come back.
         schema = "best int, margin double, lowest double, right boolean, symbols long"
-        got = rows.where(out).select("body", "lang").mapInArrow(lambda it: _calibration(it, model), schema).toPandas()
-        model.calibrate(*(got[c].to_numpy() for c in ("best", "margin", "lowest", "right", "symbols")))
+        found = scratch.keep(rows.where(out).select("body", "lang").mapInArrow(lambda it: _calibration(it, model), schema), "calibration")
+        model.calibrate(found)
+        scratch.drop("calibration")
     return model
 
 

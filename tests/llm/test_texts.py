@@ -173,6 +173,33 @@ def test_rejection_is_calibrated(spark, sf):
     assert all(not any(c.isalpha() for c in r.text or "") for r in gone)
 
 
+def test_calibration_takes_every_kept_out_row(spark, monkeypatch):
+    """However many rows are labelled, a tenth of them sets limits and score (they were about 4,000 at most), as numpy finds them."""
+    rows = [(i, f"{'the and of' if i % 2 else 'der und das'} {'abcdefgh'[i % 8] * (1 + i % 5)}", "en" if i % 2 else "de") for i in range(60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked, calibrate = [], language.Model.calibrate
+
+    def noted(self, found):
+        asked.append(found.toPandas())
+        calibrate(self, found)
+
+    monkeypatch.setattr(language.Model, "calibrate", noted)
+    model = language.fit(df)
+    (f,) = asked
+    assert len(f) == df.where("pmod(xxhash64(doc_id), 10) = 0").count() > 5_500
+    right = f[f["right"]]
+    for j in range(2):
+        assert model.median[j] == pytest.approx(np.median(right[right["best"] == j]["lowest"]))
+    above = (right["lowest"] - model.median[right["best"]])[right["symbols"] < 48]
+    assert model.excess[0] == pytest.approx(np.quantile(above, 0.999))
+    p = 1 / (1 + np.exp(-(model.slope * f["margin"] + model.offset)))
+    m = np.median(f["margin"])
+    last = 1 / (1 + np.exp(-(model.slope * m + model.offset)))
+    first = 1 / (1 + np.exp(-model.offset))
+    # The curve's sums are those of the rows, two more rows included.
+    assert (f["right"] - p).sum() + (1 - last) - first == pytest.approx(0, abs=1e-4)
+
+
 def test_languages_of_odd_rows(spark):
     """Ties between equal models, repeated rows, clashing names and a very long text."""
     rows = [(i, "uno dos tres cuatro", lang) for i, lang in enumerate(["xx", "yy"] * 30)]
