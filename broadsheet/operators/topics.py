@@ -57,10 +57,22 @@ def scores_of_words(docs: DataFrame, keywords: DataFrame, essential: DataFrame,
     return hits.join(own, ["id", "topic_id"]).select(F.col("id").alias(id_col), "topic_id", (F.col("hits") / (F.col("n") + 1)).alias("score"))
 
 
+def scores_of_first_words(docs: DataFrame, essential: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """The same for topics (topic_id, word) of one essential word each, whose keywords are that word and every pair that begins
+    with it: a gram's topic follows from its first word, so pairs are neither listed nor shuffled, only added up by word.
+    """
+    words = essential.select("topic_id", "word").where("word is not null").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.size(tokens_col).alias("n"), F.posexplode(tokens_col).alias("at", "word"))
+    # A token counts as a word, and as the first word of a pair unless it is the last one.
+    counted = rows.groupBy("id", "word").agg(F.sum(F.when(F.col("at") < F.col("n") - 1, 2).otherwise(1)).alias("hits"), F.first("n").alias("n"))
+    scored = counted.join(maybe_broadcast(words, words.count()), "word")
+    return scored.select(F.col("id").alias(id_col), "topic_id", (F.col("hits") / (F.col("n") + 1)).alias("score"))
+
+
 def assign(scored: DataFrame, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(id, topic_id, topic_score): the best topic, the first among equals, if above the threshold."""
-    best = scored.groupBy(id_col).agg(F.max_by(F.struct("topic_id", "score"), F.struct("score", -F.col("topic_id"))).alias("b"))
-    return best.where(F.col("b.score") > threshold).select(id_col, "b.topic_id", F.col("b.score").alias("topic_score"))
+    best = scored.where(F.col("score") > threshold).groupBy(id_col).agg(F.max_by(F.struct("topic_id", "score"), F.struct("score", -F.col("topic_id"))).alias("b"))
+    return best.select(id_col, "b.topic_id", F.col("b.score").alias("topic_score"))
 
 
 def candidates(headlines: DataFrame, topics: DataFrame, title: str = "title", topic_id: str = "topic_id") -> DataFrame:

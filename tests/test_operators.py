@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import numbers
 from broadsheet.operators import baseline, frames, lexicon, similarity, snapshot, topics
 from broadsheet.operators.components import components
+from broadsheet.plans.text import topic_assign_many
 from broadsheet.scratch import Scratch
 
 
@@ -220,3 +221,22 @@ def test_many_topics_equal_the_expressions(spark, monkeypatch):
                 if hits and set(t or []) & set(ess):
                     plain[i, k] = round(hits / (len(t) + 1), 9)
         assert {k: v for k, v in got.items() if k[1] < 5000} == plain
+
+
+def test_topics_of_first_words_equal_listed_pairs(spark, sf, monkeypatch):
+    """Scores as with every pair listed, and no gram is joined or shuffled: hits are added up by word."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, [rng.choice(words) for _ in range(rng.randint(0, 12))]) for i in range(60)] + [(90, None), (91, ["w1"]), (92, ["w1", "w1"])]
+    docs = spark.createDataFrame(texts, "id long, t array<string>")
+    listed = [(k, [w, *sorted({f"{a} {b}" for _, t in texts for a, b in zip(t or [], (t or [])[1:]) if a == w})], [w]) for k, w in enumerate(words[:20])]
+    side = spark.createDataFrame(listed, "topic_id int, keywords array<string>, essential array<string>")
+    want = {(r.id, r.topic_id): round(r.score, 9) for r in topics.positive_scores(docs, side, "id", "t").collect()}
+    essential = spark.createDataFrame([(k, w) for k, _, (w,) in listed] + [(50, None)], "topic_id int, word string")
+    scored = topics.scores_of_first_words(docs, essential, "id", "t")
+    assert {(r.id, r.topic_id): round(r.score, 9) for r in scored.collect()} == want and len(want) > 100
+
+    used = []
+    monkeypatch.setattr(topics, "scores_of_words", lambda *a: used.append(a))
+    monkeypatch.setattr(topics.tx, "ngrams", lambda *a, **b: used.append(a))
+    assert topic_assign_many(spark, sf).count() and not used
