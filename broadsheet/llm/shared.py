@@ -18,25 +18,14 @@ from pyspark.sql.column import Column
 from pyspark.sql import types as T
 
 from broadsheet.scratch import Scratch, maybe_broadcast
+from broadsheet.session import BATCH_BYTES, small_batches
 
-__all__ = ["CHUNK_BYTES", "Scratch", "buckets", "chunks", "long_id", "maybe_broadcast", "mounted", "release", "small_batches", "text_bytes", "tidy"]
+__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "Scratch", "buckets", "chunks", "long_id", "maybe_broadcast", "mounted", "release", "small_batches", "text_bytes", "tidy"]
 
 #: Bytes of text that one vectorised step handles at a time; a longer text is handled whole, on its own.
 CHUNK_BYTES = 2 << 20
 
 
-#: Bytes of an Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
-_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit of Arrow batches to ``BATCH_BYTES`` where it was left at its default: ten thousand long
-    documents at once would be held by the JVM and by the worker."""
-    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) in (_BATCH_DEFAULT, "64m", "64MB"):
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files that nothing refers to any more; they would else wait for a chance GC."""
     gc.collect()

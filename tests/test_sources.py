@@ -8,6 +8,9 @@ import json
 import re
 import threading
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from broadsheet.plans import text  # noqa: F401  registers the queries
 from broadsheet.plans.registry import QUERIES
 from broadsheet.sources import html, side_inputs
@@ -204,3 +207,25 @@ def test_topics_of_a_file_and_their_dates(spark):
     got = sorted((r.topic_id, r.i, r.name, r.place) for r in side_inputs.dated(topics, dates).collect())
     assert got == [(1, 1, "Flood", 2), (1, 2, "New year", 1), (2, 2, "New year", 1)]
     assert side_inputs.dated(topics, dates.limit(0)).count() == side_inputs.dated(topics.limit(0), dates).count() == 0
+
+
+def test_pages_reach_python_in_small_batches(spark, sf, monkeypatch):
+    """The memory of a worker does not grow with the table: neither the pages of a batch nor its links are held at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name in ("html_text", "front_page_rules"):
+        spark.conf.unset(key)
+        QUERIES[name](spark, sf)
+        assert int(spark.conf.get(key)) <= 4 << 20
+
+    @F.arrow_udf("long")
+    def rows_at_once(pages: pa.Array) -> pa.Array:
+        return pa.array([len(pages)] * len(pages), pa.int64())
+
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("<p>x</p>"), 1250).alias("h"))
+    assert long.select(rows_at_once("h").alias("n")).agg(F.max("n")).first()[0] <= 600
+
+    page = "".join(f'<a href="/story/{k}">t {k}</a>' for k in range(50))
+    df = spark.createDataFrame([(i, "A", page) for i in range(3)] + [(3, "A", None), (4, "B", page)], "id long, agency string, html string").coalesce(1)
+    monkeypatch.setattr(html, "BATCH_LINKS", 7)
+    got = [tuple(r) for r in html.extract_links(df, [html.Rule("A")], id_col="id").collect()]
+    assert got == [(i, "A", k, f"/story/{k}", f"t {k}") for i in range(3) for k in range(50)]
