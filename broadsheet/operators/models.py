@@ -8,6 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, StandardScaler
@@ -78,45 +79,49 @@ def sparse_parts(vector_col: str) -> list[Column]:
     return [at.alias("at"), F.filter(v, lambda x: x != 0).alias("values")]
 
 
-def _rows_of(frame: pd.DataFrame, terms: int) -> np.ndarray:
-    v = np.zeros((len(frame), terms))
-    for r, (at, values) in enumerate(zip(frame["at"], frame["values"])):
-        v[r, at] = values
-    return v
-
-
 def _loads(v: np.ndarray, h: np.ndarray, steps: int) -> np.ndarray:
     """Non-negative loads of rows on fixed factors, by multiplicative steps from equal loads."""
-    w = np.full((len(v), len(h)), max(v.mean(), _TINY))
-    top, square = v @ h.T, h @ h.T
+    return _stepped(v @ h.T, v.mean(), h, steps)
+
+
+def _stepped(top: np.ndarray, mean: float, h: np.ndarray, steps: int) -> np.ndarray:
+    """The same from the rows' products with the factors and their mean."""
+    w, square = np.full(top.shape, max(mean, _TINY)), h @ h.T
     for _ in range(steps):
         w *= top / (w @ square + _TINY)
     return w
 
 
+def _sparse_loads(row: np.ndarray, at: np.ndarray, values: np.ndarray, n: int, h: np.ndarray, steps: int) -> np.ndarray:
+    """The same for n rows given by their values other than 0 and where these stand."""
+    top = np.stack([np.bincount(row, values * part[at], n) for part in h], 1)
+    return _stepped(top, values.sum() / (n * h.shape[1]), h, steps)
+
+
 def nmf(counts: DataFrame, terms: int, k: int, iterations: int = 20, steps: int = 20, seed: int = 7) -> np.ndarray:
     """Factors (k x terms) of a non-negative matrix whose rows are (at array<int>, values array<double>).
 
-    Each round finds the loads of every row where it lies, and sums of loads times rows and loads times loads are combined
+    The rows are written once, so that no round makes them anew. Each round finds the loads of every row where it lies, and sums of loads times rows and loads times loads are combined
     before they reach the driver: k x terms numbers, whatever the number of rows.
     """
+    rows = Scratch(counts.sparkSession, "nmf").keep(counts.select(F.col("at").cast("array<int>"), F.col("values").cast("array<double>")), "rows")
     rng = np.random.default_rng(seed)
     h = rng.random((k, terms)) + 0.1
     for _ in range(iterations):
 
-        def sums(frames: Iterator[pd.DataFrame], h: np.ndarray = h) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], h: np.ndarray = h) -> Iterator[pa.RecordBatch]:
             top, square = np.zeros((k, terms)), np.zeros((k, k))
-            for f in frames:
-                for a in range(0, len(f), 2048):
-                    v = _rows_of(f.iloc[a : a + 2048], terms)
-                    w = _loads(v, h, steps)
-                    top += w.T @ v
-                    square += w.T @ w
+            for b in (b for b in batches if b.num_rows):
+                row = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy(zero_copy_only=False))
+                at, values = (c.flatten().to_numpy(zero_copy_only=False) for c in b.columns)
+                w = _sparse_loads(row, at, values, b.num_rows, h, steps)
+                top += np.stack([np.bincount(at, values * load[row], terms) for load in w.T])
+                square += w.T @ w
             both = np.concatenate([top, square], 1)
-            i, j = np.indices(both.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "x": both.ravel()})
+            i, j = (x.ravel().astype(np.int32) for x in np.indices(both.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(both.ravel())], ["i", "j", "x"])
 
-        got = counts.select("at", "values").mapInPandas(sums, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+        got = rows.mapInArrow(sums, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
         both = np.zeros((k, terms + k))
         both[got["i"], got["j"]] = got["x"]
         h = h * both[:, :terms] / (both[:, terms:] @ h + _TINY)

@@ -148,3 +148,28 @@ def test_rules_of_polarity():
     assert p("that was the shit my friend") != p("that was shit my friend") and p("food is the shit") > 0
     assert p("least good day") < 0 < p("at least good day") and p("never so good") > p("good") > p("never good")
     assert p("good ??") > p("good ?") == p("good") and p("fine :) day") > 0 and p("good!!!!!") == p("good!!!!")
+
+
+def test_factors_read_their_rows_once(spark):
+    """The rounds equal those on the whole matrix, and none of them makes the rows anew."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 3, (60, 9)).astype(float) * (rng.random((60, 9)) < 0.4)
+    v[5] = 0
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def seen(values):
+        made.add(1)
+        return values
+
+    rows = [([int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r > 0]]) for r in v]
+    counts = spark.createDataFrame(rows, "at array<int>, values array<double>").select("at", seen.asNondeterministic()("values").alias("values"))
+    got = models.nmf(counts, 9, 2, iterations=6)
+    assert made.value == len(rows)
+    plain = np.random.default_rng(7).random((2, 9)) + 0.1
+    for _ in range(6):
+        loads = models._loads(v, plain, 20)
+        plain = plain * (loads.T @ v) / (loads.T @ loads @ plain + 1e-9)
+    assert np.allclose(got, plain, rtol=1e-3, atol=1e-6)
