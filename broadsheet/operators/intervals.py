@@ -6,11 +6,12 @@ for each stretch of ``STRETCH`` half hours in which it is up:
 1. Equal texts are one class. How many members of a class, and of a term's headlines, are up is kept as running differences:
    +1 where an interval begins, -1 behind its end, added up over time.
 2. The classes of a stretch are dealt into blocks, of which every two meet in a task (:mod:`blocks`), with the running counts of
-   the terms. The task makes the weights of one half hour after the other and compares them.
+   the terms. The task takes every weight at its largest in the half hours of the class. What is similar by these is compared
+   once more in each half hour, with the weights of that half hour.
 3. It returns how many pairs are similar in each half hour, or the pairs where they are asked for.
 
 So what is shipped grows with headlines times stretches; half hours are written out only for similar pairs that are asked for,
-and for the calendar itself. The comparisons grow with the square of what is up at a time.
+and for the calendar itself. The comparisons grow with the square of what is up in a stretch.
 
 Cases: an interval that ends before it begins is never up. A null text, or one without terms, counts as a headline that is
 similar to nothing. Half hours in which nothing is up have no row.
@@ -35,6 +36,8 @@ from broadsheet.scratch import Scratch, maybe_broadcast
 STRETCH = 24
 #: Digits to which a product is rounded before it is compared.
 DIGITS = 9
+#: Pairs that are compared in the half hours at a time, about.
+MOST_PAIRS = 1 << 15
 
 
 def slot_number(ts: Column | str) -> Column:
@@ -78,29 +81,49 @@ def _running(at: np.ndarray, begin: np.ndarray, end: np.ndarray, value: np.ndarr
 
 
 class _Side:
-    """The classes of a block: terms, their counts, and how many members are up in each half hour."""
+    """The classes of a block: terms in order, their counts, and how many members are up in each half hour."""
 
     def __init__(self, rows: pa.Table, numbers: np.ndarray, stretch: int):
-        self.starts, self.tf = blocks.listed(rows.column("tf"))
+        self.starts, tf = blocks.listed(rows.column("tf"))
         runs, begin = blocks.listed(rows.column("begins"))
-        self.numbers, n = numbers, len(rows)
+        n = len(rows)
+        self.sizes = np.diff(self.starts)
+        row = np.repeat(np.arange(n), self.sizes)
+        order = np.lexsort((numbers, row))
+        self.row, self.numbers, self.tf = row, numbers[order], tf[order]
         at = np.repeat(np.arange(n), np.diff(runs))
         self.up = _running(at, begin, blocks.listed(rows.column("ends"))[1], blocks.listed(rows.column("counts"))[1], n, stretch)
-
-    def at(self, k: int, idf: np.ndarray, cut: float) -> tuple[np.ndarray, blocks.Vectors]:
-        """The classes that are up in half hour k, and their weights in it."""
-        live = np.flatnonzero(self.up[k])
-        sizes = np.diff(self.starts)[live]
-        at = blocks.spread(self.starts[live], sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        w = self.tf[at] * idf[self.numbers[at]]
-        norm = np.sqrt(np.add.reduceat(w * w, starts[:-1])) if len(w) else w
-        return live, blocks.Vectors(starts, self.numbers[at], w / np.repeat(norm, sizes), cut)
+        self.norms = np.ones(self.up.shape)
+
+    def largest(self, slots: np.ndarray, idf, cut: float) -> blocks.Vectors:
+        """Every weight at its largest in the half hours in which its class is up, so that products are bounds for all of them."""
+        top = np.zeros(len(self.numbers))
+        for k in slots:
+            w = self.tf * idf(k, slice(None))[self.numbers]
+            self.norms[k] = np.sqrt(np.add.reduceat(w * w, self.starts[:-1]))
+            np.maximum(top, w * np.repeat((self.up[k] > 0) / self.norms[k], self.sizes), out=top)
+        return blocks.Vectors(self.starts, self.numbers, top, cut)
+
+
+def _gathered(found: Iterator, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, not many more than ``least`` of them at a time."""
+    parts, held = [], 0
+    for i, j, s in found:
+        parts.append((i, j, s))
+        held += len(i)
+        if held >= least:
+            yield blocks.joined(iter(parts))[:2]
+            parts, held = [], 0
+    if held:
+        yield blocks.joined(iter(parts))[:2]
 
 
 def _similar(rows: pa.Table, runs: pa.Table, theta: float, stretch: int) -> Iterator[tuple]:
-    """(half hour, reps of one block and of the other, products, pairs of headlines) of a task, one half hour after the other."""
+    """(half hour, reps of one block and of the other, products, pairs of headlines) of a task. What is similar by the largest
+    weights of the stretch is compared in each half hour."""
     a, b, same = blocks.sides(rows)
+    if not len(a) or not len(b):
+        return
     names, rank, (na, nb) = blocks.numbered(blocks.listed(a.column("terms"))[1], blocks.listed(b.column("terms"))[1])
     term, begin, end, value = (np.asarray(runs.column(c).fill_null(0)) for c in ("term", "begin", "end", "value"))
     whole = np.asarray(runs.column("term").is_null())
@@ -108,15 +131,29 @@ def _similar(rows: pa.Table, runs: pa.Table, theta: float, stretch: int) -> Iter
     known = ~whole & (names[place] == term)
     df = _running(rank[place[known]], begin[known], end[known], value[known], len(names), stretch)
     n = _running(np.zeros(whole.sum(), np.int64), begin[whole], end[whole], value[whole], 1, stretch)[:, 0]
-    one, cut = _Side(a, na, stretch), blocks.REST * theta
+    idf = lambda k, t: np.log((1 + n[k]) / (1 + df[k, t])) + 1
+    slots, one, cut, slack = np.flatnonzero(n), _Side(a, na, stretch), blocks.REST * theta, 0.5 * 10.0**-DIGITS
     two = one if same else _Side(b, nb, stretch)
-    first = rows.column("stretch")[0].as_py() * stretch
-    for k in np.flatnonzero(n):
-        idf = np.log((1 + n[k]) / (1 + df[k])) + 1
-        (i, x), (j, y) = one.at(k, idf, cut), two.at(k, idf, cut)
-        for u, v, sim in blocks.similar(x, y, len(names), theta, 0.5 * 10.0**-DIGITS, same):
-            u, v = i[u], j[v]
-            yield first + int(k), a.column("rep").take(pa.array(u)), b.column("rep").take(pa.array(v)), sim, one.up[k][u] * two.up[k][v]
+    x = one.largest(slots, idf, cut)
+    y = x if same else two.largest(slots, idf, cut)
+    width, first = len(names), rows.column("stretch")[0].as_py() * stretch
+    keys = one.row * width + one.numbers
+    for i, j in _gathered(blocks.similar(x, y, width, theta, 2 * slack, same), MOST_PAIRS):
+        met = ((one.up[:, i] > 0) & (two.up[:, j] > 0)).any(0)
+        i, j = i[met], j[met]
+        at = blocks.spread(two.starts[j], two.sizes[j])
+        pair, t = np.repeat(np.arange(len(i)), two.sizes[j]), two.numbers[at]
+        sought = i[pair] * width + t
+        held = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+        both = keys[held] == sought
+        pair, t, tf = pair[both], t[both], one.tf[held[both]] * two.tf[at[both]]
+        for k in slots:
+            p = one.up[k, i] * two.up[k, j]
+            own = p[pair] > 0
+            product = np.bincount(pair[own], tf[own] * idf(k, t[own]) ** 2, len(i)) / (one.norms[k, i] * two.norms[k, j])
+            yes = (p > 0) & (product >= theta - slack)
+            if yes.any():
+                yield first + int(k), a.column("rep").take(pa.array(i[yes])), b.column("rep").take(pa.array(j[yes])), product[yes], p[yes]
 
 
 class Intervals:
@@ -158,7 +195,7 @@ class Intervals:
         live = self._stretched()
         per = live.groupBy("stretch").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("m"))
         most = per.agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("stretches")).first()
-        n_blocks = blocks.number_of(most.n or 0, most.m or 0)
+        n_blocks = blocks.number_of(most.n or 0, most.m or 0, max(1, most.stretches))
         meetings = [(i, j) for i in range(n_blocks) for j in range(i, n_blocks)]
         every = F.explode(F.array(*[F.struct(F.lit(i).alias("one"), F.lit(j).alias("two")) for i, j in meetings])).alias("m")
         counted = self.frequencies.select(F.xxhash64("term").alias("term"), "begin", "end", F.col("df").cast("long").alias("value"))

@@ -71,3 +71,22 @@ def test_half_hours_are_written_out_for_near_pairs_only(spark):
 def test_no_headlines(spark):
     none = spark.createDataFrame([], "i long, t string, b long, e long")
     assert intervals.Intervals(none, "i", "t", "b", "e").newsiness().collect() == []
+
+
+def test_blocks_are_compared_once_for_a_stretch(monkeypatch):
+    """Not in every half hour, of which each has weights of its own."""
+    import pyarrow as pa
+
+    n, calls = 40, []
+    rng = random.Random(4)
+    terms = [rng.sample(range(30), 6) for _ in range(n)]
+    spans = [(b := rng.randrange(20), rng.randrange(b + 1, 25)) for _ in range(n)]
+    rows = pa.table({"stretch": [0] * n, "one": [0] * n, "two": [0] * n, "block": [0] * n, "rep": list(range(n)), "terms": terms, "tf": [[1] * 6] * n, "begins": [[b] for b, _ in spans], "ends": [[e] for _, e in spans], "counts": [[1]] * n})
+    # The runs of the calendar (no term) and of each term.
+    runs = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("term", "begin", "end", "value"), zip(*[(t, b, e, 1) for w, (b, e) in zip(terms, spans) for t in [None, *w]]))})
+    whole = intervals.blocks.similar
+    monkeypatch.setattr(intervals.blocks, "similar", lambda *a: calls.append(1) or whole(*a))
+    got = {(k, *sorted((x, y))) for k, a, b, *_ in intervals._similar(rows, runs, 0.5, 24) for x, y in zip(a.to_pylist(), b.to_pylist())}
+    texts = [(i, " ".join(f"w{t}" for t in w), b, e - 1) for i, (w, (b, e)) in enumerate(zip(terms, spans))]
+    assert got == plain(texts, 0.5)[1] and len(got) > 10
+    assert len(calls) == 1
