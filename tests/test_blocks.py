@@ -89,3 +89,34 @@ def test_small_tables_of_products(monkeypatch):
         x = blocks.Vectors(starts, numbers, dense[row, term], 0.3)
         got = [(int(i), int(j)) for a, b, _ in blocks.similar(x, x, len(names), 0.6, 1e-9, True) for i, j in zip(a, b)]
         assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_rows_travel_fewer_times():
+    """Larger blocks where there are many rows, fewer ones where groups are tasks enough."""
+    assert blocks.number_of(1_350_000, 45_000_000) <= 21
+    assert blocks.number_of(50_000, 2_000_000, 36) == 1 < blocks.number_of(50_000, 2_000_000)
+
+
+def test_links_of_many_tasks_become_one_for_each_row(spark):
+    """Twenty tasks have linked every row to a row of their own."""
+    links = [(a, 1_000 + t) for a in range(300) for t in range(20)] + [(2_000, 2_001)]
+    got = [(r.a, r.b) for r in similarity.starred(spark.createDataFrame(links, "a long, b long"), []).collect()]
+    assert len(got) == 300 + 19 + 1 and _groups(got) == _groups(links)
+
+
+def test_components_run_their_edges_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from broadsheet.operators.components import components
+    from broadsheet.scratch import Scratch
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).mapInArrow(count, "a long, b long")
+    assert {r.label for r in components(edges, Scratch(spark, "once"), "x").collect()} == {0}
+    assert seen.value == 50
